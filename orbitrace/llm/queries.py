@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orbitrace.llm import oracles
 from orbitrace.llm.fingerprints import fingerprint_documents
 from orbitrace.llm.ngram_join import similarity_classes
+from orbitrace.llm.quality_rules import apply_policy, ledger
+from orbitrace.llm.sharding import shard_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +25,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_documents(spark, sf_dir), threshold=0.8, width=5)
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op8_ngram_jaccard_join)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule ledger of every document, with the base rules' and the current policy's verdicts."""
+    return apply_policy(ledger(_documents(spark, sf_dir)), "v1")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 24 shards of near equal bytes."""
+    return shard_documents(_documents(spark, sf_dir), shards=24)
+
+
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join)}
+
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
