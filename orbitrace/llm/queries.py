@@ -7,14 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from orbitrace.llm import oracles
 from orbitrace.llm.fingerprints import fingerprint_documents
 from orbitrace.llm.ngram_join import similarity_classes
+from orbitrace.llm.packing import pack_documents
 from orbitrace.llm.quality_rules import apply_policy, ledger
 from orbitrace.llm.sharding import shard_documents
+from orbitrace.llm.token_counts import count_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return pack_documents(_documents(spark, sf_dir), _tokenizer(), capacity=1024, end_id=2)
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MinHash fingerprints of every text and of its edited text."""
     return fingerprint_documents(_documents(spark, sf_dir))
@@ -35,6 +48,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, and whether it is over 512 tokens."""
+    return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=512)
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
