@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orbitrace.llm import oracles
 from orbitrace.llm.fingerprints import fingerprint_documents
+from orbitrace.llm.language_id import identify_languages
 from orbitrace.llm.ngram_join import similarity_classes
 from orbitrace.llm.packing import pack_documents
 from orbitrace.llm.quality_rules import apply_policy, ledger
@@ -48,11 +49,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_documents(spark, sf_dir), shards=24)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    return identify_languages(_documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token count of every document, and whether it is over 512 tokens."""
     return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op9_language_id, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
