@@ -9,6 +9,7 @@ from orbitrace.llm.fingerprints import fingerprint_documents
 from orbitrace.llm.language_id import identify_languages
 from orbitrace.llm.ngram_join import similarity_classes
 from orbitrace.llm.packing import pack_documents
+from orbitrace.llm.pii import find_personal_data
 from orbitrace.llm.quality_rules import apply_policy, ledger
 from orbitrace.llm.sharding import shard_documents
 from orbitrace.llm.token_counts import count_tokens
@@ -39,6 +40,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity_classes(_documents(spark, sf_dir), threshold=0.8, width=5)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: plain spans, and those that deobfuscation adds."""
+    return find_personal_data(_documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule ledger of every document, with the base rules' and the current policy's verdicts."""
     return apply_policy(ledger(_documents(spark, sf_dir)), "v1")
@@ -59,6 +65,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op9_language_id, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op3_pii, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op9_language_id, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
