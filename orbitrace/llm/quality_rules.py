@@ -71,7 +71,8 @@ def measured(docs: DataFrame) -> DataFrame:
         out = out.withColumn(_P + name, F.expr(sql))
     bits = " | ".join(f"CASE WHEN {_qualified(cond)} THEN {1 << bit}L ELSE 0L END" for bit, cond in RULES.values())
     out = out.withColumn(_P + "m", F.col(_P + "m").withField("fail_bits", F.expr(bits)))
-    return out.drop(*(_P + name for name, _ in steps[:-1]))
+    # a filter on the measurements stays above a generator; pushed below, it would repeat all of these expressions
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(_P + "m")).alias(_P + "m"))
 
 
 def _qualified(condition: str) -> str:
