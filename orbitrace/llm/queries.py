@@ -11,8 +11,10 @@ from orbitrace.llm.ngram_join import similarity_classes
 from orbitrace.llm.packing import pack_documents
 from orbitrace.llm.pii import find_personal_data
 from orbitrace.llm.quality_rules import apply_policy, ledger
+from orbitrace.llm.sentencepiece_codec import encode_documents
 from orbitrace.llm.sharding import shard_documents
 from orbitrace.llm.token_counts import count_tokens
+from orbitrace.llm.warc import derivatives, responses
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +37,16 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces by Viterbi, and decoded again."""
+    return encode_documents(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity class and link count of every document: five-word shingles, Jaccard of 0.8 or more."""
     return similarity_classes(_documents(spark, sf_dir), threshold=0.8, width=5)
@@ -65,6 +77,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_fingerprints, op3_pii, op4_quality_rules, op5_sharding, op8_ngram_jaccard_join, op9_language_id, op10_token_counts)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_fingerprints, op3_pii, op4_quality_rules, op5_sharding, op6_warc_derivatives, op7_sentencepiece,
+        op8_ngram_jaccard_join, op9_language_id, op10_token_counts,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4, "op6_warc_derivatives": oracles.OP6}
