@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 1 << 16
-#: Rows that one ranking group may hold on average before its cell is salted further.
+#: Rows that one ranking group may hold on average at most.
 SALT_ROWS = 50_000
 
 
@@ -62,22 +62,23 @@ def shard_documents(docs: DataFrame, shards: int = 24, cells: int = CELLS) -> Da
     # at most `cells` rows
     book = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).orderBy("cell").limit(cells).collect()
     _, ends = minimax_cuts([r["size"] for r in book], shards)
-    salts = max([1, *(-(-r["n"] // SALT_ROWS) for r in book)])
+    # a ranking group holds at most half of an even task's rows; only the cells above that are salted
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = max(1, min(SALT_ROWS, sum(r["n"] for r in book) // (2 * parts)))
     plan, lo = [], 0
     for shard, hi in enumerate(ends):
         base = 0
         for r in book[lo:hi]:
-            plan.append((r["cell"], shard, base))
+            plan.append((r["cell"], shard, base, -(-r["n"] // most)))
             base += r["n"]
         lo = hi
-    plan_df = spark.createDataFrame(plan, "cell int, shard int, cell_base long")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.lit(salts)).cast("int"))
+    # at most `cells` rows
+    plan_df = F.broadcast(spark.createDataFrame(plan, "cell int, shard int, cell_base long, salts int"))
+    salted = rows.join(plan_df, "cell").withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(7)), F.col("salts")).cast("int"))
     in_cell = Window.partitionBy("cell").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         salted.groupBy("cell", "salt").agg(F.count("*").alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
-        .join(F.broadcast(plan_df), "cell")
-        .select("cell", "salt", "shard", (F.col("cell_base") + F.col("before")).alias("start"))
+        .select("cell", "salt", F.coalesce(F.sum("n").over(in_cell), F.lit(0)).alias("before"))
     )
     rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size"))
     return (
@@ -85,6 +86,6 @@ def shard_documents(docs: DataFrame, shards: int = 24, cells: int = CELLS) -> Da
         .join(starts, ["cell", "salt"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("start") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+            (F.col("cell_base") + F.col("before") + F.col("rank") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         )
     )
