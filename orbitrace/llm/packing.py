@@ -22,7 +22,7 @@ from orbitrace.llm.pretokens import Spans, split_special
 from orbitrace.session import materialize
 
 MAX_MEMO = 250_000
-#: Pieces that one ranking group may hold on average before a length is salted further.
+#: Pieces that one ranking group may hold on average at most.
 SALT_ROWS = 50_000
 
 
@@ -181,7 +181,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     # at most `capacity` rows
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    salts = max([1, *(-(-n // SALT_ROWS) for n in histogram.values())])
+    # a ranking group holds at most half of an even task's rows
+    parts, common = int(spark.conf.get("spark.sql.shuffle.partitions")), max(histogram.values(), default=0)
+    most = max(1, min(SALT_ROWS, sum(histogram.values()) // (2 * parts)))
+    salts = max(1, -(-common // most))
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
