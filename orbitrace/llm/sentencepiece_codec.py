@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -20,7 +21,9 @@ from orbitrace.llm.batches import bound_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_MEMO = 300_000
+MAX_MEMO = 500_000
+#: Units up to this many bytes are segmented side by side.
+LOCKSTEP_BYTES = 64
 
 
 class DoubleArrayTrie:
@@ -61,6 +64,7 @@ class DoubleArrayTrie:
                 self.check[child] = state
                 queue.append((child, node[b]))
         self._grow(len(self.base) + 257)  # so that no step runs past the end
+        self.tables = tuple(np.array(x, dtype=np.int32) for x in (self.base, self.check, self.value))
 
     def _grow(self, n: int) -> None:
         more = n - len(self.base)
@@ -106,7 +110,11 @@ class UnigramCodec:
         whole = any(MARK in self.pieces[i].lstrip(MARK) for i in shown)
         self.unit = re.compile("(?s).+" if whole else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.prefixed = self.model.normalize("a").startswith(MARK)
-        self.memo: dict[str, tuple[bytes, int, float]] = {}
+        self.score_table = np.array(self.scores, dtype=np.float64)
+        # pieces that decode on their own: shown ones, and bytes that are ASCII
+        self.alone = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p for i, p in enumerate(self.pieces)]
+        self.plain = np.array([i in self.byte_of and self.byte_of[i] < 128 or i not in hidden for i in ids])
+        self.memo: dict[str, tuple[bytes, float]] = {}
 
     def best_path(self, unit: str) -> tuple[list[int], float]:
         """Ids of the best segmentation and its score; of equal paths, the one whose last piece is the longest wins."""
@@ -152,27 +160,95 @@ class UnigramCodec:
             end = start
         return out[::-1], best[n]
 
+    def best_paths(self, units: list[str]) -> None:
+        """``best_path`` of many short units side by side, into the memo; every step handles one byte of all of them."""
+        data = [u.encode("utf-8", "replace") for u in units]
+        size = np.array([len(d) for d in data])
+        n, width = len(data), int(size.max())
+        grid = np.zeros((n, width + 1), dtype=np.int32)
+        grid[np.arange(width + 1) < size[:, None]] = np.frombuffer(b"".join(data), dtype=np.uint8)
+        grid = np.ascontiguousarray(grid.T)  # by place, then unit
+        base, check, value = self.trie.tables
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0.0
+        start_of, piece_of = np.zeros((width + 1, n), dtype=np.int16), np.full((width + 1, n), -1, dtype=np.int32)
+        step_of = np.ones(256, dtype=np.int32)
+        step_of[0xC0:0xE0], step_of[0xE0:0xF0], step_of[0xF0:] = 2, 3, 4
+        for at in range(width):
+            rows = np.flatnonzero((size > at) & ((grid[at] & 0xC0) != 0x80))
+            if not len(rows):
+                continue
+            here, step = best[at][rows], step_of[grid[at][rows]]
+            single = np.zeros(len(rows), dtype=bool)
+            live, state = np.arange(len(rows)), np.zeros(len(rows), dtype=np.int32)
+            for end in range(at + 1, width + 1):
+                r = rows[live]
+                to = base[state] + grid[end - 1][r] + 1
+                ok = np.flatnonzero((check[to] == state) & (size[r] >= end))
+                live, state = live[ok], to[ok]
+                if not len(live):
+                    break
+                found = value[state]
+                has = np.flatnonzero(found >= 0)
+                if len(has):
+                    k, v = live[has], found[has]
+                    score, r = here[k] + self.score_table[v], rows[k]
+                    better = np.flatnonzero(score > best[end][r])
+                    r = r[better]
+                    best[end][r], start_of[end][r], piece_of[end][r] = score[better], at, v[better]
+                    single[k[end == at + step[k]]] = True
+            k = np.flatnonzero(~single)
+            if len(k):
+                r, end, score = rows[k], at + step[k], here[k] + self.floor
+                better = np.flatnonzero(score > best[end, r])
+                r, end = r[better], end[better]
+                best[end, r], start_of[end, r], piece_of[end, r] = score[better], at, -1
+        starts, pieces, scores = start_of.T.tolist(), piece_of.T.tolist(), best[size, np.arange(n)].tolist()
+        for unit, raw, start, piece, score in zip(units, data, starts, pieces, scores, strict=True):
+            path, end = [], len(raw)
+            while end:
+                v = piece[end]
+                if v >= 0:
+                    path.append(v)
+                elif self.bytes:
+                    path.extend(self.bytes[b] for b in reversed(raw[start[end] : end]))
+                else:
+                    path.append(self.unknown)
+                end = start[end]
+            path.reverse()
+            self.memo[unit] = array("I", path).tobytes(), score
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+        """Ids and score of each text, normalised as the model says; units that are new are segmented together first."""
+        if len(self.memo) > MAX_MEMO:
+            self.memo.clear()
+        split = [self.unit.findall(self.model.normalize(t)) for t in texts]
+        new = sorted(set().union(*split).difference(self.memo), key=len)
+        short = [u for u in new if 4 * len(u) <= LOCKSTEP_BYTES or len(u.encode("utf-8", "replace")) <= LOCKSTEP_BYTES]
+        for lo in range(0, len(short), 4096):
+            self.best_paths(short[lo : lo + 4096])
+        long = [u for u in new if u not in self.memo]
+        for u in long:
+            ids, score = self.best_path(u)
+            self.memo[u] = array("I", ids).tobytes(), score
+        out = []
+        for units in split:
+            found = [self.memo[u] for u in units]
+            out.append((np.frombuffer(b"".join([f[0] for f in found]), dtype="<u4"), float(sum([f[1] for f in found]))))
+        for u in long:  # long units are not kept
+            del self.memo[u]
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, float]:
-        """Ids and score of a text, normalised as the model says."""
-        memo = self.memo
-        chunks, total = [], 0.0
-        for unit in self.unit.findall(self.model.normalize(text)):
-            found = memo.get(unit)
-            if found is None:
-                if len(memo) >= MAX_MEMO:
-                    memo.clear()
-                ids, score = self.best_path(unit)
-                found = np.array(ids, dtype="<u4").tobytes(), score
-                if len(unit) <= 64:
-                    memo[unit] = found
-            chunks.append(found[0])
-            total += found[1]
-        return np.frombuffer(b"".join(chunks), dtype="<u4"), total
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> str:
         """Text of ids; control pieces vanish, malformed byte runs become replacement characters."""
+        ids = np.asarray(ids, dtype=np.int64)
+        if self.plain[ids].all():
+            return self._unmark("".join(map(self.alone.__getitem__, ids.tolist())))
         out, run = [], bytearray()
-        for i in ids:
+        for i in ids.tolist():
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
@@ -184,7 +260,10 @@ class UnigramCodec:
             elif i not in self.hidden:
                 out.append(self.pieces[i])
         out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        return self._unmark("".join(out))
+
+    def _unmark(self, text: str) -> str:
+        text = text.replace(MARK, " ")
         return text[1:] if self.prefixed and text.startswith(" ") else text
 
 
@@ -204,10 +283,10 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
         byte_ids[list(codec.byte_of)] = True
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for text in pc.fill_null(batch.column("text"), "").to_pylist():
-                ids, score = codec.encode(text)
-                listed = ids.tolist()
-                row = (len(text), len(ids), int(byte_ids[ids].sum()), zlib.crc32(ids.tobytes()), score, codec.decode(listed) == text, listed)
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            for text, (ids, score) in zip(texts, codec.encode_batch(texts), strict=True):
+                listed = ids.tolist() if with_ids else None
+                row = (len(text), len(ids), int(byte_ids[ids].sum()), zlib.crc32(ids.tobytes()), score, codec.decode(ids) == text, listed)
                 for o, x in zip(out, row, strict=False):
                     o.append(x)
             kinds = [pa.int64()] * 4 + [pa.float64(), pa.bool_(), pa.list_(pa.int64())]
