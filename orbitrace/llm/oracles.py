@@ -34,8 +34,8 @@ n AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '
 t AS (SELECT *,
   trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) AS title,
   regexp_extract_all(payload, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS links,
-  regexp_replace(regexp_replace(regexp_replace(payload,
-    '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
+    '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '[\t\n\f\r \x0B]+', ' ', 'g'),
     '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:\s[^>]*)?/?>', chr(10), 'g'),
     '<[^>]*>', '', 'g') AS bare
   FROM n),

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 CRLF = "\r\n"
 #: Elements that end a line of text.
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: (pattern, replacement) in order: hidden elements, comments, blocks, other tags.
+#: (pattern, replacement) in order: hidden elements and comments, the source's own white space, blocks, other tags.
 TEXT_STEPS = (
     (r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->", " "),
+    (r"[\t\n\f\r \x0B]+", " "),
     (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?/?>", "\n"),
     (r"<[^>]*>", ""),
 )
