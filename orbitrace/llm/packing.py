@@ -9,6 +9,7 @@ capacity and not by the data; the pieces themselves are ranked and placed by Spa
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -19,9 +20,10 @@ from pyspark.sql import functions as F
 
 from orbitrace.llm.batches import bound_batches
 from orbitrace.llm.pretokens import Spans, split_special
+from orbitrace.llm.token_counts import byte_alphabet
 from orbitrace.session import materialize
 
-MAX_MEMO = 250_000
+MAX_MEMO = 200_000
 #: Pieces that one ranking group may hold on average at most.
 SALT_ROWS = 50_000
 
@@ -102,7 +104,11 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 class Encoder:
-    """Token ids of batches of texts by the tokenizers library, with a bounded memo of pre-tokens."""
+    """Token ids of batches of texts by the tokenizers library.
+
+    For a byte-level BPE file the library's model gets each distinct pre-token once; the memo has two generations, the
+    older of which is dropped when the newer one is full. Other files get whole texts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -110,20 +116,37 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.names = list(self.special)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_pretoken = (spec["model"].get("type"), (spec.get("pre_tokenizer") or {}).get("type"), spec.get("normalizer")) == ("BPE", "ByteLevel", None)
+        shown = {b: c for c, b in byte_alphabet().items()}
+        self.letters = {b: shown[b] for b in range(256)}
         self.memo: dict[int, np.ndarray] = {}
+        self.older: dict[int, np.ndarray] = {}
+
+    def _remember(self, spans: Spans, keys: list[int], sample: list[int]) -> dict[int, np.ndarray]:
+        """The memo, which then has all of ``keys``."""
+        if len(self.memo) > MAX_MEMO:
+            self.memo, self.older = {}, self.memo
+        memo, older, tokenize = self.memo, self.older, self.library.model.tokenize
+        for key, at in zip(keys, sample, strict=True):
+            if key not in memo:
+                ids = older.get(key)
+                if ids is None:
+                    word = spans.text(at).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+                    ids = np.array([t.id for t in tokenize(word)], dtype=np.uint32)
+                memo[key] = ids
+        return memo
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as the library gives them without added tokens; a special string in a text is its own id."""
+        if not self.by_pretoken:
+            return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
         parts, rows, follows = split_special(texts, self.names)
         spans = Spans(parts)
         keys, sample, place = spans.distinct()
-        if len(self.memo) > MAX_MEMO:
-            self.memo.clear()
-        memo, keys = self.memo, keys.tolist()
-        new = [i for i, key in enumerate(keys) if key not in memo]
-        words = [spans.text(i) for i in sample[new].tolist()]
-        for i, e in zip(new, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            memo[keys[i]] = np.array(e.ids, dtype=np.uint32)
+        keys = keys.tolist()
+        memo = self._remember(spans, keys, sample.tolist())
         each = [memo[key] for key in keys]
         sizes = np.array([len(x) for x in each], dtype=np.int64)
         flat = np.concatenate(each) if each else np.zeros(0, np.uint32)

@@ -13,6 +13,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 
 from orbitrace.llm.text_hash import word_hashes
 
@@ -169,7 +170,10 @@ class Spans:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, the place of one pre-token of each, and each pre-token's place among the keys."""
-        return np.unique(self.key, return_index=True, return_inverse=True)
+        place, keys = pd.factorize(self.key)
+        sample = np.empty(len(keys), dtype=np.int64)
+        sample[place[::-1]] = np.arange(len(place))[::-1]
+        return keys, sample, place
 
     def text(self, i: int) -> str:
         return self.joined[self.start[i] : self.end[i]]
