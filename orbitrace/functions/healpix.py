@@ -45,8 +45,9 @@ def with_pixel(df: DataFrame, nside: int, theta: str = "theta", phi: str = "phi"
     ip = F.pmod(F.floor((col("up") + col("down") - n + odd + 1) / 2).cast("bigint"), F.lit(4 * n))
     out = out.withColumns({t + "belt": (col("ring") - 1) * (4 * n) + ip + 2 * n * (n - 1), t + "j": F.pmod(whole(col("tt") * col("i")), 4 * col("i"))})
     cap = F.when(col("z") > 0, 2 * col("i") * (col("i") - 1) + col("j")).otherwise(F.lit(npix(n)) - 2 * col("i") * (col("i") + 1) + col("j"))
-    out = out.withColumn(name, F.when(F.abs(t + "z") <= 2 / 3, col("belt")).otherwise(cap))
-    return out.drop(*(t + k for k in ("z", "tt", "up", "down", "part", "width", "ring", "i", "belt", "j")))
+    value = F.when(F.abs(t + "z") <= 2 / 3, col("belt")).otherwise(cap)
+    # a filter on the pixel (any join makes one) stays above a generator; pushed below, it would repeat every step
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
 def pixel_centers(nside: int) -> tuple[np.ndarray, np.ndarray]:

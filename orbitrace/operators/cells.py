@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.operators.neighbors import nearest, radius_pairs
-from orbitrace.operators.tracks import ALONG, AXES
+from orbitrace.operators.tracks import AXES, in_track
 
 
 def neighbor_table(tracks: DataFrame, radius: float, values=()) -> DataFrame:
@@ -72,7 +72,7 @@ def degree_within(units: DataFrame, sphere: DataFrame, rho: float, k: int | None
 
 def velocity_alignment(tracks: DataFrame, radius: float) -> DataFrame:
     """Mean cosine between a cell's velocity and those of the other cells within ``radius``; standing cells are left out."""
-    moved = tracks.withColumns({f"v{a}": F.col(a) - F.lag(a).over(ALONG) for a in AXES})
+    moved = tracks.withColumns({f"v{a}": F.col(a) - F.lag(a).over(in_track()) for a in AXES})
     moved = moved.withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)).where("speed > 0")
     pairs = neighbor_table(moved, radius, ("vx", "vy", "vz", "speed")).where("track_id <> n_track_id")
     cos = sum((F.col(f"v{a}") * F.col(f"n_v{a}") for a in AXES), F.lit(0.0)) / (F.col("speed") * F.col("n_speed"))
@@ -86,7 +86,7 @@ def windowed_correlation(tracks: DataFrame, radius: float, half: int, vector: bo
 
     Fewer than ``least`` common values, or a series without variance, gives no correlation with that neighbour.
     """
-    moved = tracks.withColumns({f"v{a}": F.col(a) - F.lag(a).over(ALONG) for a in AXES})
+    moved = tracks.withColumns({f"v{a}": F.col(a) - F.lag(a).over(in_track()) for a in AXES})
     moved = moved.withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2))
     series = F.array("vx", "vy", "vz") if vector else F.array("speed")
     near_time = Window.partitionBy("track_id").orderBy("t").rangeBetween(-half, half)

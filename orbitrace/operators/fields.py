@@ -87,8 +87,10 @@ def tangent_coordinates(weighted: DataFrame, radius: float) -> DataFrame:
     names = [f"__{k}{a}" for k in "ef" for a in "xyz"]
     based = weighted.withColumns(dict(zip(names, (*e, *f), strict=True)) | {f"__p{a}": F.col(f"m{a}") - radius * F.col(f"n{a}") for a in "xyz"})
     dot = lambda p, q: F.col(f"{p}x") * F.col(f"__{q}x") + F.col(f"{p}y") * F.col(f"__{q}y") + F.col(f"{p}z") * F.col(f"__{q}z")
-    out = based.withColumns({"u": dot("__p", "e"), "v": dot("__p", "f"), "vu": dot("v", "e"), "vv": dot("v", "f")})
-    return out.drop(*names, *(f"__p{a}" for a in "xyz"))
+    made = F.struct(dot("__p", "e").alias("u"), dot("__p", "f").alias("v"), dot("v", "e").alias("vu"), dot("v", "f").alias("vv"))
+    # a filter on the coordinates stays above a generator; pushed below, it would repeat the whole basis
+    out = based.select(*weighted.columns, F.explode(F.array(made)).alias("__m"))
+    return out.select(*weighted.columns, "__m.u", "__m.v", "__m.vu", "__m.vv")
 
 
 def _solve3(s: dict[str, Column], a: Column, b: Column, c: Column, det: Column) -> tuple[Column, Column, Column]:

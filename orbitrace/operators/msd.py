@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.operators.neighbors import lag_pairs
-from orbitrace.operators.tracks import ALONG, AXES
+from orbitrace.operators.tracks import AXES, in_track
 
 
 def _squared(prefix: str = "n_"):
@@ -31,7 +31,7 @@ def msd_exponent(msd: DataFrame, group=("track_id",), least_pairs: int = 3, leas
 
 
 def _indexed(tracks: DataFrame, columns=AXES) -> DataFrame:
-    return tracks.select("track_id", (F.row_number().over(ALONG) - 1).alias("i"), "t", *columns)
+    return tracks.select("track_id", (F.row_number().over(in_track()) - 1).alias("i"), "t", *columns)
 
 
 def _windows(rows: DataFrame, width: int, step: int, last_too: bool) -> DataFrame:
@@ -98,7 +98,7 @@ def alpha_at_rows(tracks: DataFrame, exponents: DataFrame, width: int = 20) -> D
 def lead_lag(tracks: DataFrame, a: str, b: str, lags: int = 3, least: int = 10) -> DataFrame:
     """Correlation of centred ``a`` with ``b`` shifted by -lags..lags rows per track, over the whole track's deviations."""
     whole = Window.partitionBy("track_id")
-    rows = tracks.select("track_id", (F.row_number().over(ALONG) - 1).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = tracks.select("track_id", (F.row_number().over(in_track()) - 1).alias("i"), F.col(a).alias("a"), F.col(b).alias("b"))
     rows = rows.withColumns({
         "n": F.count("*").over(whole), "ca": F.col("a") - F.avg("a").over(whole), "cb": F.col("b") - F.avg("b").over(whole),
         "sa": F.stddev_pop("a").over(whole), "sb": F.stddev_pop("b").over(whole),

@@ -33,8 +33,9 @@ def with_eigenvalues(df: DataFrame, names=("eig_a", "eig_b", "eig_c")) -> DataFr
     out = out.withColumns({"__g_hi": c("q") + 2 * c("p") * F.cos("__g_phi"), "__g_lo": c("q") + 2 * c("p") * F.cos(c("phi") + 2 * math.pi / 3)})
     flat = c("p") <= 1e-12
     values = (c("hi"), 3 * c("q") - c("hi") - c("lo"), c("lo"))
-    out = out.withColumns({n: F.when(flat, c("q")).otherwise(v) for n, v in zip(names, values, strict=True)})
-    return out.drop(*("__g_" + k for k in ("q", "p", "x", "y", "z", "xy", "xz", "yz", "phi", "hi", "lo")))
+    made = F.struct(*(F.when(flat, c("q")).otherwise(v).alias(n) for n, v in zip(names, values, strict=True)))
+    # a filter on the values stays above a generator; pushed below, it would repeat every step
+    return out.select(*df.columns, F.explode(F.array(made)).alias("__g")).select(*df.columns, *(f"__g.{n}" for n in names))
 
 
 def region_features(voxels: DataFrame) -> DataFrame:

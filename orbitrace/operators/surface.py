@@ -155,12 +155,14 @@ def grid_stats(points: DataFrame, value: str, n_theta: int = 19, n_phi: int = 36
 def smooth_grid(grid: DataFrame, sigma: float, n_theta: int = 19, n_phi: int = 36, frame: str = "t") -> DataFrame:
     """Gaussian mean over grid neighbours with weights ``n sin(theta)``; longitude wraps, rows reflect at the poles."""
     reach = max(1, int(3 * sigma + 0.5))
-    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(math.exp(-0.5 * (a * a + b * b) / sigma**2)).alias("k")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)))
-    rows = grid.withColumn("o", F.explode(offsets)).withColumns({"i2": F.col("i") + F.col("o.a"), "j2": F.col("j") + F.col("o.b")})
+    kernel = F.broadcast(grid.sparkSession.createDataFrame(
+        [(a, b, math.exp(-0.5 * (a * a + b * b) / sigma**2)) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)], "o_i int, o_j int, o_k double"
+    ))  # its size depends on sigma alone
+    rows = grid.join(kernel).withColumns({"i2": F.col("i") + F.col("o_i"), "j2": F.col("j") + F.col("o_j")})
     over = (F.col("i2") < 0) | (F.col("i2") > n_theta - 1)
     i2 = F.when(F.col("i2") < 0, -F.col("i2")).when(F.col("i2") > n_theta - 1, 2 * (n_theta - 1) - F.col("i2")).otherwise(F.col("i2"))
     j2 = F.pmod(F.col("j2") + F.when(over, n_phi // 2).otherwise(0), F.lit(n_phi))
-    w = F.col("o.k") * F.col("n") * F.greatest(F.sin(F.col("i") * math.pi / (n_theta - 1)), F.lit(1e-3))
+    w = F.col("o_k") * F.col("n") * F.greatest(F.sin(F.col("i") * math.pi / (n_theta - 1)), F.lit(1e-3))
     rows = rows.select(frame, i2.alias("i"), j2.alias("j"), w.alias("w"), (w * F.col("mean")).alias("wv"))
     return rows.groupBy(frame, "i", "j").agg((F.sum("wv") / F.sum("w")).alias("smooth"))
 

@@ -11,25 +11,29 @@ from pyspark.sql import functions as F
 AXES = ("x", "y", "z")
 #: Start frames per track that tracklet ids leave room for.
 TRACKLETS_PER_TRACK = 1 << 24
-ALONG = Window.partitionBy("track_id").orderBy("t")
+
+
+def in_track():
+    """Window over the rows of a track in order; made when it is used, as a window needs a session."""
+    return Window.partitionBy("track_id").orderBy("t")
 
 
 def step_lengths(tracks: DataFrame) -> DataFrame:
     """``dx, dy, dz, step`` from the row before; null on a track's first row."""
-    out = tracks.withColumns({f"d{a}": F.col(a) - F.lag(a).over(ALONG) for a in AXES})
+    out = tracks.withColumns({f"d{a}": F.col(a) - F.lag(a).over(in_track()) for a in AXES})
     return out.withColumn("step", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
 
 
-def centered_rows(width: int, along=ALONG):
+def centered_rows(width: int, along=None):
     """A window of ``width`` rows about the current one; an even width has the longer half before it."""
-    return along.rowsBetween(-(width // 2), (width - 1) // 2)
+    return (along or in_track()).rowsBetween(-(width // 2), (width - 1) // 2)
 
 
 def preprocess_tracks(tracks: DataFrame, window: int = 5, move_thresh: float = 1.0, min_length: int = 0, stationary_share: float = 0.7) -> DataFrame:
     """Steps, trailing mean step, ``is_stationary`` per row (false where there is no step yet), ``track_length`` and
     ``mostly_stationary`` per track; tracks shorter than ``min_length`` go."""
     whole = Window.partitionBy("track_id")
-    out = step_lengths(tracks).withColumn("mean_step", F.avg("step").over(ALONG.rowsBetween(-(window - 1), 0)))
+    out = step_lengths(tracks).withColumn("mean_step", F.avg("step").over(in_track().rowsBetween(-(window - 1), 0)))
     out = out.withColumn("is_stationary", F.coalesce(F.col("mean_step") < move_thresh, F.lit(False)))
     out = out.withColumns({"track_length": F.count("*").over(whole), "mostly_stationary": F.avg(F.col("is_stationary").cast("int")).over(whole) > stationary_share})
     return out.where(F.col("track_length") >= min_length)
@@ -66,14 +70,14 @@ def savgol(tracks: DataFrame, window: int = 5, order: int = 2, columns=AXES, suf
     order, stay as they are. The weights by (window, place) are a constant table in the plan.
     """
     whole = Window.partitionBy("track_id")
-    out = tracks.withColumns({"__n": F.count("*").over(whole), "__i": F.row_number().over(ALONG) - 1})
+    out = tracks.withColumns({"__n": F.count("*").over(whole), "__i": F.row_number().over(in_track()) - 1})
     size = F.least(F.lit(window), F.col("__n"))
     out = out.withColumn("__w", size - F.when(size % 2 == 0, 1).otherwise(0))
     half = F.floor(F.col("__w") / 2).cast("int")
     # first row of the window that serves this row, and the row's place in it
     first = F.greatest(F.lit(0), F.least(F.col("__i") - half, F.col("__n") - F.col("__w"))).cast("int")
     out = out.withColumn("__shift", first - F.col("__i")).withColumn("__p", -F.col("__shift"))
-    reach = ALONG.rowsBetween(-(window - 1), window - 1)
+    reach = in_track().rowsBetween(-(window - 1), window - 1)
     before = F.least(F.col("__i"), F.lit(window - 1))
     exprs = {}
     for c in columns:
@@ -119,10 +123,10 @@ def path_and_net_speed(tracks: DataFrame, size: int, dt: float = 1.0) -> DataFra
     """Path speed over the ``size - 1`` steps of a centred window, net speed between its ends, and their ratio ``vi``."""
     half = size // 2
     out = step_lengths(tracks)
-    inside = ALONG.rowsBetween(-half + 1, half)
+    inside = in_track().rowsBetween(-half + 1, half)
     whole = F.count("step").over(inside) == 2 * half
     path = F.when(whole, F.sum("step").over(inside) / (2 * half * dt))
-    net = F.sqrt(sum(((F.lead(a, half).over(ALONG) - F.lag(a, half).over(ALONG)) ** 2 for a in AXES), F.lit(0.0))) / (2 * half * dt)
+    net = F.sqrt(sum(((F.lead(a, half).over(in_track()) - F.lag(a, half).over(in_track())) ** 2 for a in AXES), F.lit(0.0))) / (2 * half * dt)
     return out.withColumns({"path_speed": path, "net_speed": net}).withColumn("vi", F.col("net_speed") / F.col("path_speed"))
 
 
@@ -138,13 +142,13 @@ def tracklets(tracks: DataFrame, width: int, stride: int) -> DataFrame:
 
 
 def from_origin(tracks: DataFrame, columns=AXES) -> DataFrame:
-    return tracks.withColumns({f"{c}_rel": F.col(c) - F.first(c).over(ALONG) for c in columns})
+    return tracks.withColumns({f"{c}_rel": F.col(c) - F.first(c).over(in_track()) for c in columns})
 
 
 def head_tail(tracks: DataFrame, n: int) -> DataFrame:
     """First and last ``n`` rows of each track, flagged ``is_head`` and ``is_tail``."""
     out = tracks.withColumns({
-        "is_head": F.row_number().over(ALONG) <= n,
+        "is_head": F.row_number().over(in_track()) <= n,
         "is_tail": F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("t"))) <= n,
     })
     return out.where("is_head OR is_tail")
@@ -152,9 +156,9 @@ def head_tail(tracks: DataFrame, n: int) -> DataFrame:
 
 def unit_step_velocity(tracks: DataFrame) -> DataFrame:
     """Differences as velocities, the first row back-filled from the second; ``speed`` is their norm."""
-    first = {f"v{a}": F.col(a) - F.lag(a).over(ALONG) for a in AXES}
+    first = {f"v{a}": F.col(a) - F.lag(a).over(in_track()) for a in AXES}
     out = tracks.withColumns(first)
-    out = out.withColumns({f"v{a}": F.coalesce(F.col(f"v{a}"), F.lead(f"v{a}").over(ALONG)) for a in AXES})
+    out = out.withColumns({f"v{a}": F.coalesce(F.col(f"v{a}"), F.lead(f"v{a}").over(in_track())) for a in AXES})
     return out.withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2))
 
 
@@ -191,7 +195,7 @@ def gaussian_smooth(tracks: DataFrame, column: str, sigma: float, truncate: floa
     first, last = F.first(column).over(whole), F.last(column).over(whole)
     total = F.lit(0.0)
     for k, w in zip(range(-reach, reach + 1), weights, strict=True):
-        near = F.col(column) if k == 0 else F.lag(column, -k).over(ALONG) if k < 0 else F.lead(column, k).over(ALONG)
+        near = F.col(column) if k == 0 else F.lag(column, -k).over(in_track()) if k < 0 else F.lead(column, k).over(in_track())
         total = total + F.coalesce(near, first if k < 0 else last) * w
     return tracks.withColumn(f"{column}_smooth", total)
 
@@ -207,8 +211,8 @@ def break_at_jumps(tracks: DataFrame, thresh: float, axes=("x", "y")) -> DataFra
     """``piece``: raised where a coordinate moves by more than ``thresh`` between rows."""
     flag = F.lit(False)
     for a in axes:
-        flag = flag | F.coalesce(F.abs(F.col(a) - F.lag(a).over(ALONG)) > thresh, F.lit(False))
-    return tracks.withColumn("__j", flag.cast("int")).withColumn("piece", F.sum("__j").over(ALONG.rowsBetween(Window.unboundedPreceding, 0))).drop("__j")
+        flag = flag | F.coalesce(F.abs(F.col(a) - F.lag(a).over(in_track())) > thresh, F.lit(False))
+    return tracks.withColumn("__j", flag.cast("int")).withColumn("piece", F.sum("__j").over(in_track().rowsBetween(Window.unboundedPreceding, 0))).drop("__j")
 
 
 def repair_timestamps(rows: DataFrame, key: str, order: str, time: str) -> DataFrame:
@@ -230,7 +234,7 @@ def coherence(tracks: DataFrame, width: int) -> DataFrame:
     """Contour length, net displacement and their ratio over ``width`` rows (odd); tracks that are shorter go."""
     half = width // 2
     out = step_lengths(tracks).withColumn("__n", F.count("*").over(Window.partitionBy("track_id"))).where(F.col("__n") >= width)
-    inside = ALONG.rowsBetween(-half + 1, half)
+    inside = in_track().rowsBetween(-half + 1, half)
     contour = F.when(F.count("step").over(inside) == 2 * half, F.sum("step").over(inside))
-    net = F.sqrt(sum(((F.lead(a, half).over(ALONG) - F.lag(a, half).over(ALONG)) ** 2 for a in AXES), F.lit(0.0)))
+    net = F.sqrt(sum(((F.lead(a, half).over(in_track()) - F.lag(a, half).over(in_track())) ** 2 for a in AXES), F.lit(0.0)))
     return out.withColumns({"contour": contour, "net": net}).withColumn("coherence", F.col("net") / F.col("contour")).drop("__n")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitrace.functions import geometry as G
 from orbitrace.functions import healpix as H
 from orbitrace.operators.lineage import approach_speed
-from orbitrace.operators.tracks import ALONG
+from orbitrace.operators.tracks import in_track
 from orbitrace.plans.registry import query, rounded
 from orbitrace.sources.testviews import WITH_SPHERE, WITH_TRACKS, sphere, tracks
 
@@ -141,7 +141,7 @@ d AS (SELECT *, least(greatest(ux * lx + uy * ly + uz * lz, -1.0e0), 1.0e0) AS d
 SELECT track_id, t, round(acos(d), 4) + 0.0e0 AS angle, {R('2 * d * ux - lx')} AS gx, {R('2 * d * uy - ly')} AS gy, {R('2 * d * uz - lz')} AS gz FROM d""")
 def b15_geodesic_step(spark, sf):
     u = G.project_to_sphere(tracks(spark, sf), sphere(spark, sf))
-    u = u.withColumns({f"l{a}": F.lag(f"u{a}").over(ALONG) for a in "xyz"}).where("lx IS NOT NULL")
+    u = u.withColumns({f"l{a}": F.lag(f"u{a}").over(in_track()) for a in "xyz"}).where("lx IS NOT NULL")
     prev, curr = tuple(F.col(f"l{a}") for a in "xyz"), tuple(F.col(f"u{a}") for a in "xyz")
     g = G.geodesic_step(prev, curr)
     return rounded(u.select("track_id", "t", F.round(G.angle_between(prev, curr), 4).alias("angle"), *(c.alias(f"g{a}") for c, a in zip(g, "xyz", strict=True))))

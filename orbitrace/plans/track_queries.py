@@ -55,7 +55,7 @@ SELECT track_id, t, {R('(-3 * a + 12 * b + 17 * x + 12 * c - 3 * d) / 35')} AS x
 def e05_savgol(spark, sf):
     """Rows with a full window about them; the edges are covered by tests."""
     out = T.savgol(tracks(spark, sf), 5, 2, ("x",))
-    wide = F.lag("x", 2).over(T.ALONG).isNotNull() & F.lead("x", 2).over(T.ALONG).isNotNull()
+    wide = F.lag("x", 2).over(T.in_track()).isNotNull() & F.lead("x", 2).over(T.in_track()).isNotNull()
     return rounded(out.withColumn("k", wide).where("k").select("track_id", "t", "x_s"))
 
 
