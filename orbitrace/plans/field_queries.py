@@ -62,7 +62,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY t, track_id ORDER BY d) AS r FRO
 s AS (SELECT t, count(*) AS c FROM tracks GROUP BY t)
 SELECT k.track_id, k.t, {R('CASE WHEN s.c >= 5 THEN q.n / (pi() * q.rk * q.rk) * 1000 END')} AS knn_density FROM tracks AS k JOIN s ON s.t = k.t LEFT JOIN q ON q.t = k.t AND q.track_id = k.track_id""")
 def d19_knn_density(spark, sf):
-    d = C.knn_density(tracks(spark, sf), 4, 250.0)
+    d = C.knn_density(tracks(spark, sf), 4, 80.0)
     return rounded(d.select("track_id", "t", (F.col("knn_density") * 1000).alias("knn_density")))
 
 
@@ -71,7 +71,7 @@ def d19_knn_density(spark, sf):
 SELECT track_id, t, {R('CASE WHEN max(g) > 0 THEN count(*) / (2 * pi() * 250000.0e0 * (1 - cos(max(g)))) * 1000 END')} AS sphere_density, {R('avg(f)')} AS fluo_mean_nn, {R('sum(f)')} AS fluo_sum_nn
 FROM r WHERE r <= 4 GROUP BY ALL""")
 def d20_spherical_density(spark, sf):
-    d = C.spherical_knn_density(_units(spark, sf), 4, 0.5)
+    d = C.spherical_knn_density(_units(spark, sf), 4, 0.16)
     return rounded(d.withColumn("sphere_density", F.col("sphere_density") * 1000))
 
 
@@ -100,7 +100,7 @@ def e22_velocity_correlation(spark, sf):
 r AS (SELECT a.track_id, a.t, b.g, row_number() OVER (PARTITION BY a.t, a.track_id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2), b.track_id) AS r FROM g AS a JOIN g AS b ON a.t = b.t)
 SELECT track_id, t, {R('avg(g)')} AS mean_fluo_knn FROM r WHERE r <= 4 GROUP BY ALL""")
 def e23_knn_smooth(spark, sf):
-    return rounded(C.knn_smooth(tracks(spark, sf), ["mean_fluo"], 4, 250.0).select("track_id", "t", "mean_fluo_knn"))
+    return rounded(C.knn_smooth(tracks(spark, sf), ["mean_fluo"], 4, 80.0).select("track_id", "t", "mean_fluo_knn"))
 
 
 @query(f"""{WITH_SPHERE}, {UNITS} SELECT a.track_id, a.t, b.track_id AS n_track_id FROM u AS a JOIN u AS b ON a.t = b.t AND a.track_id <> b.track_id
@@ -420,11 +420,13 @@ def c24_transfer(spark, sf):
     return rounded(V.transfer_fluorescence(v.where("channel = 1"), v.where("channel <> 1"), values))
 
 
-@query()
+@query(f"""{WITH_VOXELS}, m AS (SELECT DISTINCT t, z, y, x, label FROM voxels), b AS (SELECT DISTINCT t, z, y, x, label AS k FROM voxels WHERE intensity > 70000),
+o AS (SELECT m.label, count(*) AS n FROM m JOIN b USING (t, z, y, x) GROUP BY m.label), s AS (SELECT label, count(*) AS s FROM m GROUP BY label), v AS (SELECT label, avg(intensity) AS f FROM voxels GROUP BY label)
+SELECT label, {R('f')} AS mean_fluo FROM v WHERE label NOT IN (SELECT o.label FROM o JOIN s ON s.label = o.label WHERE o.n / s.s > 0.35e0) ORDER BY f DESC, label LIMIT 20""")
 def c25_brightest_uncovered(spark, sf):
     v = voxels(spark, sf)
     values = v.groupBy("label").agg(F.avg("intensity").alias("mean_fluo"))
-    return rounded(V.brightest_uncovered(v.where("intensity > 95000"), v, values, 20, 0.05))
+    return rounded(V.brightest_uncovered(v.where("intensity > 70000"), v, values, 20, 0.35))
 
 
 @query(f"{WITH_VOXELS} SELECT t, channel, y, x, {R('max(intensity)')} AS intensity FROM voxels GROUP BY ALL")

@@ -18,12 +18,12 @@ from orbitrace.sources.testviews import WITH_TRACKS, table, tracks
   ON a.track_id = b.track_id AND b.t - a.t IN (1, 2, 4)), c AS (SELECT r.t, r.track_id, m.lag, avg(m.dx) AS cx, avg(m.dy) AS cy, avg(m.dz) AS cz FROM r JOIN m ON m.track_id = r.k AND m.t = r.t WHERE r.r <= 5 GROUP BY ALL HAVING count(*) >= 3)
 SELECT m.lag, round(avg(power(m.dx - c.cx, 2) + power(m.dy - c.cy, 2) + power(m.dz - c.cz, 2)), 5) + 0.0e0 AS msd, count(*) AS n FROM m JOIN c ON m.track_id = c.track_id AND m.t = c.t AND m.lag = c.lag GROUP BY m.lag""")
 def d29_cage_relative_msd(spark, sf):
-    return rounded(P.cage_relative_msd(tracks(spark, sf), 5, 250.0), 5)
+    return rounded(P.cage_relative_msd(tracks(spark, sf), 5, 90.0), 5)
 
 
 @query()
 def d29_d2min(spark, sf):
-    return rounded(P.d2min(tracks(spark, sf), 8, 300.0), 3)
+    return rounded(P.d2min(tracks(spark, sf), 8, 100.0), 3)
 
 
 @query()

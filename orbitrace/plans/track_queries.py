@@ -314,7 +314,7 @@ def c06_radius_pairs(spark, sf):
 SELECT track_id, t, n_track_id, rank, {R('d')} AS distance FROM r WHERE rank <= 3""")
 def c08_knn(spark, sf):
     k = tracks(spark, sf).select("track_id", "t", "x", "y", "z")
-    return rounded(N.nearest(k, k, 3, 100.0, "track_id", include_self=False).select("track_id", "t", "n_track_id", "rank", "distance"))
+    return rounded(N.nearest(k, k, 3, 80.0, "track_id", include_self=False).select("track_id", "t", "n_track_id", "rank", "distance"))
 
 
 @query(f"""{WITH_TRACKS}, d AS (SELECT a.track_id, a.t, b.track_id AS k, row_number() OVER (PARTITION BY a.t, a.track_id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2), b.track_id) AS r
