@@ -260,9 +260,9 @@ def i10_smooth_grid(spark, sf):
 
 
 @query(f"""{WITH_SPHERE}, {ANGLES}, p AS (SELECT mean_fluo, 2 * sin(theta / 2) * cos(phi) AS px, 2 * sin(theta / 2) * sin(phi) AS py FROM a)
-SELECT CAST(least(floor((px + sqrt(2)) / (2 * sqrt(2)) * 16), 15) AS INT) AS ix, CAST(least(floor((py + sqrt(2)) / (2 * sqrt(2)) * 16), 15) AS INT) AS iy, {R('avg(mean_fluo)')} AS mean, count(*) AS n FROM p WHERE px * px + py * py <= 2 GROUP BY ALL""")
+SELECT CAST(least(floor((px + sqrt(2)) / (2 * sqrt(2)) * 16), 15) AS INT) AS ix, CAST(least(floor((py + sqrt(2)) / (2 * sqrt(2)) * 16), 15) AS INT) AS iy, round(avg(mean_fluo), 9) + 0.0e0 AS mean, count(*) AS n FROM p WHERE px * px + py * py <= 2 GROUP BY ALL""")
 def d47_map_raster(spark, sf):
-    return rounded(U.map_raster(_angles(spark, sf), "mean_fluo", 16))
+    return rounded(U.map_raster(_angles(spark, sf), "mean_fluo", 16), 9)
 
 
 @query()
