@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -89,6 +90,38 @@ def test_shards(docs, no_docs, monkeypatch):
     assert sh.shard_documents(no_docs).count() == 0
 
 
+def test_a_hot_group_leaves_the_other_shards_even(spark):
+    capacity, ends = sh.minimax_cuts([1000] * 100 + [200_000] + [1000] * 99, 24)
+    loads = [sum(([1000] * 100 + [200_000] + [1000] * 99)[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    assert capacity == 200_000 and len(ends) == 24 and sorted(loads)[-2] == 9000
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefgh ", k=192)) for _ in range(2000)] + ["hot " * 48] * 1000
+    got = sh.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=24).collect()
+    size, hot = Counter(), {r.shard for r in got if r.doc_id >= 2000}
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == 3000 and len(size) == 24 and len(hot) == 1
+    rest = [n for s, n in size.items() if s not in hot]
+    assert max(rest) <= 1.2 * sum(rest) / 23
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_beside_large_groups_are_smallest(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([0, 1, 2, 3, 40, 90]) for _ in range(rng.randint(1, 9))]
+    shards = rng.randint(1, 5)
+    _, ends = sh.minimax_cuts(sizes, shards)
+
+    def shared(cuts):
+        return max((sum(sizes[a:b]) for a, b in zip([0, *cuts], cuts, strict=False) if b - a > 1), default=0)
+
+    every = [[*c, len(sizes)] for k in range(min(shards, len(sizes))) for c in itertools.combinations(range(1, len(sizes)), k)]
+    least = min(max(sum(sizes[a:b]) for a, b in zip([0, *c], c, strict=False)) for c in every)
+    assert ends == sorted(set(ends)) and ends[-1] == len(sizes) and len(ends) == min(shards, len(sizes))
+    assert max(sum(sizes[a:b]) for a, b in zip([0, *ends], ends, strict=False)) == least
+    assert shared(ends) == min(map(shared, every))
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
