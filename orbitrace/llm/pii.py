@@ -105,25 +105,22 @@ SPELLED_DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
 _OPEN, _CLOSE, _GAP = r"[\[({<]", r"[\])}>]", r"[\x20]{0,3}"
-_SIGN = re.compile(
-    rf"(?P<at>{_OPEN}{_GAP}(?:at|@){_GAP}{_CLOSE})|(?P<dot>{_OPEN}{_GAP}(?:dot|\.){_GAP}{_CLOSE})"
-    r"|(?P<plus>\bplus(?=[\x20-]{1,3}(?:[0-9]|zero|one|two|three|four|five|six|seven|eight|nine)\b))",
-    re.I,
+_DIGIT_WORD = "|".join(sorted(SPELLED_DIGITS, key=len, reverse=True))
+_SIGN = re.compile(rf"(?P<at>{_OPEN}{_GAP}(?:at|@){_GAP}{_CLOSE})|(?P<dot>{_OPEN}{_GAP}(?:dot|\.){_GAP}{_CLOSE})", re.I)
+#: A spelled plus before a number of any length, in digits or spelled.
+_PLUS = re.compile(rf"\bplus(?=[\x20-]{{1,3}}(?:[0-9]|(?:{_DIGIT_WORD})(?![A-Za-z])))", re.I)
+#: An address whose sign, or one or more of whose dots, are words.
+_WORDY = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[\x20]+at[\x20]+|@)[A-Za-z0-9-]++(?P<dots>(?:(?:[\x20]+dot[\x20]+|\.)[A-Za-z0-9-]++)+)", re.I
 )
-#: An address all in words: name, "at", host, and at least one "dot" with a part after it.
-_WORDY = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>[\x20]+at[\x20]+)[A-Za-z0-9-]+(?P<dots>(?:[\x20]+dot[\x20]+[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I)
 _DOT_WORD = re.compile(r"[\x20]+dot[\x20]+", re.I)
-_DIGIT_WORD = "|".join(sorted(SPELLED_DIGITS, key=len, reverse=True))
-#: Only runs that hold at least four spelled digits are read as numbers; a lone "one" is prose.
+#: After a spelled "at" alone, the end of a host: "at 10.30" is none.
+_LAST_LABEL = re.compile(r"\.[A-Za-z][A-Za-z-]*[A-Za-z]\Z")
+#: Only runs that hold at least four spelled digits are read as numbers, or any after a plus; a lone "one" is prose.
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9])(?:[\x20,-]{{1,2}}(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9]+))*(?![A-Za-z])", re.I)
 _DIGIT_ITEM = re.compile(rf"(?:{_DIGIT_WORD})|[0-9]+", re.I)
-#: What a lower-cased text must hold to be rewritten.
-_HINT = re.compile(rf"{_OPEN}{_GAP}(?:at|@|dot|\.){_GAP}{_CLOSE}|(?:{_DIGIT_WORD})[\x20,-]{{1,2}}(?:{_DIGIT_WORD})[\x20,-]{{1,2}}(?:{_DIGIT_WORD})")
-
-
-def hinted(text: str) -> bool:
-    low = text.lower()
-    return " dot " in low or _HINT.search(low) is not None
+#: What a lower-cased text must hold where four spelled digits stand in a run: one with another item after it.
+_DIGIT_HINT = re.compile(rf"(?:{_DIGIT_WORD})[\x20,-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])")
 
 
 @lru_cache(maxsize=1)
@@ -178,31 +175,42 @@ def fold_characters(tape: Tape) -> Tape:
 
 def join_signs(tape: Tape) -> Tape:
     """Bracketed and spelled signs to the signs themselves."""
-    edits, free = [], 0
-    for m in _SIGN.finditer(tape.text):
-        a, b = m.span()
-        if m.lastgroup != "plus":  # the gaps around a bracketed sign go with it
-            while a > free and tape.text[a - 1] == " ":
+    low = tape.text.lower()
+    if any(c in low for c in "[({<"):
+        edits, free = [], 0
+        for m in _SIGN.finditer(tape.text):
+            a, b = m.span()
+            while a > free and tape.text[a - 1] == " ":  # the gaps around a bracketed sign go with it
                 a -= 1
             while b < len(tape.text) and tape.text[b] == " ":
                 b += 1
-        if a >= free:
-            edits.append((a, b, {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]))
-            free = b
-    tape = tape.rewrite(edits)
+            if a >= free:
+                edits.append((a, b, {"at": "@", "dot": "."}[m.lastgroup]))
+                free = b
+        tape = tape.rewrite(edits)
+    if "plus" in low:
+        tape = tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
+    # a spelled word has a blank on each side, and only bracketed signs take blanks away
+    if " at " not in low and " dot " not in low:
+        return tape
     wordy = []
     for m in _WORDY.finditer(tape.text):
-        wordy.append((*m.span("at"), "@"))
-        wordy.extend((d.start(), d.end(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span("dots")))
+        dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span("dots"))]
+        if m["at"] != "@" and (dots or _LAST_LABEL.search(m["dots"])):
+            wordy.append((*m.span("at"), "@"))
+        wordy.extend(dots)
     return tape.rewrite(wordy)
 
 
 def join_digits(tape: Tape) -> Tape:
-    """Runs of spelled digits, at least four of them, to digits side by side."""
+    """Runs of spelled digits, at least four of them or after a plus sign, to digits side by side."""
+    if "+" not in tape.text and not _DIGIT_HINT.search(tape.text.lower()):
+        return tape
     edits = []
     for m in _DIGIT_RUN.finditer(tape.text):
         items = list(_DIGIT_ITEM.finditer(tape.text, *m.span()))
-        if sum(not i.group()[0].isdigit() for i in items) >= 4:
+        spelled = sum(not i.group()[0].isdigit() for i in items)
+        if spelled >= 4 or spelled and after_plus(tape.text, m.start()):
             at = m.start()
             for i in items:
                 edits.append((at, i.end(), SPELLED_DIGITS.get(i.group().lower(), i.group())))
@@ -210,18 +218,29 @@ def join_digits(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
+def after_plus(text: str, at: int) -> bool:
+    """Whether a plus sign stands before ``at``, with the first digits of a number, or three blanks or hyphens, between."""
+    while at > 0 and "0" <= text[at - 1] <= "9":
+        at -= 1
+    for gap in range(4):
+        if at > gap and text[at - gap - 1] == "+":
+            return True
+        if at <= gap or text[at - gap - 1] not in " -":
+            return False
+    return False
+
+
 def close_plus(tape: Tape) -> Tape:
     """No gap between a plus sign and its number."""
+    if "+" not in tape.text:
+        return tape
     return tape.rewrite([(m.start(1), m.end(1), "") for m in re.finditer(r"\+([\x20-]+)(?=[0-9])", tape.text)])
 
 
 def disguised_spans(text: str) -> dict[str, list[Span]]:
     """Source spans of identifiers that only the rewritten text shows."""
-    tape = fold_characters(Tape(text)) if not text.isascii() else None
-    shown = text if tape is None else tape.text
-    if hinted(shown):
-        tape = close_plus(join_digits(join_signs(tape or Tape(text))))
-    if tape is None or tape.text == text:
+    tape = close_plus(join_digits(join_signs(fold_characters(Tape(text)))))
+    if tape.text == text:
         return {}
     found = plain_spans(tape.text)
     return {kind: [(tape.start[a], tape.end[b - 1]) for a, b in spans] for kind, spans in found.items()}

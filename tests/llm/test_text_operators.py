@@ -162,6 +162,32 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert found not in pii.redact(text, every)
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("call plus 1 555 123 4567 now", "phone", "plus 1 555 123 4567"), ("call + 1 555 123 4567 now", "phone", "+ 1 555 123 4567"),
+        ("ring plus 49 30 1234567", "phone", "plus 49 30 1234567"), ("ring plus-49-30-1234567", "phone", "plus-49-30-1234567"),
+        ("plus five 5 five 5 one 2 three 4 five 6", "phone", "plus five 5 five 5 one 2 three 4 five 6"),
+        ("Plus One 555 123 4567", "phone", "Plus One 555 123 4567"), ("+49 30 one two 34567", "phone", "+49 30 one two 34567"),
+        ("four 111 1 one 1 one 1 one 1 one 1 one 1 one", "card", "four 111 1 one 1 one 1 one 1 one 1 one 1 one"),
+        ("write jane at example.com.", "email", "jane at example.com"), ("write jane@example dot com.", "email", "jane@example dot com"),
+        ("JANE AT EXAMPLE.CO.UK", "email", "JANE AT EXAMPLE.CO.UK"), ("jane at mail.example dot com", "email", "jane at mail.example dot com"),
+        ("jane(at)example.com", "email", "jane(at)example.com"), ("jane@example (dot) com", "email", "jane@example (dot) com"),
+        ("jane [at] example dot com", "email", "jane [at] example dot com"), ("jane at example (dot) com", "email", "jane at example (dot) com"),
+    ],
+)
+def test_each_disguise_alone_is_found_and_taken_out(spark, text, kind, found):
+    _, every = pii.find_spans(text)
+    assert [text[a:b] for a, b in every[kind]] == [found]
+    row = pii.redact_documents(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text == text.replace(found, f"<{kind}>")
+
+
+@pytest.mark.parametrize("text", ["open at 9.30 and at 10.30", "one plus one", "5 plus 5 apples", "a + 5 b", "at 5 at 6", "look at v1.x", " at" * 20_000, " dot" * 20_000, "plus " * 10_000, "+ " * 20_000, "a.b" * 10_000, "five " * 3])
+def test_near_disguises_stay(text):
+    assert pii.find_spans(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.KINDS})
+
+
 @pytest.mark.parametrize("text", ["meet at noon dot", "one two three", "look at the map. Dot dot", "5 at 6 and 7.", "—" * 30, "a" * 50_000, " " * 50_000, "(" * 20_000, "one, two, three"])
 def test_clean_texts_stay_clean(text):
     assert pii.find_spans(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.KINDS})
