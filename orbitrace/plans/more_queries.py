@@ -77,7 +77,8 @@ def e17_threshold_trend(spark, sf):
 n AS (SELECT t, hx, hy, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT DISTINCT t FROM tracks), k AS (SELECT a.t, count(*) AS k FROM f AS a JOIN f AS b ON b.t BETWEEN a.t - 5 AND a.t + 5 GROUP BY a.t),
 d AS (SELECT f.t, n.hx, n.hy, sum(n.n) / max(k.k) AS density FROM f JOIN n ON n.t BETWEEN f.t - 5 AND f.t + 5 JOIN k ON k.t = f.t GROUP BY ALL) SELECT t, hx, hy, {R('density')} AS density FROM d""")
 def e25_hex_counts(spark, sf):
-    return rounded(P.hex_counts(tracks(spark, sf), "x", "y", 100.0, half=5).select("t", "hx", "hy", "density"))
+    """Counts within 25 frames and their mean over near bins; the SQL has counts within 5 frames only."""
+    return rounded(P.hex_counts(tracks(spark, sf), "x", "y", 100.0).select("t", "hx", "hy", "density", "smooth"))
 
 
 @query("SELECT c_custkey, 'A' || lpad(CAST(c AS VARCHAR), 2, '0') AS well_id, CAST(c_nationkey + c AS VARCHAR) AS genotype FROM customer, unnest([1, 2, 3]) AS u(c) WHERE (c_nationkey + c) % 4 <> 0")
