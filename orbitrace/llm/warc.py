@@ -1,13 +1,22 @@
 """WARC derivatives: metadata and plain-text conversion records from response records.
 
-Everything is SQL functions. Digests are labelled SHA-256 in hexadecimal; record ids are URNs made from an MD5 of what
-the record is and where it comes from, so that a repeated run writes the same ids.
+Character references are resolved in Arrow batches, the rest is SQL functions. Digests are labelled SHA-256 in
+hexadecimal; record ids are URNs made from an MD5 of what the record is and where it comes from, so that a repeated run
+writes the same ids.
 """
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from orbitrace.llm.batches import bound_batches
 
 CRLF = "\r\n"
 #: Elements that end a line of text.
@@ -19,19 +28,48 @@ TEXT_STEPS = (
     (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?/?>", "\n"),
     (r"<[^>]*>", ""),
 )
-#: Character references that are resolved, the ampersand last.
-REFERENCES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: A character reference in text, and one in an attribute: there a name without semicolon ends before "=" and letters.
+_IN_TEXT = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
+_IN_VALUE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31}(?:;|(?![=A-Za-z0-9])))")
+#: White space that a reference stands for is a blank in text, and line ends and tabs are dropped from links.
+_BLANKS = {ord(c): " " for c in "\t\n\x0b\f\r\xa0"}
+_NOT_IN_LINKS = dict.fromkeys(map(ord, "\t\n\r"))
+#: The value of a link's first href, with its quotes if any.
+LINK = r"""(?i)<a\s[^>]*?(?<=[\s"'/])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Then white space: runs of blanks to one, blanks around line ends away, line ends to one.
 SPACE_STEPS = ((r"[\t\f\r \x0B]+", " "), (r" ?\n[ \n]*", "\n"))
 
 
+def resolve(text: str) -> str:
+    """``text`` with all named and numeric character references of HTML resolved, once."""
+    return _IN_TEXT.sub(lambda m: unescape(m.group()).translate(_BLANKS), text) if "&" in text else text
+
+
+def resolve_link(value: str) -> str:
+    """The link that an attribute's value, with its quotes if any, stands for."""
+    if value[:1] in ('"', "'"):
+        value = value[1:-1]
+    if "&" not in value:
+        return value
+    return _IN_VALUE.sub(lambda m: (unescape(m.group()) if m[0][1] == "#" else html5.get(m[0][1:], m[0])).translate(_NOT_IN_LINKS), value)
+
+
+@F.arrow_udf(T.StringType())
+def _resolved(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else resolve(t) for t in texts.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _resolved_links(links: pa.Array) -> pa.Array:
+    return pa.array([x if x is None else [resolve_link(v) for v in x] for x in links.to_pylist()], pa.list_(pa.string()))
+
+
 def plain_text(html):
     """Column: the visible text of a page, one line per block."""
     out = html
     for pattern, new in TEXT_STEPS:
         out = F.regexp_replace(out, pattern, new)
-    for name, char in REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(char))
+    out = _resolved(out)
     for pattern, new in SPACE_STEPS:
         out = F.regexp_replace(out, pattern, new)
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
@@ -69,11 +107,12 @@ def derivatives(records: DataFrame) -> DataFrame:
     Columns: ``page_id, warc_type, record_id, refers_to, target_uri, warc_date, content_type, source_headers,
     source_digest, block_digest, content_length, content``. ``refers_to`` is the response's record id, and the source's
     HTTP headers and payload digest go along unchanged. The metadata content is warc-fields: the title, the number of
-    links, and an ``outlink`` line per link in page order. Responses that repeat give records that repeat with the same
-    ids. An empty payload gives an empty conversion and a metadata record without links; an empty table gives nothing.
+    links, and an ``outlink`` line per link in page order. Character references are resolved in text, title and links.
+    Responses that repeat give records that repeat with the same ids. An empty payload gives an empty conversion and a metadata record without links; an empty table gives nothing.
     """
-    title = F.trim(F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
-    links = F.expr(r"""regexp_extract_all(payload, '(?i)<a\\s[^>]*href="([^"]*)"', 1)""")
+    bound_batches(records.sparkSession)
+    title = F.trim(F.regexp_replace(_resolved(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " "))
+    links = _resolved_links(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)))
     told = records.withColumns({"__title": title, "__links": links, "__text": plain_text(F.col("payload"))})
     lines = F.concat(
         F.lit("title: "), "__title", F.lit(f"{CRLF}link-count: "), F.size("__links").cast("string"), F.lit(CRLF),

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.entities import html5
 
 import pytest
 
@@ -267,3 +268,20 @@ def test_warc_records_are_linked(spark):
     raw = warc.record_text(out[0].asDict()).decode()
     assert raw.startswith("WARC/1.0\r\nWARC-Type: ") and f"WARC-Refers-To: {out[0].refers_to}\r\n" in raw
     assert warc.derivatives(warc.responses(pages.where("false"))).count() == 0
+
+
+def test_all_references_are_resolved(spark):
+    html = (
+        "<title>A &copy; &#233;&#xE9; &amp;lt; B</title><p>&copy; 2020 &middot; &hellip; &#8212;&#x2014; &euro;&#128; &notin; &copy 1 x&nbsp;y&#160;z&#10;w"
+        " &bogus; R&D &amp;copy; &#0;</p><a href=\"/u?a=1&amp;b=2&copy=3&#x26;c=&eacute;&#10;\">go</a><a id=k href='/s?q=&quot;'>s</a><a href=/bare&amp;x>b</a>"
+        "<a data-href=\"no\" href=\"/yes?href=1\">y</a><a href=\"\">e</a>"
+    )
+    pages = spark.createDataFrame([(1, "http://e.org/", html)], "page_id long, url string, html string")
+    text = {r.warc_type: r.content for r in warc.derivatives(warc.responses(pages)).collect()}
+    assert text["conversion"] == "A © éé &lt; B\n© 2020 · … —— €€ ∉ © 1 x y z w &bogus; R&D &copy; \ufffd\ngosbye"
+    links = ["/u?a=1&b=2&copy=3&c=é", '/s?q="', "/bare&x", "/yes?href=1", ""]
+    assert text["metadata"] == "title: A © éé &lt; B\r\nlink-count: 5\r\n" + "".join(f"outlink: {x}\r\n" for x in links)
+    for name, char in html5.items():
+        if name.endswith(";"):
+            assert warc.resolve(f"a&{name}b") == f"a{char}b".translate({9: " ", 10: " ", 160: " "})
+            assert warc.resolve_link(f'"&{name}"') == char.translate({9: None, 10: None})
