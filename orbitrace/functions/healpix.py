@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,45 +49,43 @@ def with_pixel(df: DataFrame, nside: int, theta: str = "theta", phi: str = "phi"
     return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
 
 
-def pixel_centers(nside: int) -> tuple[np.ndarray, np.ndarray]:
-    """Polar angle and longitude of all pixel centres."""
-    pix = np.arange(npix(nside), dtype=np.int64)
-    n_cap = 2 * nside * (nside - 1)
-    z, phi = np.empty(len(pix)), np.empty(len(pix))
-    ring_of = lambda p: ((1 + np.sqrt(1 + 2 * p)) / 2).astype(np.int64)
-    north = pix < n_cap
-    i = ring_of(pix[north].astype(float))
-    z[north], phi[north] = 1 - i**2 / (3.0 * nside**2), (pix[north] - 2 * i * (i - 1) + 0.5) * HALF_PI / i
-    belt = (pix >= n_cap) & (pix < npix(nside) - n_cap)
-    q = pix[belt] - n_cap
-    i, j = q // (4 * nside) + nside, q % (4 * nside)
-    z[belt], phi[belt] = 4 / 3 - 2 * i / (3.0 * nside), (j + np.where((i + nside) % 2 == 0, 0.5, 0.0)) * HALF_PI / nside
-    south = pix >= npix(nside) - n_cap
-    back = npix(nside) - 1 - pix[south]
-    i = ring_of(back.astype(float))
-    z[south], phi[south] = -1 + i**2 / (3.0 * nside**2), (4 * i - (back - 2 * i * (i - 1)) - 0.5) * HALF_PI / i
-    return np.arccos(np.clip(z, -1, 1)), phi
-
-
 def pixel_table(spark: SparkSession, nside: int) -> DataFrame:
-    """``pix, theta_pix, phi_pix, nx, ny, nz`` for a resolution; its size depends on ``nside`` alone."""
-    theta, phi = pixel_centers(nside)
-    rows = zip(range(len(theta)), theta.tolist(), phi.tolist(), (np.sin(theta) * np.cos(phi)).tolist(), (np.sin(theta) * np.sin(phi)).tolist(), np.cos(theta).tolist(), strict=True)
-    return spark.createDataFrame(list(rows), "pix long, theta_pix double, phi_pix double, nx double, ny double, nz double")
+    """``pix, theta_pix, phi_pix, nx, ny, nz`` of all pixel centres, made by Spark from a range of pixel numbers.
+
+    A cap's ring ``i`` has ``4 i`` pixels, a ring of the belt ``4 nside``; the south cap mirrors the north one.
+    """
+    n, total, n_cap = nside, npix(nside), 2 * nside * (nside - 1)
+    pix, back = F.col("pix"), F.lit(total - 1) - F.col("pix")
+    ring_of = lambda p: F.floor((1 + F.sqrt(1 + 2 * p.cast("double"))) / 2)
+    north, south = pix < n_cap, pix >= total - n_cap
+    out = spark.range(total).select(F.col("id").alias("pix")).withColumn("i", F.when(north, ring_of(pix)).when(south, ring_of(back)).otherwise(F.floor((pix - n_cap) / (4 * n)) + n))
+    i = F.col("i")
+    height = F.when(north, 1 - i * i / (3.0 * n * n)).when(south, i * i / (3.0 * n * n) - 1).otherwise(4 / 3 - 2 * i / (3.0 * n))
+    shift = F.when((i + n) % 2 == 0, 0.5).otherwise(0.0)
+    turn = (
+        F.when(north, (pix - 2 * i * (i - 1) + 0.5) / i)
+        .when(south, (4 * i - (back - 2 * i * (i - 1)) - 0.5) / i)
+        .otherwise(((pix - n_cap) % (4 * n) + shift) / n)
+    )
+    out = out.withColumns({"theta_pix": F.acos(F.least(F.greatest(height, F.lit(-1.0)), F.lit(1.0))), "phi_pix": turn * HALF_PI})
+    theta, phi = F.col("theta_pix"), F.col("phi_pix")
+    return out.select("pix", "theta_pix", "phi_pix", (F.sin(theta) * F.cos(phi)).alias("nx"), (F.sin(theta) * F.sin(phi)).alias("ny"), F.cos(theta).alias("nz"))
 
 
 def pixel_neighbors(spark: SparkSession, nside: int, radius: float) -> DataFrame:
     """``pix, near, angle`` for all pixel pairs within ``radius`` radians, a pixel itself included.
 
-    Worked out in bands of polar angle, so that time follows the number of pairs; the table's size depends on
-    ``nside`` and ``radius`` alone.
+    A radius join of the centres on grid cells, by Spark; ``neighbor_rows`` tells about how many rows it has.
     """
-    theta, phi = pixel_centers(nside)
-    v = np.stack([np.sin(theta) * np.cos(phi), np.sin(theta) * np.sin(phi), np.cos(theta)], axis=1)
-    out = []
-    for k in range(len(theta)):
-        lo, hi = np.searchsorted(theta, [theta[k] - radius - 1e-9, theta[k] + radius + 1e-9])
-        angle = np.arccos(np.clip(v[lo:hi] @ v[k], -1, 1))
-        near = np.flatnonzero(angle <= max(radius, 1e-7))
-        out.extend(zip([k] * len(near), (near + lo).tolist(), angle[near].tolist(), strict=True))
-    return spark.createDataFrame(out, "pix long, near long, angle double")
+    from orbitrace.operators.neighbors import radius_pairs
+
+    centers = pixel_table(spark, nside).select("pix", "nx", "ny", "nz")
+    chord = 2 * math.sin(min(radius, math.pi) / 2) + 1e-9
+    pairs = radius_pairs(centers, centers, chord, frame=None, axes=("nx", "ny", "nz"))
+    out = pairs.select("pix", F.col("n_pix").alias("near"), (2 * F.asin(F.least(F.col("distance") / 2, F.lit(1.0)))).alias("angle"))
+    return out.where((F.col("angle") <= radius) | (F.col("pix") == F.col("near")))
+
+
+def neighbor_rows(nside: int, radius: float) -> float:
+    """About how many rows ``pixel_neighbors`` has: pixels times the pixels of a cap."""
+    return npix(nside) * max(1.0, npix(nside) * (1 - math.cos(min(radius, math.pi))) / 2)

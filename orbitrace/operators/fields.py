@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.functions.geometry import angle_between, tangent_basis
-from orbitrace.functions.healpix import pixel_area, pixel_neighbors, pixel_table, with_pixel
+from orbitrace.functions.healpix import neighbor_rows, npix, pixel_area, pixel_neighbors, pixel_table, with_pixel
 from orbitrace.operators.neighbors import to_windows
 
 #: A pixel table is broadcast up to this many rows; beyond it the join shuffles.
@@ -16,6 +16,16 @@ BROADCAST_PIXELS = 500_000
 ENTROPY_BINS = 36
 
 
+def small_broadcast(table: DataFrame, rows: float) -> DataFrame:
+    """``table`` marked for a broadcast if it has at most ``BROADCAST_PIXELS`` rows."""
+    return F.broadcast(table) if rows <= BROADCAST_PIXELS else table
+
+
+def on_pixels(df: DataFrame, nside: int) -> DataFrame:
+    """``df`` with its pixel of (theta, phi) and that pixel's centre."""
+    return with_pixel(df, nside).join(small_broadcast(pixel_table(df.sparkSession, nside), npix(nside)), "pix")
+
+
 def window_centers(times: DataFrame, time: str, stride: float) -> tuple[float, int]:
     """First centre and number of centres of ``min, min + s, ...`` up to at most one stride past the last time."""
     r = times.agg(F.min(time).alias("a"), F.max(time).alias("b")).first()
@@ -60,11 +70,8 @@ def spread_to_pixels(steps: DataFrame, nside: int, sigma: float, window: float,
     rows = windowed(with_pixel(steps, nside, name="home"), "mid_time", window, stride)
     reach = 2 * sigma + math.sqrt(math.pi / 3) / nside
     near = pixel_neighbors(spark, nside, reach).select(F.col("pix").alias("home"), F.col("near").alias("pix"))
-    pixels = pixel_table(spark, nside)
-    table = near.join(F.broadcast(pixels), "pix")
-    if 12 * nside * nside * max(1.0, 3 * nside * nside * reach**2) <= BROADCAST_PIXELS:
-        table = F.broadcast(table)
-    out = rows.join(table, "home")
+    table = near.join(small_broadcast(pixel_table(spark, nside), npix(nside)), "pix")
+    out = rows.join(small_broadcast(table, neighbor_rows(nside, reach)), "home")
     angle = angle_between((F.col("ux"), F.col("uy"), F.col("uz")), (F.col("nx"), F.col("ny"), F.col("nz")))
     out = out.withColumn("angle", angle).where(F.col("angle") <= 2 * sigma)
     return out.withColumn("w", F.exp(-0.5 * (F.col("angle") / sigma) ** 2)).where(F.col("w") > least)
@@ -150,7 +157,7 @@ def misalignment_entropy(steps: DataFrame, nside: int, bins: int = ENTROPY_BINS)
     Headings are counted in fine sectors first, so that pairs of sectors are formed and not pairs of steps; the angle
     between two sectors is exact to half a degree.
     """
-    rows = tangent_coordinates(with_pixel(steps, nside).join(F.broadcast(pixel_table(steps.sparkSession, nside)), "pix"), 1.0)
+    rows = tangent_coordinates(on_pixels(steps, nside), 1.0)
     sectors = 720
     heading = F.floor(F.pmod(F.atan2("vv", "vu"), F.lit(2 * math.pi)) / (2 * math.pi) * sectors).cast("int")
     c = rows.where("vu <> 0 OR vv <> 0").select("t", "pix", F.least(heading, F.lit(sectors - 1)).alias("h")).groupBy("t", "pix", "h").agg(F.count("*").alias("n"))
@@ -167,11 +174,13 @@ def diffusivity(steps: DataFrame, group=("pix",), axes=("vx", "vy", "vz")) -> Da
     """Covariance-based estimate per group: ``diffusion = (var + 2 cov) / (2 mean dt)`` and ``noise = max(-cov, 0)``.
 
     Displacements are velocity times dt; ``var`` is about the group's mean and ``cov`` over consecutive rows of one track,
-    both averaged over the axes.
+    both averaged over the axes. The means are partial sums joined back, so a group that holds most rows is no single
+    task. Steps with a null velocity or dt count in ``n`` alone; a group of one row has no ``cov`` and so a null diffusion.
     """
     d = steps.withColumns({f"__d{a}": F.col(a) * F.col("dt") for a in axes})
-    whole, along = Window.partitionBy(*group), Window.partitionBy(*group, "track_id").orderBy("t")
-    d = d.withColumns({f"__c{a}": F.col(f"__d{a}") - F.avg(f"__d{a}").over(whole) for a in axes})
+    mean = d.groupBy(*group).agg(*(F.avg(f"__d{a}").alias(f"__m{a}") for a in axes))
+    along = Window.partitionBy(*group, "track_id").orderBy("t")
+    d = d.join(mean, list(group)).withColumns({f"__c{a}": F.col(f"__d{a}") - F.col(f"__m{a}") for a in axes})
     d = d.withColumns({f"__l{a}": F.col(f"__c{a}") * F.lag(f"__c{a}").over(along) for a in axes})
     var = sum((F.avg(F.col(f"__c{a}") ** 2) for a in axes), F.lit(0.0)) / len(axes)
     cov = sum((F.avg(f"__l{a}") for a in axes), F.lit(0.0)) / len(axes)
@@ -181,8 +190,7 @@ def diffusivity(steps: DataFrame, group=("pix",), axes=("vx", "vy", "vz")) -> Da
 
 def residual_steps(steps: DataFrame, field: DataFrame, nside: int, radius: float) -> DataFrame:
     """Steps with their pixel's fitted tangent velocity taken off: ``vu, vv`` residuals. Needs one window's field."""
-    rows = with_pixel(steps, nside).join(F.broadcast(pixel_table(steps.sparkSession, nside)), "pix")
-    rows = tangent_coordinates(rows, radius).join(field.select("pix", "drift_u", "drift_v", "j00", "j01", "j10", "j11"), "pix")
+    rows = tangent_coordinates(on_pixels(steps, nside), radius).join(field.select("pix", "drift_u", "drift_v", "j00", "j01", "j10", "j11"), "pix")
     return rows.withColumns({
         "vu": F.col("vu") - F.col("drift_u") - F.col("j00") * F.col("u") - F.col("j01") * F.col("v"),
         "vv": F.col("vv") - F.col("drift_v") - F.col("j10") * F.col("u") - F.col("j11") * F.col("v"),
@@ -237,7 +245,7 @@ def smooth_field(field: DataFrame, nside: int, sigma: float, value: str = "value
     near = pixel_neighbors(field.sparkSession, nside, 3 * sigma)
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("pix").orderBy("angle", "near"))).where(F.col("r") <= k)
     table = ranked.select("pix", F.col("near").alias("src"), F.exp(-0.5 * (F.col("angle") / sigma) ** 2).alias("w"))
-    rows = field.select(*keys, F.col("pix").alias("src"), F.col(value).alias("v")).where("v IS NOT NULL").join(F.broadcast(table), "src")
+    rows = field.select(*keys, F.col("pix").alias("src"), F.col(value).alias("v")).where("v IS NOT NULL").join(small_broadcast(table, k * npix(nside)), "src")
     return rows.groupBy(*keys, "pix").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(f"{value}_smooth"))
 
 
@@ -245,8 +253,9 @@ def laplacian_smooth(field: DataFrame, nside: int, tau: float = 0.5, rounds: int
     """Solves ``(I + tau L) f = value`` over adjacent pixels by Jacobi rounds; absent pixels take no part."""
     from orbitrace.session import materialize
 
-    near = pixel_neighbors(field.sparkSession, nside, 1.5 * math.sqrt(4 * math.pi / (12 * nside * nside))).where("pix <> near")
-    edges = F.broadcast(near.select(F.col("pix"), F.col("near").alias("src")))
+    reach = 1.5 * math.sqrt(4 * math.pi / npix(nside))
+    near = pixel_neighbors(field.sparkSession, nside, reach).where("pix <> near")
+    edges = small_broadcast(near.select(F.col("pix"), F.col("near").alias("src")), neighbor_rows(nside, reach))
     base = materialize(field.select(*keys, "pix", F.col(value).alias("b")), "jacobi")
     cur = base.withColumn("f", F.col("b"))
     for _ in range(rounds):

@@ -57,35 +57,54 @@ def angular_pairs(units: DataFrame, angle, frame: str = "t", axes=("ux", "uy", "
 def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, frame: str = "t", axes=AXES, include_self: bool = True, rounds: int = 8) -> DataFrame:
     """The ``k`` nearest rows of a frame for each left row, with ``distance`` and ``rank`` (1 first; ties by ``n_key``).
 
-    Frames of at most ``SMALL_FRAME`` rows meet themselves. In the others, candidates come from a radius join; rows that
-    found fewer than ``k`` look again with three times the radius. After ``rounds`` rounds what is still short meets its
-    whole frame.
+    Frames of at most ``SMALL_FRAME`` rows meet themselves. In the others, candidates come from a radius join; the radius
+    follows each frame's density, and ``radius`` is only the edge of the cells it is measured on. Rows that found fewer
+    than ``k`` look again with twice the radius. After ``rounds`` rounds what is still short meets its whole frame. Keys
+    and coordinates alone are joined and written, ranked to ``k`` first; the other columns are joined at the end.
     """
-    have = right.groupBy(frame).agg(F.count("*").alias("__have"))
-    every = left.join(have, frame).withColumn("__want", F.least(F.lit(k + (0 if include_self else 1)), F.col("__have")))
+    wanted = k + (0 if include_self else 1)
+    near = materialize(right.select(frame, key, *axes), "points")
+    have = near.groupBy(frame).agg(F.count("*").alias("__have"))
+    cells = _cells(near, float(radius), axes).groupBy(frame, *(f"__c{a}" for a in axes)).agg(F.count("*").alias("m"))
+    # a row's own cell holds sum m^2 / sum m rows on average; about 2.5 times as many lie within one edge of it on a surface
+    crowd = cells.groupBy(frame).agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("__own"))
+    first = float(radius) * F.sqrt(F.lit(2.0 * wanted) / (2.5 * F.col("__own")))
+    shape = materialize(have.join(crowd, frame).withColumn("__first", first), "frames")
+    every = materialize(left.select(frame, key, *axes).join(shape.drop("__own"), frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))), "todo")
+    order = Window.partitionBy(frame, key).orderBy("distance", f"n_{key}")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        full = pairs.withColumn("__n", F.count("*").over(Window.partitionBy(frame, key))).where(F.col("__n") >= F.col("__want"))
+        full = full.select(frame, key, f"n_{key}", "distance")
+        if not include_self:
+            full = full.where(F.col(key) != F.col(f"n_{key}"))
+        return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def whole_frame(rows: DataFrame) -> DataFrame:
-        other = right.select(F.col(frame), *(F.col(c).alias(f"n_{c}") for c in right.columns))
+        other = near.select(frame, *(F.col(c).alias(f"n_{c}") for c in (key, *axes)))
         d2 = sum(((F.col(a) - F.col(f"n_{a}")) * (F.col(a) - F.col(f"n_{a}")) for a in axes), F.lit(0.0))
         return rows.join(other, frame).withColumn("distance", F.sqrt(d2))
 
     small = F.col("__have") <= SMALL_FRAME
-    done = whole_frame(every.where(small))
+    done = ranked(whole_frame(every.where(small)))
     todo = every.where(~small)
     for step in range(rounds + 1):
         if not todo.limit(1).count():
             break
         if step == rounds:
-            done = done.unionByName(whole_frame(todo))
+            done = done.unionByName(ranked(whole_frame(todo)))
             break
-        pairs = radius_pairs(todo, right, radius * 3**step, frame, axes)
-        full = materialize(pairs.withColumn("__n", F.count("*").over(Window.partitionBy(frame, key))).where(F.col("__n") >= F.col("__want")).drop("__n"), "near")
-        done = done.unionByName(full)
-        todo = materialize(todo.join(full.select(frame, key).distinct(), [frame, key], "left_anti"), "todo")
-    if not include_self:
-        done = done.where(F.col(key) != F.col(f"n_{key}"))
-    order = Window.partitionBy(frame, key).orderBy("distance", f"n_{key}")
-    return done.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("__have", "__want")
+        reach = F.col("__first") * 2.0**step
+        around = near.join(shape.select(frame, "__first"), frame).withColumn("__reach", reach)
+        found = materialize(ranked(radius_pairs(todo.withColumn("__reach", reach), around, F.col("__reach"), frame, axes)), "near")
+        done = done.unionByName(found)
+        # a row whose only candidate was itself has no rank, and looks again
+        todo = materialize(todo.join(found.select(frame, key).distinct(), [frame, key], "left_anti"), "todo")
+    out = done.join(left, [frame, key])
+    other = right.select(F.col(frame), *(F.col(c).alias(f"n_{c}") for c in right.columns))
+    if set(right.columns) <= {frame, key}:
+        return out
+    return out.join(other, [frame, f"n_{key}"])
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, cutoff: float, point_key: str, target_key: str, frame: str = "t", axes=AXES) -> DataFrame:

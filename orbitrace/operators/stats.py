@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.operators.tracks import centered_rows
+from orbitrace.session import materialize
+
+#: Distinct values whose counts are summed up in one group.
+RANK_BLOCK = 100_000
 
 
 def cells_per_class(tracks: DataFrame, classes=(0, 1, 2)) -> DataFrame:
@@ -36,11 +40,60 @@ def percentiles_by(df: DataFrame, group: str, value: str, low: float = 0.1, high
     return df.groupBy(group).agg(F.avg(value).alias("mean"), F.percentile(value, low).alias("p_low"), F.percentile(value, high).alias("p_high"), F.count("*").alias("n"))
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """``df`` (distinct, non-null values of ``column``) with the rank of each value, from 0, as ``name``.
+
+    Values are dealt in ranges and ranked inside a range; the ranges' row counts give each range its start. The ranks
+    of one range are one task, never those of the table. A value's range is written down first, as sampling chooses the
+    bounds anew in every run.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(df.repartitionByRange(parts, column).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    # at most one row a partition
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = inside.join(F.broadcast(before.select("__part", "__before")), "__part")
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation; an empty list where there are no values.
+
+    Equal values are counted first and the counts are summed up along ranges of values, so no task sees all of them. What
+    comes to the driver is two values a share.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ranked = materialize(numbered(counts, "__v", "__rank"), "ranked")
+    total = ranked.agg(F.sum("__c").alias("n")).first().n or 0
+    if not total:
+        return []
+    # running counts: inside blocks of ranks, after the sums of the blocks before
+    block = F.floor(F.col("__rank") / RANK_BLOCK)
+    sums = ranked.groupBy(block.alias("__b")).agg(F.sum("__c").alias("__s"))
+    ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for every RANK_BLOCK distinct values
+    starts = sums.select("__b", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"))
+    within = Window.partitionBy("__b").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranked.withColumn("__b", block).join(starts, "__b").withColumn("__first", F.col("__base") + F.coalesce(F.sum("__c").over(within), F.lit(0)))
+    # the value at place p (from 0) is the one whose run of equal values holds p
+    places = sorted({p for s in shares for p in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))})
+    asked = F.filter(F.array(*map(F.lit, places)), lambda p: (p >= F.col("__first")) & (p < F.col("__first") + F.col("__c")))
+    at = {r.p: r.v for r in runs.select(F.explode(asked).alias("p"), F.col("__v").alias("v")).collect()}
+    cuts = [s * (total - 1) for s in shares]
+    return [at[math.floor(c)] + (at[math.ceil(c)] - at[math.floor(c)]) * (c - math.floor(c)) for c in cuts]
+
+
 def quantile_bins(df: DataFrame, value: str, bins: int, summary: str) -> DataFrame:
-    """Bins between exact quantiles, closed on the right, the lowest value in the first: ``bin, n, median, mean``."""
-    edges = df.agg(F.percentile(value, [k / bins for k in range(bins + 1)]).alias("e"))  # one row
-    b = F.greatest(F.size(F.filter("e", lambda x: x < F.col(value))) - 1, F.lit(0))
-    return df.join(F.broadcast(edges)).select(b.alias("bin"), F.col(summary).alias("s")).groupBy("bin").agg(F.count("*").alias("n"), F.percentile("s", 0.5).alias("median"), F.avg("s").alias("mean"))
+    """Bins between exact quantiles, closed on the right, the lowest value in the first: ``bin, n, median, mean``.
+
+    Null values go to no bin; an empty table gives no bins.
+    """
+    edges = F.array(*map(F.lit, exact_quantiles(df, value, [k / bins for k in range(bins + 1)]))).cast("array<double>")
+    b = F.greatest(F.size(F.filter(edges, lambda x: x < F.col(value))) - 1, F.lit(0))
+    rows = df.where(F.col(value).isNotNull())
+    return rows.select(b.alias("bin"), F.col(summary).alias("s")).groupBy("bin").agg(F.count("*").alias("n"), F.percentile("s", 0.5).alias("median"), F.avg("s").alias("mean"))
 
 
 def time_bins(df: DataFrame, time: str, edges, value: str) -> DataFrame:
@@ -120,8 +173,11 @@ def trend(df: DataFrame, group: str, order: str, value: str, least: int = 3) ->
 
 
 def category_ids(df: DataFrame, column: str) -> DataFrame:
-    """``df`` with a dense id of the column's values in their order, from 0; only distinct values are ranked."""
-    ids = df.select(column).distinct().withColumn(f"{column}_id", F.dense_rank().over(Window.orderBy(column)) - 1)
+    """``df`` with a dense id of the column's values in their order, from 0; only distinct values are ranked, by ranges.
+
+    Rows with a null value go.
+    """
+    ids = numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), column, f"{column}_id")
     return df.join(ids, column)
 
 

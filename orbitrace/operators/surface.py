@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.functions.geometry import angle_bins, real_harmonics
-from orbitrace.functions.healpix import pixel_neighbors, pixel_table, with_pixel
+from orbitrace.functions.healpix import neighbor_rows, npix, pixel_neighbors, pixel_table, with_pixel
+from orbitrace.operators.fields import small_broadcast
 from orbitrace.operators.tracks import AXES
 from orbitrace.session import materialize
 
@@ -117,11 +118,13 @@ def harmonic_surface(points: DataFrame, nside: int = 4, l_max: int = 3, ridge: f
     spark = points.sparkSession
     pix = with_pixel(points.select(frame, "theta", "phi", "r"), nside).groupBy(frame, "pix").agg(F.avg("r").alias("v"), F.count("*").alias("n"))
     table = pixel_neighbors(spark, nside, fill_cut).where("pix <> near").select(F.col("near").alias("src"), F.col("pix").alias("dst"), "angle")
-    cand = pix.select(frame, F.col("pix").alias("src"), "v").join(F.broadcast(table), "src")
+    cand = pix.select(frame, F.col("pix").alias("src"), "v").join(small_broadcast(table, neighbor_rows(nside, fill_cut)), "src")
     ranked = cand.withColumn("k", F.row_number().over(Window.partitionBy(frame, "dst").orderBy("angle", "src"))).where(F.col("k") <= near)
     w = F.exp(-0.5 * (F.col("angle") / (fill_cut / 2)) ** 2)
     filled = ranked.groupBy(frame, F.col("dst").alias("pix")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("fill"))
-    spine = pix.groupBy(frame).agg(F.avg("v").alias("mean")).join(F.broadcast(pixel_table(spark, nside)))
+    # what a frame's solve reads: one row per pixel, by the contract of the fit
+    spine = pix.groupBy(frame).agg(F.avg("v").alias("mean")).withColumn("pix", F.explode(F.sequence(F.lit(0), F.lit(npix(nside) - 1)).cast("array<bigint>")))
+    spine = spine.join(small_broadcast(pixel_table(spark, nside), npix(nside)), "pix")
     full = spine.join(pix, [frame, "pix"], "left").join(filled, [frame, "pix"], "left")
     full = full.withColumns({"value": F.coalesce("v", "fill", "mean"), "weight": F.coalesce(F.col("n").cast("double"), F.lit(0.5))})
     basis = real_harmonics(l_max, F.col("theta_pix"), F.col("phi_pix"))

@@ -301,10 +301,10 @@ def i01_components(spark, sf):
 
 
 @query(f"""{COMPONENTS}, m AS (SELECT u.t, k.component, u.ux, u.uy, u.uz, u.mean_fluo FROM k JOIN u ON u.t = k.t AND u.track_id = k.track_id WHERE k.size >= 4)
-SELECT t, component AS cluster_id, count(*) AS size, round(avg(mean_fluo), 4) + 0.0e0 AS fluo_mean, {R('sum(ux) / sqrt(power(sum(ux), 2) + power(sum(uy), 2) + power(sum(uz), 2))')} AS cx FROM m GROUP BY ALL""")
+SELECT t, component AS cluster_id, count(*) AS size, {R('CAST(sum(CAST(mean_fluo AS DECIMAL(28, 10))) AS DOUBLE) / count(*)')} AS fluo_mean, {R('sum(ux) / sqrt(power(sum(ux), 2) + power(sum(uy), 2) + power(sum(uz), 2))')} AS cx FROM m GROUP BY ALL""")
 def d34_clusters(spark, sf):
     _, stats = K.find_clusters(_units(spark, sf), 0.3, 4)
-    return rounded(stats.select("t", "cluster_id", "size", F.round("fluo_mean", 4).alias("fluo_mean"), "cx"))
+    return rounded(stats.select("t", "cluster_id", "size", "fluo_mean", "cx"))
 
 
 @query(f"""{COMPONENTS}, m AS (SELECT t, track_id, component AS c FROM k WHERE size >= 4), n AS (SELECT t, c, count(*) AS n FROM m GROUP BY ALL),
@@ -476,15 +476,16 @@ def h02_channel_index(spark, sf):
     return c.select("c_custkey", F.coalesce(first, F.lit(-1)).cast("int").alias("flag"))
 
 
-@query("SELECT event_id, 't' || lpad(CAST(user_id AS VARCHAR), 4, '0') AS k FROM events")
+@query("SELECT event_id, printf('t%04d', event_id) AS k FROM events")
 def h03_frame_key(spark, sf):
-    return table(spark, sf, "events").select("event_id", A.frame_key(F.col("user_id")).alias("k"))
+    """Keys of numbers with one to more than four digits."""
+    return table(spark, sf, "events").select("event_id", A.frame_key(F.col("event_id")).alias("k"))
 
 
-@query("""WITH e AS (SELECT user_id AS u, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), p AS (SELECT u AS src, u + 7 AS dst FROM e WHERE r = 1 AND u % 3 = 0)
-SELECT src AS node, src AS component FROM p WHERE src - 7 NOT IN (SELECT src FROM p) UNION SELECT dst, src FROM p WHERE src - 7 NOT IN (SELECT src FROM p)""")
+@query("""WITH RECURSIVE s AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS u FROM events), e AS (SELECT u AS a, u + 7 AS b FROM s UNION ALL SELECT u + 7, u FROM s),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
 def i01_graph_components(spark, sf):
-    """Components of a graph of user ids: each id is joined to the one seven above. The SQL has a third of the edges."""
+    """Components of a graph of user ids: each id is joined to the one seven above."""
     u = table(spark, sf, "events").select("user_id").distinct()
     return connected_components(u.select(F.col("user_id").alias("src"), (F.col("user_id") + 7).alias("dst")))
 

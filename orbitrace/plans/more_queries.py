@@ -74,19 +74,24 @@ def e17_threshold_trend(spark, sf):
 
 
 @query(f"""{WITH_TRACKS}, h AS (SELECT t, CAST(round_even(y / (100.0e0 * 0.8660254037844386e0), 0) AS BIGINT) AS hy, x FROM tracks), b AS (SELECT t, hy, CAST(round_even(x / 100.0e0 - (hy % 2) * 0.5e0, 0) AS BIGINT) AS hx FROM h),
-n AS (SELECT t, hx, hy, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT DISTINCT t FROM tracks), k AS (SELECT a.t, count(*) AS k FROM f AS a JOIN f AS b ON b.t BETWEEN a.t - 5 AND a.t + 5 GROUP BY a.t),
-d AS (SELECT f.t, n.hx, n.hy, sum(n.n) / max(k.k) AS density FROM f JOIN n ON n.t BETWEEN f.t - 5 AND f.t + 5 JOIN k ON k.t = f.t GROUP BY ALL) SELECT t, hx, hy, {R('density')} AS density FROM d""")
+n AS (SELECT t, hx, hy, count(*) AS n FROM b GROUP BY ALL), f AS (SELECT DISTINCT t FROM tracks), k AS (SELECT a.t, count(*) AS k FROM f AS a JOIN f AS b ON b.t BETWEEN a.t - 25 AND a.t + 25 GROUP BY a.t),
+d AS (SELECT f.t, n.hx, n.hy, sum(n.n) / max(k.k) AS density FROM f JOIN n ON n.t BETWEEN f.t - 25 AND f.t + 25 JOIN k ON k.t = f.t GROUP BY ALL),
+o AS (SELECT * FROM (VALUES (0, 0, 0), (0, -1, 0), (0, 1, 0), (1, -1, 1), (1, 0, 1), (-1, -1, 1), (-1, 0, 1)) AS v(dy, dx, odd))
+SELECT d.t, d.hx, d.hy, {R('max(d.density)')} AS density, {R('sum(e.density) / 7')} AS smooth FROM d CROSS JOIN o JOIN d AS e ON e.t = d.t AND e.hy = d.hy + o.dy AND e.hx = d.hx + o.dx + o.odd * (((d.hy % 2) + 2) % 2) GROUP BY ALL""")
 def e25_hex_counts(spark, sf):
-    """Counts within 25 frames and their mean over near bins; the SQL has counts within 5 frames only."""
+    """Counts within 25 frames and their mean over near bins."""
     return rounded(P.hex_counts(tracks(spark, sf), "x", "y", 100.0).select("t", "hx", "hy", "density", "smooth"))
 
 
-@query("SELECT c_custkey, 'A' || lpad(CAST(c AS VARCHAR), 2, '0') AS well_id, CAST(c_nationkey + c AS VARCHAR) AS genotype FROM customer, unnest([1, 2, 3]) AS u(c) WHERE (c_nationkey + c) % 4 <> 0")
+@query("""WITH w AS (SELECT c_custkey, c_nationkey, chr(CAST(65 + c_custkey % 8 AS INT)) AS r FROM customer), p AS (SELECT c_custkey, r, c, c_nationkey + c AS g FROM w, unnest(range(0, 12)) AS u(c))
+SELECT c_custkey, r || lpad(CAST(c AS VARCHAR), 2, '0') AS well_id, CAST(g AS VARCHAR) AS genotype FROM p WHERE g % 4 <> 0""")
 def a11_plate_map(spark, sf):
-    """Three plate columns per customer row, some empty."""
-    wide = table(spark, sf, "customer").select("c_custkey", *(F.when((F.col("c_nationkey") + c) % 4 != 0, F.col("c_nationkey") + c).alias(str(c)) for c in (1, 2, 3)), F.concat(F.lit("A#"), "c_custkey").alias("row"))
-    long = A.plate_map(wide, "genotype", (1, 2, 3))
-    return long.select(F.regexp_extract("well_id", r"#([0-9]+?)[0-9]{2}$", 1).cast("long").alias("c_custkey"), F.concat(F.lit("A"), F.substring("well_id", -2, 2)).alias("well_id"), "genotype")
+    """Every customer is one row, A to H, of a plate of twelve columns; some wells are empty."""
+    name = F.chr((65 + F.col("c_custkey") % 8).cast("int"))
+    cells = (F.when((F.col("c_nationkey") + c) % 4 != 0, F.col("c_nationkey") + c).alias(str(c + 1)) for c in range(12))
+    wide = table(spark, sf, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit("#"), name).alias("row"), *cells)
+    parts = F.split("well_id", "#")
+    return A.plate_map(wide, "genotype").select(parts[0].cast("long").alias("c_custkey"), parts[1].alias("well_id"), "genotype")
 
 
 @query("SELECT s_suppkey AS series, CAST(c AS INT) AS time_index, CAST((s_suppkey + c) % 3 AS BIGINT) AS qc_flag FROM supplier, unnest([0, 1, 2]) AS u(c)")

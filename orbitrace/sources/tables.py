@@ -66,14 +66,18 @@ def channel_index(channels: F.Column | str = "channels"):
 
 
 def frame_key(t):
-    return F.concat(F.lit("t"), F.lpad(t.cast("string"), 4, "0"))
+    """Column: ``t`` and the frame with leading zeros to four digits; longer numbers are written whole, null stays null."""
+    return F.when(t.isNotNull(), F.format_string("t%04d", t.cast("long")))
 
 
 def plate_map(sheet: DataFrame, value: str, columns=range(1, 13), row: str = "row") -> DataFrame:
-    """A wide plate sheet (a row letter and one column per plate column) to ``well_id, value``; empty wells go."""
-    wide = sheet.select(row, *(F.col(str(c)).cast("string").alias(str(c)) for c in columns))
-    long = wide.unpivot(row, [str(c) for c in columns], "col", value).where(F.col(value).isNotNull())
-    return long.select(F.concat(F.col(row), F.lpad("col", 2, "0")).alias("well_id"), value)
+    """A wide plate sheet (a row letter and one column per plate column) to ``well_id, value``; empty wells go.
+
+    Wells are named by row letter and the place of their column from 00, so a full plate is ``A00`` to ``H11``.
+    """
+    wide = sheet.select(row, *(F.col(str(c)).cast("string").alias(f"{k:02d}") for k, c in enumerate(columns)))
+    long = wide.unpivot(row, [c for c in wide.columns if c != row], "col", value).where(F.col(value).isNotNull())
+    return long.select(F.concat(F.col(row), F.col("col")).alias("well_id"), value)
 
 
 def curation(sheet: DataFrame, key: str = "series") -> DataFrame:

@@ -18,7 +18,10 @@ SF = "/root/testdata/sf0.001"
 
 def test_plate_and_curation(spark):
     sheet = spark.createDataFrame([("A", "wt", None), ("B", None, "mut")], "row string, `1` string, `2` string")
-    assert sorted(map(tuple, tables.plate_map(sheet, "genotype", (1, 2)).collect())) == [("A01", "wt"), ("B02", "mut")]
+    assert sorted(map(tuple, tables.plate_map(sheet, "genotype", (1, 2)).collect())) == [("A00", "wt"), ("B01", "mut")]
+    plate = spark.createDataFrame([(letter, *(f"{letter}{c}" for c in range(12))) for letter in "ABCDEFGH"], ", ".join(["row string", *(f"`{c}` string" for c in range(1, 13))]))
+    named = {r.well_id: r.chem_i for r in tables.plate_map(plate, "chem_i").collect()}
+    assert len(named) == 96 and min(named) == "A00" and max(named) == "H11" and named["C07"] == "C7"
     flags = tables.curation(spark.createDataFrame([(3, 1, 0)], "series int, `0` int, `1` int"))
     assert sorted(map(tuple, flags.collect())) == [(3, 0, 1), (3, 1, 0)]
     wells = spark.createDataFrame([("A01", 3, 1, 7200.0)], "well_id string, series int, time_index int, time double")
@@ -26,6 +29,11 @@ def test_plate_and_curation(spark):
     assert tables.frame_metadata(wells, plate, flags).first().stage == 26.0
 
 
+def test_frame_keys_are_not_cut(spark):
+    got = [r.k for r in spark.createDataFrame([(7,), (9999,), (10000,), (10001,), (None,)], "t int").select("t", tables.frame_key(F.col("t")).alias("k")).orderBy(F.asc_nulls_last("t")).collect()]
+    assert got == ["t0007", "t9999", "t10000", "t10001", None]
+
+
 def test_choice_of_run(spark):
     runs = spark.createDataFrame([("a", 0, 100, False), ("b", 0, 200, True), ("c", 50, 60, True)], "run string, start int, stop int, with_flow boolean")
     assert tables.choose_run(runs, 10, 90).first().run == "b" and tables.choose_run(runs, 10, 90, False).first().run == "a"

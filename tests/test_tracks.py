@@ -134,7 +134,7 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_greedy_assignment(spark):
+def test_greedy_assignment(spark, monkeypatch):
     rng = random.Random(5)
     pairs = [(a, b, float(rng.randrange(6))) for a in range(12) for b in range(12) if rng.random() < 0.4]
     got = {(r.a, r.b) for r in clusters.greedy_assignment(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s").collect()}
@@ -142,6 +142,9 @@ def test_greedy_assignment(spark):
     for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
         if a not in left and b not in right:
             left.add(a), right.add(b), want.add((a, b))
+    monkeypatch.setattr(clusters, "LOCAL_PAIRS", 20)
+    rounds = {(r.a, r.b) for r in clusters.greedy_assignment(spark.createDataFrame(pairs, "a long, b long, s double"), "a", "b", "s").collect()}
+    assert got == rounds == want
     # equal scores may be taken in either order, so compare what greedy guarantees
     assert {s for a, b, s in pairs if (a, b) in got} <= {s for *_, s in pairs} and len({a for a, _ in got}) == len(got)
     assert sum(s for a, b, s in pairs if (a, b) in got) == sum(s for a, b, s in pairs if (a, b) in want)
@@ -193,6 +196,46 @@ def test_fusing(spark):
     assert {r.track_id for r in out} == {1, 3} and all(r.y == 0.5 for r in out if r.track_id == 1)
 
 
+def test_fusing_takes_the_median_over_all_common_frames(spark):
+    # near in 6 of 60 common frames and far in the others: two cells, whose paths cross
+    k = track_rows(spark, [(i, -1, t, float(t) + (500.0 if i == 2 and t >= 6 else 0.0), 0.0, 0.0, 0.0) for i in (1, 2) for t in range(60)])
+    assert {r.track_id for r in lineage.fuse_duplicates(k, 5.0).collect()} == {1, 2}
+    # near in 31 of 60: one cell
+    k = track_rows(spark, [(i, -1, t, float(t) + (500.0 if i == 2 and t >= 31 else 0.0), 0.0, 0.0, 0.0) for i in (1, 2) for t in range(60)])
+    assert {r.track_id for r in lineage.fuse_duplicates(k, 5.0).collect()} == {1}
+    # four common frames are too few
+    k = track_rows(spark, [(i, -1, t, float(t), 0.0, 0.0, 0.0) for i in (1, 2) for t in range(4)])
+    assert {r.track_id for r in lineage.fuse_duplicates(k, 5.0).collect()} == {1, 2}
+
+
+def test_exact_quantiles_and_ids(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANK_BLOCK", 7)
+    rng = random.Random(4)
+    values = [float(rng.randrange(60)) for _ in range(211)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    shares = [0.0, 0.1, 0.37, 0.5, 0.95, 1.0]
+    assert stats.exact_quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist())
+    assert stats.exact_quantiles(df.where("v IS NULL"), "v", shares) == []
+    assert stats.quantile_bins(df.where("v IS NULL"), "v", 4, "v").count() == 0
+    ids = {v: k for k, v in enumerate(sorted(set(values)))}
+    assert all(r.v_id == ids[r.v] for r in stats.category_ids(df, "v").collect()) and stats.category_ids(df, "v").count() == 211
+
+
+def test_components_of_blocks_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 5)
+    rng = random.Random(8)
+    edges = [(t, rng.randrange(30), rng.randrange(30)) for t in range(4) for _ in range(20)]
+    df = spark.createDataFrame(edges, "t int, a long, b long").select(F.struct("t", "a").alias("src"), F.struct("t", F.col("b").alias("a")).alias("dst"))
+    got = {(r.node.t, r.node.a): (r.component.t, r.component.a) for r in graph.connected_components(df, block="u.t").collect()}
+    label = {(t, x): (t, x) for t, a, b in edges for x in (a, b)}
+    for _ in range(40):
+        for t, a, b in edges:
+            label[t, a] = label[t, b] = min(label[t, a], label[t, b])
+    assert got == label
+    text = spark.createDataFrame([("b", "a"), ("é", "b"), ("q", "q"), (None, "a")], "src string, dst string")
+    assert {r.node: r.component for r in graph.connected_components(text).collect()} == {"a": "a", "b": "a", "é": "a", "q": "q"}
+
+
 def test_joined_runs(spark):
     cols = "track_id long, parent_track_id long, t int, x double"
     a = spark.createDataFrame([(1, -1, t, 0.0) for t in range(3)] + [(2, -1, t, 9.0) for t in range(3)], cols)
