@@ -121,21 +121,21 @@ class Encoder:
         self.by_pretoken = (spec["model"].get("type"), (spec.get("pre_tokenizer") or {}).get("type"), spec.get("normalizer")) == ("BPE", "ByteLevel", None)
         shown = {b: c for c, b in byte_alphabet().items()}
         self.letters = {b: shown[b] for b in range(256)}
-        self.memo: dict[int, np.ndarray] = {}
-        self.older: dict[int, np.ndarray] = {}
+        self.memo: dict[str, np.ndarray] = {}
+        self.older: dict[str, np.ndarray] = {}
 
-    def _remember(self, spans: Spans, keys: list[int], sample: list[int]) -> dict[int, np.ndarray]:
-        """The memo, which then has all of ``keys``."""
+    def _remember(self, words: list[str]) -> dict[str, np.ndarray]:
+        """The memo, which then has all of ``words``."""
         if len(self.memo) > MAX_MEMO:
             self.memo, self.older = {}, self.memo
         memo, older, tokenize = self.memo, self.older, self.library.model.tokenize
-        for key, at in zip(keys, sample, strict=True):
-            if key not in memo:
-                ids = older.get(key)
+        for word in words:
+            if word not in memo:
+                ids = older.get(word)
                 if ids is None:
-                    word = spans.text(at).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-                    ids = np.array([t.id for t in tokenize(word)], dtype=np.uint32)
-                memo[key] = ids
+                    shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+                    ids = np.array([t.id for t in tokenize(shown)], dtype=np.uint32)
+                memo[word] = ids
         return memo
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -144,10 +144,9 @@ class Encoder:
             return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
         parts, rows, follows = split_special(texts, self.names)
         spans = Spans(parts)
-        keys, sample, place = spans.distinct()
-        keys = keys.tolist()
-        memo = self._remember(spans, keys, sample.tolist())
-        each = [memo[key] for key in keys]
+        words, place = spans.distinct()
+        memo = self._remember(words)
+        each = [memo[word] for word in words]
         sizes = np.array([len(x) for x in each], dtype=np.int64)
         flat = np.concatenate(each) if each else np.zeros(0, np.uint32)
         heads = np.cumsum(sizes) - sizes

@@ -153,7 +153,7 @@ def scan(stream: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 
 
 class Spans:
-    """Pre-tokens of a batch of texts: ``start`` and ``end`` in ``joined``, ``key`` (64-bit hash) and ``row`` per pre-token."""
+    """Pre-tokens of a batch of texts: ``start`` and ``end`` in ``joined``, ``row``, and a hash as ``key``, per pre-token."""
 
     def __init__(self, texts: list[str]):
         self.joined = "\x00".join(texts) + "\x00"
@@ -167,17 +167,46 @@ class Spans:
         self.start, self.end = opened[is_text], after[is_text]
         self.row = np.searchsorted(stops, self.start)
         self.key = word_hashes(chars, self.start, self.end)
+        self.chars = chars
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, the place of one pre-token of each, and each pre-token's place among the keys."""
+    def distinct(self) -> tuple[list[str], np.ndarray]:
+        """Distinct pre-tokens, and each pre-token's place among them.
+
+        Hashes bring equal ones together; each is then compared with the first of its hash, letter by letter, and one
+        that differs is told apart by its text.
+        """
         place, keys = pd.factorize(self.key)
         sample = np.empty(len(keys), dtype=np.int64)
         sample[place[::-1]] = np.arange(len(place))[::-1]
-        return keys, sample, place
+        words = [self.joined[a:b] for a, b in zip(self.start[sample].tolist(), self.end[sample].tolist(), strict=True)]
+        odd = self._unlike(sample[place])
+        if len(odd):
+            place, known = place.copy(), {}
+            for i in odd.tolist():
+                word = self.text(i)
+                if word not in known:
+                    known[word] = len(words)
+                    words.append(word)
+                place[i] = known[word]
+        return words, place
 
     def text(self, i: int) -> str:
         return self.joined[self.start[i] : self.end[i]]
 
+    def _unlike(self, other: np.ndarray) -> np.ndarray:
+        """Pre-tokens that are not letter by letter the ones whose numbers stand in ``other``."""
+        size = self.end - self.start
+        unlike = size != size[other]
+        total = np.cumsum(size)
+        if len(size):
+            # letters of all pre-tokens one after the other, and those of the others beside them
+            shift = np.repeat(self.start - (total - size), size)
+            at = np.arange(total[-1]) + shift
+            beside = np.minimum(at + np.repeat(self.start[other] - self.start, size), len(self.chars) - 1)
+            wrong = np.flatnonzero(self.chars[at] != self.chars[beside])
+            unlike[np.searchsorted(total, wrong, side="right")] = True
+        return np.flatnonzero(unlike)
+
 
 def split_special(texts: list[str], special: list[str]) -> tuple[list[str], list[int], list[int]]:
     """Parts of the texts between special strings, the row of each part, and the rows at whose parts' ends one stood.

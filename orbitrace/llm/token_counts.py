@@ -128,24 +128,24 @@ class TokenCounter:
 
     def __init__(self, path: str):
         self.transducer, self.special = load_tokenizer(path)
-        self.memo: dict[int, int] = {}
+        self.memo: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> np.ndarray:
         parts, rows, follows = split_special(texts, self.special)
         spans = Spans(parts)
-        keys, sample, place = spans.distinct()
+        words, place = spans.distinct()
         memo, count = self.memo, self.transducer.count
         if len(memo) > MAX_MEMO:
             memo.clear()
-        got = np.empty(len(keys), dtype=np.int64)
-        for i, (key, at) in enumerate(zip(keys.tolist(), sample.tolist(), strict=True)):
-            n = memo.get(key)
+        got = np.empty(len(words), dtype=np.int64)
+        for i, word in enumerate(words):
+            n = memo.get(word)
             if n is None:
-                n = memo[key] = count(spans.text(at).encode("utf-8", "surrogatepass"))
+                n = memo[word] = count(word.encode("utf-8", "surrogatepass"))
             got[i] = n
         rows = np.array(rows, dtype=np.int64)
         out = np.bincount(rows, weights=np.array(follows) >= 0, minlength=len(texts)).astype(np.int64)
-        if len(keys):
+        if len(words):
             out += np.bincount(rows[spans.row], weights=got[place], minlength=len(texts)).astype(np.int64)
         return out
 

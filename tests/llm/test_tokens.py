@@ -195,3 +195,24 @@ def test_codec_over_documents(docs, no_docs):
     back = sorted((r.doc_id or -1, r.text) for r in sp.decode_documents(out, PIECES).collect())
     assert back == sorted((r.doc_id or -1, r.text or "") for r in docs.collect())
     assert sp.encode_documents(no_docs, PIECES).count() == 0
+
+
+def regular_words(n, pairs=("ab", "tr", "xy")):
+    """Thue-Morse words and their complements: polynomial hashes modulo 2**64 of these are equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join(p[b ^ flip] for b in bits) for p in pairs for flip in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_equal_hash_are_told_apart(library, n):
+    words = regular_words(n)
+    texts = [*words, " ".join(words), *words[::-1]]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    counter, encoder = TokenCounter(BPE), pk.Encoder(BPE)
+    for _ in range(2):
+        assert counter.counts(texts).tolist() == [len(ids) for ids in want]
+        assert [ids.tolist() for ids in encoder.ids(texts)] == want
+    # over batches: what is remembered is told apart too
+    counter, encoder = TokenCounter(BPE), pk.Encoder(BPE)
+    assert [counter.counts([t])[0] for t in words] == [len(ids) for ids in want[: len(words)]]
+    assert [encoder.ids([t])[0].tolist() for t in words] == want[: len(words)]
