@@ -274,38 +274,45 @@ def redact(text: str, spans: dict[str, list[Span]]) -> str:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added`` for every row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added`` and ``all_<kind>`` for every row.
 
-    The counts and the digest are of the plain spans; ``spans`` lists all and ``n_added`` counts what the rewriting
-    added. Null text counts as empty. Rows that repeat give rows that repeat, extra columns are ignored, an empty table
+    The ``n_<kind>`` counts and the digest are of the plain spans; ``spans`` lists all, ``all_<kind>`` and ``n_spans``
+    count all, and ``n_added`` counts what the rewriting added. Null text counts as empty. Rows that repeat give rows that repeat, extra columns are ignored, an empty table
     gives an empty result. Offsets are code points, ends exclusive.
     """
     bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            plain, digest, listed, added = {k: [] for k in KINDS}, [], [], []
+            plain, total, digest, listed, added = {k: [] for k in KINDS}, {k: [] for k in KINDS}, [], [], []
             for text in pc.fill_null(batch.column("text"), "").to_pylist():
                 base, every = find_spans(text)
                 for k in KINDS:
                     plain[k].append(len(base[k]))
+                    total[k].append(len(every[k]))
                 digest.append(hashlib.sha256(listing(base).encode()).hexdigest())
                 listed.append(listing(every))
                 added.append(sum(map(len, every.values())) - sum(map(len, base.values())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(plain[k], pa.int64()) for k in KINDS), pa.array(digest), pa.array(listed, pa.string()), pa.array(added, pa.int64())],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                [
+                    batch.column("doc_id"), *(pa.array(plain[k], pa.int64()) for k in KINDS), pa.array(digest, pa.string()), pa.array(listed, pa.string()),
+                    pa.array([sum(n) for n in zip(*total.values(), strict=True)], pa.int64()), pa.array(added, pa.int64()), *(pa.array(total[k], pa.int64()) for k in KINDS),
+                ],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans", "n_added", *(f"all_{k}" for k in KINDS)],
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+        run,
+        "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long, "
+        + ", ".join(f"all_{k} long" for k in KINDS),
     )
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced by its kind and ``n_chars`` brought up to date where it exists.
 
-    Null text stays null. All columns are kept in order.
+    Null text stays null, empty text empty. Rows that repeat give rows that repeat; an empty table gives an empty result.
+    All columns are kept in order, whatever their names.
     """
     bound_batches(docs.sparkSession)
 
