@@ -7,6 +7,7 @@ bundles the profiles of its training texts, and a text is compared with the prot
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -135,8 +136,11 @@ def fit_prototypes(training: DataFrame, dimensions: int = DIMENSIONS) -> tuple[l
     return names, np.array(vectors, dtype=np.float32).reshape(len(names), dimensions)
 
 
-def score_languages(docs: DataFrame, names: list[str], prototypes: np.ndarray, prediction: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with a language and its cosine (0 to 1) per row, from the column ``text`` alone.
+def score_languages(
+    docs: DataFrame, names: list[str], prototypes: np.ndarray, prediction: str = "lang_pred", score: str = "score", margin: str | None = None
+) -> DataFrame:
+    """``docs`` with a language and its cosine (0 to 1) per row, from the column ``text`` alone; ``margin``, if named, is
+    how far the cosine is above that of the next language (the cosine itself where only one was learned).
 
     Null text, text without letters, and any text where nothing was learned get ``und`` and 0. Ties take the first
     language in order. All columns of ``docs`` are kept; two of the new names are replaced.
@@ -145,8 +149,10 @@ def score_languages(docs: DataFrame, names: list[str], prototypes: np.ndarray, p
     bound_batches(spark)
     dimensions = prototypes.shape[1]
     shared = spark.sparkContext.broadcast((names, prototypes))
-    kept = [c for c in docs.columns if c not in (prediction, score)]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{prediction}` string", f"`{score}` double"])
+    made_names = [prediction, score, *([margin] if margin else [])]
+    kept = [c for c in docs.columns if c not in made_names]
+    kinds = ["string", "double", "double"]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` {k}" for c, k in zip(made_names, kinds))])
 
     def run(batches):
         langs, vectors = shared.value
@@ -158,10 +164,12 @@ def score_languages(docs: DataFrame, names: list[str], prototypes: np.ndarray, p
                 best = cosine.argmax(axis=1)
                 value = np.clip(np.round(cosine[np.arange(len(best)), best], 9), 0, 1)
                 label = [langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)]
+                others = np.clip(np.sort(cosine, axis=1)[:, -2], 0, 1) if len(langs) > 1 else np.zeros(len(n))
             else:
-                value, label = np.zeros(len(n)), [UNKNOWN] * len(n)
-            value = np.where(n > 0, value, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(label, pa.string()), pa.array(value, pa.float64())], names=[*kept, prediction, score])
+                value, others, label = np.zeros(len(n)), np.zeros(len(n)), [UNKNOWN] * len(n)
+            value, others = np.where(n > 0, value, 0.0), np.where(n > 0, others, 0.0)
+            made_columns = [pa.array(label, pa.string()), pa.array(value, pa.float64()), pa.array(value - others, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made_columns[: len(made_names)]], names=[*kept, *made_names])
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -177,8 +185,18 @@ def identify_languages(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFra
     return score_languages(rows, names, prototypes).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.1) -> DataFrame:
-    """The rows of ``docs`` whose language is told: not ``und``, and a cosine of at least ``least``."""
+def keep_identified(docs: DataFrame, least: float = 0.5, margin: float = 0.1, languages: Sequence[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text is plainly in one language, and in the one it is labelled with.
+
+    A row goes if its language cannot be told (``und``: null text, or no letter), if the cosine is under ``least`` or
+    less than ``margin`` above the next language's (a mix), if its non-null ``lang`` names another language than the
+    text, or, where ``languages`` is given, if the language is none of those. A null ``lang`` rejects nothing. Rows that
+    repeat stay or go together; all columns are kept in order; an empty table, or one without labels, gives no rows.
+    """
     names, prototypes = fit_prototypes(docs.where(~is_held_out()))
-    told = score_languages(docs, names, prototypes, "__lang_pred", "__lang_score")
-    return told.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least)).drop("__lang_pred", "__lang_score")
+    told = score_languages(docs, names, prototypes, "__lang_pred", "__lang_score", "__lang_margin")
+    good = (F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least) & (F.col("__lang_margin") >= margin)
+    good = good & (F.col("lang").isNull() | (F.col("lang") == F.col("__lang_pred")))
+    if languages is not None:
+        good = good & F.col("__lang_pred").isin(list(languages))
+    return told.where(good).drop("__lang_pred", "__lang_score", "__lang_margin")

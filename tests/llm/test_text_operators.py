@@ -199,6 +199,7 @@ def test_pii_over_documents(spark, docs, no_docs):
     for r in pii.find_personal_data(docs.unionByName(extra)).where("doc_id = 900").collect():
         spans = "email:0:6,ip:7:14,phone:15:29"
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (1, 1, 0, 1, spans)
+        assert (r.all_email, r.all_ip, r.all_card, r.all_phone, r.n_spans, r.n_added) == (1, 1, 0, 1, 3, 0)
         assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
     clean = pii.redact_documents(docs.unionByName(extra))
     assert clean.columns == docs.columns
@@ -249,6 +250,19 @@ def test_language_of_odd_and_empty_tables(docs, no_docs):
     assert {r.lang_pred for r in li.identify_languages(none).collect()} == {"und"}
 
 
+def test_filter_by_language(spark):
+    rng = random.Random(3)
+    syllables = {"aa": ["ka", "to", "mi", "ra"], "bb": ["sch", "ung", "keit", "zu"]}
+    text = lambda lang, n=40: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(i, text("ab"[i % 2] * 2), "ab"[i % 2] * 2) for i in range(120)]
+    odd = [(200, text("aa"), "bb"), (201, text("aa", 20) + " " + text("bb", 20), "aa"), (202, None, "aa"), (203, "1 2 3", None), (204, text("bb"), None), (205, "πρω θεα " * 20, "aa")]
+    df = spark.createDataFrame(rows + odd + rows[:1], "doc_id long, text string, lang string")
+    kept = sorted(r.doc_id for r in li.keep_identified(df).collect())
+    # mislabelled, mixed, empty, without letters and unknown go; a null label rejects nothing
+    assert kept == sorted([i for i, _, _ in rows] + [0, 204])
+    assert {r.lang for r in li.keep_identified(df, languages=["aa"]).collect()} == {"aa"}
+
+
 def test_warc_records_are_linked(spark):
     html = "<html><title> A\n title </title><script>x('<p>')</script><body><p>One &amp; two</p><p>three<br>four</p><a class=k href=\"/u?a=1\">go</a></body></html>"
     pages = spark.createDataFrame([(1, "http://e.org/", html), (2, None, None), (3, "http://f.org/", ""), (1, "http://e.org/", html)], "page_id long, url string, html string")
