@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from orbitrace.llm.batches import bound_batches
 from orbitrace.llm.text_hash import distinct_shingles, minhash, mix64, scramble, shingle_hashes
-from orbitrace.operators.graph import connected_components
-from orbitrace.session import materialize
+from orbitrace.operators.graph import connected_components, merge_labels
+from orbitrace.session import discard, materialize
 
 TREES, DEPTH, TARGET = 20, 8, 0.99995
-BLOCK_ROWS, BLOCK_CHARS, NODE_ROWS = 512, 8_000_000, 4096
+BLOCK_ROWS, BLOCK_BYTES, NODE_ROWS = 512, 8_000_000, 4096
+#: Rows of a node's block at least, however many tasks there are.
+LEAST_NODE_ROWS = 256
 #: A broadcast table of cluster members may hold this many rows (under 64 MB); above it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -42,19 +44,6 @@ def estimate_floor(threshold: float, slots: int) -> float:
     return threshold - 5.2 * math.sqrt(threshold * (1 - threshold) / slots)
 
 
-def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Component labels of rows after the links ``a[i]-b[i]`` (arrays of row numbers) are added."""
-    labels = labels.copy()
-    while True:
-        low = np.minimum(labels[a], labels[b])
-        before = labels.copy()
-        np.minimum.at(labels, labels[a], low)
-        np.minimum.at(labels, labels[b], low)
-        labels = labels[labels]
-        if np.array_equal(before, labels):
-            return labels
-
-
 def node_links(paths: np.ndarray, sketches: np.ndarray, shared: int, floor: float) -> np.ndarray:
     """Component label of each row of one trie node under "estimated similarity of at least ``floor``".
 
@@ -74,7 +63,11 @@ def node_links(paths: np.ndarray, sketches: np.ndarray, shared: int, floor: floa
         if labels.max() == 0:
             return labels
     values, counts = np.unique(labels, return_counts=True)
-    for i in np.flatnonzero(labels != values[counts.argmax()]):
+    main = labels == values[counts.argmax()]
+    rest = np.flatnonzero(~main)
+    # equal sketches among them are linked to the same rows
+    _, one = np.unique(np.ascontiguousarray(sketches[rest]).view(f"V{sketches.shape[1]}").ravel(), return_index=True)
+    for i in rest[one]:
         hit = np.flatnonzero((sketches == sketches[i]).mean(axis=1) >= floor)
         if (labels[hit] != labels[i]).any():
             labels = merge_labels(labels, np.full(len(hit), i), hit)
@@ -112,7 +105,7 @@ def block_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, thres
 
 
 def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> DataFrame:
-    """``doc_id, key, n_bytes, sketch, nodes``: text key (MD5), 8-bit sketch and the node id of every tree."""
+    """``doc_id, key, sketch, nodes``: text key (MD5), 8-bit sketch and the node id of every tree."""
     k = trees * depth
 
     def sign(batches):
@@ -131,22 +124,24 @@ def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> D
                 [
                     batch.column("doc_id"),
                     pa.array([hashlib.md5(t).digest() for t in raw], pa.binary()),
-                    pa.array([len(t) for t in raw], pa.int64()),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
                     pa.array([x if ok else [] for x, ok in zip(node.view(np.int64).tolist(), full, strict=True)], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "n_bytes", "sketch", "nodes"],
+                names=["doc_id", "key", "sketch", "nodes"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key binary, n_bytes long, sketch binary, nodes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key binary, sketch binary, nodes array<long>")
 
 
 def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: float) -> DataFrame:
     """Edges ``(src, dst)`` that join the texts of each trie node whose sketches are alike."""
     spark = texts.sparkSession
     slim = texts.select(F.posexplode("nodes").alias("tree", "node"), "key")
-    crowded = slim.groupBy("node").agg(F.count("*").alias("m"), F.min("tree").alias("tree")).where("m > 1")
-    blocks = F.ceil(F.col("m") / NODE_ROWS).cast("int")
+    crowded = materialize(slim.groupBy("node").agg(F.count("*").alias("m"), F.min("tree").alias("tree")).where("m > 1"), "crowded")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a block of a node holds at most half of an even task's rows
+    most = min(NODE_ROWS, max(LEAST_NODE_ROWS, (crowded.agg(F.sum("m").alias("m")).first().m or 0) // (2 * parts)))
+    blocks = F.ceil(F.col("m") / most).cast("int")
     placed = (
         slim.drop("tree").join(crowded, "node")
         .withColumn("nb", blocks)
@@ -154,7 +149,6 @@ def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: floa
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         .select("node", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key")
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
         placed.join(texts.select("key", "sketch"), "key")
         .repartition(parts, "node", "i", "j")
@@ -196,69 +190,114 @@ def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: floa
     return dealt.mapInArrow(link, "src binary, dst binary").distinct()
 
 
-def _verified(docs: DataFrame, members: DataFrame, n_members: int, threshold: float, width: int) -> DataFrame:
-    """``key, root, links``: per verification block the links of each text, by multiplicity, and its component there."""
-    spark = docs.sparkSession
-    shape = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
-    nb = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_CHARS)).cast("int")
-    sized = members.join(shape.select("component", nb.alias("nb")), "component")
+def _shingle_sets(docs: DataFrame, members: DataFrame, n_members: int, width: int) -> DataFrame:
+    """``key, component, copies, set, shingles``: the sorted shingle hashes of every member text, and a digest of them.
+
+    A row that repeats both id and text counts once here, and is combined before the shuffle.
+    """
+    sized = members.select("component", "key", "copies", "rep")
     if n_members <= BROADCAST_ROWS:
         sized = F.broadcast(sized)
     text = docs.select(F.col("doc_id").alias("__doc"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = text.join(sized, F.col("__doc").eqNullSafe(F.col("rep")) & (F.unhex(F.md5(F.col("text"))) == F.col("key"))).select("component", "key", "copies", "text")
+
+    def shingle(batches):
+        for batch in batches:
+            sets = [s.tobytes() for s in distinct_shingles(batch.column("text"), width)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())],
+                names=["component", "key", "copies", "set", "shingles"],
+            )
+
+    kind = members.schema["component"].dataType.simpleString()
+    made = placed.mapInArrow(shingle, f"component {kind}, key binary, copies long, set binary, shingles binary")
+    return made.groupBy("key").agg(*(F.first(c).alias(c) for c in ("component", "copies", "set", "shingles")))
+
+
+def _verified(sets: DataFrame, threshold: float) -> DataFrame:
+    """``set, root, links``: per verification block the links of each shingle set, by multiplicity, and its component there.
+
+    Equal sets travel once, with the number of rows that have them.
+    """
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = sets.groupBy("component", "set").agg(F.sum("copies").alias("copies"), F.first("shingles").alias("shingles"))
+    shape = one.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("b")).where("n > 1")
+    nb = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
     placed = (
-        text.join(sized, F.col("__doc").eqNullSafe(F.col("rep")) & (F.unhex(F.md5(F.col("text"))) == F.col("key")))
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+        one.join(shape.select("component", nb.alias("nb")), "component")
+        .withColumn("block", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(
-            "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "copies", "text"
-        )
+        .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "set", "copies", "shingles")
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "key")
+    dealt = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "block", "set")
 
     def verify(batches):
         held: list[tuple] = []
         at = None
 
         def close():
-            rows = list({r[1]: r for r in held}.values())  # a row that repeats in the input counts once here
-            sets = distinct_shingles(pa.array([r[3] for r in rows], pa.large_string()), width)
-            keys = [r[1] for r in rows]
-            copies = np.array([r[2] for r in rows], dtype=np.int64)
+            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in held]
+            keys = [r[1] for r in held]
+            copies = np.array([r[2] for r in held], dtype=np.int64)
             if at[1] == at[2]:
                 linked = block_links(sets, None, threshold)
                 links = linked @ copies
                 a, b = np.nonzero(linked)
             else:
-                n_a = sum(r[0] == at[1] for r in rows)
+                n_a = sum(r[0] == at[1] for r in held)
                 linked = block_links(sets[:n_a], sets[n_a:], threshold)
                 links = np.concatenate([linked @ copies[n_a:], copies[:n_a] @ linked])
                 a, b = np.nonzero(linked)
                 b = b + n_a
-            labels = merge_labels(np.arange(len(rows)), a, b)
+            labels = merge_labels(np.arange(len(held)), a, b)
             some = np.flatnonzero(links > 0)
             return [keys[x] for x in some], [keys[labels[x]] for x in some], links[some].tolist()
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["key", "root", "links"]
+                [pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["set", "root", "links"]
             )
 
         for batch in batches:
             out: list[list] = [[], [], []]
-            comp, i, j, block, key, copies, text = (c.to_pylist() for c in batch.columns)
+            comp, i, j, block, key, copies, shingles = (c.to_pylist() for c in batch.columns)
             for r, place in enumerate(zip(comp, i, j, strict=True)):
                 if place != at and held:
                     for o, x in zip(out, close(), strict=True):
                         o.extend(x)
                     held = []
                 at = place
-                held.append((block[r], key[r], copies[r], text[r]))
+                held.append((block[r], key[r], copies[r], shingles[r]))
             yield batch_of(out)
         if held:
             yield batch_of(close())
 
-    return dealt.mapInArrow(verify, "key binary, root binary, links long")
+    return dealt.mapInArrow(verify, "set binary, root binary, links long")
+
+
+def linked_texts(docs: DataFrame, texts: DataFrame, candidates: DataFrame, threshold: float, width: int, node: str = "key") -> DataFrame:
+    """``key, component, n_links`` of the texts in a candidate group, by exact Jaccard; what is in none has no row.
+
+    ``texts`` has ``key, rep, copies``, and ``candidates`` the edges ``src, dst`` between values of its column ``node``
+    (or others, which then join texts and are none). A component is named by a shingle set of it; equal sets are alike.
+    """
+    groups = connected_components(candidates)
+    of = texts.select(F.col(node).alias("node"), F.col("key").alias("__key"), "rep", "copies")
+    members = materialize(groups.join(of, "node").select("component", F.col("__key").alias("key"), "rep", "copies"), "members")
+    sets = materialize(_shingle_sets(docs, members, members.count(), width), "sets")
+    checked = materialize(_verified(sets, threshold), "checked")
+    classes = connected_components(checked.select(F.col("set").alias("src"), F.col("root").alias("dst")))
+    weight = sets.groupBy("set").agg(F.sum("copies").alias("weight"))
+    found = checked.groupBy("set").agg(F.sum("links").alias("links"))
+    per_set = weight.join(found, "set", "left").join(classes.withColumnRenamed("node", "set"), "set", "left")
+    out = materialize(
+        sets.select("key", "set").join(per_set, "set")
+        .select("key", F.coalesce("component", "set").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
+        "linked",
+    )
+    for done in (members, sets, checked):
+        discard(done)
+    return out
 
 
 def similarity_classes(
@@ -283,26 +322,19 @@ def similarity_classes(
     texts = materialize(
         signed.groupBy("key").agg(
             F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("has_null"), F.count("*").alias("copies"),
-            F.first("n_bytes").alias("n_bytes"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"),
+            F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"),
         ).withColumn("rep", F.when(~F.col("has_null"), F.col("low"))),
         "texts",
     )
     floor = estimate_floor(threshold, trees * depth)
-    groups = connected_components(_candidates(texts, trees, depth, stop, floor))
-    members = materialize(
-        groups.join(texts.select(F.col("key").alias("node"), "rep", "copies", "n_bytes"), "node").withColumnRenamed("node", "key"),
-        "members",
-    )
-    checked = materialize(_verified(docs, members, members.count(), threshold, width), "checked")
-    classes = connected_components(checked.select(F.col("key").alias("src"), F.col("root").alias("dst")))
-    found = checked.groupBy(F.col("key").alias("node")).agg(F.sum("links").alias("links"))
-    per_text = (
-        texts.select("key", "rep", "copies")
-        .join(classes.withColumnRenamed("node", "key"), "key", "left")
-        .join(found.withColumnRenamed("node", "key"), "key", "left")
-        .select("key", "rep", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = linked_texts(docs, texts, _candidates(texts, trees, depth, stop, floor), threshold, width)
+    per_text = materialize(
+        texts.select("key", "rep", "copies").join(linked, "key", "left")
+        .select("key", "rep", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.col("copies") - 1).alias("n_links")),
+        "per_text",
     )
-    per_text = materialize(per_text, "per_text")
+    discard(texts)
+    discard(linked)
     # the first text of a class is the one with the smallest id, null before all, then the smallest key
     head = per_text.groupBy("component").agg(
         F.min(F.struct(F.col("rep").isNotNull().alias("some"), F.col("rep").alias("rep"), F.col("key").alias("key"))).alias("head")

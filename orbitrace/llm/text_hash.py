@@ -6,11 +6,15 @@ fewer words, but at least one, has one shingle made of all its words; a text wit
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SEGMENT = 1 << 22
+#: Bytes that are hashed at a time, and places of a word with values of their own.
+PART, PLACES = 1 << 17, 1 << 10
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -68,7 +72,10 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit polynomial hashes of the words, worked out by prefix sums over segments of at most a few MB."""
+    """64-bit polynomial hashes of the words, worked out by prefix sums over segments of at most a few MB.
+
+    Long regular words can collide, so what uses these must compare the words themselves.
+    """
     out = np.empty(len(starts), dtype=np.uint64)
     i = 0
     while i < len(starts):
@@ -84,11 +91,44 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
+@lru_cache(maxsize=1)
+def _place_values() -> np.ndarray:
+    """A scrambled value for every byte at every place of a word, modulo ``PLACES``: ``place << 8 | byte``."""
+    return mix64(np.arange(1, (PLACES << 8) + 1, dtype=np.uint64) * np.uint64(_BASE))
+
+
+def byte_word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of bytes: the sum of a scrambled value per byte and place in the word, scrambled again.
+
+    A value has no algebraic relation to that of another place, so unlike a polynomial the sum collides by chance only,
+    however long and regular the words are.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    values = _place_values()
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + PART, side="right")))
+        a, b = starts[i:j] - base, ends[i:j] - base
+        part = raw[base : base + b[-1]]
+        head = np.zeros(len(part), dtype=np.int64)
+        head[a] = a
+        place = np.arange(len(part)) - np.maximum.accumulate(head)
+        scrambled = values[(place & (PLACES - 1)) << 8 | part]
+        if (b - a).max() > PLACES:
+            scrambled = scrambled * (mix64((place >> 10).astype(np.uint64) * np.uint64(_BASE)) | np.uint64(1))
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(scrambled, out=total[1:])
+        out[i:j] = mix64(total[b] - total[a] + (b - a).astype(np.uint64) * _STEP)
+        i = j
+    return out
+
+
 def shingle_hashes(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text, in text order and with repeats, and ``n + 1`` offsets into them."""
     raw, offsets = utf8_buffer(column)
     starts, ends, before = word_spans(raw, offsets)
-    words = word_hashes(raw, starts, ends)
+    words = byte_word_hashes(raw, starts, ends)
     count = np.diff(before)
     made = np.where(count >= width, count - width + 1, np.minimum(count, 1))
     out_off = np.concatenate([[0], np.cumsum(made)])
