@@ -150,3 +150,47 @@ def test_banded_pairs_match_brute_force(spark):
 def test_shingles_by_hash_are_as_many():
     texts = ["a b c d e f g", "a b c", "", "x  y\tz\n1 2 3 1 2 3 1 2 3", "é è"]
     assert [len(s) for s in distinct_shingles(pa.array(texts))] == [len(shingles(t)) for t in texts]
+
+
+def test_long_regular_words_have_hashes_of_their_own():
+    bits = [bin(i).count("1") % 2 for i in range(8192)]
+    words = ["".join(p[b ^ flip] for b in bits[:n]) for n in (1024, 2048, 4096, 8192) for p in ("ab", "tr", "xy") for flip in (0, 1)]
+    words += ["a" * n for n in range(1, 3000, 7)] + ["ab", "ba"]
+    assert len({int(s[0]) for s in distinct_shingles(pa.array(words))}) == len(set(words))
+    # a hash does not depend on what else is in the batch
+    assert [int(s[0]) for s in distinct_shingles(pa.array(words))] == [int(distinct_shingles(pa.array([w]))[0][0]) for w in words]
+
+
+def test_texts_of_equal_sets_are_counted_by_row(spark, monkeypatch):
+    monkeypatch.setattr(nj, "BLOCK_ROWS", 2)
+    base = " ".join(f"w{i}" for i in range(30))
+    texts = [base, base, base.replace(" ", "  "), base.replace(" ", "\n"), base + " x", base + " x", base + " y", "other words that are few", "other  words that are few"]
+    rows = list(enumerate(texts)) + [(0, base), (None, base + " z")]
+    check_classes(nj.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), rows)
+
+
+def check_near(df, rows):
+    links, parts = brute_links(rows)
+    lead = {}
+    for (i, _), p in zip(rows, parts, strict=True):
+        lead[p] = min(lead.get(p, (True, 1 << 40)), (i is not None, i or 0))
+    want = sorted((str(i), n, str(lead[p][1] if lead[p][0] else None)) for (i, _), n, p in zip(rows, links, parts, strict=True))
+    assert sorted((str(r.doc_id), r.n_near, str(r.class_id)) for r in df.collect()) == want
+
+
+def test_fingerprint_query_verifies_bands(spark, docs, monkeypatch):
+    rows = list(enumerate(near_copies(seed=4, groups=3, size=6)))
+    rows += [(1000, rows[0][1]), (0, rows[0][1]), (None, rows[7][1] + " tail"), (5, "the same id with another text"), (None, None), (1001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_near(fp.fingerprint_documents(df, parts=3), rows)
+    check_near(fp.fingerprint_documents(docs, parts=2), [(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_crowded_bands_are_salted_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(fp, "LEAST_BAND_ROWS", 3)
+    rows = list(enumerate(near_copies(seed=21, groups=2, size=20)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.class_id): r.n_near for r in fp.near_duplicate_classes(df).collect()}
+    links, parts = brute_links(rows)
+    assert {i: n for (i, _), n in got.items()} == {i: n for (i, _), n in zip(rows, links, strict=True) if n}
+    assert len({c for _, c in got}) == len({p for p, n in zip(parts, links, strict=True) if n})
