@@ -21,36 +21,3 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END
   + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END AS BIGINT) AS fail_bits FROM c)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept FROM b
 """
-
-OP6 = r"""
-WITH r AS (
-  SELECT page_id, coalesce(url, '') AS target_uri, '1970-01-01T00:00:00Z' AS warc_date, coalesce(html, '') AS payload,
-    'sha256:' || sha256(coalesce(html, '')) AS source_digest,
-    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: '
-      || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) AS source_headers
-  FROM pages),
-i AS (SELECT *, md5('response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || target_uri || '|' || source_digest) AS h FROM r),
-n AS (SELECT *, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || '>' AS refers_to FROM i),
-t AS (SELECT *,
-  trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g')) AS title,
-  regexp_extract_all(payload, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS links,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(payload,
-    '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'), '[\t\n\f\r \x0B]+', ' ', 'g'),
-    '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?:\s[^>]*)?/?>', chr(10), 'g'),
-    '<[^>]*>', '', 'g') AS bare
-  FROM n),
-u AS (SELECT *, replace(replace(replace(replace(replace(replace(replace(bare, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-  '&#39;', ''''), '&apos;', ''''), '&amp;', '&') AS plain FROM t),
-v AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(plain, '[\t\f\r \x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'),
-  '^[ \n]+|[ \n]+$', '', 'g') AS txt FROM u),
-d AS (
-  SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
-    'title: ' || title || chr(13) || chr(10) || 'link-count: ' || CAST(len(links) AS VARCHAR) || chr(13) || chr(10)
-      || coalesce(array_to_string(list_transform(links, lambda x: 'outlink: ' || x || chr(13) || chr(10)), ''), '') AS content FROM v
-  UNION ALL SELECT *, 'conversion', 'text/plain', txt FROM v),
-m AS (SELECT *, md5(warc_type || '|' || refers_to) AS g FROM d)
-SELECT page_id, warc_type, '<urn:uuid:' || g[1:8] || '-' || g[9:12] || '-' || g[13:16] || '-' || g[17:20] || '-' || g[21:32] || '>' AS record_id,
-  refers_to, target_uri, warc_date, content_type, source_headers, source_digest, 'sha256:' || sha256(content) AS block_digest,
-  CAST(strlen(content) AS BIGINT) AS content_length, content
-FROM m
-"""

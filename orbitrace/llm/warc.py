@@ -108,7 +108,11 @@ def derivatives(records: DataFrame) -> DataFrame:
     source_digest, block_digest, content_length, content``. ``refers_to`` is the response's record id, and the source's
     HTTP headers and payload digest go along unchanged. The metadata content is warc-fields: the title, the number of
     links, and an ``outlink`` line per link in page order. Character references are resolved in text, title and links.
-    Responses that repeat give records that repeat with the same ids. An empty payload gives an empty conversion and a metadata record without links; an empty table gives nothing.
+    Responses that repeat give records that repeat with the same ids. An empty payload gives an empty conversion and a
+    metadata record without links; an empty table gives nothing. Other columns of ``records`` are ignored, and none of
+    their names clashes with what is made here. A page is worked on whole, however long. Malformed markup is read by the
+    same patterns: a script, style or comment that never ends is text from its tag on, a ``<`` without a ``>`` is text, an
+    anchor without href is no link, and a title that never ends is none.
     """
     bound_batches(records.sparkSession)
     title = F.trim(F.regexp_replace(_resolved(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " "))

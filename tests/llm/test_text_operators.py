@@ -8,14 +8,17 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html import unescape
 from html.entities import html5
 
 import pytest
+from pyspark.sql import functions as F
 
 from orbitrace.llm import language_id as li
 from orbitrace.llm import pii, warc
 from orbitrace.llm import quality_rules as qr
 from orbitrace.llm import sharding as sh
+from orbitrace.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -299,3 +302,55 @@ def test_all_references_are_resolved(spark):
         if name.endswith(";"):
             assert warc.resolve(f"a&{name}b") == f"a{char}b".translate({9: " ", 10: " ", 160: " "})
             assert warc.resolve_link(f'"&{name}"') == char.translate({9: None, 10: None})
+
+
+def brute_text(page):
+    page = re.sub(r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->", " ", page)
+    page = " ".join(re.split(r"[ \t\n\x0b\f\r]+", page))
+    lines = [""]
+    for piece in re.split(r"(<[^>]*>)", page):
+        if re.fullmatch(r"<[^>]*>", piece):
+            name = re.match(r"</?([a-zA-Z0-9]*)(?=[\s/>])", piece)
+            if name and name[1].lower() in BLOCKS:
+                lines.append("")
+        else:
+            lines[-1] += piece
+    shown = [re.sub(r"[ \t\f\r\x0b\xa0]+", " ", unescape(x).replace("\n", " ")).strip(" ") for x in lines]
+    return "\n".join(x for x in shown if x)
+
+
+BLOCKS = {
+    "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "figcaption", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header",
+    "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "title", "tr", "ul",
+}
+
+
+def test_derivatives_of_all_pages_match_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    html = {r.page_id: r.html or "" for r in pages.collect()}
+    out = QUERIES["op6_warc_derivatives"](spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 2 * len(html) > 0
+    for r in out:
+        page = html[r.page_id]
+        assert r.source_digest == "sha256:" + hashlib.sha256(page.encode()).hexdigest()
+        if r.warc_type == "conversion":
+            assert r.content == brute_text(page)
+        else:
+            links = [unescape(x) for x in re.findall(r'<a\s[^>]*?href="([^"]*)"', page)]
+            title = re.search(r"(?is)<title[^>]*>(.*?)</title", page)
+            want = ["title: " + (" ".join(unescape(title[1]).split()) if title else ""), f"link-count: {len(links)}", *(f"outlink: {x}" for x in links), ""]
+            assert r.content == "\r\n".join(want)
+
+
+def test_malformed_and_long_pages(spark):
+    pages = [
+        (1, "u", "<p>a<script>never ends <b>c</b>", "x"), (2, "u", "1 < 2 <p>and <!-- open", "x"), (3, "u", "<a>no</a><a name=x>no</a><title>open", "x"),
+        (4, "u", "<div>" * 3000 + "deep" + "</div>" * 2999, "x"), (5, "u", "word " * 400_000, "x"), (6, None, "<p></p><p> </p>\n", None), (7, "u", "<P CLASS=a>x</P >y<br/>z", "x"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, record_id string")
+    made = warc.responses(df)
+    text = {r.page_id: r.content for r in warc.derivatives(made.withColumns({"content": F.lit(1), "__text": F.lit("clash")})).where("warc_type = 'conversion'").collect()}
+    assert text[1] == "anever ends c" and text[2] == "1 < 2\nand <!-- open" and text[3] == "nono\nopen"
+    assert text[4] == "deep" and len(text[5]) == 5 * 400_000 - 1 and text[6] == "" and text[7] == "x\ny\nz"
+    meta = {r.page_id: r.content for r in warc.derivatives(made).where("warc_type = 'metadata'").collect()}
+    assert "link-count: 0" in meta[3] and meta[3].startswith("title: \r\n")
