@@ -12,7 +12,7 @@ from orbitrace.llm.ngram_join import keep_one_per_class
 from orbitrace.llm.packing import pack_documents
 from orbitrace.llm.pii import redact_documents
 from orbitrace.llm.quality_rules import keep_quality
-from orbitrace.session import materialize
+from orbitrace.session import discard, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that can be told go; prototypes are learned from the labels of this stage's input."""
+    """Documents without a language that can be told, mixed ones and mislabelled ones go; prototypes are learned from the
+    labels of this stage's input."""
     return keep_identified(docs.select(*COLUMNS))
 
 
@@ -54,10 +55,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result is written and read again, and deleted when the next one is written.
+
+    Nulls in any column, empty and repeated rows go through; extra columns are left out by the first stage; an empty
+    table gives an empty result.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
