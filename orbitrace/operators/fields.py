@@ -77,15 +77,22 @@ def spread_to_pixels(steps: DataFrame, nside: int, sigma: float, window: float,
     return out.withColumn("w", F.exp(-0.5 * (F.col("angle") / sigma) ** 2)).where(F.col("w") > least)
 
 
-def density_field(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5, radius: float = 1.0) -> DataFrame:
+def density_field(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5, radius: float = 1.0, dense: bool = False) -> DataFrame:
     """``t_idx, pix, density, fluo``: summed weights per pixel area and distinct time of the window, weighted mean value.
 
-    A pixel without a step in a window that has steps would be 0 and has no row.
+    A pixel without a step in a window that has steps is 0: with ``dense`` it has a row with density 0 and a null value,
+    otherwise none. A window without steps is missing in both.
     """
     w = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2)
     per = w.groupBy("t_idx", "pix").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("mid_fluo")).alias("f"))
     times = windowed(steps.select("mid_time").distinct(), "mid_time", window, stride).groupBy("t_idx").agg(F.count("*").alias("k"))
-    return per.join(times, "t_idx").select("t_idx", "pix", (F.col("s") / pixel_area(nside, radius) / F.col("k")).alias("density"), (F.col("f") / F.col("s")).alias("fluo"))
+    if dense:
+        every = times.withColumn("pix", F.explode(F.sequence(F.lit(0), F.lit(npix(nside) - 1)).cast("array<bigint>")))
+        rows = every.join(per, ["t_idx", "pix"], "left")
+    else:
+        rows = per.join(times, "t_idx")
+    density = F.coalesce("s", F.lit(0.0)) / pixel_area(nside, radius) / F.col("k")
+    return rows.select("t_idx", "pix", density.alias("density"), (F.col("f") / F.col("s")).alias("fluo"))
 
 
 def tangent_coordinates(weighted: DataFrame, radius: float) -> DataFrame:
@@ -241,9 +248,12 @@ def top_pixels(counts: DataFrame, k: int) -> DataFrame:
 
 
 def smooth_field(field: DataFrame, nside: int, sigma: float, value: str = "value", keys=("t",), k: int = 25) -> DataFrame:
-    """Gaussian mean over the ``k`` nearest pixels within three sigmas that hold a value."""
+    """Gaussian mean over those of the ``k`` nearest pixels within three sigmas that hold a value.
+
+    Pixels equally far to six digits are taken by number, as symmetric ones differ in the last bits only.
+    """
     near = pixel_neighbors(field.sparkSession, nside, 3 * sigma)
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("pix").orderBy("angle", "near"))).where(F.col("r") <= k)
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("pix").orderBy(F.round("angle", 6), "near"))).where(F.col("r") <= k)
     table = ranked.select("pix", F.col("near").alias("src"), F.exp(-0.5 * (F.col("angle") / sigma) ** 2).alias("w"))
     rows = field.select(*keys, F.col("pix").alias("src"), F.col(value).alias("v")).where("v IS NOT NULL").join(small_broadcast(table, k * npix(nside)), "src")
     return rows.groupBy(*keys, "pix").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(f"{value}_smooth"))

@@ -22,41 +22,49 @@ def _det3(m):
     )
 
 
-def solve3(m, b):
-    """Columns of the solution of a 3 by 3 system by Cramer's rule; null where it is singular."""
+def solve3(m, b, least=1e-12):
+    """Columns of the solution of a 3 by 3 system by Cramer's rule; null where the determinant is at most ``least``."""
     raw = _det3(m)
-    det = F.when(F.abs(raw) > 1e-12, raw)
+    det = F.when(F.abs(raw) > least, raw)
     return [_det3([[b[i] if j == k else m[i][j] for j in range(3)] for i in range(3)]) / det for k in range(3)]
 
 
 def algebraic_sphere(points: DataFrame, frame: str = "t") -> DataFrame:
     """``center_x, center_y, center_z, radius`` per frame by linear least squares on ``x^2 + y^2 + z^2``.
 
-    Coordinates are taken about the frame's mean first; one aggregation gives the mean and one the moments.
+    Coordinates are taken about the frame's mean first; one aggregation gives the mean and one the moments. A frame of
+    fewer than four points, or of points in a plane, has no such sphere and gets nulls; an empty table gives no rows.
     """
+    return _algebraic(points, frame).select(frame, *(f"center_{a}" for a in AXES), "radius")
+
+
+def _algebraic(points: DataFrame, frame: str) -> DataFrame:
+    """The algebraic fit, with the mean ``m*`` and the mean squared distance ``q`` from it."""
     mean = points.groupBy(frame).agg(*(F.avg(a).alias(f"m{a}") for a in AXES))
     p = points.join(mean, frame).select(frame, *(f"m{a}" for a in AXES), *((F.col(a) - F.col(f"m{a}")).alias(a) for a in AXES))
     p = p.withColumn("q", F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     s = p.groupBy(frame).agg(
         *(F.first(f"m{a}").alias(f"m{a}") for a in AXES), *(F.avg(F.col(a) * F.col(b)).alias(f"{a}{b}") for a, b in pairs), *(F.avg(F.col(a) * F.col("q")).alias(f"{a}q") for a in AXES),
-        F.avg("q").alias("q"),
+        F.avg("q").alias("q"), F.count("*").alias("n"),
     )
     get = lambda a, b: F.col("".join(sorted((a, b))))
-    c = solve3([[2 * get(a, b) for b in AXES] for a in AXES], [F.col(f"{a}q") for a in AXES])
+    flat = F.when(F.col("n") > 3, 1e-9 * 8 * F.col("xx") * F.col("yy") * F.col("zz"))
+    c = solve3([[2 * get(a, b) for b in AXES] for a in AXES], [F.col(f"{a}q") for a in AXES], flat)
     s = s.withColumns({f"d{a}": v for a, v in zip(AXES, c, strict=True)})
     r = F.sqrt(F.col("q") + sum((F.col(f"d{a}") ** 2 for a in AXES), F.lit(0.0)))
-    return s.select(frame, *((F.col(f"m{a}") + F.col(f"d{a}")).alias(f"center_{a}") for a in AXES), r.alias("radius"))
+    return s.select(frame, *((F.col(f"m{a}") + F.col(f"d{a}")).alias(f"center_{a}") for a in AXES), r.alias("radius"), *(f"m{a}" for a in AXES), "q")
 
 
 def fit_sphere(points: DataFrame, frame: str = "t", rounds: int = 6, huber: float | None = None, fixed_radius: float | None = None, bounds: dict[str, tuple[float, float]] | None = None, quantile: float = 0.25) -> DataFrame:
     """Sphere per frame that minimises the variance of the radii: ``center_*, radius`` and ``inner_radius`` (a quantile).
 
-    Starts from the algebraic fit; every round is one aggregation over all frames of the Gauss-Newton normal equations.
+    Starts from the algebraic fit, or the mean where there is none; every round is one aggregation over all frames of the Gauss-Newton normal equations.
     ``huber`` (a distance) gives far points less weight, ``fixed_radius`` keeps the radius, ``bounds`` clip the centre and
     radius after each round.
     """
-    cur = materialize(algebraic_sphere(points, frame).withColumnsRenamed({f"center_{a}": f"c{a}" for a in AXES}), "fit")
+    start = {f"c{a}": F.coalesce(f"center_{a}", f"m{a}") for a in AXES} | {"radius": F.coalesce("radius", F.sqrt("q"))}
+    cur = materialize(_algebraic(points, frame).select(frame, *(c.alias(n) for n, c in start.items())), "fit")
     if fixed_radius is not None:
         cur = cur.withColumn("radius", F.lit(float(fixed_radius)))
     for _ in range(rounds):

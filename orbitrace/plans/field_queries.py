@@ -18,6 +18,8 @@ from orbitrace.operators import stats as S
 from orbitrace.operators import surface as U
 from orbitrace.operators.graph import connected_components
 from orbitrace.operators.tracks import preprocess_tracks, step_table
+from orbitrace.plans import field_sql as Q
+from orbitrace.plans.field_sql import COMPONENTS, RECURSIVE, STEP_SQL
 from orbitrace.plans.geometry_queries import ANGLES, UNITS, R, pix_sql
 from orbitrace.plans.registry import query, rounded
 from orbitrace.sources import tables as A
@@ -91,7 +93,12 @@ def e21_speed_correlation(spark, sf):
     return rounded(C.windowed_correlation(tracks(spark, sf), 150.0, 5))
 
 
-@query()
+@query(f"""{WITH_TRACKS}, v AS (SELECT *, x - lag(x) OVER w AS vx, y - lag(y) OVER w AS vy, z - lag(z) OVER w AS vz FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+l AS (SELECT a.track_id, a.t, a.x, a.y, a.z, flatten(list([b.vx, b.vy, b.vz] ORDER BY b.t)) AS s FROM v AS a JOIN v AS b ON a.track_id = b.track_id AND b.t BETWEEN a.t - 5 AND a.t + 5 AND b.vx IS NOT NULL GROUP BY ALL),
+p AS (SELECT a.track_id, a.t, b.track_id AS k, a.s[i] AS x, b.s[i] AS y FROM l AS a JOIN l AS b ON a.t = b.t AND a.track_id <> b.track_id AND power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2) <= 22500,
+  unnest(range(1, least(len(a.s), len(b.s)) + 1)) AS q(i)),
+c AS (SELECT track_id, t, k, corr(x, y) AS c FROM p GROUP BY ALL HAVING count(*) >= 3 AND max(x) > min(x) AND max(y) > min(y)), f AS (SELECT track_id, t, avg(c) AS c FROM c GROUP BY ALL)
+SELECT k.track_id, k.t, {R('f.c')} AS correlation FROM tracks AS k LEFT JOIN f ON f.track_id = k.track_id AND f.t = k.t""")
 def e22_velocity_correlation(spark, sf):
     return rounded(C.windowed_correlation(tracks(spark, sf), 150.0, 5, vector=True, least=3))
 
@@ -166,22 +173,22 @@ def d48_display_bounds(spark, sf):
     return rounded(S.display_bounds(D.pixel_stats(_angles(spark, sf), 4, "mean_fluo"), "mean"))
 
 
-@query()
+@query(Q.D22)
 def d22_density_field(spark, sf):
-    return rounded(D.density_field(_steps(spark, sf), 4, 0.2, 45.0, 15.0))
+    return rounded(D.density_field(_steps(spark, sf), 4, 0.2, 45.0, 15.0, dense=True))
 
 
-@query()
+@query(Q.D23)
 def d23_vector_field(spark, sf):
     return rounded(D.vector_field(_steps(spark, sf), 4, 0.3, 500.0, 45.0, 15.0), 4)
 
 
-@query()
+@query(Q.D24)
 def d24_path_speed(spark, sf):
     return rounded(D.path_speed(_steps(spark, sf), 4, 0.3, 500.0, 45.0, 15.0))
 
 
-@query()
+@query(Q.D25)
 def d25_pair_alignment(spark, sf):
     return rounded(D.pair_alignment(_steps(spark, sf), 4, 0.3, 500.0, 45.0, 15.0))
 
@@ -191,13 +198,6 @@ def d26_misalignment_entropy(spark, sf):
     return rounded(D.misalignment_entropy(_steps(spark, sf), 2))
 
 
-STEP_SQL = f"""{WITH_SPHERE}, c AS (SELECT k.track_id, k.t, k.mean_fluo, k.x - s.center_x_smooth AS x, k.y - s.center_y_smooth AS y, k.z - s.center_z_smooth AS z FROM tracks AS k JOIN sphere AS s ON k.t = s.t),
-st AS (SELECT *, (x - lag(x) OVER w) / 1.5e0 AS vx, (y - lag(y) OVER w) / 1.5e0 AS vy, (z - lag(z) OVER w) / 1.5e0 AS vz, (x + lag(x) OVER w) / 2 AS mx, (y + lag(y) OVER w) / 2 AS my, (z + lag(z) OVER w) / 2 AS mz,
-  (mean_fluo + lag(mean_fluo) OVER w) / 2 AS mid_fluo FROM c WINDOW w AS (PARTITION BY track_id ORDER BY t)),
-a AS (SELECT *, sqrt(mx*mx + my*my + mz*mz) AS radius, acos(least(greatest(mz / sqrt(mx*mx + my*my + mz*mz), -1.0e0), 1.0e0)) AS theta,
-  CASE WHEN atan2(my, mx) < 0 THEN atan2(my, mx) + 2 * pi() ELSE atan2(my, mx) END AS phi FROM st WHERE vx IS NOT NULL)"""
-
-
 @query(f"""{STEP_SQL} SELECT track_id, t, {R('vx')} AS vx, {R('mx')} AS mx, {R('radius')} AS radius, {R('theta')} AS theta, {R('phi')} AS phi, {R('(t - 0.5e0) * 1.5e0')} AS mid_time, {R('mid_fluo')} AS mid_fluo FROM a""")
 def e06_step_table(spark, sf):
     return rounded(_steps(spark, sf).select("track_id", "t", "vx", "mx", "radius", "theta", "phi", "mid_time", "mid_fluo"))
@@ -211,7 +211,7 @@ def d27_diffusivity(spark, sf):
     return rounded(D.diffusivity(with_pixel(_steps(spark, sf), 2)))
 
 
-@query()
+@query(Q.D28)
 def d28_residual_diffusivity(spark, sf):
     s = _steps(spark, sf)
     field = D.vector_field(s, 2, 0.5, 500.0, 10_000.0, 10_000.0).where("t_idx = 0")
@@ -224,13 +224,13 @@ def d36_pixel_msd(spark, sf):
     return rounded(D.pixel_msd(_steps(spark, sf), 2))
 
 
-@query()
+@query(Q.D38)
 def d38_flux(spark, sf):
     f = D.flux(D.vector_field(_steps(spark, sf), 4, 0.3, 500.0, 45.0, 15.0), 4, 500.0)
     return rounded(f.select("t_idx", "pix", "net_flux", "throughput"), 3)
 
 
-@query()
+@query(Q.I08)
 def i08_smooth_field(spark, sf):
     f = D.pixel_stats(_angles(spark, sf), 4, "mean_fluo").select("t", "pix", F.col("mean").alias("value"))
     return rounded(D.smooth_field(f, 4, 0.2))
@@ -254,7 +254,7 @@ def d56_grid_stats(spark, sf):
     return rounded(U.grid_stats(_angles(spark, sf), "mean_fluo"))
 
 
-@query()
+@query(Q.I10)
 def i10_smooth_grid(spark, sf):
     return rounded(U.smooth_grid(U.grid_stats(_angles(spark, sf), "mean_fluo"), 1.0))
 
@@ -270,7 +270,7 @@ def d30_sphere_fit(spark, sf):
     return rounded(U.fit_sphere(tracks(spark, sf), rounds=4), 3)
 
 
-@query()
+@query(Q.D31)
 def d31_algebraic_sphere(spark, sf):
     return rounded(U.algebraic_sphere(tracks(spark, sf)), 3)
 
@@ -287,13 +287,6 @@ def d33_harmonic_surface(spark, sf):
     return rounded(out.select("track_id", "t", "r_fit"), 3)
 
 
-RECURSIVE = f"{WITH_SPHERE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {UNITS}"
-COMPONENTS = f"""{RECURSIVE}, e AS (SELECT a.t, a.track_id AS x, b.track_id AS y FROM u AS a JOIN u AS b ON a.t = b.t AND a.track_id <> b.track_id
-  WHERE sqrt(power(a.ux - b.ux, 2) + power(a.uy - b.uy, 2) + power(a.uz - b.uz, 2)) <= 2 * sin(0.15e0)),
-r AS (SELECT DISTINCT t, x, x AS y FROM e UNION SELECT r.t, r.x, e.y FROM r JOIN e ON e.t = r.t AND e.x = r.y),
-k AS (SELECT t, x AS track_id, min(y) AS component, count(*) AS size FROM r GROUP BY t, x)"""
-
-
 @query(f"{COMPONENTS} SELECT t, track_id, CASE WHEN size >= 4 THEN component ELSE -1 END AS component FROM k")
 def i01_components(spark, sf):
     p = N.angular_pairs(_units(spark, sf).select("track_id", "t", "ux", "uy", "uz"), 0.3)
@@ -316,7 +309,7 @@ def g03_cluster_overlap(spark, sf):
     return rounded(K.cluster_pair_scores(members))
 
 
-@query()
+@query(Q.C20)
 def c20_gated_scores(spark, sf):
     _, stats = K.find_clusters(_units(spark, sf), 0.3, 4)
     return rounded(K.gated_scores(stats, 0.2))
@@ -387,7 +380,7 @@ def d11_volume_filter(spark, sf):
     return rounded(V.volume_filter(voxels(spark, sf), 24.0, 0.5))
 
 
-@query()
+@query(Q.D12)
 def d12_shape_filter(spark, sf):
     return rounded(V.shape_filter(voxels(spark, sf)))
 
@@ -490,7 +483,7 @@ def i01_graph_components(spark, sf):
     return connected_components(u.select(F.col("user_id").alias("src"), (F.col("user_id") + 7).alias("dst")))
 
 
-@query()
+@query(Q.C11)
 def c11_pixel_neighbors(spark, sf):
     """How many pixels lie about the pixel of each cell."""
     near = pixel_neighbors(spark, 4, 2 * math.pi / 18).groupBy("pix").agg(F.count("*").alias("n_near"))

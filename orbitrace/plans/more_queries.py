@@ -21,7 +21,14 @@ def d29_cage_relative_msd(spark, sf):
     return rounded(P.cage_relative_msd(tracks(spark, sf), 5, 90.0), 5)
 
 
-@query()
+@query(f"""{WITH_TRACKS}, r AS (SELECT a.t, a.track_id, b.track_id AS k, b.x - a.x AS ax, b.y - a.y AS ay, b.z - a.z AS az, row_number() OVER (PARTITION BY a.t, a.track_id ORDER BY power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2), b.track_id) AS r
+  FROM tracks AS a JOIN tracks AS b ON a.t = b.t AND a.track_id <> b.track_id),
+p AS (SELECT r.*, q.x - o.x AS wx, q.y - o.y AS wy, q.z - o.z AS wz FROM r JOIN tracks AS o ON o.track_id = r.track_id AND o.t = r.t + 1 JOIN tracks AS q ON q.track_id = r.k AND q.t = r.t + 1 WHERE r.r <= 8),
+s AS (SELECT track_id, t, count(*) AS n, sum(wx*wx + wy*wy + wz*wz) AS bb, sum(ax*ax) AS xx, sum(ax*ay) AS xy, sum(ax*az) AS xz, sum(ay*ay) AS yy, sum(ay*az) AS yz, sum(az*az) AS zz,
+  {", ".join(f"sum(a{p}*w{q}) AS m{p}{q}" for p in "xyz" for q in "xyz")} FROM p GROUP BY ALL),
+c AS (SELECT *, yy*zz - yz*yz AS cxx, xz*yz - xy*zz AS cxy, xy*yz - xz*yy AS cxz, xx*zz - xz*xz AS cyy, xy*xz - xx*yz AS cyz, xx*yy - xy*xy AS czz FROM s),
+d AS (SELECT *, xx*cxx + xy*cxy + xz*cxz AS det FROM c)
+SELECT track_id, t, round(CASE WHEN n >= 4 AND abs(det) > 1e-9 * xx * yy * zz THEN greatest(bb - ({" + ".join(f"m{p}{c} * c{''.join(sorted((p, q)))} * m{q}{c}" for p in "xyz" for q in "xyz" for c in "xyz")}) / det, 0) / n END, 3) + 0.0e0 AS d2min FROM d""")
 def d29_d2min(spark, sf):
     return rounded(P.d2min(tracks(spark, sf), 8, 100.0), 3)
 
