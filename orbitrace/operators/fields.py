@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from orbitrace.operators.neighbors import to_windows
 #: A pixel table is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_PIXELS = 500_000
 ENTROPY_BINS = 36
+#: Steps of one block of a pixel whose pairs are compared.
+PAIR_ROWS = 1024
 
 
 def small_broadcast(table: DataFrame, rows: float) -> DataFrame:
@@ -148,33 +152,57 @@ def path_speed(steps: DataFrame, nside: int, sigma: float, radius: float, window
     return out.where(F.col("n_steps") >= least_steps)
 
 
-def pair_alignment(steps: DataFrame, nside: int, sigma: float, radius: float, window: float = 45.0, stride: float = 1.5) -> DataFrame:
-    """Weighted mean cosine over all step pairs of a pixel, from sums alone: no pair is formed."""
-    t = tangent_coordinates(spread_to_pixels(steps, nside, sigma, window, stride, 1e-2), radius)
-    t = t.withColumn("s", F.sqrt(F.col("vu") ** 2 + F.col("vv") ** 2)).where("s > 1e-6")
-    w, a, b = F.col("w"), F.col("vu") / F.col("s"), F.col("vv") / F.col("s")
-    q = t.groupBy("t_idx", "pix").agg(F.sum(w * a).alias("a"), F.sum(w * b).alias("b"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.count("*").alias("n"))
+def pair_alignment(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5) -> DataFrame:
+    """Weighted mean cosine between the velocities of all step pairs of a window and pixel, from sums alone: no pair is formed."""
+    t = _headings(steps, nside, sigma, window, stride)
+    w = F.col("w")
+    q = t.groupBy("t_idx", "pix").agg(*(F.sum(w * F.col(f"h{a}")).alias(a) for a in "xyz"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.count("*").alias("n"))
     below = F.col("w") ** 2 - F.col("w2")
-    return q.where("n > 1").select("t_idx", "pix", F.when(below > 0, (F.col("a") ** 2 + F.col("b") ** 2 - F.col("w2")) / below).alias("alignment"))
+    length = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2
+    return q.where("n > 1").select("t_idx", "pix", F.when(below > 0, (length - F.col("w2")) / below).alias("alignment"))
+
 
+def _headings(steps: DataFrame, nside: int, sigma: float, window: float, stride: float) -> DataFrame:
+    """``t_idx, pix, w`` and the direction ``hx, hy, hz`` of every step faster than 1e-6."""
+    t = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2)
+    t = t.withColumn("s", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)).where("s > 1e-6")
+    return t.select("t_idx", "pix", "w", *((F.col(f"v{a}") / F.col("s")).alias(f"h{a}") for a in "xyz"))
 
-def misalignment_entropy(steps: DataFrame, nside: int, bins: int = ENTROPY_BINS) -> DataFrame:
-    """Entropy of the angles between headings of a frame's steps in one pixel, ``bins`` on [0, pi], over ln bins.
 
-    Headings are counted in fine sectors first, so that pairs of sectors are formed and not pairs of steps; the angle
-    between two sectors is exact to half a degree.
+def misalignment_entropy(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5, bins: int = ENTROPY_BINS) -> DataFrame:
+    """``t_idx, pix, entropy``: entropy over ln ``bins`` of the angles between the velocities of all step pairs of a window
+    and pixel, weighted by the product of the steps' weights, in ``bins`` on [0, pi] (the last one closed).
+
+    Steps of a pixel are cut into blocks of at most ``PAIR_ROWS``; two blocks meet as one matrix product whose histogram
+    is all that leaves the task, so no pair becomes a row and no task sees a whole pixel. A pixel with fewer than two
+    moving steps has no row.
     """
-    rows = tangent_coordinates(on_pixels(steps, nside), 1.0)
-    sectors = 720
-    heading = F.floor(F.pmod(F.atan2("vv", "vu"), F.lit(2 * math.pi)) / (2 * math.pi) * sectors).cast("int")
-    c = rows.where("vu <> 0 OR vv <> 0").select("t", "pix", F.least(heading, F.lit(sectors - 1)).alias("h")).groupBy("t", "pix", "h").agg(F.count("*").alias("n"))
-    pairs = c.join(c.select("t", "pix", F.col("h").alias("h2"), F.col("n").alias("n2")), ["t", "pix"]).where("h <= h2")
-    gap = F.abs(F.col("h") - F.col("h2"))
-    angle = F.least(gap, sectors - gap)
-    weight = F.when(F.col("h") == F.col("h2"), F.col("n") * (F.col("n") - 1) / 2).otherwise((F.col("n") * F.col("n2")).cast("double"))
-    binned = pairs.select("t", "pix", F.least(F.floor(angle * bins / (sectors // 2)), F.lit(bins - 1)).alias("bin"), weight.alias("w")).groupBy("t", "pix", "bin").agg(F.sum("w").alias("w")).where("w > 0")
-    p = F.col("w") / F.sum("w").over(Window.partitionBy("t", "pix"))
-    return binned.withColumn("p", p).groupBy("t", "pix").agg((-F.sum(F.col("p") * F.log("p")) / math.log(bins)).alias("entropy"))
+    rows = _headings(steps, nside, sigma, window, stride)
+    size = rows.groupBy("t_idx", "pix").agg(F.count("*").alias("n")).where("n > 1").withColumn("nb", F.ceil(F.col("n") / PAIR_ROWS).cast("int"))
+    own = F.pmod(F.xxhash64("w", "hx", "hy", "hz"), F.col("nb")).cast("int")
+    placed = (
+        rows.join(size.drop("n"), ["t_idx", "pix"]).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .select("t_idx", "pix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "w", "hx", "hy", "hz")
+    )
+
+    def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, w = pdf[["hx", "hy", "hz"]].to_numpy(), pdf["w"].to_numpy()
+        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            a, b = np.triu_indices(len(h), 1)
+            cos, weight = (h @ h.T)[a, b], w[a] * w[b]
+        else:
+            first = (pdf["block"] == pdf["i"]).to_numpy()
+            cos, weight = (h[first] @ h[~first].T).ravel(), np.outer(w[first], w[~first]).ravel()
+        place = np.minimum((np.arccos(np.clip(cos, -1, 1)) * (bins / math.pi)).astype(np.int64), bins - 1)
+        sums = np.bincount(place, weights=weight, minlength=bins)
+        some = np.flatnonzero(sums)
+        return pd.DataFrame({"t_idx": pdf["t_idx"].iloc[0], "pix": pdf["pix"].iloc[0], "bin": some, "w": sums[some]})
+
+    parts = placed.groupBy("t_idx", "pix", "i", "j").applyInPandas(histogram, "t_idx int, pix long, bin long, w double")
+    # at most `bins` rows a pixel
+    binned = parts.groupBy("t_idx", "pix", "bin").agg(F.sum("w").alias("w"))
+    p = F.col("w") / F.sum("w").over(Window.partitionBy("t_idx", "pix"))
+    return binned.withColumn("p", p).groupBy("t_idx", "pix").agg((-F.sum(F.col("p") * F.log("p")) / math.log(bins)).alias("entropy"))
 
 
 def diffusivity(steps: DataFrame, group=("pix",), axes=("vx", "vy", "vz")) -> DataFrame:
@@ -289,3 +317,22 @@ def pixel_msd(steps: DataFrame, nside: int, lags=(1, 2, 4)) -> DataFrame:
     late = rows.select("track_id", "pix", "run", F.col("i").alias("j"), *(F.col(f"m{a}").alias(f"q{a}") for a in "xyz"))
     d2 = sum(((F.col(f"q{a}") - F.col(f"m{a}")) ** 2 for a in "xyz"), F.lit(0.0))
     return early.join(late, ["track_id", "pix", "run", "j"]).groupBy("pix", "lag").agg(F.avg(d2).alias("msd"), F.count("*").alias("n"))
+
+
+def pixel_msd_exponent(points: DataFrame, nside: int, window: float, stride: float, lags=(1, 2, 4), time: str = "time_min") -> DataFrame:
+    """``t_idx, pix, msd_value, msd_alpha`` from pairs of rows of one track, ``lag`` rows apart and in one pixel all the while,
+    with both ends in the window.
+
+    ``msd_alpha`` is the slope of log MSD over log mean time difference (two lags at least), ``msd_value`` the MSD of the
+    longest lag with a positive one. Rows with equal times give no pair.
+    """
+    rows = with_pixel(points.select("track_id", time, "x", "y", "z", "theta", "phi"), nside)
+    along = Window.partitionBy("track_id").orderBy(time)
+    rows = rows.withColumn("i", F.row_number().over(along)).withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("track_id", "pix").orderBy(time)))
+    early = windowed(rows, time, window, stride).withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("j", F.col("i") + F.col("lag"))
+    late = rows.select("track_id", "pix", "run", F.col("i").alias("j"), F.col(time).alias("__end"), *(F.col(a).alias(f"q{a}") for a in "xyz"))
+    d2 = sum(((F.col(f"q{a}") - F.col(a)) ** 2 for a in "xyz"), F.lit(0.0))
+    pairs = early.join(late, ["track_id", "pix", "run", "j"]).where((F.abs(F.col("__end") - F.col("time_center")) <= window / 2) & (F.col("__end") > F.col(time)))
+    per = pairs.groupBy("t_idx", "pix", "lag").agg(F.avg(d2).alias("msd"), F.avg(F.col("__end") - F.col(time)).alias("tau")).where("msd > 0")
+    slope = F.regr_slope(F.log("msd"), F.log("tau"))
+    return per.groupBy("t_idx", "pix").agg(F.max_by("msd", "lag").alias("msd_value"), F.when(F.count("*") > 1, slope).alias("msd_alpha"))

@@ -84,7 +84,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     gives an empty result.
     """
     raw = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
-    cur = materialize(contract(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "cc")
+    start = contract(raw.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    cur = materialize(start if block is not None else start.distinct(), "cc")
     if block is not None:
         parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         most = cur.groupBy(F.expr(block).alias("b")).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
@@ -104,7 +105,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        cur = _next(cur, contract(small.where("u <> v").union(cur.where("u = v"))))
+        cur = _next(cur, contract(small.where("u <> v").union(cur.where("u = v"))).distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     named = cur.union(cur.select("v", "v"))

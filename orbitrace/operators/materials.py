@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,20 @@ def d2min(tracks: DataFrame, k: int, radius: float, lag: int = 1, least: int = 4
     end = slim.select("track_id", (F.col("t") - lag).alias("t"), *(F.col(a).alias(f"e{a}") for a in AXES))
     other = end.select(F.col("track_id").alias("n_track_id"), "t", *(F.col(f"e{a}").alias(f"f{a}") for a in AXES))
     p = near.join(end, ["t", "track_id"]).join(other, ["t", "n_track_id"]).withColumns({f"b{a}": F.col(f"f{a}") - F.col(f"e{a}") for a in AXES})
+    return _residual(p, ["track_id", "t"], least).select("track_id", "t", "d2min")
+
+
+def _residual(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``keys, n, d2min`` from neighbour offsets ``a*`` and later offsets ``b*``; a flat neighbourhood gives null.
+
+    The sums ``g*`` (of a a^T) and ``m*`` (of a b^T) and ``bb`` are kept.
+    """
     sums = [F.count("*").alias("n"), F.sum(sum((F.col(f"b{a}") ** 2 for a in AXES), F.lit(0.0))).alias("bb")]
     for i, q in enumerate(AXES):
         sums += [F.sum(F.col(f"a{q}") * F.col(f"a{r}")).alias(f"g{q}{r}") for r in AXES[i:]]
         sums += [F.sum(F.col(f"a{q}") * F.col(f"b{r}")).alias(f"m{q}{r}") for r in AXES]
-    s = p.groupBy("track_id", "t").agg(*sums)
+    s = pairs.groupBy(*keys).agg(*sums)
+    kept = s.columns
     g = lambda q, r: F.col("g" + "".join(sorted((q, r))))
     cof = {}
     for i, q in enumerate(AXES):
@@ -54,7 +65,70 @@ def d2min(tracks: DataFrame, k: int, radius: float, lag: int = 1, least: int = 4
     s = s.withColumn("det", sum((g("x", r) * F.col(f"kx{r}") for r in AXES), F.lit(0.0)))
     explained = sum((F.col(f"m{q}{c}") * F.col(f"k{q}{r}") * F.col(f"m{r}{c}") for q in AXES for r in AXES for c in AXES), F.lit(0.0)) / F.col("det")
     good = (F.col("n") >= least) & (F.abs("det") > 1e-9 * g("x", "x") * g("y", "y") * g("z", "z"))
-    return s.select("track_id", "t", F.when(good, F.greatest(F.col("bb") - explained, F.lit(0.0)) / F.col("n")).alias("d2min"))
+    return s.select(*kept, F.when(good, F.greatest(F.col("bb") - explained, F.lit(0.0)) / F.col("n")).alias("d2min"))
+
+
+def _flat_residual(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, d2min`` of neighbourhoods with a singular sum, by its pseudo-inverse (the map of least norm)."""
+    import numpy as np
+    import pandas as pd
+
+    def solve(batches):
+        for pdf in batches:
+            g = np.array([[pdf["g" + "".join(sorted((q, r)))] for r in AXES] for q in AXES], dtype=float).transpose(2, 0, 1)
+            m = np.array([[pdf[f"m{q}{r}"] for r in AXES] for q in AXES], dtype=float).transpose(2, 0, 1)
+            fit = np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ m
+            left = pdf["bb"].to_numpy() - np.einsum("nij,nij->n", m, fit)
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "d2min": np.maximum(left, 0) / pdf["n"].to_numpy()})
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "d2min double"]))
+
+
+def material_fields(
+    steps: DataFrame, nside: int, sigma: float, k: int = 10, window: float = 45.0, stride: float = 1.5, short: float = 3.0, long: float = 12.0, least: int = 3,
+) -> DataFrame:
+    """``t_idx, pix, cmsd_alpha, d2min_short, d2min_long`` of the steps within two sigmas of a pixel in a window, where there
+    are at least three with a weight over 1e-2.
+
+    The ``k`` nearest steps at the start are each step's cage. Steps of at most ``short`` median time differences are
+    short, those of at least ``long`` are long. The exponent is that of the mean squared displacement about the cage's
+    mean between the two; D2min is the weighted mean of the steps' residuals after the best affine map of the cage
+    (``least`` neighbours at least; a flat cage takes the map of least norm). What has no such steps is null.
+    """
+    from orbitrace.functions.healpix import npix
+    from orbitrace.operators.fields import spread_to_pixels
+    from orbitrace.operators.stats import exact_quantiles
+    from orbitrace.session import materialize
+
+    middle = exact_quantiles(steps, "dt", [0.5])
+    tau = [short * middle[0], long * middle[0]] if middle else [0.0, 0.0]
+    spread = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2).withColumn("place", F.col("t_idx").cast("long") * npix(nside) + F.col("pix"))
+    # a step is told by its track and frame
+    rows = spread.select("place", F.struct("track_id", "t").alias("step"), "dt", "w", *(F.col(f"{a}0").alias(a) for a in AXES), *(F.col(a).alias(f"e{a}") for a in AXES))
+    rows = materialize(rows, "cages")
+    slim = rows.select("place", "step", *AXES, *(f"e{a}" for a in AXES))
+    near = nearest(slim, slim, k, 50.0, "step", frame="place", include_self=False)
+    pairs = near.select(
+        "place", "step", *((F.col(f"n_{a}") - F.col(a)).alias(f"a{a}") for a in AXES), *((F.col(f"n_e{a}") - F.col(f"e{a}")).alias(f"b{a}") for a in AXES),
+        *((F.col(f"n_e{a}") - F.col(f"n_{a}")).alias(f"o{a}") for a in AXES),
+    )
+    keys = ["place", "step"]
+    fit = materialize(_residual(pairs, keys, least), "fit")
+    full = fit.where("d2min IS NOT NULL").select(*keys, "d2min").unionByName(_flat_residual(fit.where(f"d2min IS NULL AND n >= {least}").drop("d2min"), keys))
+    cage = pairs.groupBy(*keys).agg(*(F.avg(f"o{a}").alias(f"c{a}") for a in AXES))
+    per = rows.join(full, keys, "left").join(cage, keys, "left")
+    rel = sum(((F.col(f"e{a}") - F.col(a) - F.col(f"c{a}")) ** 2 for a in AXES), F.lit(0.0))
+    mean = {}
+    for name, mask in (("short", F.col("dt") <= tau[0]), ("long", F.col("dt") >= tau[1])):
+        d = F.when(mask & F.col("d2min").isNotNull(), F.col("w"))
+        mean[f"rel_{name}"], mean[f"d2min_{name}"] = F.avg(F.when(mask, rel)), F.sum(d * F.col("d2min")) / F.sum(d)
+    out = per.groupBy("place").agg(F.count("*").alias("n"), *(c.alias(c_name) for c_name, c in mean.items())).where("n >= 3")
+    good = (F.col("rel_short") > 0) & (F.col("rel_long") > 0) & F.lit(tau[1] > tau[0])
+    slope = F.log(F.col("rel_long") / F.col("rel_short")) / math.log(long / short)
+    return out.select(
+        F.expr(f"CAST(place DIV {npix(nside)} AS INT)").alias("t_idx"), (F.col("place") % npix(nside)).alias("pix"), F.when(good, slope).alias("cmsd_alpha"), "d2min_short", "d2min_long"
+    )
 
 
 def lowess_threshold(series: DataFrame, group: str, order: str, value: str, share: float = 0.3) -> DataFrame:

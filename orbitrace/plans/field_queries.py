@@ -12,6 +12,7 @@ from orbitrace.operators import cells as C
 from orbitrace.operators import clusters as K
 from orbitrace.operators import fields as D
 from orbitrace.operators import lineage as L
+from orbitrace.operators import materials as P
 from orbitrace.operators import neighbors as N
 from orbitrace.operators import regions as V
 from orbitrace.operators import stats as S
@@ -190,12 +191,25 @@ def d24_path_speed(spark, sf):
 
 @query(Q.D25)
 def d25_pair_alignment(spark, sf):
-    return rounded(D.pair_alignment(_steps(spark, sf), 4, 0.3, 500.0, 45.0, 15.0))
+    return rounded(D.pair_alignment(_steps(spark, sf), 4, 0.3, 45.0, 15.0))
 
 
-@query()
+@query(Q.D26)
 def d26_misalignment_entropy(spark, sf):
-    return rounded(D.misalignment_entropy(_steps(spark, sf), 2))
+    return rounded(D.misalignment_entropy(_steps(spark, sf), 4, 0.15, 45.0, 15.0))
+
+
+@query(Q.D36)
+def d36_msd_exponents(spark, sf):
+    points = _angles(spark, sf).withColumn("time_min", F.col("t") * 1.5)
+    return rounded(D.pixel_msd_exponent(points, 2, 45.0, 15.0))
+
+
+@query()
+def d29_material_fields(spark, sf):
+    """Every seventh step takes half an hour more, so that there are long steps beside the short ones."""
+    k = tracks(spark, sf).withColumn("time_min", F.col("t") * 1.5 + F.floor(F.col("t") / 7) * 30.0)
+    return rounded(P.material_fields(step_table(k, sphere(spark, sf)), 2, 0.3, 10, 180.0, 60.0), 4)
 
 
 @query(f"""{STEP_SQL} SELECT track_id, t, {R('vx')} AS vx, {R('mx')} AS mx, {R('radius')} AS radius, {R('theta')} AS theta, {R('phi')} AS phi, {R('(t - 0.5e0) * 1.5e0')} AS mid_time, {R('mid_fluo')} AS mid_fluo FROM a""")

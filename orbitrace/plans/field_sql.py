@@ -83,8 +83,23 @@ _FIT = f"{spread_sql(4, 0.3, 45.0, 15.0, 0.001)}, {tangent_sql('sw', 500.0)}, {F
 D23 = f"""{_FIT} SELECT t_idx, pix, n_steps, {', '.join(f'round({c}, 4) + 0.0e0 AS {c}' for c in ('drift_u', 'j00', 'j01', 'drift_v', 'j10', 'j11'))},
   round(j00 + j11, 4) + 0.0e0 AS divergence, round(j10 - j01, 4) + 0.0e0 AS curl, round(sqrt(drift_u * drift_u + drift_v * drift_v), 4) + 0.0e0 AS drift_speed FROM vf"""
 D24 = f"{_TC} SELECT t_idx, pix, {R('sum(w * sqrt(vu * vu + vv * vv)) / sum(w)')} AS path_speed, count(*) AS n_steps FROM tc GROUP BY t_idx, pix HAVING count(*) >= 6"
-D25 = f"""{_TC}, un AS (SELECT t_idx, pix, w, vu / sqrt(vu * vu + vv * vv) AS a, vv / sqrt(vu * vu + vv * vv) AS b, row_number() OVER (PARTITION BY t_idx, pix ORDER BY track_id, t) AS i FROM tc WHERE sqrt(vu * vu + vv * vv) > 1e-6)
-SELECT p.t_idx, p.pix, {R('sum(p.w * q.w * (p.a * q.a + p.b * q.b)) / sum(p.w * q.w)')} AS alignment FROM un AS p JOIN un AS q ON p.t_idx = q.t_idx AND p.pix = q.pix AND p.i < q.i GROUP BY ALL"""
+def _pairs(n: int, sigma: float) -> str:
+    """Table ``un``: directions of the weighted steps of every window and pixel, numbered."""
+    return f"""{spread_sql(n, sigma, 45.0, 15.0, 0.01)}, un AS (SELECT t_idx, pix, w, vx / sqrt(vx*vx + vy*vy + vz*vz) AS a, vy / sqrt(vx*vx + vy*vy + vz*vz) AS b, vz / sqrt(vx*vx + vy*vy + vz*vz) AS c,
+  row_number() OVER (PARTITION BY t_idx, pix ORDER BY track_id, t) AS i FROM sw WHERE sqrt(vx*vx + vy*vy + vz*vz) > 1e-6)"""
+
+
+D25 = f"""{_pairs(4, 0.3)} SELECT p.t_idx, p.pix, {R('sum(p.w * q.w * (p.a * q.a + p.b * q.b + p.c * q.c)) / sum(p.w * q.w)')} AS alignment
+FROM un AS p JOIN un AS q ON p.t_idx = q.t_idx AND p.pix = q.pix AND p.i < q.i GROUP BY ALL"""
+D26 = f"""{_pairs(4, 0.15)}, h AS (SELECT p.t_idx, p.pix, least(floor({clipped_acos('p.a * q.a + p.b * q.b + p.c * q.c')} * 36 / pi()), 35) AS bin, sum(p.w * q.w) AS s
+  FROM un AS p JOIN un AS q ON p.t_idx = q.t_idx AND p.pix = q.pix AND p.i < q.i GROUP BY ALL), s AS (SELECT *, s / sum(s) OVER (PARTITION BY t_idx, pix) AS p FROM h)
+SELECT t_idx, pix, {R('-sum(p * ln(p)) / ln(36)')} AS entropy FROM s GROUP BY ALL"""
+D36 = f"""{WITH_SPHERE}, {ANGLES}, {pix_sql(2)}, i AS (SELECT *, t * 1.5e0 AS tm, row_number() OVER (PARTITION BY track_id ORDER BY t) AS i FROM pix),
+w0 AS (SELECT min(tm) AS lo, CAST(ceil((max(tm) + 15 - min(tm)) / 15 - 1e-9) AS INT) AS k FROM i),
+p AS (SELECT a.pix, b.i - a.i AS lag, a.tm AS t0, b.tm AS t1, power(b.x - a.x, 2) + power(b.y - a.y, 2) + power(b.z - a.z, 2) AS d2 FROM i AS a JOIN i AS b ON a.track_id = b.track_id AND a.pix = b.pix AND b.i - a.i IN (1, 2, 4)
+  WHERE (SELECT count(*) FROM i AS c WHERE c.track_id = a.track_id AND c.i BETWEEN a.i AND b.i AND c.pix <> a.pix) = 0),
+m AS (SELECT CAST(u.g AS INT) AS t_idx, p.pix, p.lag, avg(p.d2) AS msd, avg(p.t1 - p.t0) AS tau FROM p, w0, unnest(range(0, w0.k)) AS u(g) WHERE abs(p.t0 - w0.lo - u.g * 15) <= 22.5e0 AND abs(p.t1 - w0.lo - u.g * 15) <= 22.5e0 GROUP BY ALL)
+SELECT t_idx, pix, {R('arg_max(msd, lag)')} AS msd_value, {R('CASE WHEN count(*) > 1 THEN regr_slope(ln(msd), ln(tau)) END')} AS msd_alpha FROM m WHERE msd > 0 GROUP BY ALL"""
 D28 = f"""{spread_sql(2, 0.5, 10000.0, 10000.0, 0.001)}, {tangent_sql('sw', 500.0)}, {FIT_SQL}, hm AS (SELECT p.*, q.nx, q.ny, q.nz FROM pix AS p JOIN px AS q ON p.pix = q.pix),
 {tangent_sql('hm', 500.0).replace('t0 AS', 'h0t AS').replace('t1 AS', 'h1t AS').replace('t2 AS', 'h2t AS').replace('t3 AS', 'h3t AS').replace('FROM t0', 'FROM h0t').replace('FROM t1', 'FROM h1t').replace('FROM t2', 'FROM h2t').replace('FROM t3', 'FROM h3t').replace('tc AS', 'hc AS')},
 rs AS (SELECT h.pix, h.track_id, h.t, 1.5e0 * (h.vu - f.drift_u - f.j00 * h.u - f.j01 * h.v) AS a, 1.5e0 * (h.vv - f.drift_v - f.j10 * h.u - f.j11 * h.v) AS b FROM hc AS h JOIN vf AS f ON f.pix = h.pix AND f.t_idx = 0),
