@@ -23,6 +23,7 @@ from orbitrace.plans import field_sql as Q
 from orbitrace.plans.field_sql import COMPONENTS, RECURSIVE, STEP_SQL
 from orbitrace.plans.geometry_queries import ANGLES, UNITS, R, pix_sql
 from orbitrace.plans.registry import query, rounded
+from orbitrace.session import materialize
 from orbitrace.sources import tables as A
 from orbitrace.sources.testviews import WITH_SPHERE, WITH_TRACKS, WITH_VOXELS, sphere, table, tracks, voxels
 
@@ -329,6 +330,59 @@ def c20_gated_scores(spark, sf):
     return rounded(K.gated_scores(stats, 0.2))
 
 
+@query(Q.G04)
+def g04_geometric_overlap(spark, sf):
+    """Overlap of all clusters of consecutive frames that have near members."""
+    members, stats = K.find_clusters(_units(spark, sf), 0.3, 4)
+    place = members.join(_units(spark, sf).select("track_id", "t", "ux", "uy", "uz"), ["track_id", "t"])
+    later = stats.select(F.col("t").alias("tb"), F.col("cluster_id").alias("b"))
+    pairs = stats.select(F.col("t").alias("ta"), F.col("cluster_id").alias("a"), (F.col("t") + 1).alias("tb")).join(later, "tb")
+    return rounded(K.geometric_overlap(pairs, place, 0.1).select(F.col("tb").alias("t"), F.col("a").alias("prev_id"), F.col("b").alias("curr_id"), "sim"))
+
+
+@query(Q.A07)
+def a07_augment_tracks(spark, sf):
+    """Density and mean fluorescence of the field at every cell's pixel and nearest window."""
+    field = D.density_field(_steps(spark, sf), 4, 0.2, 45.0, 15.0)
+    points = _angles(spark, sf).withColumn("time_min", F.col("t") * 1.5)
+    return rounded(A.augment_tracks(points, field, 4, 15.0, t_min=0.75).select("track_id", "t", "density", "fluo"))
+
+
+def _tracked(spark, sf):
+    units = _units(spark, sf)
+    members, stats = K.find_clusters(units, 0.3, 4)
+    members, stats = materialize(members, "members"), materialize(stats, "stats")
+    return units, members, stats, *K.track_clusters(units, members, stats, 0.1)
+
+
+@query()
+def i02_track_clusters(spark, sf):
+    """Clusters linked with motion prediction."""
+    return _tracked(spark, sf)[3]
+
+
+@query()
+def i02_track_merges(spark, sf):
+    return _tracked(spark, sf)[4]
+
+
+def _stitched(spark, sf):
+    units, members, stats, chains, _ = _tracked(spark, sf)
+    place = members.join(units.select("track_id", "t", "ux", "uy", "uz"), ["track_id", "t"])
+    return K.stitch_chains(chains.join(stats, ["t", "cluster_id"]), place, 0.1)
+
+
+@query()
+def i03_stitch_chains(spark, sf):
+    """Chains of clusters joined over gaps by overlap, features and motion."""
+    return _stitched(spark, sf)[0]
+
+
+@query()
+def i03_stitch_log(spark, sf):
+    return rounded(_stitched(spark, sf)[1])
+
+
 @query()
 def i02_link_clusters(spark, sf):
     members, stats = K.find_clusters(_units(spark, sf), 0.3, 4)
@@ -461,17 +515,59 @@ def d43_bootstrap(spark, sf):
     return rounded(S.bootstrap_mean(tracks(spark, sf), "mean_fluo", "track_id", 100, group=("track_class",)))
 
 
+@query()
+def d43_bootstrap_band(spark, sf):
+    return rounded(S.bootstrap_band(tracks(spark, sf), "mean_fluo", "track_id", 11, 50))
+
+
+def _vectors(spark, sf, name: str = "label"):
+    """Embeddings with one column per component, all of them, and the columns' names."""
+    e = table(spark, sf, "embeddings")
+    n = e.select(F.max(F.size("embedding")).alias("n")).first().n
+    names = [f"f{i}" for i in range(n)]
+    return e.select("vec_id", F.col("label").cast("double").alias(name), *(F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(names))), names
+
+
 @query()
 def d44_mixture(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
-    return S.mixture(e, ["a", "b"]).select("vec_id", "component")
+    """Two kinds of regions by volume and intensity."""
+    out = S.mixture(V.region_features(voxels(spark, sf)).select("t", "label", F.col("volume").cast("double").alias("volume"), "mean_intensity"), ["volume", "mean_intensity"])
+    return out.select("t", "label", "component", F.round(F.col("probability")[0], 6).alias("p_first"), F.round("log_likelihood", 3).alias("log_likelihood"))
 
 
 @query()
 def d45_forest(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
+    e, names = _vectors(spark, sf)
     fit = e.where(F.pmod(F.xxhash64("vec_id"), F.lit(5)) > 0)
-    return S.forest(fit, e, [f"f{i}" for i in range(8)], "label").select("vec_id", "predicted")
+    return S.forest(fit, e, names, "label").select("vec_id", "predicted", F.transform("log_p", lambda p: F.round(p, 6)).alias("log_p"))
+
+
+@query()
+def d45_forest_accuracy(spark, sf):
+    e, names = _vectors(spark, sf)
+    return rounded(S.held_out_accuracy(e, names, "label", "vec_id"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS g, o_custkey AS p, CAST(o_totalprice AS DOUBLE) AS v FROM orders), b AS (SELECT g, var_samp(v) AS vb, count(v) AS n FROM o GROUP BY g),
+t AS (SELECT g, p, max(v) - min(v) AS d FROM o GROUP BY g, p HAVING count(*) = 2), q AS (SELECT g, sum(d * d) / count(*) AS vp, count(*) AS k FROM t GROUP BY g)
+SELECT b.g AS o_orderpriority, round(b.vb / 1e6, 4) + 0.0e0 AS var_base, round(q.vp / 1e6, 4) + 0.0e0 AS var_pair, b.n, coalesce(q.k, 0) AS n_pairs FROM b LEFT JOIN q ON q.g = b.g""")
+def d53_paired_variances(spark, sf):
+    """Orders of one priority; two orders of one customer are a pair."""
+    o = table(spark, sf, "orders").withColumn("v", F.col("o_totalprice").cast("double"))
+    out = S.paired_variances(o, ["o_orderpriority"], "v", "o_custkey")
+    return rounded(out.withColumns({"var_base": F.col("var_base") / 1e6, "var_pair": F.col("var_pair") / 1e6}), 4)
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS m, o_orderstatus AS k, o_custkey % 3 AS d, CAST(o_totalprice AS DOUBLE) AS v FROM orders), x AS (SELECT m, k, d, var_samp(v) AS s FROM o GROUP BY ALL HAVING var_samp(v) > 0),
+e AS (SELECT m, k, count(*) / 2.0e0 * ln(2 * pi() * exp(1.0e0)) + sum(ln(s)) / 2 AS h FROM x GROUP BY ALL), r AS (SELECT m, avg(v) AS error FROM o GROUP BY m)
+SELECT r.m AS o_orderpriority, round(max(h) FILTER (k = 'F'), 6) + 0.0e0 AS entropy_F, round(max(h) FILTER (k = 'O'), 6) + 0.0e0 AS entropy_O, round(max(h) FILTER (k = 'P'), 6) + 0.0e0 AS entropy_P, round(any_value(r.error), 2) + 0.0e0 AS error
+FROM r LEFT JOIN e ON e.m = r.m GROUP BY r.m""")
+def d58_entropy_by_class(spark, sf):
+    """Three variances per priority (the medium) and status (the class), and the mean price as the error."""
+    o = table(spark, sf, "orders").select("o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 3).alias("d"), F.col("o_totalprice").cast("double").alias("error"))
+    v = o.groupBy("o_orderpriority", "o_orderstatus", "d").agg(F.var_samp("error").alias("var"))
+    out = S.entropy_by_class(v, ["o_orderpriority"], "o_orderstatus", o)
+    return rounded(out.withColumn("error", F.round("error", 2)))
 
 
 @query("""SELECT c_custkey, CAST(CASE WHEN c_mktsegment LIKE 'A%' THEN 0 ELSE -1 END AS INT) AS flag FROM customer""")

@@ -131,3 +131,13 @@ C20 = f"""{CLUSTERS}, pr AS (SELECT q.t, p.cluster_id AS prev_id, q.cluster_id A
   / sqrt((power(ln(1 + p.size), 2) + power(p.fluo_mean, 2) + power(p.deg_mean, 2) + power(p.nn_dist_mean, 2)) * (power(ln(1 + q.size), 2) + power(q.fluo_mean, 2) + power(q.deg_mean, 2) + power(q.nn_dist_mean, 2))) AS similarity
   FROM cs AS p JOIN cs AS q ON q.t = p.t + 1)
 SELECT t, prev_id, curr_id, {R('angle')} AS angle, {R('similarity')} AS similarity FROM pr WHERE angle <= 0.2e0 AND similarity >= 0.5e0"""
+G04 = f"""{CLUSTERS}, pr AS (SELECT p.t AS ta, p.cluster_id AS a, q.t AS tb, q.cluster_id AS b FROM cs AS p JOIN cs AS q ON q.t = p.t + 1),
+nr AS (SELECT pr.*, m.track_id AS x, n.track_id AS y FROM pr JOIN cm AS m ON m.t = pr.ta AND m.cluster_id = pr.a JOIN cm AS n ON n.t = pr.tb AND n.cluster_id = pr.b
+  WHERE sqrt(power(m.ux - n.ux, 2) + power(m.uy - n.uy, 2) + power(m.uz - n.uz, 2)) <= 2 * sin(0.05e0)),
+hs AS (SELECT ta, a, tb, b, count(DISTINCT x) AS ha, count(DISTINCT y) AS hb FROM nr GROUP BY ALL)
+SELECT h.tb AS t, h.a AS prev_id, h.b AS curr_id, {R('least(h.ha / p.size, h.hb / q.size)')} AS sim FROM hs AS h JOIN cs AS p ON p.t = h.ta AND p.cluster_id = h.a JOIN cs AS q ON q.t = h.tb AND q.cluster_id = h.b"""
+A07 = f"""{spread_sql(4, 0.2, 45.0, 15.0, 0.01)}, kt AS (SELECT t_idx, count(DISTINCT mid_time) AS k FROM wd GROUP BY t_idx), ds AS (SELECT t_idx, pix, sum(w) AS s, sum(w * mid_fluo) AS f FROM sw GROUP BY ALL),
+fl AS (SELECT ds.t_idx, ds.pix, ds.s / (4 * pi() / 192) / kt.k AS density, ds.f / ds.s AS fluo FROM ds JOIN kt ON kt.t_idx = ds.t_idx),
+ra AS (SELECT track_id, t, sqrt(x*x + y*y + z*z) AS rr, x, y, z FROM c), {pix_sql(4).replace('h0 AS', 'j0 AS').replace('h1 AS', 'j1 AS').replace('h2 AS', 'j2 AS').replace('h3 AS', 'j3 AS').replace('FROM h0', 'FROM j0').replace('FROM h1', 'FROM j1').replace('FROM h2', 'FROM j2').replace('FROM h3', 'FROM j3').replace('pix AS (SELECT', 'rp AS (SELECT').replace('FROM a)', f"FROM (SELECT *, {clipped_acos('z / rr')} AS theta, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS phi FROM ra) AS q)")}
+SELECT r.track_id, r.t, {R('fl.density')} AS density, {R('fl.fluo')} AS fluo FROM rp AS r LEFT JOIN fl ON fl.pix = r.pix
+  AND fl.t_idx = least(greatest(ceil((r.t * 1.5e0 - 0.75e0) / 15 - 0.5e0), 0), (SELECT max(t_idx) FROM fl))"""

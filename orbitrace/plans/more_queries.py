@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orbitrace.operators import clusters as K
 from orbitrace.operators import materials as P
 from orbitrace.operators import surface as U
+from orbitrace.plans.field_queries import _vectors
 from orbitrace.plans.geometry_queries import R
 from orbitrace.plans.registry import query, rounded
 from orbitrace.sources import tables as A
+from orbitrace.session import scratch_dir
 from orbitrace.sources.testviews import WITH_TRACKS, table, tracks
 
 
@@ -62,16 +66,19 @@ def d57_matched_share(spark, sf):
 
 @query()
 def d59_predict_class(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(6)))
+    e, names = _vectors(spark, sf)
     held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
-    return P.predict_class(e.where(~held), e.where(held), [f"f{i}" for i in range(6)], "label").select("vec_id", "class_logistic", "class_mlp")
+    return P.predict_class(e.where(~held), e.where(held), names, "label").select("vec_id", "class_logistic", "class_mlp")
 
 
 @query()
 def d59_predict_age(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("age"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(6)))
-    held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
-    return rounded(P.predict_age(e.where(~held), e.where(held), [f"f{i}" for i in range(6)], "age").select("vec_id", "age_linear", "age_trees"))
+    """Age of an order in days, from what its lines add up to."""
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*(F.avg(F.col(f"l_{c}").cast("double")).alias(c) for c in ("quantity", "extendedprice", "discount", "tax")), F.count("*").cast("double").alias("n"))
+    age = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).cast("double").alias("age")
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), age).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    held = F.pmod(F.xxhash64("o_orderkey"), F.lit(5)) == 0
+    return rounded(P.predict_age(o.where(~held), o.where(held), ["price", "quantity", "extendedprice", "discount", "tax", "n"], "age").select("o_orderkey", "age_linear", "age_trees"), 3)
 
 
 @query()
@@ -160,3 +167,58 @@ def h06_json_values(spark, sf):
 def h07_recode(spark, sf):
     names = F.create_map(*(F.lit(v) for pair in ((0, "deep"), (1, "EVL"), (2, "YSN")) for v in pair))
     return tracks(spark, sf).select("track_id", "t", names[F.col("track_class")].alias("cell_type"))
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{WITH_TRACKS} SELECT track_id, parent_track_id, t, {R('x + 1')} AS x, {R('y')} AS y, {R('z')} AS z FROM tracks")
+def a01_read_tracks(spark, sf):
+    """A run folder with raw and smoothed tracks; the smoothed ones are preferred."""
+    folder, k = _scratch(spark, "run"), tracks(spark, sf).select("track_id", "parent_track_id", "t", "x", "y", "z")
+    A.write_table(k, f"{folder}/tracks")
+    A.write_table(k.withColumn("x", F.col("x") + 1), f"{folder}/tracks_smoothed")
+    return rounded(A.read_tracks(spark, folder, prefer_smoothed=True))
+
+
+@query(f"{WITH_TRACKS}, r AS (SELECT track_class, min(t) AS a, max(t) AS b FROM tracks GROUP BY track_class), c AS (SELECT track_class FROM r WHERE a <= 5 AND b >= 40 ORDER BY track_class = 1 DESC, b - a, track_class LIMIT 1) "
+  "SELECT track_id, t, 'r' || CAST(track_class AS VARCHAR) AS run FROM tracks WHERE track_class = (SELECT track_class FROM c) AND t BETWEEN 5 AND 40")
+def a02_read_run(spark, sf):
+    """Three runs by class, one with flow; the one with flow covers the frames asked for."""
+    root = _scratch(spark, "runs")
+    k = tracks(spark, sf).select("track_id", "t", F.concat(F.lit("r"), "track_class").alias("run"), (F.col("track_class") == 1).alias("with_flow"))
+    A.write_table(k, root, partition_by=("run", "with_flow"))
+    return A.read_run(spark, root, 5, 40).select("track_id", "t", "run")
+
+
+@query("SELECT s_suppkey, s_nationkey * 0.5e0 AS voxel_z, CAST(90 + s_suppkey % 3 AS DOUBLE) AS time_resolution_s, round((90 + s_suppkey % 3) / 60.0e0, 6) + 0.0e0 AS time_resolution_min, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS first_channel, "
+  "CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2 END AS INT) AS n_channels FROM supplier")
+def a04_attributes(spark, sf):
+    """Attribute texts of one dataset per supplier; every second one names no channels."""
+    s = table(spark, sf, "supplier")
+    made = F.struct(
+        F.array(F.col("s_nationkey") * F.lit(0.5), F.lit(0.25), F.lit(0.25)).alias("voxel_size_um"), (90 + F.col("s_suppkey") % 3).alias("time_resolution_s"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.array("s_name", F.lit("GFP"))).alias("channels"),
+    )
+    out = A.dataset_attributes(s.select("s_suppkey", F.to_json(made).alias("attributes")))
+    size = F.when(F.col("channels").isNotNull(), F.size("channels"))
+    return rounded(out.select("s_suppkey", F.col("voxel_size_um")[0].alias("voxel_z"), "time_resolution_s", "time_resolution_min", F.get("channels", F.lit(0)).alias("first_channel"), size.alias("n_channels")))
+
+
+@query(f"{WITH_TRACKS} SELECT track_id, t, {R('x')} AS x, CAST(t % 5 AS INT) AS from_file FROM tracks")
+def a05_read_frames(spark, sf):
+    """Tracks in five folders of CSV files, read back as one table."""
+    folder = _scratch(spark, "csv")
+    k = tracks(spark, sf).select("track_id", "t", F.round("x", 6).alias("x"), (F.col("t") % 5).alias("part"))
+    k.write.partitionBy("part").option("header", True).csv(folder)
+    out = A.read_frames(spark, f"{folder}/*/*.csv", "track_id long, t int, x double")
+    return rounded(out.select("track_id", "t", "x", F.regexp_extract("source_file", r"part=([0-9]+)", 1).cast("int").alias("from_file")))
+
+
+@query(f"{WITH_TRACKS} SELECT track_id, t, {R('x')} AS x FROM tracks")
+def f01_sorted_sink(spark, sf):
+    """Tracks written in order of track and frame, and read back."""
+    path = _scratch(spark, "sorted")
+    A.write_sorted(tracks(spark, sf).select("track_id", "t", "x"), path)
+    return rounded(spark.read.parquet(path))

@@ -34,6 +34,45 @@ def choose_run(runs: DataFrame, first: int, last: int, prefer_flow: bool = True)
     return fits.orderBy(F.desc(flow) if prefer_flow else flow, F.col("stop") - F.col("start"), "run").limit(1)
 
 
+def read_run(spark: SparkSession, root: str, first: int, last: int, prefer_flow: bool = True) -> DataFrame:
+    """Tracks of the run under ``root`` (Parquet, in folders ``run=.../with_flow=...``) that ``choose_run`` takes for the
+    frames asked for. Only that run's folder is read, and its frames are filtered by the reader."""
+    every = spark.read.parquet(root).withColumn("with_flow", F.col("with_flow").cast("boolean"))
+    runs = every.groupBy("run", "with_flow").agg(F.min("t").alias("start"), F.max("t").alias("stop"))
+    found = choose_run(runs, first, last, prefer_flow).first()
+    if found is None:
+        raise ValueError(f"no run covers frames {first} to {last}")
+    return every.where((F.col("run") == found.run) & (F.col("with_flow") == found.with_flow) & F.col("t").between(first, last))
+
+
+ATTRIBUTES = "voxel_size_um array<double>, time_resolution_s double, channels array<string>"
+
+
+def dataset_attributes(texts: DataFrame, column: str = "attributes") -> DataFrame:
+    """Other columns and the attributes of a dataset from their JSON text: voxel size (z, y, x), time step in seconds and
+    minutes, channel names. A missing attribute, or a text that is no JSON, is null."""
+    read = F.from_json(column, ATTRIBUTES)
+    out = texts.withColumn("__a", read).select(*(c for c in texts.columns if c != column), "__a.*")
+    return out.withColumn("time_resolution_min", F.col("time_resolution_s") / 60)
+
+
+def read_attributes(spark: SparkSession, glob: str) -> DataFrame:
+    """Attributes of the datasets whose attribute files ``glob`` names, with the file each came from."""
+    texts = spark.read.text(glob, wholetext=True).withColumnRenamed("value", "attributes")
+    return dataset_attributes(texts.withColumn("source_file", F.input_file_name()))
+
+
+def augment_tracks(tracks: DataFrame, field: DataFrame, nside: int, stride: float, time: str = "time_min", t_min: float = 0.0) -> DataFrame:
+    """``tracks`` (with ``theta, phi``) and the metrics of a wide field (``t_idx, pix`` and one column a metric) at each row's
+    pixel and the window with the nearest centre (the earlier of two). Where the field has no row the metrics are null."""
+    from orbitrace.functions.healpix import with_pixel
+
+    last = field.agg(F.max("t_idx").alias("m")).first().m
+    at = F.ceil((F.col(time) - t_min) / stride - 0.5)
+    rows = with_pixel(tracks, nside).withColumn("t_idx", F.least(F.greatest(at, F.lit(0)), F.lit(last or 0)).cast("int"))
+    return rows.join(field, ["t_idx", "pix"], "left")
+
+
 def assemble_tracks(
     tracks: DataFrame, classes: DataFrame | None = None, dropped: DataFrame | None = None, dropped_classes: DataFrame | None = None, fluorescence: DataFrame | None = None,
     clusters: DataFrame | None = None, voxel_size: dict[str, float] | None = None, channel: int = 0,
@@ -104,6 +143,11 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, partition_by=
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_sorted(tracks: DataFrame, path: str, overwrite: bool = False, keys=("track_id", "t")) -> None:
+    """Tracks in files that follow each other in the order of ``keys``, each sorted inside: a range deal and a local sort."""
+    write_table(tracks.repartitionByRange(*keys).sortWithinPartitions(*keys), path, overwrite)
+
+
 def write_foreground(voxels: DataFrame, path: str, overwrite: bool = False) -> None:
     """Foreground voxels partitioned by frame."""
     write_table(voxels.where("label > 0"), path, overwrite, ("t",))
