@@ -81,25 +81,26 @@ class OpenBins:
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Best-fit decreasing on ``{length: pieces}``: rows ``(length, first rank, pieces, first bin, offset)``.
 
-    Piece ``first rank + i`` of that length goes to bin ``first bin + i`` at ``offset``.
+    Piece ``first rank + i`` of that length goes to bin ``first bin + i`` at ``offset``. A bin that has just taken a piece
+    is tighter than before, so it takes pieces of this length as long as they fit, and then the next bin does: that is
+    what taking piece by piece gives, and bins of one room are filled alike.
     """
     bins, made, plan = OpenBins(capacity), 0, []
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         while left:
             room = bins.tightest(length)
+            each = min(left, (capacity if room is None else room) // length)
             if room is None:
-                # as many new bins as are needed when each takes as many of these pieces as fit
-                fit = capacity // length
-                used = -(-left // fit)
-                first, room = made, capacity
+                first, used, room = made, left // each, capacity
                 made += used
             else:
-                first, used = bins.take(room, left)
-            plan.append((length, rank, used, first, capacity - room))
-            bins.add(room - length, first, used)
-            rank += used
-            left -= used
+                first, used = bins.take(room, left // each)
+            for k in range(each):
+                plan.append((length, rank, used, first, capacity - room + k * length))
+                rank += used
+            bins.add(room - each * length, first, used)
+            left -= each * used
     return plan
 
 

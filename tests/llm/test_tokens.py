@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -216,3 +217,16 @@ def test_words_of_equal_hash_are_told_apart(library, n):
     counter, encoder = TokenCounter(BPE), pk.Encoder(BPE)
     assert [counter.counts([t])[0] for t in words] == [len(ids) for ids in want[: len(words)]]
     assert [encoder.ids([t])[0].tolist() for t in words] == want[: len(words)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_loads_equal_best_fit_piece_by_piece(seed):
+    rng = random.Random(1000 + seed)
+    capacity = rng.choice([12, 40, 100, 1024])
+    lengths = [300] * 4 + [250] * 2 + [220] if seed == 0 else [rng.randint(1, max(1, int(capacity * rng.random()))) for _ in range(rng.randint(1, 300))]
+    capacity = 1024 if seed == 0 else capacity
+    loads = Counter()
+    for n, _, used, first, _ in pk.plan_bins(Counter(lengths), capacity):
+        for i in range(used):
+            loads[first + i] += n
+    assert sorted(loads.values()) == sorted(capacity - r for r in best_fit(lengths, capacity))
