@@ -131,11 +131,13 @@ def material_fields(
     )
 
 
-def lowess_threshold(series: DataFrame, group: str, order: str, value: str, share: float = 0.3) -> DataFrame:
-    """Local linear trend per group: values under a twentieth of the 95th percentile go, the rest are smoothed with tricube
+def lowess_threshold(series: DataFrame, group: str, order: str, value: str, share: float = 0.3, robust: int = 3) -> DataFrame:
+    """Local linear trend per group: values up to a twentieth of the 95th percentile go, the rest are smoothed with tricube
     weights over the nearest ``share`` of them, and dropped places are filled linearly.
 
-    A group is a series with one value per time, so its size is the number of frames.
+    ``robust`` more rounds weigh each value by the bisquare of its residual over six times the median one, so single
+    wild values lose their pull. A group is a series with one value per time, so its size is the number of frames. Null
+    values are dropped places; a group of fewer than two values has a null trend; an empty table gives none.
     """
     import numpy as np
     import pandas as pd
@@ -143,18 +145,26 @@ def lowess_threshold(series: DataFrame, group: str, order: str, value: str, shar
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x, y = pdf[order].to_numpy(float), pdf[value].to_numpy(float)
-        good = np.isfinite(y) & (y >= np.nanpercentile(y, 95) / 20) if np.isfinite(y).any() else np.zeros(len(y), bool)
+        good = np.isfinite(y) & (y > np.nanpercentile(y, 95) / 20) if np.isfinite(y).any() else np.zeros(len(y), bool)
         out = np.full(len(y), np.nan)
         if good.sum() >= 2:
-            xs, ys, n = x[good], y[good], max(2, int(np.ceil(share * good.sum())))
-            fit = []
-            for at in xs:
-                d = np.abs(xs - at)
-                h = max(np.sort(d)[n - 1], 1e-12) * (1 + 1e-9)
-                w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
-                m, mx = np.average(ys, weights=w), np.average(xs, weights=w)
-                sxx = np.average((xs - mx) ** 2, weights=w)
-                fit.append(m + (np.average((xs - mx) * (ys - m), weights=w) / sxx * (at - mx) if sxx > 1e-12 else 0.0))
+            xs, ys, n = x[good], y[good], min(int(good.sum()), max(2, int(share * good.sum() + 1e-10)))
+            d = np.abs(xs[:, None] - xs[None, :])
+            h = np.maximum(np.sort(d, axis=1)[:, n - 1], 1e-12) * (1 + 1e-9)
+            near = np.clip(1 - (d / h[:, None]) ** 3, 0, None) ** 3
+            trust = np.ones(len(xs))
+            for _ in range(robust + 1):
+                w = near * trust
+                total = np.maximum(w.sum(axis=1), 1e-300)
+                m, mx = w @ ys / total, w @ xs / total
+                sxx = w @ xs**2 / total - mx**2
+                slope = np.where(sxx > 1e-9, (w @ (xs * ys) / total - mx * m) / np.where(sxx > 1e-9, sxx, 1.0), 0.0)
+                fit = m + slope * (xs - mx)
+                off = np.abs(ys - fit)
+                scale = 6 * np.median(off)
+                if scale <= 1e-9 * max(1.0, float(np.abs(ys).max())):
+                    break
+                trust = np.clip(1 - (off / scale) ** 2, 0, None) ** 2
             out = np.interp(x, xs, fit)
             for side, (i, j) in ((x < xs[0], (0, 1)), (x > xs[-1], (-2, -1))):
                 out[side] = fit[i] + (fit[j] - fit[i]) / (xs[j] - xs[i]) * (x[side] - xs[i])

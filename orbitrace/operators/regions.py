@@ -86,8 +86,12 @@ def shadowed_labels(voxels: DataFrame, overlap: float = 0.5, z_scale: float = 1.
     return hit.select("t", "label").distinct()
 
 
-def mask_quality(voxels: DataFrame, least_volume: float | None = 5, overlap: float | None = 0.5, eccentricity: float | None = None) -> DataFrame:
-    """Labels that pass the chosen filters in turn (None skips one), numbered 1.. within their frame."""
+def mask_quality(voxels: DataFrame, least_volume: float | None = 5, overlap: float | None = 0.5, eccentricity: float | None = None, surface: float | None = None) -> DataFrame:
+    """Labels that pass the chosen filters in turn (None skips one), numbered 1.. within their frame.
+
+    The filters are volume, shadows, shape, and the distance of the centroid from the inner radius of the sphere that is
+    fitted to the frame's centroids.
+    """
     kept = foreground(voxels).select("t", "label").distinct()
     rest = voxels
     if least_volume is not None:
@@ -98,6 +102,12 @@ def mask_quality(voxels: DataFrame, least_volume: float | None = 5, overlap: flo
         rest = rest.join(kept, ["t", "label"], "left_semi")
     if eccentricity is not None:
         kept = kept.join(shape_filter(rest, eccentricity), ["t", "label"], "left_semi")
+        rest = rest.join(kept, ["t", "label"], "left_semi")
+    if surface is not None:
+        from orbitrace.operators.surface import surface_distance_filter
+
+        centers = foreground(rest).groupBy("t", "label").agg(*(F.avg(a).alias(a) for a in "zyx"))
+        kept = kept.join(surface_distance_filter(centers, surface), ["t", "label"], "left_semi")
     return kept.withColumn("new_label", F.dense_rank().over(Window.partitionBy("t").orderBy("label")))
 
 

@@ -63,6 +63,7 @@ def fit_sphere(points: DataFrame, frame: str = "t", rounds: int = 6, huber: floa
     ``huber`` (a distance) gives far points less weight, ``fixed_radius`` keeps the radius, ``bounds`` clip the centre and
     radius after each round.
     """
+    points = materialize(points.select(frame, *AXES), "points")
     start = {f"c{a}": F.coalesce(f"center_{a}", f"m{a}") for a in AXES} | {"radius": F.coalesce("radius", F.sqrt("q"))}
     cur = materialize(_algebraic(points, frame).select(frame, *(c.alias(n) for n, c in start.items())), "fit")
     if fixed_radius is not None:

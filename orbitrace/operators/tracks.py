@@ -154,11 +154,20 @@ def head_tail(tracks: DataFrame, n: int) -> DataFrame:
     return out.where("is_head OR is_tail")
 
 
-def unit_step_velocity(tracks: DataFrame) -> DataFrame:
-    """Differences as velocities, the first row back-filled from the second; ``speed`` is their norm."""
+def unit_step_velocity(tracks: DataFrame, center: tuple[str, str, str] | None = None) -> DataFrame:
+    """Differences as velocities, the first row back-filled from the second; ``speed`` is their norm.
+
+    With ``center``, the names of three columns, the part along the direction from it is taken off: velocities in the
+    surface. A track of one row has none.
+    """
     first = {f"v{a}": F.col(a) - F.lag(a).over(in_track()) for a in AXES}
     out = tracks.withColumns(first)
     out = out.withColumns({f"v{a}": F.coalesce(F.col(f"v{a}"), F.lead(f"v{a}").over(in_track())) for a in AXES})
+    if center is not None:
+        rel = {a: F.col(a) - F.col(c) for a, c in zip(AXES, center, strict=True)}
+        square = sum((rel[a] * rel[a] for a in AXES), F.lit(0.0))
+        along = F.try_divide(sum((F.col(f"v{a}") * rel[a] for a in AXES), F.lit(0.0)), square)
+        out = out.withColumn("__along", along).withColumns({f"v{a}": F.col(f"v{a}") - F.coalesce("__along", F.lit(0.0)) * rel[a] for a in AXES}).drop("__along")
     return out.withColumn("speed", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2))
 
 
@@ -200,6 +209,23 @@ def gaussian_smooth(tracks: DataFrame, column: str, sigma: float, truncate: floa
     return tracks.withColumn(f"{column}_smooth", total)
 
 
+def resample(series: DataFrame, columns, step: float, key: str = "track_id", time: str = "t") -> DataFrame:
+    """Values at each key's times ``first, first + step, ...`` up to its last one, linear between neighbouring rows.
+
+    A row makes the new times from its own up to the next row's, so no grid is joined. Null values make null ones.
+    """
+    along = Window.partitionBy(key).orderBy(time)
+    rows = series.select(key, time, *columns).withColumns({"__a": F.first(time).over(along), "__b": F.lead(time).over(along)} | {f"__n{c}": F.lead(c).over(along) for c in columns})
+    low = F.ceil((F.col(time) - F.col("__a")) / step - 1e-9)
+    # the last row makes its own time, if that is a new one
+    high = F.when(F.col("__b").isNull(), F.floor((F.col(time) - F.col("__a")) / step + 1e-9)).otherwise(F.ceil((F.col("__b") - F.col("__a")) / step - 1e-9) - 1)
+    made = rows.where(low <= high).withColumn("__k", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    new = F.col("__a") + F.col("__k") * step
+    part = F.when(F.col("__b").isNotNull(), (new - F.col(time)) / (F.col("__b") - F.col(time)))
+    mix = {c: F.when(F.col("__b").isNull(), F.col(c)).otherwise(F.col(c) + part * (F.col(f"__n{c}") - F.col(c))) for c in columns}
+    return made.select(key, new.alias(time), *(v.alias(c) for c, v in mix.items()))
+
+
 def islands(tracks: DataFrame, gap: int = 1, key: str = "track_id") -> DataFrame:
     """``segment``: 0 for a track's first run of frames, one more after each jump of over ``gap`` frames."""
     along = Window.partitionBy(key).orderBy("t")

@@ -403,6 +403,19 @@ def i03_stitch(spark, sf):
     return K.stitch_segments(L.track_ends(k), 6, 60.0)
 
 
+@query()
+def i05_link_optimal(spark, sf):
+    """Cells of consecutive frames paired for the smallest total distance under a gate."""
+    k = tracks(spark, sf).select("t", "track_id", "x", "y", "z")
+    later = k.withColumn("t", F.col("t") - 1)
+    near = N.radius_pairs(k, later, 15.0)
+    # nearness, so that a pair is always better than none
+    pairs = near.select(F.struct("t", "track_id").alias("left"), F.struct("t", "n_track_id").alias("right"), (16.0 - F.col("distance")).alias("score"))
+    out = K.optimal_assignment(pairs.select(F.concat_ws(":", "left.t", "left.track_id").alias("left"), F.concat_ws(":", "right.t", "right.n_track_id").alias("right"), "score"), "left", "right", "score")
+    name = lambda c, i: F.split(c, ":")[i].cast("long")
+    return out.select(name("left", 0).alias("t"), name("left", 1).alias("track_id"), name("right", 1).alias("next_id"), F.round("score", 6).alias("score"))
+
+
 @query()
 def i05_link_frames(spark, sf):
     return L.link_frames(tracks(spark, sf).withColumnRenamed("track_id", "id"), 15.0)
@@ -436,11 +449,12 @@ def d09_mean_intensity(spark, sf):
     return rounded(V.mean_intensity(voxels(spark, sf)))
 
 
-@query(f"""{WITH_VOXELS} SELECT t, label, count(*) AS volume, {R('avg(x)')} AS cx, max(z) - min(z) + 1 AS bbox_z, {R('count(*) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)) * 1000')} AS extent,
-{R('avg(intensity)')} AS mean_intensity, {R('max(intensity)')} AS max_intensity FROM voxels WHERE label > 0 GROUP BY ALL""")
+@query(f"""{Q.EIGEN}, f AS (SELECT t, label, count(*) AS volume, {R('avg(x)')} AS cx, max(z) - min(z) + 1 AS bbox_z, {R('count(*) / ((max(z) - min(z) + 1) * (max(y) - min(y) + 1) * (max(x) - min(x) + 1)) * 1000')} AS extent,
+{R('avg(intensity)')} AS mean_intensity, {R('min(intensity)')} AS min_intensity, {R('max(intensity)')} AS max_intensity FROM voxels WHERE label > 0 GROUP BY ALL)
+SELECT f.*, {R('CASE WHEN ev.e3 > 1e-9 THEN sqrt(ev.e1 / ev.e3) END')} AS elongation FROM f JOIN ev ON ev.t = f.t AND ev.label = f.label""")
 def d10_region_features(spark, sf):
     f = V.region_features(voxels(spark, sf))
-    return rounded(f.select("t", "label", "volume", "cx", "bbox_z", (F.col("extent") * 1000).alias("extent"), "mean_intensity", "max_intensity"))
+    return rounded(f.select("t", "label", "volume", "cx", "bbox_z", (F.col("extent") * 1000).alias("extent"), "mean_intensity", "min_intensity", "max_intensity", "elongation"))
 
 
 @query(f"{WITH_VOXELS} SELECT t, label, {R('count(*) * 0.5e0')} AS volume FROM voxels WHERE label > 0 GROUP BY ALL HAVING count(*) * 0.5e0 > 24")
@@ -462,7 +476,8 @@ def c19_shadowed(spark, sf):
 
 @query()
 def d14_mask_quality(spark, sf):
-    return V.mask_quality(voxels(spark, sf), 30, 0.05, 3.0)
+    """All four filters in turn."""
+    return V.mask_quality(voxels(spark, sf), 30, 0.05, 3.0, 5.0)
 
 
 @query(f"""{WITH_VOXELS}, v AS (SELECT DISTINCT t, z, y, x, label FROM voxels WHERE channel = 1), w AS (SELECT DISTINCT t, z, y, x, label FROM voxels WHERE channel <> 1)

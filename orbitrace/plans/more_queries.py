@@ -163,6 +163,15 @@ def h06_json_values(spark, sf):
     return e.groupBy("user_id", "k").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, event_type, CAST(count(*) AS INT) AS n, round(min(value), 6) + 0.0e0 AS low, round(max(value), 6) + 0.0e0 AS high FROM events GROUP BY ALL")
+def h06_json_maps(spark, sf):
+    """A user's values as JSON, a map of arrays by event type, written and read again."""
+    per = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.collect_list(F.col("value").cast("double")).alias("v"))
+    text = per.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "v")))).alias("j"))
+    back = text.select("user_id", F.explode(F.from_json("j", "map<string, array<double>>")).alias("event_type", "v"))
+    return rounded(back.select("user_id", "event_type", F.size("v").alias("n"), F.array_min("v").alias("low"), F.array_max("v").alias("high")))
+
+
 @query(f"{WITH_TRACKS} SELECT track_id, t, CASE track_class WHEN 0 THEN 'deep' WHEN 1 THEN 'EVL' ELSE 'YSN' END AS cell_type FROM tracks")
 def h07_recode(spark, sf):
     names = F.create_map(*(F.lit(v) for pair in ((0, "deep"), (1, "EVL"), (2, "YSN")) for v in pair))

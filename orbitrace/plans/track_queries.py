@@ -12,7 +12,7 @@ from orbitrace.operators import tracks as T
 from orbitrace.plans.geometry_queries import R
 from orbitrace.plans.registry import query, rounded
 from orbitrace.sources import tables as A
-from orbitrace.sources.testviews import WITH_TRACKS, table, tracks
+from orbitrace.sources.testviews import WITH_SPHERE, WITH_TRACKS, sphere, table, tracks
 
 W = "WINDOW w AS (PARTITION BY track_id ORDER BY t)"
 STEPS = f"""d AS (SELECT *, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM tracks {W}),
@@ -134,6 +134,27 @@ def e14_unit_velocity(spark, sf):
     return rounded(T.unit_step_velocity(tracks(spark, sf)).select("track_id", "t", "vx", "speed"))
 
 
+@query(f"""{WITH_SPHERE}, d AS (SELECT track_id, t, x, y, z, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy, z - lag(z) OVER w AS dz FROM tracks WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+v AS (SELECT track_id, t, x, y, z, coalesce(dx, lead(dx) OVER w) AS vx, coalesce(dy, lead(dy) OVER w) AS vy, coalesce(dz, lead(dz) OVER w) AS vz FROM d WINDOW w AS (PARTITION BY track_id ORDER BY t)),
+c AS (SELECT v.*, v.x - s.center_x_smooth AS a, v.y - s.center_y_smooth AS b, v.z - s.center_z_smooth AS c FROM v JOIN sphere AS s ON s.t = v.t),
+n AS (SELECT *, (vx * a + vy * b + vz * c) / (a * a + b * b + c * c) AS k FROM c)
+SELECT track_id, t, {R('vx - k * a')} AS vx, {R('vz - k * c')} AS vz, {R('sqrt(power(vx - k * a, 2) + power(vy - k * b, 2) + power(vz - k * c, 2))')} AS speed FROM n""")
+def e14_surface_velocity(spark, sf):
+    """Velocities in the surface of the fitted sphere."""
+    k = tracks(spark, sf).join(sphere(spark, sf), "t")
+    out = T.unit_step_velocity(k, ("center_x_smooth", "center_y_smooth", "center_z_smooth"))
+    return rounded(out.select("track_id", "t", "vx", "vz", "speed"))
+
+
+@query(f"""{WITH_TRACKS}, s AS (SELECT track_id, max(t) AS last FROM tracks GROUP BY track_id), g AS (SELECT track_id, k * 0.75e0 AS tn FROM s, unnest(range(0, CAST(floor(last / 0.75e0 + 1e-9) AS INT) + 1)) AS u(k))
+SELECT g.track_id, {R('g.tn')} AS t, {R('a.mean_fluo + (g.tn - a.t) * (coalesce(b.mean_fluo, a.mean_fluo) - a.mean_fluo)')} AS mean_fluo
+FROM g JOIN tracks AS a ON a.track_id = g.track_id AND a.t = CAST(floor(g.tn) AS INT) LEFT JOIN tracks AS b ON b.track_id = g.track_id AND b.t = CAST(floor(g.tn) AS INT) + 1""")
+def e16_resample(spark, sf):
+    """Fluorescence at steps of three quarters of a frame."""
+    k = tracks(spark, sf).select("track_id", F.col("t").cast("double").alias("t"), "mean_fluo")
+    return rounded(T.resample(k, ["mean_fluo"], 0.75))
+
+
 @query(f"""{WITH_TRACKS}, k AS (SELECT track_id, t, CASE WHEN t % 4 = 0 THEN x END AS x FROM tracks),
 g AS (SELECT track_id, t, x, last_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER b AS t0, last_value(x IGNORE NULLS) OVER b AS a0,
   first_value(CASE WHEN x IS NOT NULL THEN t END IGNORE NULLS) OVER c AS t1, first_value(x IGNORE NULLS) OVER c AS a1 FROM k

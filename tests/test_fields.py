@@ -338,3 +338,26 @@ def test_flat_frames_have_no_algebraic_sphere(spark):
 
 def test_widths():
     assert G.fwhm_to_sigma(2 * math.sqrt(2 * math.log(2))) == pytest.approx(1) and G.fwhm_to_sigma(0) == G.fwhm_to_sigma(-1) == 1.0
+
+
+def test_trend_is_not_pulled_by_a_wild_value(spark):
+    rows = [("a", t, 10.0 + 0.5 * t + (200.0 if t == 20 else 0.01 * (t % 3))) for t in range(40)]
+    df = spark.createDataFrame(rows, "g string, t int, v double")
+    robust = {r.t: r.trend for r in materials.lowess_threshold(df, "g", "t", "v").collect()}
+    plain = {r.t: r.trend for r in materials.lowess_threshold(df, "g", "t", "v", robust=0).collect()}
+    assert all(abs(robust[t] - (10 + 0.5 * t)) < 0.1 for t in range(40)) and abs(plain[20] - 20) > 5
+
+
+def test_resampling_and_surface_velocity(spark):
+    from orbitrace.operators import tracks as T
+
+    df = spark.createDataFrame([(1, 0.0, 0.0), (1, 1.0, 10.0), (1, 3.0, 0.0), (2, 5.0, 7.0), (3, 0.0, None), (3, 1.0, 4.0)], "track_id long, t double, v double")
+    got = {(r.track_id, round(r.t, 6)): r.v for r in T.resample(df, ["v"], 0.5).collect()}
+    assert got == {
+        (1, 0.0): 0.0, (1, 0.5): 5.0, (1, 1.0): 10.0, (1, 1.5): 7.5, (1, 2.0): 5.0, (1, 2.5): 2.5, (1, 3.0): 0.0, (2, 5.0): 7.0, (3, 0.0): None, (3, 0.5): None, (3, 1.0): 4.0,
+    }
+    assert T.resample(df.where("false"), ["v"], 0.5).count() == 0
+    k = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0), (1, 1, 2.0, 1.0, 0.0), (2, 0, 0.0, 0.0, 0.0)], "track_id long, t int, x double, y double, z double").withColumns({c: F.lit(0.0) for c in ("a", "b", "c")})
+    out = {(r.track_id, r.t): (r.vx, r.vy, r.speed) for r in T.unit_step_velocity(k, ("a", "b", "c")).collect()}
+    # the step (1, 1, 0) less its part along (1, 0, 0), and less its part along (2, 1, 0)
+    assert out[1, 0] == pytest.approx((0.0, 1.0, 1.0)) and out[1, 1] == pytest.approx((-0.2, 0.4, math.sqrt(0.2))) and out[2, 0] == (None, None, None)
