@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from orbitrace.llm.batches import bound_batches
 from orbitrace.llm.ngram_join import linked_texts
-from orbitrace.llm.text_hash import distinct_shingles, minhash, mix64, scramble, shingle_hashes
+from orbitrace.llm.text_hash import minhash, mix64, scramble, shingle_hashes
 from orbitrace.session import discard, materialize
 
 PERMUTATIONS = 128
@@ -275,42 +275,3 @@ def fingerprint_documents(docs: DataFrame, k: int = PERMUTATIONS, width: int = 5
                 yield report(ready)
 
     return with_next_text(docs, near_duplicate_classes(docs, threshold, width), parts).mapInArrow(walk, schema)
-
-
-def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 4, width: int = 5) -> DataFrame:
-    """Verified near-duplicate pairs ``(doc_id_a, doc_id_b, jaccard)`` between documents of different text.
-
-    Signatures are cut into bands; two texts whose bytes agree in one band are candidates, and their exact Jaccard
-    over shingle sets is then worked out. Equal texts are represented by their smallest id. Meant for tables whose
-    groups of near copies are small, as it lists the pairs of a group; ``ngram_join.similarity_classes`` is the form
-    for large groups. Null and empty texts have no band and no pair.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    k = bands * rows
-    one = docs.where("doc_id IS NOT NULL").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"))
-
-    def sign(batches):
-        for batch in batches:
-            values, off = shingle_hashes(batch.column("text"), width)
-            m = minhash(values, off, k).astype(">u4")
-            got = [
-                [] if off[i] == off[i + 1] else [b"%d:" % j + m[i, j * rows : (j + 1) * rows].tobytes() for j in range(bands)]
-                for i in range(batch.num_rows)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.list_(pa.binary()))], names=["doc_id", "keys"])
-
-    keyed = materialize(one.select("doc_id", "text").mapInArrow(sign, "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key")), "bands")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, "key").where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).distinct()
-    left, right = one.select(F.col("doc_id").alias("doc_id_a"), F.col("text").alias("ta")), one.select(F.col("doc_id").alias("doc_id_b"), F.col("text").alias("tb"))
-
-    def verify(batches):
-        for batch in batches:
-            sa, sb = distinct_shingles(batch.column("ta"), width), distinct_shingles(batch.column("tb"), width)
-            common = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(sa, sb, strict=True)]
-            j = [c / (len(x) + len(y) - c) for c, x, y in zip(common, sa, sb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id_a"), batch.column("doc_id_b"), pa.array(j, pa.float64())], names=["doc_id_a", "doc_id_b", "jaccard"])
-
-    scored = pairs.join(left, "doc_id_a").join(right, "doc_id_b").select("doc_id_a", "doc_id_b", "ta", "tb").mapInArrow(verify, "doc_id_a long, doc_id_b long, jaccard double")
-    return scored.where(F.col("jaccard") >= threshold)

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitrace.llm.batches import bound_batches
+from orbitrace.llm.batches import bound_batches, unused
 
 DIMENSIONS, ALPHABET, SEED = 1024, 64, 977
 #: The prototypes that are gathered hold this many languages at most; more raise an error.
@@ -194,9 +194,11 @@ def keep_identified(docs: DataFrame, least: float = 0.5, margin: float = 0.1, la
     repeat stay or go together; all columns are kept in order; an empty table, or one without labels, gives no rows.
     """
     names, prototypes = fit_prototypes(docs.where(~is_held_out()))
-    told = score_languages(docs, names, prototypes, "__lang_pred", "__lang_score", "__lang_margin")
-    good = (F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= least) & (F.col("__lang_margin") >= margin)
-    good = good & (F.col("lang").isNull() | (F.col("lang") == F.col("__lang_pred")))
+    own = unused(docs, "__lang")
+    found, score, above = (f"{own}_{k}" for k in ("pred", "score", "margin"))
+    told = score_languages(docs, names, prototypes, found, score, above)
+    good = (F.col(found) != UNKNOWN) & (F.col(score) >= least) & (F.col(above) >= margin)
+    good = good & (F.col("lang").isNull() | (F.col("lang") == F.col(found)))
     if languages is not None:
-        good = good & F.col("__lang_pred").isin(list(languages))
-    return told.where(good).drop("__lang_pred", "__lang_score", "__lang_margin")
+        good = good & F.col(found).isin(list(languages))
+    return told.where(good).drop(found, score, above)

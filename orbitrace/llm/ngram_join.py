@@ -18,15 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbitrace.llm.batches import bound_batches
+from orbitrace.llm.batches import bound_batches, unused
 from orbitrace.llm.text_hash import distinct_shingles, minhash, mix64, scramble, shingle_hashes
 from orbitrace.operators.graph import connected_components, merge_labels
 from orbitrace.session import discard, materialize
 
 TREES, DEPTH, TARGET = 20, 8, 0.99995
 BLOCK_ROWS, BLOCK_BYTES, NODE_ROWS = 512, 8_000_000, 4096
-#: Rows of a node's block at least, however many tasks there are.
-LEAST_NODE_ROWS = 256
+#: Rows of a node's block, and of a verified one, at least, however many tasks there are.
+LEAST_NODE_ROWS, LEAST_BLOCK_ROWS = 256, 128
 #: A broadcast table of cluster members may hold this many rows (under 64 MB); above it the join shuffles.
 BROADCAST_ROWS = 400_000
 
@@ -222,7 +222,9 @@ def _verified(sets: DataFrame, threshold: float) -> DataFrame:
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     one = sets.groupBy("component", "set").agg(F.sum("copies").alias("copies"), F.first("shingles").alias("shingles"))
     shape = one.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("b")).where("n > 1")
-    nb = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
+    # a block holds at most half of an even task's rows
+    most = min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, sets.count() // (2 * parts)))
+    nb = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
     placed = (
         one.join(shape.select("component", nb.alias("nb")), "component")
         .withColumn("block", F.pmod(F.xxhash64("set"), F.col("nb")).cast("int"))
@@ -355,15 +357,17 @@ def keep_one_per_class(docs: DataFrame, threshold: float = 0.8, width: int = 5)
     The row with the smallest doc_id stays (null first, then the smallest text key). Of rows that repeat both id and
     text, one stays.
     """
+    own = unused(docs, "__kept")
+    kept_id, kept_key, kept_rows, row_key = (f"{own}_{k}" for k in ("id", "key", "rows", "row"))
     key = F.hex(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
     kept = materialize(
         similarity_classes(docs, threshold, width).where("is_kept")
-        .groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")).agg(F.count("*").alias("__rows")),
+        .groupBy(F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key)).agg(F.count("*").alias(kept_rows)),
         "kept",
     )
-    marked = docs.withColumn("__row_key", key)
-    match = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__row_key") == F.col("__kept_key"))
+    marked = docs.withColumn(row_key, key)
+    match = F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(row_key) == F.col(kept_key))
     out = marked.join(kept, match, "left_semi")
-    if kept.where("__rows > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "__row_key"])
-    return out.drop("__row_key")
+    if kept.where(F.col(kept_rows) > 1).limit(1).count():
+        out = out.dropDuplicates(["doc_id", row_key])
+    return out.drop(row_key)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitrace.llm.batches import unused
+
 #: Rule name -> (bit, SQL condition of failure over the measurements). Bits are never reused.
 RULES = {
     "few_words": (0, "n_words < 50"),
@@ -31,8 +33,9 @@ def policy_mask(name: str) -> int:
     return sum(1 << RULES[r][0] for r in POLICIES[name])
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` and one struct column ``__quality_m`` with the measurements and ``fail_bits``.
+def measured(docs: DataFrame, prefix: str = _P) -> DataFrame:
+    """``docs`` and one struct column, ``prefix`` and ``m``, with the measurements and ``fail_bits``. No column of ``docs`` may
+    start with ``prefix``.
 
     Words are maximal runs of characters other than space and 0x09-0x0D. Null text has no words. A text of fewer than
     three words has no window and so no repeated words. Windows are compared by a 64-bit hash within their own text,
@@ -40,44 +43,44 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     steps = [
         ("t", "coalesce(text, '')"),
-        ("w", rf"array_remove(split({_P}t, '[\\x20\\x09-\\x0D]+'), '')"),
-        ("n", f"size({_P}w)"),
+        ("w", rf"array_remove(split({prefix}t, '[\\x20\\x09-\\x0D]+'), '')"),
+        ("n", f"size({prefix}w)"),
         (
             "h",
-            f"CASE WHEN {_P}n < 3 THEN CAST(array() AS array<bigint>) ELSE "
-            f"transform(sequence(0, {_P}n - 3), i -> xxhash64({_P}w[i], {_P}w[i + 1], {_P}w[i + 2])) END",
+            f"CASE WHEN {prefix}n < 3 THEN CAST(array() AS array<bigint>) ELSE "
+            f"transform(sequence(0, {prefix}n - 3), i -> xxhash64({prefix}w[i], {prefix}w[i + 1], {prefix}w[i + 2])) END",
         ),
         (
             "s",
-            f"CASE WHEN size(array_distinct({_P}h)) < size({_P}h) THEN sort_array(transform({_P}h, (x, i) -> struct(x, i))) END",
+            f"CASE WHEN size(array_distinct({prefix}h)) < size({prefix}h) THEN sort_array(transform({prefix}h, (x, i) -> struct(x, i))) END",
         ),
-        ("l", rf"filter(split({_P}t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"),
+        ("l", rf"filter(split({prefix}t, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]')"),
         (
             "r",
-            f"CASE WHEN {_P}s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(filter({_P}s, (e, k) -> "
-            f"coalesce(e.x = get({_P}s, k - 1).x, false) OR coalesce(e.x = get({_P}s, k + 1).x, false)), "
+            f"CASE WHEN {prefix}s IS NULL THEN 0 ELSE size(array_distinct(flatten(transform(filter({prefix}s, (e, k) -> "
+            f"coalesce(e.x = get({prefix}s, k - 1).x, false) OR coalesce(e.x = get({prefix}s, k + 1).x, false)), "
             f"e -> array(e.i, e.i + 1, e.i + 2))))) END",
         ),
         (
             "m",
-            f"struct(CAST({_P}n AS bigint) AS n_words, CAST(length(array_join({_P}w, '')) AS bigint) AS word_chars, "
-            f"CAST(length(regexp_replace({_P}t, '[^#*$%&|<>]+', '')) AS bigint) AS n_symbols, "
-            f"CAST(size({_P}l) - size(array_distinct({_P}l)) AS bigint) AS n_dup_lines, "
-            f"CAST({_P}r AS bigint) AS n_repeat_words, CAST(size({_P}l) AS bigint) AS n_lines)",
+            f"struct(CAST({prefix}n AS bigint) AS n_words, CAST(length(array_join({prefix}w, '')) AS bigint) AS word_chars, "
+            f"CAST(length(regexp_replace({prefix}t, '[^#*$%&|<>]+', '')) AS bigint) AS n_symbols, "
+            f"CAST(size({prefix}l) - size(array_distinct({prefix}l)) AS bigint) AS n_dup_lines, "
+            f"CAST({prefix}r AS bigint) AS n_repeat_words, CAST(size({prefix}l) AS bigint) AS n_lines)",
         ),
     ]
     out = docs
     for name, sql in steps:
-        out = out.withColumn(_P + name, F.expr(sql))
-    bits = " | ".join(f"CASE WHEN {_qualified(cond)} THEN {1 << bit}L ELSE 0L END" for bit, cond in RULES.values())
-    out = out.withColumn(_P + "m", F.col(_P + "m").withField("fail_bits", F.expr(bits)))
+        out = out.withColumn(prefix + name, F.expr(sql))
+    bits = " | ".join(f"CASE WHEN {_qualified(cond, prefix)} THEN {1 << bit}L ELSE 0L END" for bit, cond in RULES.values())
+    out = out.withColumn(prefix + "m", F.col(prefix + "m").withField("fail_bits", F.expr(bits)))
     # a filter on the measurements stays above a generator; pushed below, it would repeat all of these expressions
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(_P + "m")).alias(_P + "m"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(prefix + "m")).alias(prefix + "m"))
 
 
-def _qualified(condition: str) -> str:
+def _qualified(condition: str, prefix: str) -> str:
     for m in MEASURES:
-        condition = condition.replace(m, f"{_P}m.{m}")
+        condition = condition.replace(m, f"{prefix}m.{m}")
     return condition
 
 
@@ -99,7 +102,10 @@ def apply_policy(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
-    """Per rule of a policy: documents that fail it, those that fail it alone, and those that stay without it."""
+    """Per rule of a policy: documents that fail it, those that fail it alone, and those that stay without it.
+
+    Rows of ``book`` that repeat count as often as they occur, and ids play no part; an empty ledger gives zeros.
+    """
     mask = policy_mask(policy)
     bits = F.col("fail_bits").bitwiseAND(F.lit(mask))
     aggs = [F.count("*").alias("n"), F.coalesce(F.bit_or(bits), F.lit(0)).alias("any_bits"), F.coalesce(F.sum((bits == 0).cast("long")), F.lit(0)).alias("kept")]
@@ -115,6 +121,9 @@ def ablation(book: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The rows of ``docs`` that a policy keeps, all their columns unchanged."""
-    mask = policy_mask(policy) | policy_mask("base")
-    return measured(docs).where(F.col(_P + "m")["fail_bits"].bitwiseAND(F.lit(mask)) == 0).drop(_P + "m")
+    """The rows of ``docs`` that a policy keeps, all their columns unchanged, whatever their names.
+
+    Null and empty texts have no words and go. Rows that repeat stay or go together; an empty table gives none.
+    """
+    mask, prefix = policy_mask(policy) | policy_mask("base"), unused(docs, _P)
+    return measured(docs, prefix).where(F.col(prefix + "m")["fail_bits"].bitwiseAND(F.lit(mask)) == 0).drop(prefix + "m")

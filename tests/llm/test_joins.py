@@ -96,7 +96,7 @@ def test_empty_tables(no_docs):
     assert nj.similarity_classes(no_docs).count() == 0
     assert nj.keep_one_per_class(no_docs).count() == 0
     assert fp.fingerprint_documents(no_docs).count() == 0
-    assert fp.near_duplicate_pairs(no_docs).count() == 0
+    assert fp.near_duplicate_classes(no_docs).count() == 0
 
 
 def test_stop_depth_meets_target():
@@ -137,16 +137,6 @@ def test_likeness_estimates_jaccard():
     assert abs(fp.likeness(m[0], m[1]) - true) < 0.15
 
 
-def test_banded_pairs_match_brute_force(spark):
-    texts = near_copies(seed=11, groups=3, size=5)
-    got = {(r.doc_id_a, r.doc_id_b): r.jaccard for r in fp.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    sets, first = [shingles(t) for t in texts], {}
-    for i, t in enumerate(texts):
-        first.setdefault(t, i)
-    want = {(i, j) for i in first.values() for j in first.values() if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
-    assert set(got) == want
-
-
 def test_shingles_by_hash_are_as_many():
     texts = ["a b c d e f g", "a b c", "", "x  y\tz\n1 2 3 1 2 3 1 2 3", "é è"]
     assert [len(s) for s in distinct_shingles(pa.array(texts))] == [len(shingles(t)) for t in texts]

@@ -18,6 +18,7 @@ from orbitrace.llm import language_id as li
 from orbitrace.llm import pii, warc
 from orbitrace.llm import quality_rules as qr
 from orbitrace.llm import sharding as sh
+from orbitrace.llm.ngram_join import keep_one_per_class
 from orbitrace.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -354,3 +355,15 @@ def test_malformed_and_long_pages(spark):
     assert text[4] == "deep" and len(text[5]) == 5 * 400_000 - 1 and text[6] == "" and text[7] == "x\ny\nz"
     meta = {r.page_id: r.content for r in warc.derivatives(made).where("warc_type = 'metadata'").collect()}
     assert "link-count: 0" in meta[3] and meta[3].startswith("title: \r\n")
+
+
+def test_working_columns_clash_with_none(spark):
+    words = " ".join(f"w{i}word" for i in range(60))
+    rows = [(1, words, "aa", "keep", "me", "too", 7), (2, "few", "aa", "keep", "me", "too", 8), (3, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, __quality_t string, __quality_m string, __lang_pred string, __kept_id long")
+    for keep in (qr.keep_quality, li.keep_identified, keep_one_per_class):
+        out = keep(df)
+        assert out.columns == df.columns
+        got = {r.doc_id: r for r in out.collect()}
+        assert tuple(got[1]) == rows[0]
+    assert pii.redact_documents(df).columns == df.columns
