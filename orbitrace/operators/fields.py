@@ -292,7 +292,7 @@ def laplacian_smooth(field: DataFrame, nside: int, tau: float = 0.5, rounds: int
     from orbitrace.session import materialize
 
     reach = 1.5 * math.sqrt(4 * math.pi / npix(nside))
-    near = pixel_neighbors(field.sparkSession, nside, reach).where("pix <> near")
+    near = materialize(pixel_neighbors(field.sparkSession, nside, reach).where("pix <> near"), "near")
     edges = small_broadcast(near.select(F.col("pix"), F.col("near").alias("src")), neighbor_rows(nside, reach))
     base = materialize(field.select(*keys, "pix", F.col(value).alias("b")), "jacobi")
     cur = base.withColumn("f", F.col("b"))

@@ -251,7 +251,7 @@ def i08_smooth_field(spark, sf):
     return rounded(D.smooth_field(f, 4, 0.2))
 
 
-@query()
+@query(Q.I09)
 def i09_laplacian_smooth(spark, sf):
     f = D.pixel_stats(_angles(spark, sf), 4, "mean_fluo").select("t", "pix", F.col("mean").alias("value"))
     return rounded(D.laplacian_smooth(f, 4, 0.5, 5))
@@ -427,7 +427,7 @@ def i06_close_gaps(spark, sf):
     return rounded(L.close_gaps(k, 7, 60.0))
 
 
-@query()
+@query(Q.I07)
 def i07_fuse_duplicates(spark, sf):
     k = tracks(spark, sf)
     twin = k.where("track_id % 5 = 0").withColumns({"track_id": F.col("track_id") + 1_000_000, "x": F.col("x") + 1.0})

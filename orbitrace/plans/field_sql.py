@@ -141,3 +141,23 @@ fl AS (SELECT ds.t_idx, ds.pix, ds.s / (4 * pi() / 192) / kt.k AS density, ds.f
 ra AS (SELECT track_id, t, sqrt(x*x + y*y + z*z) AS rr, x, y, z FROM c), {pix_sql(4).replace('h0 AS', 'j0 AS').replace('h1 AS', 'j1 AS').replace('h2 AS', 'j2 AS').replace('h3 AS', 'j3 AS').replace('FROM h0', 'FROM j0').replace('FROM h1', 'FROM j1').replace('FROM h2', 'FROM j2').replace('FROM h3', 'FROM j3').replace('pix AS (SELECT', 'rp AS (SELECT').replace('FROM a)', f"FROM (SELECT *, {clipped_acos('z / rr')} AS theta, CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END AS phi FROM ra) AS q)")}
 SELECT r.track_id, r.t, {R('fl.density')} AS density, {R('fl.fluo')} AS fluo FROM rp AS r LEFT JOIN fl ON fl.pix = r.pix
   AND fl.t_idx = least(greatest(ceil((r.t * 1.5e0 - 0.75e0) / 15 - 0.5e0), 0), (SELECT max(t_idx) FROM fl))"""
+
+
+def _jacobi(rounds: int, tau: float) -> str:
+    steps = ["q0 AS (SELECT t, pix, b AS f FROM b0)"]
+    for k in range(rounds):
+        steps.append(
+            f"q{k + 1} AS (SELECT b.t, b.pix, (b.b + {tau}e0 * coalesce(sum(q.f), 0)) / (1 + {tau}e0 * count(q.f)) AS f FROM b0 AS b LEFT JOIN nb ON nb.pix = b.pix "
+            f"LEFT JOIN q{k} AS q ON q.t = b.t AND q.pix = nb.src GROUP BY b.t, b.pix, b.b)"
+        )
+    return ", ".join(steps)
+
+
+I09 = f"""{WITH_SPHERE}, {ANGLES}, {pix_sql(4)}, {pixels_sql(4)}, b0 AS (SELECT t, pix, avg(mean_fluo) AS b FROM pix GROUP BY ALL),
+nb AS (SELECT p.pix, q.pix AS src FROM px AS p JOIN px AS q ON p.pix <> q.pix WHERE {clipped_acos('p.nx * q.nx + p.ny * q.ny + p.nz * q.nz')} <= 1.5e0 * sqrt(4 * pi() / 192)), {_jacobi(5, 0.5)}
+SELECT t, pix, {R('f')} AS value_smooth FROM q5"""
+I07 = f"""{WITH_SPHERE.replace('WITH ', 'WITH RECURSIVE ', 1)}, k AS (SELECT track_id, t, x, y, z FROM tracks UNION ALL SELECT track_id + 1000000, t, x + 1.0e0, y, z FROM tracks WHERE track_id % 5 = 0),
+m AS (SELECT a.track_id AS a, b.track_id AS b FROM k AS a JOIN k AS b ON a.t = b.t AND a.track_id < b.track_id GROUP BY ALL
+  HAVING count(*) >= 5 AND quantile_cont(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)), 0.5) < 3),
+e AS (SELECT a, b FROM m UNION ALL SELECT b, a FROM m), r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT coalesce(c.c, k.track_id) AS track_id, k.t, {R('avg(k.x)')} AS x, count(*) AS n_fused FROM k LEFT JOIN c ON c.a = k.track_id GROUP BY coalesce(c.c, k.track_id), k.t"""
