@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Scratch tables of this process that are not deleted yet.
+_written: set[str] = set()
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that the driver and every executor can reach.
@@ -35,6 +38,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._path = path
@@ -43,6 +47,19 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the table that ``materialize`` wrote for ``df``; later reads of ``df`` fail."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables that this process has written; frames that operators returned before can then not be read.
+
+    For callers that have written or collected their results.
+    """
+    for path in list(_written):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)

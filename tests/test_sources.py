@@ -98,6 +98,18 @@ def test_entry_and_a_few_queries_match_their_sql(spark):
         assert key(got.astype(float)) == key(want.astype(float)), name
 
 
+def test_scratch_is_cleared(spark):
+    from pathlib import Path as Folder
+
+    from orbitrace.session import clear_scratch, discard, materialize
+
+    a, b = materialize(spark.range(3), "a"), materialize(spark.range(4), "b")
+    discard(a)
+    assert not Folder(a._path).exists() and b.count() == 4
+    clear_scratch(spark)
+    assert not Folder(b._path).exists()
+
+
 def test_entry_without_the_corpus_part():
     """The entry module still imports when the corpus subpackage and pipeline are gone."""
     code = (
