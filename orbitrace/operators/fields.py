@@ -257,11 +257,11 @@ def density_entropy(counts: DataFrame, time: str = "t") -> DataFrame:
 
 def dipole(units: DataFrame, value: str, frame: str = "t") -> DataFrame:
     """Length of the sum of ``(value - mean) * direction`` per frame, and the same after dealing the values out anew by the
-    order of a hash, as a null."""
+    order of the MD5 of the track ids, as a null."""
     mean = F.avg(value).over(Window.partitionBy(frame))
     base = units.select(frame, "track_id", "ux", "uy", "uz", (F.col(value) - mean).alias("f"))
     ranked = base.withColumns({
-        "i": F.row_number().over(Window.partitionBy(frame).orderBy("track_id")), "j": F.row_number().over(Window.partitionBy(frame).orderBy(F.xxhash64("track_id"), "track_id")),
+        "i": F.row_number().over(Window.partitionBy(frame).orderBy("track_id")), "j": F.row_number().over(Window.partitionBy(frame).orderBy(F.md5(F.col("track_id").cast("string")), "track_id")),
     })
     dealt = ranked.join(ranked.select(frame, F.col("j").alias("i"), F.col("f").alias("g")), [frame, "i"])
     sums = dealt.groupBy(frame).agg(*(F.sum(F.col(v) * F.col(f"u{a}")).alias(f"{v}{a}") for v in "fg" for a in "xyz"))

@@ -149,10 +149,11 @@ def d40_density_entropy(spark, sf):
     return rounded(D.density_entropy(D.pixel_stats(_angles(spark, sf), 4, "mean_fluo").select("t", "pix", "n")))
 
 
-@query(f"""{WITH_SPHERE}, {UNITS}, f AS (SELECT t, ux, uy, uz, mean_fluo - avg(mean_fluo) OVER (PARTITION BY t) AS f FROM u)
-SELECT t, {R('sqrt(power(sum(f * ux), 2) + power(sum(f * uy), 2) + power(sum(f * uz), 2))')} AS dipole FROM f GROUP BY t""")
+@query(f"""{WITH_SPHERE}, {UNITS}, f AS (SELECT t, ux, uy, uz, mean_fluo - avg(mean_fluo) OVER (PARTITION BY t) AS f, row_number() OVER (PARTITION BY t ORDER BY track_id) AS i,
+  row_number() OVER (PARTITION BY t ORDER BY md5(CAST(track_id AS VARCHAR)), track_id) AS j FROM u), g AS (SELECT a.*, b.f AS g FROM f AS a JOIN f AS b ON a.t = b.t AND b.j = a.i)
+SELECT t, {R('sqrt(power(sum(f * ux), 2) + power(sum(f * uy), 2) + power(sum(f * uz), 2))')} AS dipole, {R('sqrt(power(sum(g * ux), 2) + power(sum(g * uy), 2) + power(sum(g * uz), 2))')} AS dipole_null FROM g GROUP BY t""")
 def d41_dipole(spark, sf):
-    return rounded(D.dipole(_units(spark, sf), "mean_fluo").select("t", "dipole"))
+    return rounded(D.dipole(_units(spark, sf), "mean_fluo").select("t", "dipole", "dipole_null"))
 
 
 @query(f"""{WITH_SPHERE}, {ANGLES}, {pix_sql(4)}, n AS (SELECT pix, count(*) AS n FROM pix GROUP BY pix), k AS (SELECT * FROM n ORDER BY n DESC, pix LIMIT 10)

@@ -114,12 +114,12 @@ def a12_curation(spark, sf):
     return A.curation(s)
 
 
-@query("""SELECT o_orderkey, c_mktsegment, o_custkey % 7 + epoch(o_orderdate) / 3600.0e0 AS stage FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, c_mktsegment, o_custkey % 7 + epoch(o_orderdate) / 3600.0e0 AS stage, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_orderkey % 3 AS BIGINT) END AS qc_flag FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
 def a13_frame_metadata(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("series"), F.lit(0).alias("time_index"), F.unix_timestamp("o_orderdate").alias("time"), F.col("o_custkey").alias("well_id"))
     plate = table(spark, sf, "customer").select(F.col("c_custkey").alias("well_id"), "c_mktsegment", (F.col("c_custkey") % 7).alias("start_age_hpf"))
-    flags = o.select("series", "time_index", F.lit(1).alias("qc_flag"))
-    return A.frame_metadata(o, plate, flags).select(F.col("series").alias("o_orderkey"), "c_mktsegment", "stage")
+    flags = o.where("series % 4 > 0").select("series", "time_index", (F.col("series") % 3).alias("qc_flag"))
+    return A.frame_metadata(o, plate, flags).select(F.col("series").alias("o_orderkey"), "c_mktsegment", "stage", "qc_flag")
 
 
 @query(f"{WITH_TRACKS} SELECT DISTINCT track_id, track_class FROM tracks WHERE track_class < 2")

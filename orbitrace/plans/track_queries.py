@@ -403,8 +403,8 @@ def c23_sequential_pairs(spark, sf):
     return rounded(S.sequential_pairs(o, "o_custkey", "o_orderpriority", "age", 3.0, "o_orderkey"))
 
 
-@query(f"""{WITH_TRACKS} SELECT k.track_id, k.t, false AS is_dropped, k.mean_fluo > 50 AS bright, CAST(track_id % 3 AS INT) AS track_class FROM tracks AS k
-UNION ALL SELECT 100000 + track_id, t, true, mean_fluo > 50, NULL FROM tracks WHERE t = 3""")
+@query(f"""{WITH_TRACKS} SELECT k.track_id, k.t, false AS is_dropped, k.mean_fluo > 50 AS bright, CAST(track_id % 3 AS INT) AS track_class, {R('x')} AS x, {R('z * 2')} AS z FROM tracks AS k
+UNION ALL SELECT 100000 + track_id, t, true, mean_fluo > 50, NULL, {R('x')}, {R('z * 2')} FROM tracks WHERE t = 3""")
 def a03_assemble(spark, sf):
     k = tracks(spark, sf)
     base = k.select("track_id", "parent_track_id", "t", "x", "y", "z")
@@ -413,7 +413,7 @@ def a03_assemble(spark, sf):
     fluo = k.select("track_id", "t", "mean_fluo").unionByName(k.where("t = 3").select((F.col("track_id") + 100000).alias("track_id"), "t", "mean_fluo"))
     fluo = fluo.withColumn("channel", F.lit(0)).unionByName(fluo.withColumns({"channel": F.lit(1), "mean_fluo": F.lit(0.0)}))
     out = A.assemble_tracks(base, classes, dropped, fluorescence=fluo, voxel_size={"z": 2.0})
-    return out.select("track_id", "t", "is_dropped", (F.col("mean_fluo") > 50).alias("bright"), "track_class")
+    return rounded(out.select("track_id", "t", "is_dropped", (F.col("mean_fluo") > 50).alias("bright"), "track_class", "x", "z"))
 
 
 @query(f"{WITH_TRACKS} SELECT track_id, t FROM tracks WHERE t NOT IN (SELECT t FROM tracks WHERE t % 2 = 0)")
