@@ -22,9 +22,10 @@ CRLF = "\r\n"
 #: Elements that end a line of text.
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 #: (pattern, replacement) in order: hidden elements and comments, the source's own white space, blocks, other tags.
+#: A lone blank stays as it is, so the patterns of white space find only the runs that change.
 TEXT_STEPS = (
-    (r"(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->", " "),
-    (r"[\t\n\f\r \x0B]+", " "),
+    (r"(?is)<(?:script[^>]*>.*?</script\s*>|style[^>]*>.*?</style\s*>|!--.*?-->)", " "),
+    (r"[\t\n\f\r\x0B][\t\n\f\r \x0B]*+| [\t\n\f\r \x0B]++", " "),
     (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?/?>", "\n"),
     (r"<[^>]*>", ""),
 )
@@ -37,7 +38,7 @@ _NOT_IN_LINKS = dict.fromkeys(map(ord, "\t\n\r"))
 #: The value of a link's first href, with its quotes if any.
 LINK = r"""(?i)<a\s[^>]*?(?<=[\s"'/])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 #: Then white space: runs of blanks to one, blanks around line ends away, line ends to one.
-SPACE_STEPS = ((r"[\t\f\r \x0B]+", " "), (r" ?\n[ \n]*", "\n"))
+SPACE_STEPS = ((r"[\t\f\r\x0B][\t\f\r \x0B]*+| [\t\f\r \x0B]++", " "), (r" \n[ \n]*+|\n[ \n]++", "\n"))
 
 
 def resolve(text: str) -> str:
