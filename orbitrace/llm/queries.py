@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orbitrace.llm import oracles
+from orbitrace.llm.centroid_clusters import cluster_vectors
 from orbitrace.llm.fingerprints import fingerprint_documents
 from orbitrace.llm.language_id import identify_languages
+from orbitrace.llm.line_dedup import drop_repeated_lines
 from orbitrace.llm.ngram_join import similarity_classes
 from orbitrace.llm.packing import pack_documents
 from orbitrace.llm.pii import find_personal_data
 from orbitrace.llm.quality_rules import apply_policy, ledger
 from orbitrace.llm.sentencepiece_codec import encode_documents
 from orbitrace.llm.sharding import shard_documents
+from orbitrace.llm.source_divergence import audit_sources
 from orbitrace.llm.token_counts import count_tokens
 from orbitrace.llm.warc import derivatives, responses
 
@@ -77,12 +80,29 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _tokenizer(), limit=512)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds over eight centroids."""
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=8, rounds=10, seed=3)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every two sources of a language are apart, and each source's most overrepresented terms."""
+    return audit_sources(_documents(spark, sf_dir), least_docs=30, top=50)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five documents or more share, but for each line's last document."""
+    return drop_repeated_lines(_documents(spark, sf_dir), least_docs=5, least_chars=40)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_fingerprints, op3_pii, op4_quality_rules, op5_sharding, op6_warc_derivatives, op7_sentencepiece,
-        op8_ngram_jaccard_join, op9_language_id, op10_token_counts,
+        op8_ngram_jaccard_join, op9_language_id, op10_token_counts, op11_centroid_clusters, op12_source_divergence, op13_line_dedup,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": oracles.OP4}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": oracles.OP4, "op11_centroid_clusters": oracles.OP11, "op12_source_divergence": oracles.OP12, "op13_line_dedup": oracles.OP13,
+}
