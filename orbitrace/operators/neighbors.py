@@ -145,6 +145,16 @@ def gap_pairs(ends: DataFrame, starts: DataFrame, gap_max: int, end_t: str = "t_
     return wide.join(starts, start_t)
 
 
+def near_gap_pairs(ends: DataFrame, starts: DataFrame, gap_max: int, distance: float) -> DataFrame:
+    """Ends ``t_end, ex, ey, ez`` with the starts ``t_start, sx, sy, sz`` 1 to ``gap_max + 1`` frames later within ``distance``: the
+    columns of both and ``distance``. They meet by start frame and grid cell, so other pairs are not formed."""
+    wide = ends.withColumn("t_start", F.explode(F.sequence(F.col("t_end") + 1, F.col("t_end") + 1 + gap_max)))
+    left = wide.withColumnsRenamed({f"e{a}": a for a in AXES})
+    near = radius_pairs(left, starts.withColumnsRenamed({f"s{a}": a for a in AXES}), distance, "t_start")
+    near = near.drop("n_t_start").withColumnsRenamed({a: f"e{a}" for a in AXES} | {f"n_{a}": f"s{a}" for a in AXES})
+    return near.withColumnsRenamed({f"n_{c}": c for c in starts.columns if c not in ("t_start", "sx", "sy", "sz")})
+
+
 def near_track(tracks: DataFrame, track_id: int, distance: float) -> DataFrame:
     """Ids of the tracks that come within ``distance`` of one track in some frame."""
     one = tracks.where(F.col("track_id") == track_id).select("t", *(F.col(a).alias(f"o{a}") for a in AXES))

@@ -334,10 +334,10 @@ def c20_gated_scores(spark, sf):
 @query(Q.G04)
 def g04_geometric_overlap(spark, sf):
     """Overlap of all clusters of consecutive frames that have near members."""
-    members, stats = K.find_clusters(_units(spark, sf), 0.3, 4)
-    place = members.join(_units(spark, sf).select("track_id", "t", "ux", "uy", "uz"), ["track_id", "t"])
-    later = stats.select(F.col("t").alias("tb"), F.col("cluster_id").alias("b"))
-    pairs = stats.select(F.col("t").alias("ta"), F.col("cluster_id").alias("a"), (F.col("t") + 1).alias("tb")).join(later, "tb")
+    members, _ = K.find_clusters(_units(spark, sf), 0.3, 4)
+    place = materialize(members.join(_units(spark, sf).select("track_id", "t", "ux", "uy", "uz"), ["track_id", "t"]), "members")
+    pairs = K.near_clusters(place.withColumn("t", F.col("t") + 1), place, 0.1, "t")
+    pairs = pairs.select((F.col("t") - 1).alias("ta"), F.col("cluster_id").alias("a"), F.col("t").alias("tb"), F.col("n_cluster_id").alias("b"))
     return rounded(K.geometric_overlap(pairs, place, 0.1).select(F.col("tb").alias("t"), F.col("a").alias("prev_id"), F.col("b").alias("curr_id"), "sim"))
 
 
@@ -349,28 +349,36 @@ def a07_augment_tracks(spark, sf):
     return rounded(A.augment_tracks(points, field, 4, 15.0, t_min=0.75).select("track_id", "t", "density", "fluo"))
 
 
-def _tracked(spark, sf):
-    units = _units(spark, sf)
-    members, stats = K.find_clusters(units, 0.3, 4)
-    members, stats = materialize(members, "members"), materialize(stats, "stats")
-    return units, members, stats, *K.track_clusters(units, members, stats, 0.1)
+def _found(units, angle: float):
+    members, stats = K.find_clusters(units, angle, 4)
+    return materialize(members, "members"), materialize(stats, "stats")
 
 
 @query()
 def i02_track_clusters(spark, sf):
     """Clusters linked with motion prediction."""
-    return _tracked(spark, sf)[3]
+    units = _units(spark, sf)
+    members, stats = _found(units, 0.3)
+    return K.track_clusters(units, members, stats, 0.1)[0]
 
 
 @query()
 def i02_track_merges(spark, sf):
-    return _tracked(spark, sf)[4]
+    """Merges of clusters where all cells drift towards one meridian."""
+    k = _angles(spark, sf).withColumn("phi", F.col("phi") * (1 - F.col("t") / 150.0))
+    sin = F.sin("theta")
+    units = k.select("track_id", "t", "mean_fluo", (sin * F.cos("phi")).alias("ux"), (sin * F.sin("phi")).alias("uy"), F.cos("theta").alias("uz"))
+    units = materialize(units, "units")
+    members, stats = _found(units, 0.2)
+    return K.track_clusters(units, members, stats, 0.15, least=0.2)[1]
 
 
 def _stitched(spark, sf):
-    units, members, stats, chains, _ = _tracked(spark, sf)
+    units = materialize(gapped(_units(spark, sf)), "units")
+    members, stats = _found(units, 0.2)
+    chains, _ = K.track_clusters(units, members, stats, 0.1)
     place = members.join(units.select("track_id", "t", "ux", "uy", "uz"), ["track_id", "t"])
-    return K.stitch_chains(chains.join(stats, ["t", "cluster_id"]), place, 0.1)
+    return K.stitch_chains(chains.join(stats, ["t", "cluster_id"]), place, 0.1, gap_max=6)
 
 
 @query()
@@ -398,9 +406,21 @@ def d35_chain_stats(spark, sf):
     return rounded(K.chain_stats(named, stats).select("t", "cluster_id", "chain_id", "start_t", "end_t", "duration", "mean_size", "max_size", "n_obs"))
 
 
+def gapped(df):
+    """``df`` with five frames missing after every twenty; no row goes."""
+    return df.withColumn("t", (F.col("t") + 5 * F.floor(F.col("t") / 20)).cast("int"))
+
+
+def broken_tracks(spark, sf):
+    """All rows of the tracks, with gaps, and a track of its own between two gaps."""
+    k = gapped(tracks(spark, sf))
+    return k.withColumn("track_id", F.col("track_id") * 100 + F.floor(F.col("t") / 25))
+
+
 @query()
 def i03_stitch(spark, sf):
-    k = tracks(spark, sf).where("t % 25 < 20").withColumn("track_id", F.col("track_id") * 100 + F.floor(F.col("t") / 25))
+    """Tracks cut at gaps, joined again."""
+    k = broken_tracks(spark, sf)
     return K.stitch_segments(L.track_ends(k), 6, 60.0)
 
 
@@ -412,7 +432,7 @@ def i05_link_optimal(spark, sf):
     near = N.radius_pairs(k, later, 15.0)
     # nearness, so that a pair is always better than none
     pairs = near.select(F.struct("t", "track_id").alias("left"), F.struct("t", "n_track_id").alias("right"), (16.0 - F.col("distance")).alias("score"))
-    out = K.optimal_assignment(pairs.select(F.concat_ws(":", "left.t", "left.track_id").alias("left"), F.concat_ws(":", "right.t", "right.n_track_id").alias("right"), "score"), "left", "right", "score")
+    out = K.optimal_assignment(pairs.select(F.concat_ws(":", "left.t", "left.track_id").alias("left"), F.concat_ws(":", "right.t", "right.n_track_id").alias("right"), "score", F.expr("left.t * 1e6 + left.track_id").alias("place")), "left", "right", "score", "place")
     name = lambda c, i: F.split(c, ":")[i].cast("long")
     return out.select(name("left", 0).alias("t"), name("left", 1).alias("track_id"), name("right", 1).alias("next_id"), F.round("score", 6).alias("score"))
 
@@ -424,7 +444,7 @@ def i05_link_frames(spark, sf):
 
 @query()
 def i06_close_gaps(spark, sf):
-    k = tracks(spark, sf).where("t % 25 < 20").withColumn("track_id", F.col("track_id") * 100 + F.floor(F.col("t") / 25))
+    k = broken_tracks(spark, sf)
     return rounded(L.close_gaps(k, 7, 60.0))
 
 

@@ -167,11 +167,13 @@ def e15_fill_frames(spark, sf):
     return rounded(T.fill_frames(sparse, ["x"]).select("track_id", "t", "x_filled"))
 
 
-@query(f"""{WITH_TRACKS}, k AS (SELECT track_id, t, mean_fluo FROM tracks WHERE t % 3 <> 1),
+@query(f"""{WITH_TRACKS}, k AS (SELECT track_id, t + t // 2 AS t, mean_fluo FROM tracks),
 d AS (SELECT track_id, t, mean_fluo / coalesce(t - lag(t) OVER w, 1) AS s FROM k {W})
 SELECT track_id, t, {R('sum(s) OVER (PARTITION BY track_id ORDER BY t ROWS UNBOUNDED PRECEDING)')} AS mean_fluo_drift FROM d""")
 def e15_drift(spark, sf):
-    return rounded(T.drift(tracks(spark, sf).where("t % 3 <> 1"), ["mean_fluo"]).select("track_id", "t", "mean_fluo_drift"))
+    """All rows, with a frame missing after every second one."""
+    k = tracks(spark, sf).withColumn("t", F.expr("CAST(t + t div 2 AS int)"))
+    return rounded(T.drift(k, ["mean_fluo"]).select("track_id", "t", "mean_fluo_drift"))
 
 
 @query(f"""{WITH_TRACKS}, k AS (SELECT CAST(o AS INT) AS o, exp(-0.5e0 * o * o) / (SELECT sum(exp(-0.5e0 * o * o)) FROM unnest(range(-4, 5)) AS q(o)) AS w FROM unnest(range(-4, 5)) AS q(o)),
@@ -182,10 +184,11 @@ def e16_gaussian_smooth(spark, sf):
     return rounded(T.gaussian_smooth(tracks(spark, sf), "mean_fluo", 1.0).select("track_id", "t", "mean_fluo_smooth"))
 
 
-@query(f"""{WITH_TRACKS}, k AS (SELECT track_id, t FROM tracks WHERE t % 7 <> 3), j AS (SELECT *, CASE WHEN t - lag(t) OVER w > 1 THEN 1 ELSE 0 END AS j FROM k {W})
+@query(f"""{WITH_TRACKS}, k AS (SELECT track_id, t + t // 6 AS t FROM tracks), j AS (SELECT *, CASE WHEN t - lag(t) OVER w > 1 THEN 1 ELSE 0 END AS j FROM k {W})
 SELECT track_id, t, CAST(sum(j) OVER (PARTITION BY track_id ORDER BY t) AS BIGINT) AS segment FROM j""")
 def e18_islands(spark, sf):
-    return T.islands(tracks(spark, sf).where("t % 7 <> 3")).select("track_id", "t", "segment")
+    """All rows, with a frame missing after every sixth one."""
+    return T.islands(tracks(spark, sf).withColumn("t", F.expr("CAST(t + t div 6 AS int)"))).select("track_id", "t", "segment")
 
 
 @query(f"{WITH_TRACKS}, s AS (SELECT *, min(t) OVER (PARTITION BY track_id) AS t_start FROM tracks) SELECT track_id, t, t_start, {R('x')} AS x FROM s WHERE t = greatest(t_start, 12)")
@@ -357,10 +360,12 @@ def c13_lag_pairs(spark, sf):
     return N.lag_pairs(tracks(spark, sf).select("track_id", "t"), "track_id", "t", 8.0, 0.1).select("track_id", "t", "n_t")
 
 
-@query(f"""{WITH_TRACKS}, e AS (SELECT track_id, min(t) FILTER (t % 20 >= 4) AS a, t // 20 AS b, max(t) AS t_end FROM tracks WHERE t % 20 >= 4 GROUP BY track_id, b)
+@query(f"""{WITH_TRACKS}, e AS (SELECT track_id, min(t + 4 * (t // 16)) AS a, t // 16 AS b, max(t + 4 * (t // 16)) AS t_end FROM tracks GROUP BY ALL)
 SELECT p.track_id AS parent, q.track_id AS child, CAST(p.t_end AS INT) AS t_end, CAST(q.a AS INT) AS t_start FROM e AS p JOIN e AS q ON q.a BETWEEN p.t_end + 1 AND p.t_end + 6 AND p.track_id = q.track_id""")
 def c14_gap_pairs(spark, sf):
-    e = tracks(spark, sf).where("t % 20 >= 4").groupBy("track_id", F.floor(F.col("t") / 20).alias("b")).agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+    """All rows, with four frames missing after every sixteen."""
+    k = tracks(spark, sf).select("track_id", F.expr("t div 16").alias("b"), F.expr("CAST(t + 4 * (t div 16) AS int)").alias("t"))
+    e = k.groupBy("track_id", "b").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"))
     out = N.gap_pairs(e.select(F.col("track_id").alias("parent"), "t_end"), e.select(F.col("track_id").alias("child"), "t_start"), 5)
     return out.where("parent = child").select("parent", "child", "t_end", "t_start")
 
