@@ -1,6 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records from response records.
 
-Character references are resolved in Arrow batches, the rest is SQL functions. Digests are labelled SHA-256 in
+Pages are read in Arrow batches, in forward passes that look at no stretch of a page more than a few times, whatever the
+markup: an opener behind which no closer stands is decided once for all that follow. The rest is SQL functions. Digests are labelled SHA-256 in
 hexadecimal; record ids are URNs made from an MD5 of what the record is and where it comes from, so that a repeated run
 writes the same ids.
 """
@@ -21,24 +22,30 @@ from orbitrace.llm.batches import bound_batches
 CRLF = "\r\n"
 #: Elements that end a line of text.
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-#: (pattern, replacement) in order: hidden elements and comments, the source's own white space, blocks, other tags.
-#: A lone blank stays as it is, so the patterns of white space find only the runs that change.
-TEXT_STEPS = (
-    (r"(?is)<(?:script[^>]*>.*?</script\s*>|style[^>]*>.*?</style\s*>|!--.*?-->)", " "),
-    (r"[\t\n\f\r\x0B][\t\n\f\r \x0B]*+| [\t\n\f\r \x0B]++", " "),
-    (rf"(?i)</?(?:{_BLOCKS})(?:\s[^>]*)?/?>", "\n"),
-    (r"<[^>]*>", ""),
-)
+_S = r"[ \t\n\x0b\f\r]"
+_FLAGS = re.IGNORECASE | re.ASCII
+#: What hides its content, and its end.
+_HIDING = re.compile(r"<(?:script|style|!--)", _FLAGS)
+_ENDS = {"script": re.compile(rf"</script{_S}*+>", _FLAGS), "style": re.compile(rf"</style{_S}*+>", _FLAGS), "!--": re.compile("-->")}
+#: The source's own white space; a lone blank stays as it is, so the pattern finds only the runs that change.
+_SOURCE_SPACE = re.compile(r"[\t\n\f\r\x0B][\t\n\f\r \x0B]*+| [\t\n\f\r \x0B]++")
+_BLOCK = re.compile(rf"</?(?:{_BLOCKS})(?:{_S}[^>]*+|/)?>", _FLAGS)
+_TAG = re.compile(r"<[^>]*+>")
+_TITLE, _TITLE_END = re.compile(r"<title", _FLAGS), re.compile(r"</title", _FLAGS)
+_SPACES = re.compile(rf"{_S}+")
 #: A character reference in text, and one in an attribute: there a name without semicolon ends before "=" and letters.
 _IN_TEXT = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31};?)")
 _IN_VALUE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]{1,31}(?:;|(?![=A-Za-z0-9])))")
 #: White space that a reference stands for is a blank in text, and line ends and tabs are dropped from links.
 _BLANKS = {ord(c): " " for c in "\t\n\x0b\f\r\xa0"}
 _NOT_IN_LINKS = dict.fromkeys(map(ord, "\t\n\r"))
-#: The value of a link's first href, with its quotes if any.
-LINK = r"""(?i)<a\s[^>]*?(?<=[\s"'/])href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+#: An anchor, an attribute href in it, and the attribute's value without quotes.
+_ANCHOR, _HREF = re.compile(rf"<a{_S}", _FLAGS), re.compile(rf"""(?<=[ \t\n\x0b\f\r"'/])href{_S}*+={_S}*+""", _FLAGS)
+_BARE = re.compile(r"""[^ \t\n\x0b\f\r"'>]+""")
 #: Then white space: runs of blanks to one, blanks around line ends away, line ends to one.
-SPACE_STEPS = ((r"[\t\f\r\x0B][\t\f\r \x0B]*+| [\t\f\r \x0B]++", " "), (r" \n[ \n]*+|\n[ \n]++", "\n"))
+_SPACE_STEPS = (
+    (re.compile(r"[\t\f\r\x0B][\t\f\r \x0B]*+| [\t\f\r \x0B]++"), " "), (re.compile(r" \n[ \n]*+|\n[ \n]++"), "\n"),
+)
 
 
 def resolve(text: str) -> str:
@@ -55,25 +62,78 @@ def resolve_link(value: str) -> str:
     return _IN_VALUE.sub(lambda m: (unescape(m.group()) if m[0][1] == "#" else html5.get(m[0][1:], m[0])).translate(_NOT_IN_LINKS), value)
 
 
-@F.arrow_udf(T.StringType())
-def _resolved(texts: pa.Array) -> pa.Array:
-    return pa.array([t if t is None else resolve(t) for t in texts.to_pylist()], pa.string())
-
-
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _resolved_links(links: pa.Array) -> pa.Array:
-    return pa.array([x if x is None else [resolve_link(v) for v in x] for x in links.to_pylist()], pa.list_(pa.string()))
-
-
-def plain_text(html):
-    """Column: the visible text of a page, one line per block."""
-    out = html
-    for pattern, new in TEXT_STEPS:
-        out = F.regexp_replace(out, pattern, new)
-    out = _resolved(out)
-    for pattern, new in SPACE_STEPS:
-        out = F.regexp_replace(out, pattern, new)
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+def without_hidden(html: str) -> str:
+    """``html`` with scripts, styles and comments as blanks; one that never ends stays."""
+    out, at, endless = [], 0, set()
+    for m in _HIDING.finditer(html):
+        kind = m.group()[1:].lower()
+        if m.start() < at or kind in endless:
+            continue
+        begin = m.end() if kind == "!--" else html.find(">", m.end()) + 1
+        end = _ENDS[kind].search(html, begin) if begin else None
+        if end is None:
+            endless.add(kind)  # nor does one that begins later
+            continue
+        out += [html[at : m.start()], " "]
+        at = end.end()
+    return "".join([*out, html[at:]]) if out else html
+
+
+def _replaced(pattern: re.Pattern, new: str, text: str) -> str:
+    """Tags replaced; behind the last ``>`` there is none."""
+    cut = text.rfind(">") + 1
+    return pattern.sub(new, text[:cut]) + text[cut:]
+
+
+def page_text(html: str) -> str:
+    """The visible text of a page, one line per block."""
+    text = _SOURCE_SPACE.sub(" ", without_hidden(html))
+    text = resolve(_replaced(_TAG, "", _replaced(_BLOCK, "\n", text)))
+    for pattern, new in _SPACE_STEPS:
+        text = pattern.sub(new, text)
+    return text.strip(" \n")
+
+
+def page_title(html: str) -> str:
+    """The content of the first title; one that never ends is none."""
+    m = _TITLE.search(html)
+    begin = html.find(">", m.end()) + 1 if m else 0
+    end = _TITLE_END.search(html, begin) if begin else None
+    return _SPACES.sub(" ", resolve(html[begin : end.start()])).strip(" ") if end else ""
+
+
+def page_links(html: str) -> list[str]:
+    """The values of the first href of all anchors. Of an anchor's tag all is looked at once: where it has none, an anchor that
+    begins inside it has none either."""
+    out, at, unclosed = [], 0, {}
+    while m := _ANCHOR.search(html, at):
+        stop = html.find(">", m.end())
+        stop = len(html) if stop < 0 else stop
+        at = stop
+        for name in _HREF.finditer(html, m.end(), stop):
+            begin, quote = name.end(), html[name.end() : name.end() + 1]
+            if quote in ('"', "'") and quote:
+                end = -1 if begin >= unclosed.get(quote, len(html)) else html.find(quote, begin + 1)
+                if end < 0:
+                    unclosed[quote] = min(begin, unclosed.get(quote, begin))
+                    continue
+                end += 1
+            else:
+                bare = _BARE.match(html, begin)
+                if bare is None:
+                    continue
+                end = bare.end()
+            out.append(resolve_link(html[begin:end]))
+            at = end
+            break
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())]))
+def _read(pages: pa.Array) -> pa.Array:
+    html = pages.to_pylist()
+    made = [pa.array([page_title(h) for h in html], pa.string()), pa.array([page_links(h) for h in html], pa.list_(pa.string())), pa.array([page_text(h) for h in html], pa.string())]
+    return pa.StructArray.from_arrays(made, names=["title", "links", "text"])
 
 
 def _digest(column):
@@ -111,14 +171,13 @@ def derivatives(records: DataFrame) -> DataFrame:
     links, and an ``outlink`` line per link in page order. Character references are resolved in text, title and links.
     Responses that repeat give records that repeat with the same ids. An empty payload gives an empty conversion and a
     metadata record without links; an empty table gives nothing. Other columns of ``records`` are ignored, and none of
-    their names clashes with what is made here. A page is worked on whole, however long. Malformed markup is read by the
-    same patterns: a script, style or comment that never ends is text from its tag on, a ``<`` without a ``>`` is text, an
+    their names clashes with what is made here. A page is worked on whole, however long. Malformed markup is read the
+    same way: a script, style or comment that never ends is text from its tag on, a ``<`` without a ``>`` is text, an
     anchor without href is no link, and a title that never ends is none.
     """
     bound_batches(records.sparkSession)
-    title = F.trim(F.regexp_replace(_resolved(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)), r"\s+", " "))
-    links = _resolved_links(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)))
-    told = records.withColumns({"__title": title, "__links": links, "__text": plain_text(F.col("payload"))})
+    told = records.withColumn("__page", _read(F.coalesce("payload", F.lit(""))))
+    told = told.withColumns({"__title": F.col("__page.title"), "__links": F.col("__page.links"), "__text": F.col("__page.text")})
     lines = F.concat(
         F.lit("title: "), "__title", F.lit(f"{CRLF}link-count: "), F.size("__links").cast("string"), F.lit(CRLF),
         F.array_join(F.transform("__links", lambda x: F.concat(F.lit("outlink: "), x, F.lit(CRLF))), ""),
