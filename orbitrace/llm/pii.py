@@ -109,13 +109,19 @@ _DIGIT_WORD = "|".join(sorted(SPELLED_DIGITS, key=len, reverse=True))
 _SIGN = re.compile(rf"(?P<at>{_OPEN}{_GAP}(?:at|@){_GAP}{_CLOSE})|(?P<dot>{_OPEN}{_GAP}(?:dot|\.){_GAP}{_CLOSE})", re.I)
 #: A spelled plus before a number of any length, in digits or spelled.
 _PLUS = re.compile(rf"\bplus(?=[\x20-]{{1,3}}(?:[0-9]|(?:{_DIGIT_WORD})(?![A-Za-z])))", re.I)
-#: An address whose sign, or one or more of whose dots, are words.
+#: An address whose sign, or one or more of whose dots, are words; in front of the sign up to eight words may be joined so.
 _WORDY = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>[\x20]+at[\x20]+|@)[A-Za-z0-9-]++(?P<dots>(?:(?:[\x20]+dot[\x20]+|\.)[A-Za-z0-9-]++)+)", re.I
+    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++(?:[\x20]+dot[\x20]+[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+){0,8}?)"
+    r"(?P<at>[\x20]+at[\x20]+|@)[A-Za-z0-9-]++(?P<dots>(?:(?:[\x20]+dot[\x20]+|\.)[A-Za-z0-9-]++)+)", re.I
 )
+#: Four short numbers with dots between, at least one of them a word.
+_WORDY_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:(?:[\x20]{1,8}dot[\x20]{1,8}|\.)[0-9]{1,3}+){3}(?![0-9])", re.I)
 _DOT_WORD = re.compile(r"[\x20]+dot[\x20]+", re.I)
-#: After a spelled "at" alone, the end of a host: "at 10.30" is none.
-_LAST_LABEL = re.compile(r"\.[A-Za-z][A-Za-z-]*[A-Za-z]\Z")
+#: After a spelled "at", the endings that a host may have; other words after a dot are prose or file names.
+ENDINGS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg hr si rs ua ru tr "
+    "se no dk fi is ee lv lt jp cn kr tw hk sg my th vn id ph in pk ae sa il za ng ke eg ma mx br ar cl pe uy ve example test invalid local".split()
+)
 #: Only runs that hold at least four spelled digits are read as numbers, or any after a plus; a lone "one" is prose.
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9])(?:[\x20,-]{{1,2}}(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9]+))*(?![A-Za-z])", re.I)
 _DIGIT_ITEM = re.compile(rf"(?:{_DIGIT_WORD})|[0-9]+", re.I)
@@ -195,11 +201,19 @@ def join_signs(tape: Tape) -> Tape:
         return tape
     wordy = []
     for m in _WORDY.finditer(tape.text):
-        dots = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(tape.text, *m.span("dots"))]
-        if m["at"] != "@" and (dots or _LAST_LABEL.search(m["dots"])):
+        dots = [(d.start(), d.end(), ".") for part in ("local", "dots") for d in _DOT_WORD.finditer(tape.text, *m.span(part))]
+        if m["at"] != "@":
+            if m["dots"][_last_sign(m["dots"]) :].lower() not in ENDINGS:
+                continue
             wordy.append((*m.span("at"), "@"))
         wordy.extend(dots)
-    return tape.rewrite(wordy)
+    tape = tape.rewrite(sorted(wordy))
+    return tape.rewrite([(d.start(), d.end(), ".") for m in _WORDY_IP.finditer(tape.text) for d in _DOT_WORD.finditer(tape.text, *m.span())])
+
+
+def _last_sign(host: str) -> int:
+    """Where the last label of a host begins."""
+    return max(host.rfind("."), host.rfind(" ")) + 1
 
 
 def join_digits(tape: Tape) -> Tape:
@@ -251,14 +265,29 @@ def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]
     plain = plain_spans(text)
     every = {kind: list(spans) for kind, spans in plain.items()}
     for kind, spans in disguised_spans(text).items():
-        taken = every[kind]
-        for a, b in spans:
-            if not any(a < y and x < b and not (a <= x and y <= b and (a, b) != (x, y)) for x, y in taken):
-                taken.append((a, b))
-        taken.sort()
+        every[kind] = merge_spans(plain[kind], spans)
     return plain, every
 
 
+def merge_spans(plain: list[Span], found: list[Span]) -> list[Span]:
+    """``plain`` and those of ``found`` that overlap none of the spans before, or hold a plain one and more. Both come in order,
+    and one pass over them is enough."""
+    added: list[Span] = []
+    i, reach = 0, -1
+    for a, b in found:
+        while i < len(plain) and plain[i][1] <= a:
+            i += 1
+        k, fits = i, a >= reach
+        while fits and k < len(plain) and plain[k][0] < b:
+            x, y = plain[k]
+            fits = a <= x and y <= b and (a, b) != (x, y)
+            k += 1
+        if fits:
+            added.append((a, b))
+            reach = b
+    return sorted([*plain, *added])
+
+
 def listing(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind in KINDS for a, b in spans[kind])
 

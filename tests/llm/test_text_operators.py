@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import time
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -198,6 +199,38 @@ def test_clean_texts_stay_clean(text):
     assert pii.find_spans(text) == ({k: [] for k in pii.KINDS}, {k: [] for k in pii.KINDS})
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("server 10 dot 0 dot 0 dot 7 up", "ip", "10 dot 0 dot 0 dot 7"), ("server 10.0 dot 0.7, up", "ip", "10.0 dot 0.7"), ("jane dot doe at example dot com", "email", "jane dot doe at example dot com"),
+        ("ask a dot b dot doe@example.org now", "email", "a dot b dot doe@example.org"), ("mail jane at example dot co dot uk.", "email", "jane at example dot co dot uk"),
+    ],
+)
+def test_spelled_dots_in_prose(text, kind, part):
+    plain, every = pii.find_spans(text)
+    assert [text[a:b] for a, b in every[kind] if (a, b) not in plain[kind]] == [part]
+
+
+@pytest.mark.parametrize("text", ["meet at noon.we go", "look at figure.one please", "at setup.py", "look at the dot on the map", "5 dot 5", "1 dot 2 dot 3 dot 999"])
+def test_prose_with_at_and_dot_stays(text):
+    assert not any(pii.find_spans(text)[1].values())
+
+
+def test_spans_merge_in_one_pass():
+    rng = random.Random(6)
+    cut = lambda n: [(a, b) for a, b in zip(*[iter(sorted(rng.sample(range(60), n * 2)))] * 2, strict=True)]
+    for _ in range(500):
+        plain, found = cut(rng.randint(0, 6)), cut(rng.randint(0, 6))
+        want = list(plain)
+        for a, b in found:
+            if not any(a < y and x < b and not (a <= x and y <= b and (a, b) != (x, y)) for x, y in want):
+                want.append((a, b))
+        assert pii.merge_spans(plain, found) == sorted(want)
+    began = time.time()
+    text = "jane@example.com " * 100_000 + "— a dot b " * 20_000
+    assert len(pii.find_spans(text)[1]["email"]) == 100_000 and time.time() - began < 8
+
+
 def test_pii_over_documents(spark, docs, no_docs):
     extra = spark.createDataFrame([(900, "a@b.co 1.2.3.4 +49 30 1234567", "de", "s", 29, "k", "w")], docs.schema)
     for r in pii.find_personal_data(docs.unionByName(extra)).where("doc_id = 900").collect():
@@ -357,6 +390,22 @@ def test_malformed_and_long_pages(spark):
     assert "link-count: 0" in meta[3] and meta[3].startswith("title: \r\n")
 
 
+@pytest.mark.parametrize("unit", ["<", "<script>", "<script", "<style ", "<!--", "<a ", '<a href="', "<a href='x\" ", "<title>", "<title ", "</script ", "<p ", "&#", "<a href=x "])
+def test_pages_of_openers_are_read_in_linear_time(unit):
+    for end in ("", ">", "</p>", "-->"):
+        html = unit * (1_000_000 // len(unit)) + end
+        began = time.time()
+        warc.page_text(html), warc.page_links(html), warc.page_title(html)
+        assert time.time() - began < 5
+
+
+def test_odd_links_and_hidden_parts():
+    html = """<a href='x>y' href=z>t</a><a  data-href=q\thref = v>u<A/HREF=r>k</A><a href="open <a href='b'>c</a><a\nhref>x<a href=>y<a x='href=q' href=w>"""
+    assert warc.page_links(html) == ["x>y", "v", "b", "q"]
+    assert warc.page_text("<script a>x</script ><style>s</style\n>t<!-- a --><!-->b-->c<scripty>d</script>e<!-- f") == "t c e<!-- f"
+    assert warc.page_title("<title a=b>T &amp;\n x</TITLE><title>u</title>") == "T & x" and warc.page_title("<title>x") == ""
+
+
 def test_working_columns_clash_with_none(spark):
     words = " ".join(f"w{i}word" for i in range(60))
     rows = [(1, words, "aa", "keep", "me", "too", 7), (2, "few", "aa", "keep", "me", "too", 8), (3, None, None, None, None, None, None)]
