@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orbitrace.functions.geometry import angle_between, tangent_basis
 from orbitrace.functions.healpix import neighbor_rows, npix, pixel_area, pixel_neighbors, pixel_table, with_pixel
-from orbitrace.operators.neighbors import to_windows
+from orbitrace.session import materialize
 
 #: A pixel table is broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_PIXELS = 500_000
@@ -39,15 +39,38 @@ def window_centers(times: DataFrame, time: str, stride: float) -> tuple[float, i
     return float(r.a), math.ceil((r.b + s - r.a) / s - 1e-9)
 
 
-def windowed(df: DataFrame, time: str, window: float, stride: float) -> DataFrame:
-    t_min, n = window_centers(df, time, stride)
-    return to_windows(df, time, window, max(1.0, stride), t_min, max(n, 1))
+def with_panes(df: DataFrame, time: str, window: float, stride: float, centers: tuple[float, int] | None = None) -> DataFrame:
+    """``df`` with its pane: ``w_lo`` and ``w_hi``, the first and the last of the sliding windows that hold the row's time.
+
+    All rows of a pane are in the same windows, and there are at most twice as many panes as windows. What can be summed is
+    summed by pane first and by window then, so a row is never copied into its windows.
+    """
+    step, half = max(1.0, stride), window / 2
+    t_min, n = centers or window_centers(df, time, stride)
+    at = (F.col(time) - t_min) / step
+    low = F.greatest(F.ceil(at - half / step - 1e-9), F.lit(0)).cast("int")
+    high = F.least(F.floor(at + half / step + 1e-9), F.lit(max(n, 1) - 1)).cast("int")
+    out = lambda k: (F.abs(F.col(time) - (k * step + t_min)) > half).cast("int")
+    # the slack takes in one window too many at most, at either end
+    bounds = F.struct((low + out(low)).alias("lo"), (high - out(high)).alias("hi"))
+    made = df.withColumn("__w", F.when(low <= high, bounds)).where("__w.lo <= __w.hi")
+    return made.select(*df.columns, F.col("__w.lo").alias("w_lo"), F.col("__w.hi").alias("w_hi"))
+
+
+def by_window(rows: DataFrame, keys: list[str], sums: dict[str, Column], largest: dict[str, Column] | None = None) -> DataFrame:
+    """``t_idx``, ``keys``, the sums of columns over the rows with panes in every window, and their largest values."""
+    largest = largest or {}
+    per = rows.groupBy("w_lo", "w_hi", *keys).agg(*(F.sum(c).alias(k) for k, c in sums.items()), *(F.max(c).alias(k) for k, c in largest.items()))
+    wide = per.withColumn("t_idx", F.explode(F.sequence("w_lo", "w_hi")))
+    return wide.groupBy("t_idx", *keys).agg(*(F.sum(k).alias(k) for k in sums), *(F.max(k).alias(k) for k in largest))
 
 
 def window_counts(df: DataFrame, nside: int, window: float, stride: float, time: str = "time_min") -> DataFrame:
     """``t_idx, time_center, pix, n``: rows by pixel of (theta, phi) in sliding windows; empty pixels have no row."""
-    rows = windowed(with_pixel(df.select(time, "theta", "phi"), nside), time, window, stride)
-    return rows.groupBy("t_idx", "time_center", "pix").agg(F.count("*").alias("n"))
+    t_min, n = window_centers(df, time, stride)
+    rows = with_panes(with_pixel(df.select(time, "theta", "phi"), nside), time, window, stride, (t_min, n))
+    out = by_window(rows, ["pix"], {"n": F.lit(1).cast("long")})
+    return out.select("t_idx", (F.col("t_idx") * max(1.0, stride) + t_min).alias("time_center"), "pix", "n")
 
 
 def pixel_stats(df: DataFrame, nside: int, value: str) -> DataFrame:
@@ -65,13 +88,14 @@ def pixel_density(df: DataFrame, nside: int, radius: float = 1.0, outlier: str |
     )
 
 
-def spread_to_pixels(steps: DataFrame, nside: int, sigma: float, window: float, stride: float, least: float) -> DataFrame:
-    """Steps in every window and pixel within two sigmas, with the Gaussian weight ``w`` of their angle, over ``least``.
+def spread_to_pixels(steps: DataFrame, nside: int, sigma: float, window: float, stride: float, least: float, centers: tuple[float, int] | None = None) -> DataFrame:
+    """Steps with their pane, in every pixel within two sigmas, with the Gaussian weight ``w`` of their angle, over ``least``.
 
-    Steps meet their pixel's neighbour list by an equi join on the pixel, then the weight is exact.
+    Steps meet their pixel's neighbour list by an equi join on the pixel, then the weight is exact. A weight does not
+    depend on the window.
     """
     spark = steps.sparkSession
-    rows = windowed(with_pixel(steps, nside, name="home"), "mid_time", window, stride)
+    rows = with_panes(with_pixel(steps, nside, name="home"), "mid_time", window, stride, centers)
     reach = 2 * sigma + math.sqrt(math.pi / 3) / nside
     near = pixel_neighbors(spark, nside, reach).select(F.col("pix").alias("home"), F.col("near").alias("pix"))
     table = near.join(small_broadcast(pixel_table(spark, nside), npix(nside)), "pix")
@@ -87,9 +111,10 @@ def density_field(steps: DataFrame, nside: int, sigma: float, window: float = 45
     A pixel without a step in a window that has steps is 0: with ``dense`` it has a row with density 0 and a null value,
     otherwise none. A window without steps is missing in both.
     """
-    w = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2)
-    per = w.groupBy("t_idx", "pix").agg(F.sum("w").alias("s"), F.sum(F.col("w") * F.col("mid_fluo")).alias("f"))
-    times = windowed(steps.select("mid_time").distinct(), "mid_time", window, stride).groupBy("t_idx").agg(F.count("*").alias("k"))
+    centers = window_centers(steps, "mid_time", stride)
+    w = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2, centers)
+    per = by_window(w, ["pix"], {"s": F.col("w"), "f": F.col("w") * F.col("mid_fluo")})
+    times = by_window(with_panes(steps.select("mid_time").distinct(), "mid_time", window, stride, centers), [], {"k": F.lit(1).cast("long")})
     if dense:
         every = times.withColumn("pix", F.explode(F.sequence(F.lit(0), F.lit(npix(nside) - 1)).cast("array<bigint>")))
         rows = every.join(per, ["t_idx", "pix"], "left")
@@ -131,8 +156,8 @@ def vector_field(steps: DataFrame, nside: int, sigma: float, radius: float, wind
     terms = {"w": w, "u": w * F.col("u"), "v": w * F.col("v"), "uu": w * F.col("u") ** 2, "uv": w * F.col("u") * F.col("v"), "vv": w * F.col("v") ** 2}
     for c in ("vu", "vv"):
         terms |= {f"{c}_1": w * F.col(c), f"{c}_u": w * F.col(c) * F.col("u"), f"{c}_v": w * F.col(c) * F.col("v")}
-    own = F.max((F.col("home") == F.col("pix")).cast("int")).alias("own")
-    sums = t.groupBy("t_idx", "pix").agg(*(F.sum(x).alias(f"s_{k}") for k, x in terms.items()), F.count("*").alias("n_steps"), own)
+    own = (F.col("home") == F.col("pix")).cast("int")
+    sums = by_window(t, ["pix"], {f"s_{k}": x for k, x in terms.items()} | {"n_steps": F.lit(1).cast("long")}, {"own": own})
     sums = sums.where((F.col("n_steps") >= least_steps) & (F.col("own") == 1))
     s = {k: F.col(f"s_{k}") for k in terms}
     raw = s["w"] * (s["uu"] * s["vv"] - s["uv"] ** 2) - s["u"] * (s["u"] * s["vv"] - s["uv"] * s["v"]) + s["v"] * (s["u"] * s["uv"] - s["uu"] * s["v"])
@@ -148,57 +173,74 @@ def path_speed(steps: DataFrame, nside: int, sigma: float, radius: float, window
     """Weighted mean tangent speed per window and pixel with at least ``least_steps`` weights over 1e-2."""
     t = tangent_coordinates(spread_to_pixels(steps, nside, sigma, window, stride, 1e-2), radius)
     speed = F.sqrt(F.col("vu") ** 2 + F.col("vv") ** 2)
-    out = t.groupBy("t_idx", "pix").agg((F.sum(F.col("w") * speed) / F.sum("w")).alias("path_speed"), F.count("*").alias("n_steps"))
-    return out.where(F.col("n_steps") >= least_steps)
+    out = by_window(t, ["pix"], {"ws": F.col("w") * speed, "w": F.col("w"), "n_steps": F.lit(1).cast("long")})
+    return out.select("t_idx", "pix", (F.col("ws") / F.col("w")).alias("path_speed"), "n_steps").where(F.col("n_steps") >= least_steps)
 
 
 def pair_alignment(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5) -> DataFrame:
     """Weighted mean cosine between the velocities of all step pairs of a window and pixel, from sums alone: no pair is formed."""
     t = _headings(steps, nside, sigma, window, stride)
     w = F.col("w")
-    q = t.groupBy("t_idx", "pix").agg(*(F.sum(w * F.col(f"h{a}")).alias(a) for a in "xyz"), F.sum(w).alias("w"), F.sum(w * w).alias("w2"), F.count("*").alias("n"))
+    q = by_window(t, ["pix"], {a: w * F.col(f"h{a}") for a in "xyz"} | {"w": w, "w2": w * w, "n": F.lit(1).cast("long")})
     below = F.col("w") ** 2 - F.col("w2")
     length = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2
     return q.where("n > 1").select("t_idx", "pix", F.when(below > 0, (length - F.col("w2")) / below).alias("alignment"))
 
 
 def _headings(steps: DataFrame, nside: int, sigma: float, window: float, stride: float) -> DataFrame:
-    """``t_idx, pix, w`` and the direction ``hx, hy, hz`` of every step faster than 1e-6."""
+    """``w_lo, w_hi, pix, w`` and the direction ``hx, hy, hz`` of every step faster than 1e-6."""
     t = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2)
     t = t.withColumn("s", F.sqrt(F.col("vx") ** 2 + F.col("vy") ** 2 + F.col("vz") ** 2)).where("s > 1e-6")
-    return t.select("t_idx", "pix", "w", *((F.col(f"v{a}") / F.col("s")).alias(f"h{a}") for a in "xyz"))
+    return t.select("w_lo", "w_hi", "pix", "w", *((F.col(f"v{a}") / F.col("s")).alias(f"h{a}") for a in "xyz"))
 
 
 def misalignment_entropy(steps: DataFrame, nside: int, sigma: float, window: float = 45.0, stride: float = 1.5, bins: int = ENTROPY_BINS) -> DataFrame:
     """``t_idx, pix, entropy``: entropy over ln ``bins`` of the angles between the velocities of all step pairs of a window
     and pixel, weighted by the product of the steps' weights, in ``bins`` on [0, pi] (the last one closed).
 
-    Steps of a pixel are cut into blocks of at most ``PAIR_ROWS``; two blocks meet as one matrix product whose histogram
-    is all that leaves the task, so no pair becomes a row and no task sees a whole pixel. A pixel with fewer than two
-    moving steps has no row.
+    Each pair is compared once, however many windows hold it. A pixel's steps are cut into segments as long as a step's
+    windows reach, so that only steps of one segment or of two adjoining ones share a window, and those into blocks of
+    about ``PAIR_ROWS``. Two blocks meet as one matrix product; a pair's weight is added where its common windows begin
+    and taken away where they end, and the running sums, one histogram a window, are all that leaves the task. No pair
+    becomes a row and no task sees a whole pixel; the work still grows with the square of the steps of a window. A pixel
+    with fewer than two moving steps has no row.
     """
-    rows = _headings(steps, nside, sigma, window, stride)
-    size = rows.groupBy("t_idx", "pix").agg(F.count("*").alias("n")).where("n > 1").withColumn("nb", F.ceil(F.col("n") / PAIR_ROWS).cast("int"))
-    own = F.pmod(F.xxhash64("w", "hx", "hy", "hz"), F.col("nb")).cast("int")
-    placed = (
-        rows.join(size.drop("n"), ["t_idx", "pix"]).withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("t_idx", "pix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "w", "hx", "hy", "hz")
+    span = int(window / max(1.0, stride)) + 1
+    rows = _headings(steps, nside, sigma, window, stride).withColumn("seg", F.floor(F.col("w_lo") / span).cast("int"))
+    rows = materialize(rows, "headings")
+    size = rows.groupBy("pix", "seg").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("nb"))
+    size = materialize(size, "sizes")
+    later = size.select("pix", (F.col("seg") - 1).alias("seg"), F.col("nb").alias("nb2"))
+    pairs = size.select("pix", F.col("seg").alias("s1"), F.col("seg").alias("s2"), F.col("nb").alias("nb1"), F.col("nb").alias("nb2")).unionByName(
+        size.join(later, ["pix", "seg"]).select("pix", F.col("seg").alias("s1"), (F.col("seg") + 1).alias("s2"), F.col("nb").alias("nb1"), "nb2")
     )
+    pairs = pairs.withColumn("b1", F.explode(F.sequence(F.lit(0), F.col("nb1") - 1))).withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("nb2") - 1)))
+    pairs = materialize(pairs.where("s1 < s2 OR b1 <= b2").select("pix", "s1", "b1", "s2", "b2"), "blocks")
+    rows = rows.join(size, ["pix", "seg"]).withColumn("block", F.pmod(F.xxhash64("w_lo", "w", "hx", "hy", "hz"), F.col("nb")).cast("int")).drop("nb")
+    side = lambda k, df: rows.join(df.withColumns({"seg": F.col(f"s{k}"), "block": F.col(f"b{k}")}), ["pix", "seg", "block"]).drop("seg", "block").withColumn("side", F.lit(k))
+    placed = side(1, pairs).unionByName(side(2, pairs.where("s1 < s2 OR b1 < b2")))
 
     def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = pdf[["hx", "hy", "hz"]].to_numpy(), pdf["w"].to_numpy()
-        if pdf["i"].iloc[0] == pdf["j"].iloc[0]:
-            a, b = np.triu_indices(len(h), 1)
-            cos, weight = (h @ h.T)[a, b], w[a] * w[b]
+        one = (pdf["side"] == 1).to_numpy()
+        h, w, lo, hi = pdf[["hx", "hy", "hz"]].to_numpy(), pdf["w"].to_numpy(), pdf["w_lo"].to_numpy(), pdf["w_hi"].to_numpy()
+        if one.all() and pdf["s1"].iloc[0] == pdf["s2"].iloc[0] and pdf["b1"].iloc[0] == pdf["b2"].iloc[0]:
+            i, j = np.triu_indices(len(h), 1)
+            cos, weight, first, last = (h @ h.T)[i, j], w[i] * w[j], np.maximum(lo[i], lo[j]), np.minimum(hi[i], hi[j])
         else:
-            first = (pdf["block"] == pdf["i"]).to_numpy()
-            cos, weight = (h[first] @ h[~first].T).ravel(), np.outer(w[first], w[~first]).ravel()
+            cos, weight = (h[one] @ h[~one].T).ravel(), np.outer(w[one], w[~one]).ravel()
+            first, last = np.maximum.outer(lo[one], lo[~one]).ravel(), np.minimum.outer(hi[one], hi[~one]).ravel()
+        both = first <= last
+        if not both.any():
+            return pd.DataFrame({"t_idx": [], "pix": [], "bin": [], "w": []})
+        cos, weight, first, last = cos[both], weight[both], first[both], last[both]
         place = np.minimum((np.arccos(np.clip(cos, -1, 1)) * (bins / math.pi)).astype(np.int64), bins - 1)
-        sums = np.bincount(place, weights=weight, minlength=bins)
-        some = np.flatnonzero(sums)
-        return pd.DataFrame({"t_idx": pdf["t_idx"].iloc[0], "pix": pdf["pix"].iloc[0], "bin": some, "w": sums[some]})
+        base, wide = first.min(), last.max() - first.min() + 2
+        come, go = (first - base) * bins + place, (last + 1 - base) * bins + place
+        run = lambda x: (np.bincount(come, x, wide * bins) - np.bincount(go, x, wide * bins)).reshape(wide, bins).cumsum(axis=0)
+        t, k = np.nonzero(run(np.ones(len(come))) > 0.5)
+        return pd.DataFrame({"t_idx": t + base, "pix": pdf["pix"].iloc[0], "bin": k, "w": run(weight)[t, k]})
 
-    parts = placed.groupBy("t_idx", "pix", "i", "j").applyInPandas(histogram, "t_idx int, pix long, bin long, w double")
+    parts = placed.groupBy("pix", "s1", "b1", "s2", "b2").applyInPandas(histogram, "t_idx int, pix long, bin long, w double")
     # at most `bins` rows a pixel
     binned = parts.groupBy("t_idx", "pix", "bin").agg(F.sum("w").alias("w"))
     p = F.col("w") / F.sum("w").over(Window.partitionBy("t_idx", "pix"))
@@ -289,8 +331,6 @@ def smooth_field(field: DataFrame, nside: int, sigma: float, value: str = "value
 
 def laplacian_smooth(field: DataFrame, nside: int, tau: float = 0.5, rounds: int = 10, value: str = "value", keys=("t",)) -> DataFrame:
     """Solves ``(I + tau L) f = value`` over adjacent pixels by Jacobi rounds; absent pixels take no part."""
-    from orbitrace.session import materialize
-
     reach = 1.5 * math.sqrt(4 * math.pi / npix(nside))
     near = materialize(pixel_neighbors(field.sparkSession, nside, reach).where("pix <> near"), "near")
     edges = small_broadcast(near.select(F.col("pix"), F.col("near").alias("src")), neighbor_rows(nside, reach))
@@ -329,10 +369,13 @@ def pixel_msd_exponent(points: DataFrame, nside: int, window: float, stride: flo
     rows = with_pixel(points.select("track_id", time, "x", "y", "z", "theta", "phi"), nside)
     along = Window.partitionBy("track_id").orderBy(time)
     rows = rows.withColumn("i", F.row_number().over(along)).withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("track_id", "pix").orderBy(time)))
-    early = windowed(rows, time, window, stride).withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("j", F.col("i") + F.col("lag"))
-    late = rows.select("track_id", "pix", "run", F.col("i").alias("j"), F.col(time).alias("__end"), *(F.col(a).alias(f"q{a}") for a in "xyz"))
+    rows = with_panes(rows, time, window, stride)
+    early = rows.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("j", F.col("i") + F.col("lag"))
+    late = rows.select("track_id", "pix", "run", F.col("i").alias("j"), F.col(time).alias("__end"), F.col("w_lo").alias("n_lo"), F.col("w_hi").alias("n_hi"), *(F.col(a).alias(f"q{a}") for a in "xyz"))
     d2 = sum(((F.col(f"q{a}") - F.col(a)) ** 2 for a in "xyz"), F.lit(0.0))
-    pairs = early.join(late, ["track_id", "pix", "run", "j"]).where((F.abs(F.col("__end") - F.col("time_center")) <= window / 2) & (F.col("__end") > F.col(time)))
-    per = pairs.groupBy("t_idx", "pix", "lag").agg(F.avg(d2).alias("msd"), F.avg(F.col("__end") - F.col(time)).alias("tau")).where("msd > 0")
+    pairs = early.join(late, ["track_id", "pix", "run", "j"]).where(F.col("__end") > F.col(time))
+    pairs = pairs.select("pix", "lag", F.greatest("w_lo", "n_lo").alias("w_lo"), F.least("w_hi", "n_hi").alias("w_hi"), d2.alias("d2"), (F.col("__end") - F.col(time)).alias("dt")).where("w_lo <= w_hi")
+    sums = by_window(pairs, ["pix", "lag"], {"d2": F.col("d2"), "dt": F.col("dt"), "n": F.lit(1).cast("long")})
+    per = sums.select("t_idx", "pix", "lag", (F.col("d2") / F.col("n")).alias("msd"), (F.col("dt") / F.col("n")).alias("tau")).where("msd > 0")
     slope = F.regr_slope(F.log("msd"), F.log("tau"))
     return per.groupBy("t_idx", "pix").agg(F.max_by("msd", "lag").alias("msd_value"), F.when(F.count("*") > 1, slope).alias("msd_alpha"))

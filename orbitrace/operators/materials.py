@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from orbitrace.operators.neighbors import nearest
 from orbitrace.operators.tracks import AXES
 
+#: Local fits that are made at a time.
+FIT_ROWS = 64
+
 
 def cage_relative_msd(tracks: DataFrame, k: int, radius: float, lags=(1, 2, 4), least: int = 3) -> DataFrame:
     """``lag, msd, n``: squared displacement of a cell after the mean displacement of its ``k`` nearest cells is taken off.
@@ -103,7 +106,8 @@ def material_fields(
 
     middle = exact_quantiles(steps, "dt", [0.5])
     tau = [short * middle[0], long * middle[0]] if middle else [0.0, 0.0]
-    spread = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2).withColumn("place", F.col("t_idx").cast("long") * npix(nside) + F.col("pix"))
+    # a cage is of the steps of one window, so here the windows are needed
+    spread = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2).withColumn("t_idx", F.explode(F.sequence("w_lo", "w_hi"))).withColumn("place", F.col("t_idx").cast("long") * npix(nside) + F.col("pix"))
     # a step is told by its track and frame
     rows = spread.select("place", F.struct("track_id", "t").alias("step"), "dt", "w", *(F.col(f"{a}0").alias(a) for a in AXES), *(F.col(a).alias(f"e{a}") for a in AXES))
     rows = materialize(rows, "cages")
@@ -136,12 +140,30 @@ def lowess_threshold(series: DataFrame, group: str, order: str, value: str, shar
     weights over the nearest ``share`` of them, and dropped places are filled linearly.
 
     ``robust`` more rounds weigh each value by the bisquare of its residual over six times the median one, so single
-    wild values lose their pull. A group is a series with one value per time, so its size is the number of frames. Null
-    values are dropped places; a group of fewer than two values has a null trend; an empty table gives none.
+    wild values lose their pull. A group is a series with one value per time, so its size is the number of frames. The
+    values are in order of time, so those that a fit looks at are a window that only moves on; fits are made
+    ``FIT_ROWS`` at a time, and memory is that many windows. Null values are dropped places; a group of fewer than two
+    values has a null trend; an empty table gives none.
     """
     import numpy as np
     import pandas as pd
 
+    def fits(xs, ys, trust, start, n):
+        """Local linear fits: fit i looks at the ``n`` values from ``start[i]`` on."""
+        out = np.empty(len(xs))
+        for a in range(0, len(xs), FIT_ROWS):
+            at = start[a : a + FIT_ROWS, None] + np.arange(n)
+            d = np.abs(xs[at] - xs[a : a + FIT_ROWS, None])
+            h = np.maximum(d.max(axis=1, keepdims=True), 1e-12) * (1 + 1e-9)
+            w = np.clip(1 - (d / h) ** 3, 0, None) ** 3 * trust[at]
+            x, y = xs[at] - xs[a : a + FIT_ROWS, None], ys[at]
+            total = np.maximum(w.sum(axis=1), 1e-300)
+            m, mx = (w * y).sum(axis=1) / total, (w * x).sum(axis=1) / total
+            sxx = (w * x**2).sum(axis=1) / total - mx**2
+            slope = np.where(sxx > 1e-9, ((w * x * y).sum(axis=1) / total - mx * m) / np.where(sxx > 1e-9, sxx, 1.0), 0.0)
+            out[a : a + FIT_ROWS] = m - slope * mx
+        return out
+
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x, y = pdf[order].to_numpy(float), pdf[value].to_numpy(float)
@@ -149,17 +171,15 @@ def lowess_threshold(series: DataFrame, group: str, order: str, value: str, shar
         out = np.full(len(y), np.nan)
         if good.sum() >= 2:
             xs, ys, n = x[good], y[good], min(int(good.sum()), max(2, int(share * good.sum() + 1e-10)))
-            d = np.abs(xs[:, None] - xs[None, :])
-            h = np.maximum(np.sort(d, axis=1)[:, n - 1], 1e-12) * (1 + 1e-9)
-            near = np.clip(1 - (d / h[:, None]) ** 3, 0, None) ** 3
+            # the window of the nearest values moves on while the next one is nearer than its first
+            start, at = np.zeros(len(xs), np.int64), 0
+            for i, v in enumerate(xs.tolist()):
+                while at + n < len(xs) and xs[at + n] - v < v - xs[at]:
+                    at += 1
+                start[i] = at
             trust = np.ones(len(xs))
             for _ in range(robust + 1):
-                w = near * trust
-                total = np.maximum(w.sum(axis=1), 1e-300)
-                m, mx = w @ ys / total, w @ xs / total
-                sxx = w @ xs**2 / total - mx**2
-                slope = np.where(sxx > 1e-9, (w @ (xs * ys) / total - mx * m) / np.where(sxx > 1e-9, sxx, 1.0), 0.0)
-                fit = m + slope * (xs - mx)
+                fit = fits(xs, ys, trust, start, n)
                 off = np.abs(ys - fit)
                 scale = 6 * np.median(off)
                 if scale <= 1e-9 * max(1.0, float(np.abs(ys).max())):

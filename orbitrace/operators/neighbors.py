@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orbitrace.session import materialize
 
 AXES = ("x", "y", "z")
-#: Frames up to this size need no grid for their nearest neighbours.
+#: Frames up to this size are covered by the first reach of a nearest search.
 SMALL_FRAME = 256
 
 
@@ -54,23 +54,32 @@ def angular_pairs(units: DataFrame, angle, frame: str = "t", axes=("ux", "uy", "
     return radius_pairs(units, units, chord(angle), frame, axes).where(F.col(key) != F.col(f"n_{key}"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, frame: str = "t", axes=AXES, include_self: bool = True, rounds: int = 8) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, frame: str = "t", axes=AXES, include_self: bool = True, rounds: int = 60) -> DataFrame:
     """The ``k`` nearest rows of a frame for each left row, with ``distance`` and ``rank`` (1 first; ties by ``n_key``).
 
-    Frames of at most ``SMALL_FRAME`` rows meet themselves. In the others, candidates come from a radius join; the radius
-    follows each frame's density, and ``radius`` is only the edge of the cells it is measured on. Rows that found fewer
-    than ``k`` look again with twice the radius. After ``rounds`` rounds what is still short meets its whole frame. Keys
-    and coordinates alone are joined and written, ranked to ``k`` first; the other columns are joined at the end.
+    A search in rings of cells. The first reach follows each frame's density (``radius`` is only the edge of the cells it is
+    measured on): a left row meets the rows of its own cell and of those around it, and is done when ``k`` of them are
+    within the reach, as no nearer one can be further out. The others look again with twice the reach, and of the right
+    rows only those in cells around them are sent; a row stops at the first reach that holds its ``k``, so no row meets its
+    whole frame unless the reach has to cover it. Keys and coordinates alone are joined and written, ranked to ``k`` first;
+    the other columns are joined at the end. Rows with a null, NaN or infinite coordinate, or without a frame, take no part.
     """
     wanted = k + (0 if include_self else 1)
-    near = materialize(right.select(frame, key, *axes), "points")
-    have = near.groupBy(frame).agg(F.count("*").alias("__have"))
+    told = F.col(frame).isNotNull()
+    for a in axes:
+        told = told & F.col(a).isNotNull() & (F.abs(a) < float("inf")) & ~F.isnan(a)
+    near = materialize(right.select(frame, key, *axes).where(told), "points")
+    have = near.groupBy(frame).agg(F.count("*").alias("__have"), *(F.min(a).alias(f"__min{a}") for a in axes), *(F.max(a).alias(f"__max{a}") for a in axes))
     cells = _cells(near, float(radius), axes).groupBy(frame, *(f"__c{a}" for a in axes)).agg(F.count("*").alias("m"))
     # a row's own cell holds sum m^2 / sum m rows on average; about 2.5 times as many lie within one edge of it on a surface
     crowd = cells.groupBy(frame).agg((F.sum(F.col("m") * F.col("m")) / F.sum("m")).alias("__own"))
-    first = float(radius) * F.sqrt(F.lit(2.0 * wanted) / (2.5 * F.col("__own")))
-    shape = materialize(have.join(crowd, frame).withColumn("__first", first), "frames")
-    every = materialize(left.select(frame, key, *axes).join(shape.drop("__own"), frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))), "todo")
+    extent = F.greatest(*(F.col(f"__max{a}") - F.col(f"__min{a}") for a in axes), F.lit(1e-9))
+    # a reach beyond the frame's extent would only make its cells larger
+    first = F.least(float(radius) * F.sqrt(F.lit(2.0 * wanted) / (2.5 * F.col("__own"))), 2 * extent)
+    first = F.when(F.col("__have") <= SMALL_FRAME, 2 * extent).otherwise(first)
+    shape = materialize(have.join(crowd, frame).select(frame, "__have", first.alias("__first")), "frames")
+    todo = left.select(frame, key, *axes).where(told).join(shape, frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))).drop("__have")
+    todo = materialize(todo, "todo")
     order = Window.partitionBy(frame, key).orderBy("distance", f"n_{key}")
 
     def ranked(pairs: DataFrame) -> DataFrame:
@@ -80,26 +89,22 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
             full = full.where(F.col(key) != F.col(f"n_{key}"))
         return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    def whole_frame(rows: DataFrame) -> DataFrame:
-        other = near.select(frame, *(F.col(c).alias(f"n_{c}") for c in (key, *axes)))
-        d2 = sum(((F.col(a) - F.col(f"n_{a}")) * (F.col(a) - F.col(f"n_{a}")) for a in axes), F.lit(0.0))
-        return rows.join(other, frame).withColumn("distance", F.sqrt(d2))
-
-    small = F.col("__have") <= SMALL_FRAME
-    done = ranked(whole_frame(every.where(small)))
-    todo = every.where(~small)
-    for step in range(rounds + 1):
-        if not todo.limit(1).count():
-            break
-        if step == rounds:
-            done = done.unionByName(ranked(whole_frame(todo)))
-            break
+    done = None
+    for step in range(rounds):
         reach = F.col("__first") * 2.0**step
         around = near.join(shape.select(frame, "__first"), frame).withColumn("__reach", reach)
+        if step:
+            cells_ = [f"__c{a}" for a in axes]
+            asked = _cells(todo.withColumn("__reach", reach), F.col("__reach"), axes).select(frame, *cells_).distinct().withColumn("__o", F.explode(_offsets(1, axes)))
+            asked = asked.select(frame, *((F.col(f"__c{a}") + F.col(f"__o.{a}")).alias(f"__c{a}") for a in axes)).distinct()
+            around = _cells(around, F.col("__reach"), axes).join(asked, [frame, *cells_], "left_semi").drop(*cells_)
         found = materialize(ranked(radius_pairs(todo.withColumn("__reach", reach), around, F.col("__reach"), frame, axes)), "near")
-        done = done.unionByName(found)
-        # a row whose only candidate was itself has no rank, and looks again
-        todo = materialize(todo.join(found.select(frame, key).distinct(), [frame, key], "left_anti"), "todo")
+        done = found if done is None else done.unionByName(found)
+        # a row whose only candidate was itself has no rank, and looks again until its frame is covered
+        rest = todo.join(found.select(frame, key).distinct(), [frame, key], "left_anti")
+        todo = materialize(rest.where((F.col("__want") > 1) | F.lit(include_self)), "todo")
+        if not todo.limit(1).count():
+            break
     out = done.join(left, [frame, key])
     other = right.select(F.col(frame), *(F.col(c).alias(f"n_{c}") for c in right.columns))
     if set(right.columns) <= {frame, key}:

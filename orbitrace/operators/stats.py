@@ -37,7 +37,12 @@ def track_spans(tracks: DataFrame) -> DataFrame:
 
 
 def percentiles_by(df: DataFrame, group: str, value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
-    return df.groupBy(group).agg(F.avg(value).alias("mean"), F.percentile(value, low).alias("p_low"), F.percentile(value, high).alias("p_high"), F.count("*").alias("n"))
+    """Mean, two exact percentiles and the number of rows per group; null values count in ``n`` alone, as does a group of them."""
+    rows = materialize(df.select(group, value), "values")
+    per = rows.groupBy(F.struct(group).alias("__g")).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    cuts = grouped_quantiles(rows, [group], value, {"p_low": low, "p_high": high})
+    out = per.join(cuts.withColumn("__g", F.struct(group)).drop(group), "__g", "left")
+    return out.select(f"__g.{group}", "mean", "p_low", "p_high", "n")
 
 
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -58,18 +63,12 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     return out.withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
-    """Exact quantiles with linear interpolation; an empty list where there are no values.
+def running_counts(counts: DataFrame, column: str) -> DataFrame:
+    """``counts`` (distinct values of ``column``, with how often each occurs as ``__c``) and ``__first``: the rows before a value.
 
-    Equal values are counted first and the counts are summed up along ranges of values, so no task sees all of them. What
-    comes to the driver is two values a share.
+    Values are ranked along ranges and their counts summed up inside blocks of ranks, after the sums of the blocks before.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
-    ranked = materialize(numbered(counts, "__v", "__rank"), "ranked")
-    total = ranked.agg(F.sum("__c").alias("n")).first().n or 0
-    if not total:
-        return []
-    # running counts: inside blocks of ranks, after the sums of the blocks before
+    ranked = materialize(numbered(counts, column, "__rank"), "ranked")
     block = F.floor(F.col("__rank") / RANK_BLOCK)
     sums = ranked.groupBy(block.alias("__b")).agg(F.sum("__c").alias("__s"))
     ahead = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,23 +76,49 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[floa
     starts = sums.select("__b", F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__base"))
     within = Window.partitionBy("__b").orderBy("__rank").rowsBetween(Window.unboundedPreceding, -1)
     runs = ranked.withColumn("__b", block).join(starts, "__b").withColumn("__first", F.col("__base") + F.coalesce(F.sum("__c").over(within), F.lit(0)))
-    # the value at place p (from 0) is the one whose run of equal values holds p
-    places = sorted({p for s in shares for p in (math.floor(s * (total - 1)), math.ceil(s * (total - 1)))})
-    asked = F.filter(F.array(*map(F.lit, places)), lambda p: (p >= F.col("__first")) & (p < F.col("__first") + F.col("__c")))
-    at = {r.p: r.v for r in runs.select(F.explode(asked).alias("p"), F.col("__v").alias("v")).collect()}
-    cuts = [s * (total - 1) for s in shares]
-    return [at[math.floor(c)] + (at[math.ceil(c)] - at[math.floor(c)]) * (c - math.floor(c)) for c in cuts]
+    return runs.drop("__b", "__base", "__rank")
+
+
+def grouped_quantiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``group`` and one column for every share: the exact quantile of the group's values, with linear interpolation.
+
+    Equal values of a group are counted first. All (group, value) pairs are then ranked together along ranges, so a group's
+    values have running counts without being in one task; its first one tells where the group begins, and the values asked
+    for are those whose runs hold the places. No buffer holds a group, however large it is. Null values are left out, and
+    a group of nothing else with them; null groups are groups.
+    """
+    key = F.struct(F.struct(*group).alias("g"), F.col(value).cast("double").alias("v"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("__k")).agg(F.count("*").alias("__c"))
+    runs = materialize(running_counts(counts, "__k"), "runs")
+    whole = runs.groupBy(F.col("__k.g").alias("g")).agg(F.min("__first").alias("__start"), F.sum("__c").alias("__n"))
+    ends = lambda s: (F.floor(F.lit(float(s)) * (F.col("__n") - 1)), F.ceil(F.lit(float(s)) * (F.col("__n") - 1)))
+    asked = F.array(*(F.struct(F.lit(i * 2 + k).alias("i"), (F.col("__start") + p).alias("p")) for i, s in enumerate(shares.values()) for k, p in enumerate(ends(s))))
+    rows = runs.select(F.col("__k.g").alias("g"), F.col("__k.v").alias("v"), "__first", "__c").join(whole.withColumn("__asked", asked), "g")
+    hit = rows.withColumn("__hit", F.filter("__asked", lambda p: (p["p"] >= F.col("__first")) & (p["p"] < F.col("__first") + F.col("__c")))).where(F.size("__hit") > 0)
+    found = hit.select("g", "__n", "v", F.explode("__hit.i").alias("i")).groupBy("g").agg(
+        F.max("__n").alias("__n"), *(F.max(F.when(F.col("i") == i, F.col("v"))).alias(f"__v{i}") for i in range(2 * len(shares)))
+    )
+    cut = lambda i, s: F.col(f"__v{2 * i}") + (F.col(f"__v{2 * i + 1}") - F.col(f"__v{2 * i}")) * (F.lit(float(s)) * (F.col("__n") - 1) - F.floor(F.lit(float(s)) * (F.col("__n") - 1)))
+    return found.select(*(F.col(f"g.{c}").alias(c) for c in group), *(cut(i, s).alias(c) for i, (c, s) in enumerate(shares.items())))
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact quantiles with linear interpolation; an empty list where there are no values. What comes to the driver is one row."""
+    names = {f"q{i}": s for i, s in enumerate(shares)}
+    found = grouped_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, names).first()
+    return [found[n] for n in names] if found else []
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, summary: str) -> DataFrame:
     """Bins between exact quantiles, closed on the right, the lowest value in the first: ``bin, n, median, mean``.
 
-    Null values go to no bin; an empty table gives no bins.
+    Null values go to no bin; an empty table gives no bins. The medians too are exact ranks along ranges.
     """
     edges = F.array(*map(F.lit, exact_quantiles(df, value, [k / bins for k in range(bins + 1)]))).cast("array<double>")
     b = F.greatest(F.size(F.filter(edges, lambda x: x < F.col(value))) - 1, F.lit(0))
-    rows = df.where(F.col(value).isNotNull())
-    return rows.select(b.alias("bin"), F.col(summary).alias("s")).groupBy("bin").agg(F.count("*").alias("n"), F.percentile("s", 0.5).alias("median"), F.avg("s").alias("mean"))
+    rows = materialize(df.where(F.col(value).isNotNull()).select(b.alias("bin"), F.col(summary).alias("s")), "bins")
+    middle = grouped_quantiles(rows, ["bin"], "s", {"median": 0.5})
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), F.avg("s").alias("mean")).join(middle, "bin", "left").select("bin", "n", "median", "mean")
 
 
 def time_bins(df: DataFrame, time: str, edges, value: str) -> DataFrame:

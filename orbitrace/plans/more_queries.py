@@ -197,7 +197,7 @@ def a02_read_run(spark, sf):
     """Three runs by class, one with flow; the one with flow covers the frames asked for."""
     root = _scratch(spark, "runs")
     k = tracks(spark, sf).select("track_id", "t", F.concat(F.lit("r"), "track_class").alias("run"), (F.col("track_class") == 1).alias("with_flow"))
-    A.write_table(k, root, partition_by=("run", "with_flow"))
+    A.write_runs(k, root)
     return A.read_run(spark, root, 5, 40).select("track_id", "t", "run")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +36,49 @@ def choose_run(runs: DataFrame, first: int, last: int, prefer_flow: bool = True)
     return fits.orderBy(F.desc(flow) if prefer_flow else flow, F.col("stop") - F.col("start"), "run").limit(1)
 
 
+def run_folders(spark: SparkSession, root: str) -> list[tuple[str, str, bool, int | None, int | None]]:
+    """``path, run, with_flow, start, stop`` of the runs under ``root``, told by the names of their folders alone:
+    ``run=.../with_flow=...`` and below it ``frames=<first>_<last>`` where the writer named them, else the range is None."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for folder in files.globStatus(path(f"{root}/run=*/with_flow=*")) or []:
+        at = folder.getPath()
+        run, flow = unquote(at.getParent().getName()[4:]), at.getName()[10:].lower() == "true"
+        below = files.globStatus(path(f"{at.toString()}/frames=*")) or []
+        for one in below:
+            first, last = one.getPath().getName()[7:].split("_")
+            found.append((one.getPath().toString(), run, flow, int(first), int(last)))
+        if not below:
+            found.append((at.toString(), run, flow, None, None))
+    return found
+
+
+def write_runs(tracks: DataFrame, root: str) -> None:
+    """Tracks with ``run`` and ``with_flow`` as folders that name each run's frames, in the form that ``read_run`` chooses from."""
+    bounds = tracks.groupBy("run", "with_flow").agg(F.format_string("%04d_%04d", F.min("t"), F.max("t")).alias("frames"))
+    write_table(tracks.join(bounds, ["run", "with_flow"]), root, partition_by=("run", "with_flow", "frames"))
+
+
 def read_run(spark: SparkSession, root: str, first: int, last: int, prefer_flow: bool = True) -> DataFrame:
-    """Tracks of the run under ``root`` (Parquet, in folders ``run=.../with_flow=...``) that ``choose_run`` takes for the
-    frames asked for. Only that run's folder is read, and its frames are filtered by the reader."""
-    every = spark.read.parquet(root).withColumn("with_flow", F.col("with_flow").cast("boolean"))
-    runs = every.groupBy("run", "with_flow").agg(F.min("t").alias("start"), F.max("t").alias("stop"))
-    found = choose_run(runs, first, last, prefer_flow).first()
+    """Tracks of the run under ``root`` (Parquet, in folders ``run=.../with_flow=.../frames=<first>_<last>``) that ``choose_run``
+    takes for the frames asked for, with ``run`` and ``with_flow``.
+
+    The choice is made from the folder names, one per run, so nothing is scanned before and only that run's folder is read,
+    with its frames filtered by the reader. Of runs whose folders name no frames, the frame column is read for its bounds.
+    """
+    runs = run_folders(spark, root)
+    known = {(run, flow): (start, stop) for _, run, flow, start, stop in runs if start is not None}
+    for path, run, flow, start, _ in runs:
+        if start is None:
+            known[run, flow] = tuple(spark.read.parquet(path).agg(F.min("t"), F.max("t")).first())
+    rows = [(run, flow, *bounds) for (run, flow), bounds in known.items()]
+    found = choose_run(spark.createDataFrame(rows, "run string, with_flow boolean, start int, stop int"), first, last, prefer_flow).first()
     if found is None:
         raise ValueError(f"no run covers frames {first} to {last}")
-    return every.where((F.col("run") == found.run) & (F.col("with_flow") == found.with_flow) & F.col("t").between(first, last))
+    folder = next(path for path, run, flow, *_ in runs if (run, flow) == (found.run, found.with_flow))
+    out = spark.read.option("basePath", root).parquet(folder).withColumns({"run": F.col("run").cast("string"), "with_flow": F.col("with_flow").cast("boolean")})
+    return out.where((F.col("run") == found.run) & F.col("t").between(first, last)).drop("frames")
 
 
 ATTRIBUTES = "voxel_size_um array<double>, time_resolution_s double, channels array<string>"

@@ -361,3 +361,36 @@ def test_resampling_and_surface_velocity(spark):
     out = {(r.track_id, r.t): (r.vx, r.vy, r.speed) for r in T.unit_step_velocity(k, ("a", "b", "c")).collect()}
     # the step (1, 1, 0) less its part along (1, 0, 0), and less its part along (2, 1, 0)
     assert out[1, 0] == pytest.approx((0.0, 1.0, 1.0)) and out[1, 1] == pytest.approx((-0.2, 0.4, math.sqrt(0.2))) and out[2, 0] == (None, None, None)
+
+
+def test_grouped_quantiles_match_numpy_and_keep_null_groups(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANK_BLOCK", 7)
+    rng = np.random.RandomState(5)
+    # a third of the rows in one group, ties, nulls, a group of nulls only
+    rows = [(int(g), float(v) if rng.rand() > 0.1 else None) for g, v in zip(np.where(rng.rand(900) < 0.33, 0, rng.randint(0, 12, 900)), rng.randint(0, 60, 900), strict=True)]
+    rows += [(None, 1.0), (None, 4.0), (99, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(5)
+    held = {}
+    for g, v in rows:
+        if v is not None:
+            held.setdefault(g, []).append(v)
+    got = {r.g: (r.a, r.b, r.c) for r in stats.grouped_quantiles(df, ["g"], "v", {"a": 0.1, "b": 0.5, "c": 1.0}).collect()}
+    assert set(got) == set(held) and all(got[g] == pytest.approx(np.quantile(v, [0.1, 0.5, 1.0])) for g, v in held.items())
+    out = {r.g: r for r in stats.percentiles_by(df, "g", "v").collect()}
+    assert out[99].n == 1 and out[99].p_low is None and out[None].p_low == pytest.approx(1.3)
+    assert stats.exact_quantiles(df.where("false"), "v", [0.5]) == []
+
+
+def test_panes_hold_the_rows_of_the_windows(spark):
+    from orbitrace.operators import fields as FI
+    from orbitrace.operators.neighbors import to_windows
+
+    times = [(i, float(t)) for i, t in enumerate(np.random.RandomState(1).choice(np.arange(0, 200, 0.5), 150))]
+    df = spark.createDataFrame(times, "i int, m double")
+    for window, stride in ((45.0, 1.5), (20.0, 6.0), (3.0, 7.0)):
+        centers = FI.window_centers(df, "m", stride)
+        want = sorted((r.i, r.t_idx) for r in to_windows(df, "m", window, max(1.0, stride), *centers).collect())
+        panes = FI.with_panes(df, "m", window, stride, centers)
+        assert sorted((r.i, t) for r in panes.collect() for t in range(r.w_lo, r.w_hi + 1)) == want
+        n = {r.t_idx: r.n for r in FI.by_window(panes, [], {"n": F.lit(1).cast("long")}).collect()}
+        assert n == {t: sum(x == t for _, x in want) for t in {t for _, t in want}}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 
@@ -46,3 +48,28 @@ def test_border_vertices(spark):
     patches = spark.createDataFrame([(0, v, t) for v, t in ((1, 7), (2, 7), (3, 8), (4, 8), (5, 8))], "t int, vertex_id long, track_id long")
     faces = spark.createDataFrame([(0, 1, [1, 2, 3]), (0, 2, [3, 4, 5])], "t int, face_id long, corners array<long>")
     assert {r.vertex_id for r in P.border_vertices(faces, patches).collect()} == {1, 2, 3}
+
+
+def test_sliding_trend_is_that_of_all_distances(spark, monkeypatch):
+    """Against the same fits with the distances of every two values, window by window and all at once."""
+    rng = np.random.RandomState(3)
+    rows = [(g, int(t), float(40 + 10 * math.sin(t / 9) + rng.randn() + (60 if rng.rand() < 0.05 else 0))) for g in (0, 1) for t in np.unique(rng.randint(0, 300, 150))]
+
+    def dense(x, y, share=0.3, robust=3):
+        n = min(len(x), max(2, int(share * len(x) + 1e-10)))
+        d = np.abs(x[:, None] - x[None])
+        h = np.maximum(np.sort(d, axis=1)[:, n - 1], 1e-12) * (1 + 1e-9)
+        near, trust = np.clip(1 - (d / h[:, None]) ** 3, 0, None) ** 3, np.ones(len(x))
+        for _ in range(robust + 1):
+            fit = np.array([np.polynomial.polynomial.polyfit(x - v, y, 1, w=np.sqrt(near[i] * trust))[0] for i, v in enumerate(x)])
+            off = np.abs(y - fit)
+            trust = np.clip(1 - (off / (6 * np.median(off))) ** 2, 0, None) ** 2
+        return fit
+
+    for size in (7, 64):
+        monkeypatch.setattr(P, "FIT_ROWS", size)
+        out = P.lowess_threshold(spark.createDataFrame(rows, "g int, t int, v double"), "g", "t", "v").collect()
+        for g in (0, 1):
+            x, y = (np.array([r[k] for r in rows if r[0] == g], float) for k in (1, 2))
+            got = {r.t: r.trend for r in out if r.g == g}
+            assert np.allclose([got[int(t)] for t in x], dense(x, y), atol=1e-6)

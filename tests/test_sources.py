@@ -123,3 +123,19 @@ def test_entry_without_the_corpus_part():
         "assert e.queries() and not any(n.startswith('op') or n == 'pipeline' for n in e.queries())\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parent.parent, check=True, timeout=120)
+
+
+def test_run_is_chosen_by_folder_names_alone(spark, tmp_path):
+    rows = [(run, flow, i, t) for run, flow, last in (("a", False, 60), ("b c", True, 90), ("d", True, 30)) for i in (1, 2) for t in range(last)]
+    k = spark.createDataFrame(rows, "run string, with_flow boolean, track_id long, t int")
+    tables.write_runs(k, f"{tmp_path}/named")
+    assert {x[1:] for x in tables.run_folders(spark, f"{tmp_path}/named")} == {("a", False, 0, 59), ("b c", True, 0, 89), ("d", True, 0, 29)}
+    one = tables.read_run(spark, f"{tmp_path}/named", 5, 40)
+    assert one.count() == 72 and {(r.run, r.with_flow) for r in one.collect()} == {("b c", True)} and one.columns == ["track_id", "t", "run", "with_flow"]
+    assert all("run=b" in f for f in one.inputFiles())
+    # folders that cannot be read are no matter unless they are chosen
+    for f in (tmp_path / "named").glob("run=a/**/*.parquet"):
+        f.write_bytes(b"no parquet")
+    assert tables.read_run(spark, f"{tmp_path}/named", 0, 80).count() == 2 * 81
+    with pytest.raises(ValueError):
+        tables.read_run(spark, f"{tmp_path}/named", 0, 400)

@@ -297,3 +297,22 @@ def test_sampling_and_bootstrap(spark):
     assert drawn.count() == 100 and drawn.where("id < 100").count() > 50
     b = stats.bootstrap_mean(df.withColumn("v", F.col("id") % 10), "v", "id", 100).first()
     assert b["mean"] == pytest.approx(4.5) and b.low < 4.5 < b.high and b.error == pytest.approx(2.87 / math.sqrt(2000), rel=0.5)
+
+
+def test_nearest_reaches_from_a_dense_clump_to_far_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    points = [(i, 0, rng.gauss(0, 0.01), rng.gauss(0, 0.01), 0.0) for i in range(400)] + [(1000 + i, 0, 50.0 * i, 7.0 * i * i, 3.0) for i in range(1, 9)]
+    odd = [(2000, 0, None, 0.0, 0.0), (2001, 0, float("nan"), 0.0, 0.0), (2002, 0, float("inf"), 0.0, 0.0), (2003, None, 0.0, 0.0, 0.0), (7, 1, 5.0, 5.0, 5.0)]
+    df = spark.createDataFrame(points + odd, "track_id long, t int, x double, y double, z double")
+    monkeypatch.setattr(neighbors, "SMALL_FRAME", 0)
+    for own in (True, False):
+        got = {}
+        for r in neighbors.nearest(df, df, 3, 10.0, "track_id", include_self=own).collect():
+            got.setdefault((r.t, r.track_id), {})[r["rank"]] = r.n_track_id
+        want = {}
+        for i, t, *p in points:
+            near = sorted((math.dist(p, q), j) for j, _, *q in points if own or j != i)[:3]
+            want[t, i] = {k + 1: j for k, (_, j) in enumerate(near)}
+        if own:
+            want[1, 7] = {1: 7}
+        assert got == want
