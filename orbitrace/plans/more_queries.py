@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from orbitrace.plans.field_queries import _vectors
 from orbitrace.plans.geometry_queries import R
 from orbitrace.plans.registry import query, rounded
 from orbitrace.sources import tables as A
-from orbitrace.session import scratch_dir
+from orbitrace.session import new_scratch
 from orbitrace.sources.testviews import WITH_TRACKS, table, tracks
 
 
@@ -178,14 +177,10 @@ def h07_recode(spark, sf):
     return tracks(spark, sf).select("track_id", "t", names[F.col("track_class")].alias("cell_type"))
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"{WITH_TRACKS} SELECT track_id, parent_track_id, t, {R('x + 1')} AS x, {R('y')} AS y, {R('z')} AS z FROM tracks")
 def a01_read_tracks(spark, sf):
     """A run folder with raw and smoothed tracks; the smoothed ones are preferred."""
-    folder, k = _scratch(spark, "run"), tracks(spark, sf).select("track_id", "parent_track_id", "t", "x", "y", "z")
+    folder, k = new_scratch(spark, "run"), tracks(spark, sf).select("track_id", "parent_track_id", "t", "x", "y", "z")
     A.write_table(k, f"{folder}/tracks")
     A.write_table(k.withColumn("x", F.col("x") + 1), f"{folder}/tracks_smoothed")
     return rounded(A.read_tracks(spark, folder, prefer_smoothed=True))
@@ -195,7 +190,7 @@ def a01_read_tracks(spark, sf):
   "SELECT track_id, t, 'r' || CAST(track_class AS VARCHAR) AS run FROM tracks WHERE track_class = (SELECT track_class FROM c) AND t BETWEEN 5 AND 40")
 def a02_read_run(spark, sf):
     """Three runs by class, one with flow; the one with flow covers the frames asked for."""
-    root = _scratch(spark, "runs")
+    root = new_scratch(spark, "runs")
     k = tracks(spark, sf).select("track_id", "t", F.concat(F.lit("r"), "track_class").alias("run"), (F.col("track_class") == 1).alias("with_flow"))
     A.write_runs(k, root)
     return A.read_run(spark, root, 5, 40).select("track_id", "t", "run")
@@ -218,7 +213,7 @@ def a04_attributes(spark, sf):
 @query(f"{WITH_TRACKS} SELECT track_id, t, {R('x')} AS x, CAST(t % 5 AS INT) AS from_file FROM tracks")
 def a05_read_frames(spark, sf):
     """Tracks in five folders of CSV files, read back as one table."""
-    folder = _scratch(spark, "csv")
+    folder = new_scratch(spark, "csv")
     k = tracks(spark, sf).select("track_id", "t", F.round("x", 6).alias("x"), (F.col("t") % 5).alias("part"))
     k.write.partitionBy("part").option("header", True).csv(folder)
     out = A.read_frames(spark, f"{folder}/*/*.csv", "track_id long, t int, x double")
@@ -228,6 +223,6 @@ def a05_read_frames(spark, sf):
 @query(f"{WITH_TRACKS} SELECT track_id, t, {R('x')} AS x FROM tracks")
 def f01_sorted_sink(spark, sf):
     """Tracks written in order of track and frame, and read back."""
-    path = _scratch(spark, "sorted")
+    path = new_scratch(spark, "sorted")
     A.write_sorted(tracks(spark, sf).select("track_id", "t", "x"), path)
     return rounded(spark.read.parquet(path))

@@ -15,7 +15,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that the driver and every executor can reach.
 
     This is ``spark.checkpoint.dir`` where the cluster names one. Otherwise it is a temporary folder in local mode
-    and a folder below the warehouse on a cluster; the choice is kept on the session.
+    and a folder below the warehouse on a cluster, if that is in a shared store; the choice is kept on the session.
     """
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
@@ -26,10 +26,19 @@ def scratch_dir(spark: SparkSession) -> str:
             found = tempfile.mkdtemp(prefix="spark-orbitrace-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if found.startswith(("file:", "/")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share: the warehouse is on this machine")
         spark.conf.set("spark.orbitrace.scratch.dir", found)
     return found.rstrip("/")
 
 
+def new_scratch(spark: SparkSession, name: str) -> str:
+    """A path below the scratch folder that nothing stands at; ``clear_scratch`` deletes what is written there."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet below the scratch folder and read it back.
 
@@ -37,8 +46,7 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     returned frame for ``discard``.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.add(path)
+    path = new_scratch(spark, name)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._path = path

@@ -139,3 +139,52 @@ def test_run_is_chosen_by_folder_names_alone(spark, tmp_path):
     assert tables.read_run(spark, f"{tmp_path}/named", 0, 80).count() == 2 * 81
     with pytest.raises(ValueError):
         tables.read_run(spark, f"{tmp_path}/named", 0, 400)
+
+
+def test_stream_of_detections_is_linked_as_the_whole_table(spark, tmp_path):
+    """Over several files and a restart; the last frame of a key stays open until a later one comes."""
+    import random
+
+    from orbitrace.operators.lineage import link_frames
+    from orbitrace.streaming import linking
+
+    rng = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    rows = []
+    for key in ("a", "b"):
+        places = {i: [rng.uniform(0, 60) for _ in range(3)] for i in range(40)}
+        for t in range(12):
+            for i, p in places.items():
+                p[:] = [v + rng.gauss(0, 1.5) for v in p]
+                if rng.random() < 0.9 and not (key == "b" and t == 5):
+                    rows.append((key, base + dt.timedelta(minutes=t), t, i * 7 % 41, *p))
+    schema = "well string, ts timestamp, t int, id long, x double, y double, z double"
+    whole = spark.createDataFrame(rows, schema)
+    want = {(key, r.t, r.id): r.track_id for key in "ab" for r in link_frames(whole.where(f"well = '{key}'").drop("well", "ts"), 6.0).collect()}
+    src, out, check = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
+
+    def arrive(low, high):
+        whole.where(f"t >= {low} AND t < {high}").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        linking.run_available(linking.link_stream(stream, 6.0, "well"), out, check).awaitTermination(120)
+        return {(r.well, r.t, r.id): r.track_id for r in spark.read.parquet(out).collect()}
+
+    got = arrive(0, 4)
+    assert got and all(want[k] == v for k, v in got.items())
+    arrive(4, 5)
+    got = arrive(5, 12)
+    assert arrive(12, 13) == got and spark.read.parquet(out).count() == len(got)
+    assert got == {k: v for k, v in want.items() if k in got} and {k[1] for k in want} - {k[1] for k in got} <= {11}
+
+
+def test_pairs_of_two_frames_match_brute_force():
+    import numpy as np
+
+    from orbitrace.streaming.linking import near_pairs
+
+    rng = np.random.RandomState(1)
+    a, b = rng.randn(80, 3) * 5, rng.randn(70, 3) * 5
+    i, j, d = near_pairs(a, b, 2.5)
+    whole = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(int(x), int(y)) for x, y in np.argwhere(whole <= 2.5)] and np.allclose(d, whole[i, j])
+    assert len(near_pairs(a[:0], b, 1.0)[0]) == 0
