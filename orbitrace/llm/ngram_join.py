@@ -1,10 +1,11 @@
 """N-gram Jaccard self-join: MinHash LSH forest with exact verification.
 
-Every distinct text gets ``trees`` labels of ``depth`` minima. A label is a path in its tree's prefix trie. Two texts
-meet where their paths share a prefix; the prefix is shortened from ``depth`` until a pair at the threshold meets in
-some tree with the target recall. In a trie node, rows sorted by path are first linked along the longest shared
-prefixes; shorter prefixes compare only what is still apart. Candidate groups are then verified exactly on shingle sets
-in blocks, which gives the link counts of every text without a row per pair.
+Every distinct text gets ``trees`` labels of ``depth`` minima. A label is a path in its tree's prefix trie, and texts meet
+where their paths share a prefix. They meet at full depth first, where a node holds near copies; what is linked there is
+settled among itself. The prefix is then shortened step by step, and each time only the nodes are looked into that still
+hold texts of different groups, and only texts of different groups are compared, in path order. It is shortened until a pair
+at the threshold has met in some tree with the target recall, or nothing is apart in any node. Candidate groups are then
+verified exactly on shingle sets in blocks, which gives the link counts of every text without a row per pair.
 """
 
 from __future__ import annotations
@@ -44,16 +45,22 @@ def estimate_floor(threshold: float, slots: int) -> float:
     return threshold - 5.2 * math.sqrt(threshold * (1 - threshold) / slots)
 
 
-def node_links(paths: np.ndarray, sketches: np.ndarray, shared: int, floor: float) -> np.ndarray:
+def levels(threshold: float, trees: int, depth: int, target: float, step: int = 2) -> list[int]:
+    """The prefix lengths at which texts meet, from ``depth`` down to ``stop_depth``."""
+    last = stop_depth(threshold, trees, depth, target)
+    return [*range(depth, last, -step), last]
+
+
+def node_links(paths: np.ndarray, sketches: np.ndarray, shared: int, floor: float, groups: np.ndarray | None = None) -> np.ndarray:
     """Component label of each row of one trie node under "estimated similarity of at least ``floor``".
 
-    Rows are in path order. Neighbours that share the longest prefixes are compared first, then ever shorter ones; at
+    Rows are in path order; ``groups`` has the number of a row with which each is linked already. Neighbours that share the longest prefixes are compared first, then ever shorter ones; at
     the end each row outside the largest component is compared with all rows. Every pair of different components has
     then been compared, so no link is lost, while a node of near copies costs one pass.
     """
     n = len(paths)
-    labels = np.arange(n)
-    if n < 2:
+    labels = np.arange(n) if groups is None else merge_labels(np.arange(n), np.arange(n), groups)
+    if n < 2 or labels.max() == 0:
         return labels
     depth = (paths[1:] == paths[:-1]).cumprod(axis=1).sum(axis=1)
     near = (sketches[1:] == sketches[:-1]).mean(axis=1) >= floor
@@ -104,8 +111,8 @@ def block_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, thres
     return linked
 
 
-def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> DataFrame:
-    """``doc_id, key, sketch, nodes``: text key (MD5), 8-bit sketch and the node id of every tree."""
+def _signed(docs: DataFrame, trees: int, depth: int, lengths: list[int], width: int) -> DataFrame:
+    """``doc_id, key, sketch, nodes``: text key (MD5), 8-bit sketch and, for each prefix length, the node id of every tree."""
     k = trees * depth
 
     def sign(batches):
@@ -115,8 +122,11 @@ def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> D
             m = minhash(values, off, k)
             cells = m.reshape(len(m), trees, depth).astype(np.uint64)
             node = np.arange(1, trees + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-            for d in range(stop):
+            found = {}
+            for d in range(depth):
                 node = mix64(node + cells[:, :, d])
+                found[d + 1] = node
+            made = np.concatenate([found[d] for d in lengths], axis=1).view(np.int64).tolist()
             full = np.diff(off) > 0
             sketch = scramble(m, 8)
             raw = [t.encode() for t in text.to_pylist()]
@@ -125,7 +135,7 @@ def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> D
                     batch.column("doc_id"),
                     pa.array([hashlib.md5(t).digest() for t in raw], pa.binary()),
                     pa.array([s.tobytes() for s in sketch], pa.binary()),
-                    pa.array([x if ok else [] for x, ok in zip(node.view(np.int64).tolist(), full, strict=True)], pa.list_(pa.int64())),
+                    pa.array([x if ok else [] for x, ok in zip(made, full, strict=True)], pa.list_(pa.int64())),
                 ],
                 names=["doc_id", "key", "sketch", "nodes"],
             )
@@ -133,11 +143,34 @@ def _signed(docs: DataFrame, trees: int, depth: int, stop: int, width: int) -> D
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, key binary, sketch binary, nodes array<long>")
 
 
-def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: float) -> DataFrame:
-    """Edges ``(src, dst)`` that join the texts of each trie node whose sketches are alike."""
+def _candidates(texts: DataFrame, trees: int, depth: int, lengths: list[int], floor: float) -> DataFrame:
+    """Edges ``(src, dst)`` that join each text to the head of its candidate group, written."""
+    # a text is its own group at first
+    groups = materialize(texts.select("key", F.col("key").alias("grp")).where("size(nodes) > 0"), "groups")
+    for i, shared in enumerate(lengths):
+        met = _met(texts, groups, i * trees, trees, depth, shared, floor)
+        if met is None:
+            continue
+        linked = met.unionByName(groups.where("key <> grp").select(F.col("key").alias("src"), F.col("grp").alias("dst")))
+        found = connected_components(linked).select(F.col("node").alias("key"), F.col("component").alias("__grp"))
+        after = materialize(groups.join(found, "key", "left").select("key", F.coalesce("__grp", "grp").alias("grp")), "groups")
+        discard(met)
+        discard(groups)
+        groups = after
+    return groups.where("key <> grp").select(F.col("key").alias("src"), F.col("grp").alias("dst"))
+
+
+def _met(texts: DataFrame, groups: DataFrame, first: int, trees: int, depth: int, shared: int, floor: float) -> DataFrame | None:
+    """Written edges ``(src, dst)`` between the texts of each trie node at depth ``shared`` whose sketches are alike, where the node
+    holds texts of different groups; None if there is no such node."""
     spark = texts.sparkSession
-    slim = texts.select(F.posexplode("nodes").alias("tree", "node"), "key")
-    crowded = materialize(slim.groupBy("node").agg(F.count("*").alias("m"), F.min("tree").alias("tree")).where("m > 1"), "crowded")
+    placed = texts.select("key", F.slice("nodes", first + 1, trees).alias("at")).join(groups, "key")
+    slim = placed.select(F.posexplode("at").alias("tree", "node"), "key", "grp")
+    apart = F.min("grp") != F.max("grp")
+    crowded = materialize(slim.groupBy("node").agg(F.count("*").alias("m"), F.min("tree").alias("tree"), apart.alias("apart")).where("apart").drop("apart"), "crowded")
+    if not crowded.limit(1).count():
+        discard(crowded)
+        return None
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a block of a node holds at most half of an even task's rows
     most = min(NODE_ROWS, max(LEAST_NODE_ROWS, (crowded.agg(F.sum("m").alias("m")).first().m or 0) // (2 * parts)))
@@ -147,13 +180,13 @@ def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: floa
         .withColumn("nb", blocks)
         .withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("node", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key")
+        .select("node", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "grp")
     )
     dealt = (
         placed.join(texts.select("key", "sketch"), "key")
         .repartition(parts, "node", "i", "j")
         .sortWithinPartitions("node", "i", "j")
-        .select("node", "i", "j", "tree", "key", "sketch")
+        .select("node", "i", "j", "tree", "key", "grp", "sketch")
     )
 
     def link(batches):
@@ -162,18 +195,21 @@ def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: floa
 
         def close():
             tree = held[0][0]
-            keys = np.array([k for _, k, _ in held], dtype=object)
-            sketches = np.frombuffer(b"".join(s for _, _, s in held), dtype=np.uint8).reshape(len(held), -1)
+            keys, groups = (np.array([r[c] for r in held], dtype=object) for c in (1, 2))
+            sketches = np.frombuffer(b"".join(r[3] for r in held), dtype=np.uint8).reshape(len(held), -1)
             paths = sketches[:, tree * depth : (tree + 1) * depth]
             order = np.lexsort(paths.T[::-1])
-            labels = node_links(paths[order], sketches[order], stop, floor)
+            _, one, code = np.unique(groups[order], return_index=True, return_inverse=True)
+            before = one[code]
+            labels = node_links(paths[order], sketches[order], shared, floor, before)
             keys = keys[order]
-            far = np.flatnonzero(labels != np.arange(len(labels)))
+            # one edge for each of the groups that are joined
+            far = np.flatnonzero((labels != np.arange(len(labels))) & (before == np.arange(len(labels))))
             return keys[far], keys[labels[far]]
 
         for batch in batches:
             src, dst = [], []
-            node, i, j, tree, key, sketch = (c.to_pylist() for c in batch.columns)
+            node, i, j, tree, key, grp, sketch = (c.to_pylist() for c in batch.columns)
             for r, place in enumerate(zip(node, i, j, strict=True)):
                 if place != at and held:
                     a, b = close()
@@ -181,13 +217,13 @@ def _candidates(texts: DataFrame, trees: int, depth: int, stop: int, floor: floa
                     dst.extend(b)
                     held = []
                 at = place
-                held.append((tree[r], key[r], sketch[r]))
+                held.append((tree[r], key[r], grp[r], sketch[r]))
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
         if held:
             a, b = close()
             yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.binary()), pa.array(b.tolist(), pa.binary())], names=["src", "dst"])
 
-    return dealt.mapInArrow(link, "src binary, dst binary").distinct()
+    return materialize(dealt.mapInArrow(link, "src binary, dst binary").distinct(), "met")
 
 
 def _shingle_sets(docs: DataFrame, members: DataFrame, n_members: int, width: int) -> DataFrame:
@@ -318,8 +354,8 @@ def similarity_classes(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    stop = stop_depth(threshold, trees, depth, target)
-    signed = materialize(_signed(docs, trees, depth, stop, width), "signed")
+    lengths = levels(threshold, trees, depth, target)
+    signed = materialize(_signed(docs, trees, depth, lengths, width), "signed")
     # the other columns depend on the key alone, so any copy's value serves
     texts = materialize(
         signed.groupBy("key").agg(
@@ -329,7 +365,7 @@ def similarity_classes(
         "texts",
     )
     floor = estimate_floor(threshold, trees * depth)
-    linked = linked_texts(docs, texts, _candidates(texts, trees, depth, stop, floor), threshold, width)
+    linked = linked_texts(docs, texts, _candidates(texts, trees, depth, lengths, floor), threshold, width)
     per_text = materialize(
         texts.select("key", "rep", "copies").join(linked, "key", "left")
         .select("key", "rep", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.col("copies") - 1).alias("n_links")),

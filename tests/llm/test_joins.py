@@ -184,3 +184,38 @@ def test_crowded_bands_are_salted_without_loss(spark, monkeypatch):
     links, parts = brute_links(rows)
     assert {i: n for (i, _), n in got.items()} == {i: n for (i, _), n in zip(rows, links, strict=True) if n}
     assert len({c for _, c in got}) == len({p for p, n in zip(parts, links, strict=True) if n})
+
+
+def test_measured_recall_and_shortened_prefixes(spark):
+    """Pairs at and above the threshold, edited everywhere: every link of the brute force is in one class, and few of them meet at
+    full depth."""
+    rng = random.Random(12)
+    rows, n = [], 0
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 160))]
+        rows.append((n, " ".join(words)))
+        n += 1
+        for _ in range(rng.randint(1, 3)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
+            rows.append((n, " ".join(copy)))
+            n += 1
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    links = {(i, j) for i in shingles for j in shingles if i < j and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])}
+    assert nj.levels(0.8, 20, 8, nj.TARGET) == [8, 6, 4] and len(links) > 60
+    got = {r.doc_id: r for r in nj.similarity_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    met = sum(got[i].class_id == got[j].class_id for i, j in links)
+    assert met / len(links) == 1.0
+    assert all(got[i].n_links == sum(i in link for link in links) for i in got)
+    # with a lower target the prefix stops earlier, and links between texts far apart may go
+    assert nj.levels(0.8, 20, 8, 0.9) == [8, 6] or nj.levels(0.8, 20, 8, 0.9)[-1] >= 5
+
+
+def test_groups_that_are_linked_stay_so_in_a_node():
+    rng = np.random.RandomState(2)
+    sketches = rng.randint(0, 255, (30, 64)).astype(np.uint8)
+    groups = np.arange(30)
+    groups[20:25] = 20
+    labels = nj.node_links(sketches[:, :8], sketches, 0, 0.7, groups)
+    assert (labels[20:25] == labels[20]).all() and len(set(labels.tolist())) == 26
