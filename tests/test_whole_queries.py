@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -66,3 +67,76 @@ def test_hexagon_counts_are_smoothed(spark):
     got = {(r.t, r.hx, r.hy): (r.density, r.smooth) for r in QUERIES["e25_hex_counts"](spark, SF).collect()}
     assert got.keys() == want.keys()
     assert all(got[at] == pytest.approx(v, abs=2e-6) for at, v in want.items())
+
+
+def gapped_rows(spark):
+    """(track, t, place) of all rows with five frames missing after every twenty, a track of its own between two gaps."""
+    return [(r.track_id * 100 + r.t // 20, r.t + 5 * (r.t // 20), (r.x, r.y, r.z)) for r in tracks(spark, SF).collect()]
+
+
+def test_gaps_of_all_tracks_are_closed(spark):
+    ends, starts = {}, {}
+    for k, t, p in sorted(gapped_rows(spark)):
+        starts.setdefault(k, (t, p))
+        ends[k] = (t, p)
+    pairs = sorted((math.dist(p, q), a, b, s - t) for a, (t, p) in ends.items() for b, (s, q) in starts.items() if a != b and 1 <= s - t <= 7 and math.dist(p, q) <= 60)
+    want, used, taken = {}, set(), set()
+    for d, a, b, gap in pairs:
+        if a not in used and b not in taken:
+            used.add(a)
+            taken.add(b)
+            want[a, b] = (gap, round(d, 6))
+    got = {(r.parent, r.child): (r.gap, r.distance) for r in QUERIES["i06_close_gaps"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 10
+    assert all(got[k] == (want[k][0], pytest.approx(want[k][1], abs=2e-6)) for k in want)
+
+
+def test_stitched_tracks_are_chains_over_gaps(spark):
+    """Every joined segment follows another one of its track within the gap and the distance, and the name is the first one's."""
+    rows = defaultdict(list)
+    for k, t, p in sorted(gapped_rows(spark)):
+        rows[k].append((t, p))
+    joined = defaultdict(list)
+    for r in QUERIES["i03_stitch"](spark, SF).collect():
+        joined[r.stitched].append(r.seg)
+    assert sorted(s for segs in joined.values() for s in segs) == sorted(rows) and any(len(s) > 2 for s in joined.values())
+    for name, segs in joined.items():
+        segs.sort(key=lambda s: rows[s][0][0])
+        assert segs[0] == name
+        for a, b in zip(segs[:-1], segs[1:], strict=True):
+            (t, p), (s, q) = rows[a][-1], rows[b][0]
+            assert 1 <= s - t <= 7 and math.dist(p, q) <= 60
+
+
+def test_all_points_are_linked_as_a_stream(spark):
+    frames = defaultdict(list)
+    for r in tracks(spark, SF).collect():
+        frames[r.track_class, r.t].append((r.track_id, (r.x, r.y, r.z)))
+    names = {}
+    for c, t in sorted(frames):
+        before = frames.get((c, t - 1), [])
+        pairs = sorted((math.dist(p, q), a, b) for a, p in before for b, q in frames[c, t] if math.dist(p, q) <= 15)
+        used, taken = set(), {}
+        for _, a, b in pairs:
+            if a not in used and b not in taken:
+                used.add(a)
+                taken[b] = a
+        for b, _ in frames[c, t]:
+            names[c, t, b] = names[c, t - 1, taken[b]] if b in taken else f"{t}:{b}"
+    got = {(r.dataset, r.t, r.id): r.track_id for r in QUERIES["k03_stream_links"](spark, SF).collect()}
+    assert got == names
+
+
+def test_chain_statistics_of_all_clusters(spark):
+    out = QUERIES["d35_chain_stats"](spark, SF).collect()
+    chain = {(r.t, r.cluster_id): r.chain_id for r in QUERIES["i02_link_clusters"](spark, SF).collect()}
+    size = {(r.t, r.cluster_id): r.size for r in QUERIES["d34_clusters"](spark, SF).collect()}
+    assert {(r.t, r.cluster_id) for r in out} == set(chain)
+    own = defaultdict(list)
+    for at, c in chain.items():
+        own[c].append(at)
+    for r in out:
+        at = own[chain[r.t, r.cluster_id]]
+        times, sizes = [t for t, _ in at], [size[x] for x in at]
+        assert (r.chain_id, r.start_t, r.end_t, r.duration, r.max_size, r.n_obs) == (chain[r.t, r.cluster_id], min(times), max(times), max(times) - min(times) + 1, max(sizes), len(at))
+        assert r.mean_size == pytest.approx(sum(sizes) / len(sizes), abs=2e-6)
