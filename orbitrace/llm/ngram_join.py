@@ -1,10 +1,10 @@
 """N-gram Jaccard self-join: MinHash LSH forest with exact verification.
 
 Every distinct text gets ``trees`` labels of ``depth`` minima. A label is a path in its tree's prefix trie, and texts meet
-where their paths share a prefix. They meet at full depth first, where a node holds near copies; what is linked there is
-settled among itself. The prefix is then shortened step by step, and each time only the nodes are looked into that still
-hold texts of different groups, and only texts of different groups are compared, in path order. It is shortened until a pair
-at the threshold has met in some tree with the target recall, or nothing is apart in any node. Candidate groups are then
+where their paths share a prefix. They meet at full depth first, where a node holds near copies: what is like the node's
+first text is settled with it. The prefix is then shortened step by step, and each time only the nodes are looked into that
+still hold texts of different groups. It is shortened until a pair at the threshold has met in some tree with the target
+recall; there all texts of different groups are compared, in path order. Candidate groups are then
 verified exactly on shingle sets in blocks, which gives the link counts of every text without a row per pair.
 """
 
@@ -144,42 +144,74 @@ def _signed(docs: DataFrame, trees: int, depth: int, lengths: list[int], width:
 
 
 def _candidates(texts: DataFrame, trees: int, depth: int, lengths: list[int], floor: float) -> DataFrame:
-    """Edges ``(src, dst)`` that join each text to the head of its candidate group, written."""
+    """Edges ``(src, dst)`` that join the texts of each candidate group, written.
+
+    At every length but the last one the texts of a node are compared with its head only, which settles near copies without
+    a copy of any row. At the last one all texts of different groups of a node are compared.
+    """
     # a text is its own group at first
     groups = materialize(texts.select("key", F.col("key").alias("grp")).where("size(nodes) > 0"), "groups")
-    for i, shared in enumerate(lengths):
-        met = _met(texts, groups, i * trees, trees, depth, shared, floor)
-        if met is None:
-            continue
-        linked = met.unionByName(groups.where("key <> grp").select(F.col("key").alias("src"), F.col("grp").alias("dst")))
-        found = connected_components(linked).select(F.col("node").alias("key"), F.col("component").alias("__grp"))
+    for i, _ in enumerate(lengths[:-1]):
+        met = _near_head(texts, groups, i * trees, trees, floor)
+        found = connected_components(met.unionByName(_stars(groups))).select(F.col("node").alias("key"), F.col("component").alias("__grp"))
         after = materialize(groups.join(found, "key", "left").select("key", F.coalesce("__grp", "grp").alias("grp")), "groups")
         discard(met)
         discard(groups)
         groups = after
+    return materialize(_met(texts, groups, (len(lengths) - 1) * trees, trees, depth, lengths[-1], floor).unionByName(_stars(groups)), "candidates")
+
+
+def _stars(groups: DataFrame) -> DataFrame:
     return groups.where("key <> grp").select(F.col("key").alias("src"), F.col("grp").alias("dst"))
 
 
-def _met(texts: DataFrame, groups: DataFrame, first: int, trees: int, depth: int, shared: int, floor: float) -> DataFrame | None:
-    """Written edges ``(src, dst)`` between the texts of each trie node at depth ``shared`` whose sketches are alike, where the node
-    holds texts of different groups; None if there is no such node."""
-    spark = texts.sparkSession
+def _at_nodes(texts: DataFrame, groups: DataFrame, first: int, trees: int) -> DataFrame:
     placed = texts.select("key", F.slice("nodes", first + 1, trees).alias("at")).join(groups, "key")
-    slim = placed.select(F.posexplode("at").alias("tree", "node"), "key", "grp")
-    apart = F.min("grp") != F.max("grp")
-    crowded = materialize(slim.groupBy("node").agg(F.count("*").alias("m"), F.min("tree").alias("tree"), apart.alias("apart")).where("apart").drop("apart"), "crowded")
-    if not crowded.limit(1).count():
-        discard(crowded)
-        return None
+    return placed.select(F.posexplode("at").alias("tree", "node"), "key", "grp")
+
+
+def _near_head(texts: DataFrame, groups: DataFrame, first: int, trees: int, floor: float) -> DataFrame:
+    """Written edges ``(src, dst)`` between texts and the first text of a node that they share, where both are of different groups
+    and their sketches alike. Trees that give a text the same head give one pair."""
+    slim = _at_nodes(texts, groups, first, trees)
+    head = slim.groupBy("node").agg(F.min(F.struct("key", "grp")).alias("h"), (F.min("grp") != F.max("grp")).alias("apart")).where("apart")
+    pairs = slim.join(head, "node").where("grp <> h.grp").select("key", F.col("h.key").alias("head")).distinct()
+    sketch = texts.select("key", "sketch")
+    both = pairs.join(sketch, "key").join(sketch.select(F.col("key").alias("head"), F.col("sketch").alias("other")), "head")
+
+    def alike(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "other"))
+            near = (a == b).mean(axis=1) >= floor if batch.num_rows else np.zeros(0, bool)
+            yield batch.select(["key", "head"]).filter(pa.array(near)).rename_columns(["src", "dst"])
+
+    return materialize(both.select("key", "head", "sketch", "other").mapInArrow(alike, "src binary, dst binary"), "near_head")
+
+
+def _met(texts: DataFrame, groups: DataFrame, first: int, trees: int, depth: int, shared: int, floor: float) -> DataFrame:
+    """Edges ``(src, dst)`` between the texts of each trie node at depth ``shared`` whose sketches are alike, where the node holds
+    texts of different groups.
+
+    Rows of a node's largest group are not compared with each other: each of their blocks meets those of the others, so a
+    row of a large settled group travels as often as the others have blocks, which is once as a rule.
+    """
+    spark = texts.sparkSession
+    slim = _at_nodes(texts, groups, first, trees)
+    sizes = slim.groupBy("node", "grp").agg(F.count("*").alias("n"), F.min("tree").alias("tree"))
+    crowded = sizes.groupBy("node").agg(F.sum("n").alias("m"), F.max(F.struct("n", "grp")).alias("main"), F.count("*").alias("k"), F.min("tree").alias("tree")).where("k > 1").drop("k")
+    crowded = materialize(crowded, "crowded")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a block of a node holds at most half of an even task's rows
     most = min(NODE_ROWS, max(LEAST_NODE_ROWS, (crowded.agg(F.sum("m").alias("m")).first().m or 0) // (2 * parts)))
-    blocks = F.ceil(F.col("m") / most).cast("int")
+    whole = F.col("m") <= most
+    others = F.when(whole, 1).otherwise(F.ceil((F.col("m") - F.col("main.n")) / most)).cast("int")
+    mains = F.when(whole, 0).otherwise(F.ceil(F.col("main.n") / most)).cast("int")
+    rows = slim.drop("tree").join(crowded, "node").withColumns({"nr": others, "nm": mains}).withColumn("is_main", (F.col("grp") == F.col("main.grp")) & (F.col("nm") > 0))
+    mixed = F.xxhash64("key")
+    block = F.when(F.col("is_main"), F.col("nr") + F.pmod(mixed, F.greatest("nm", F.lit(1)))).otherwise(F.pmod(mixed, F.col("nr"))).cast("int")
+    reach = F.when(F.col("is_main"), F.col("nr")).otherwise(F.col("nr") + F.col("nm"))
     placed = (
-        slim.drop("tree").join(crowded, "node")
-        .withColumn("nb", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), reach - 1)))
         .select("node", "tree", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "grp")
     )
     dealt = (
@@ -223,7 +255,7 @@ def _met(texts: DataFrame, groups: DataFrame, first: int, trees: int, depth: int
             a, b = close()
             yield pa.RecordBatch.from_arrays([pa.array(a.tolist(), pa.binary()), pa.array(b.tolist(), pa.binary())], names=["src", "dst"])
 
-    return materialize(dealt.mapInArrow(link, "src binary, dst binary").distinct(), "met")
+    return dealt.mapInArrow(link, "src binary, dst binary").distinct()
 
 
 def _shingle_sets(docs: DataFrame, members: DataFrame, n_members: int, width: int) -> DataFrame:
