@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from orbitrace.plans.all_queries import QUERIES
-from orbitrace.sources.testviews import table, tracks
+from orbitrace.sources.testviews import table, tracks, voxels
 
 SF = "/root/testdata/sf0.001"
 
@@ -140,3 +140,17 @@ def test_chain_statistics_of_all_clusters(spark):
         times, sizes = [t for t, _ in at], [size[x] for x in at]
         assert (r.chain_id, r.start_t, r.end_t, r.duration, r.max_size, r.n_obs) == (chain[r.t, r.cluster_id], min(times), max(times), max(times) - min(times) + 1, max(sizes), len(at))
         assert r.mean_size == pytest.approx(sum(sizes) / len(sizes), abs=2e-6)
+
+
+def test_labels_are_assigned_greedily(spark):
+    held = defaultdict(set)
+    for r in voxels(spark, SF).collect():
+        held[r.t, r.z, r.y, r.x].add((r.channel == 1, r.label))
+    n = Counter((a, b) for labels in held.values() for one, a in labels if one for two, b in labels if not two)
+    want, used, taken = {}, set(), set()
+    for (a, b), k in sorted(n.items(), key=lambda x: (-x[1], x[0])):
+        if a not in used and b not in taken:
+            used.add(a)
+            taken.add(b)
+            want[a, b] = k
+    assert {(r.label, r.other_label): r.n for r in QUERIES["f05_greedy_assignment"](spark, SF).collect()} == want
