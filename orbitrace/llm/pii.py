@@ -1,9 +1,10 @@
 """Personal data with offset-preserving deobfuscation.
 
-Plain identifiers are found in the text as it stands. A second view of a text undoes disguises: a transducer rewrites
-homoglyphs, spelled digits and spelled or bracketed "at" and "dot" signs, and writes for every character that it emits
-the source span it came from. Identifiers found in that view are mapped back to source characters, and are added where
-they touch no plain span of their kind.
+Plain identifiers are found in the text as it stands. A second view of a text undoes disguises by a cascade of compiled
+deterministic transducers: the first folds homoglyphs and invisible characters, a lexer reads tokens, and the others
+rewrite bracketed signs, a spelled plus, spelled "at" and "dot" signs of addresses, spelled dots between numbers, spelled
+digits, and gaps after a plus. Every token that they emit keeps the source span it came from. Identifiers found in that
+view are mapped back to source characters, and are added where they touch no plain span of their kind.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -104,31 +107,11 @@ INVISIBLE = frozenset("­​‌‍⁠﻿")
 SPELLED_DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
 }
-_OPEN, _CLOSE, _GAP = r"[\[({<]", r"[\])}>]", r"[\x20]{0,3}"
-_DIGIT_WORD = "|".join(sorted(SPELLED_DIGITS, key=len, reverse=True))
-_SIGN = re.compile(rf"(?P<at>{_OPEN}{_GAP}(?:at|@){_GAP}{_CLOSE})|(?P<dot>{_OPEN}{_GAP}(?:dot|\.){_GAP}{_CLOSE})", re.I)
-#: A spelled plus before a number of any length, in digits or spelled.
-_PLUS = re.compile(rf"\bplus(?=[\x20-]{{1,3}}(?:[0-9]|(?:{_DIGIT_WORD})(?![A-Za-z])))", re.I)
-#: An address whose sign, or one or more of whose dots, are words; in front of the sign up to eight words may be joined so.
-_WORDY = re.compile(
-    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++(?:[\x20]+dot[\x20]+[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+){0,8}?)"
-    r"(?P<at>[\x20]+at[\x20]+|@)[A-Za-z0-9-]++(?P<dots>(?:(?:[\x20]+dot[\x20]+|\.)[A-Za-z0-9-]++)+)", re.I
-)
-#: Four short numbers with dots between, at least one of them a word.
-_WORDY_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:(?:[\x20]{1,8}dot[\x20]{1,8}|\.)[0-9]{1,3}+){3}(?![0-9])", re.I)
-_DOT_WORD = re.compile(r"[\x20]+dot[\x20]+", re.I)
 #: After a spelled "at", the endings that a host may have; other words after a dot are prose or file names.
 ENDINGS = frozenset(
     "com org net edu gov mil int info biz name pro io ai app dev co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it gr pl cz sk hu ro bg hr si rs ua ru tr "
     "se no dk fi is ee lv lt jp cn kr tw hk sg my th vn id ph in pk ae sa il za ng ke eg ma mx br ar cl pe uy ve example test invalid local".split()
 )
-#: Only runs that hold at least four spelled digits are read as numbers, or any after a plus; a lone "one" is prose.
-_DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9])(?:[\x20,-]{{1,2}}(?:(?:{_DIGIT_WORD})(?![A-Za-z])|[0-9]+))*(?![A-Za-z])", re.I)
-_DIGIT_ITEM = re.compile(rf"(?:{_DIGIT_WORD})|[0-9]+", re.I)
-#: What a lower-cased text must hold where four spelled digits stand in a run: one with another item after it.
-_DIGIT_HINT = re.compile(rf"(?:{_DIGIT_WORD})[\x20,-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])")
-
-
 @lru_cache(maxsize=1)
 def look_alikes() -> dict[int, str]:
     """Code point -> one ASCII character, for the listed look-alikes and all whose compatibility form is one."""
@@ -142,122 +125,291 @@ def look_alikes() -> dict[int, str]:
     return out
 
 
+def fold_characters(text: str) -> tuple[str, list[int] | None]:
+    """The one-state transducer: look-alikes to ASCII, invisible characters away; and, where any went, the place of each
+    character that is left."""
+    if text.isascii():
+        return text, None
+    table = look_alikes()
+    found = {ord(c): "" if c in INVISIBLE else table[ord(c)] for c in set(text) if c in INVISIBLE or ord(c) in table}
+    if not found:
+        return text, None
+    gone = any(new == "" for new in found.values())
+    return text.translate(found), [i for i, c in enumerate(text) if c not in INVISIBLE] if gone else None
+
+
+# Token classes: a, d, p are the words at, dot and plus; z a spelled digit; w another run of letters; n, N a number of up
+# to three digits or more, m, M one that touches a letter; 1, 2, 3, 8, 9 blanks (one, two, three, up to eight, more);
+# o, c brackets; the signs - . @ + , _ % themselves; x any other run, which no transducer crosses.
+_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\x20+|[-.@+,_%\[({<\])}>]")
+_STRETCH = re.compile(r"[A-Za-z0-9\x20.@+,_%\[({<\])}>-]+")
+_WORDS = {"at": "a", "dot": "d", "plus": "p"} | dict.fromkeys(SPELLED_DIGITS, "z")
+_BRACKETS = dict.fromkeys("[({<", "o") | dict.fromkeys("])}>", "c")
+_DIGIT_WORD = "|".join(sorted(SPELLED_DIGITS, key=len, reverse=True))
+#: A lower-cased text in which a transducer rewrites anything holds one of these, or a spelled digit before another or a number.
+_HINTS = (" at ", " dot ", "plus", "+", "[", "(", "{", "<")
+_DIGITS_HINT = re.compile(rf"(?:{_DIGIT_WORD})[\x20,-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])")
+_NUMBERS, _LABEL, _BLANKS = "nNmM", "wadpznNmM-", "12389"
+_LOCAL_PART = _LABEL + "._%+"
+#: Words that spelled dots may join in front of an address's sign.
+JOINED_WORDS = 8
+#: Spelled digits that make a run of digits a number; after a plus one is enough, as a lone "one" is prose.
+LEAST_SPELLED = 4
+
+
+def classes(tokens: list[str]) -> list[str]:
+    """The class of each token of a stretch."""
+    out = []
+    for i, t in enumerate(tokens):
+        first = t[0]
+        if first == " ":
+            out.append(str(len(t)) if len(t) <= 3 else "8" if len(t) <= 8 else "9")
+        elif "0" <= first <= "9":
+            short = len(t) <= 3
+            touches = i > 0 and tokens[i - 1][0].isalpha() or i + 1 < len(tokens) and tokens[i + 1][0].isalpha()
+            out.append(("m" if short else "M") if touches else ("n" if short else "N"))
+        elif first.isalpha():
+            out.append(_WORDS.get(t.lower(), "w") if len(t) <= 5 else "w")
+        else:
+            out.append(_BRACKETS.get(first, first))
+    return out
+
+
+#: What an arc emits: the token as it is, or the digit it spells; else the text given (none drops the token).
+COPY, DIGIT = None, "digit"
+Arcs = Iterable[tuple[str, str, str, str | None]]
+
+
+@dataclass
 class Tape:
-    """Text with, for each character, the source span it stands for."""
-
-    def __init__(self, text: str, start: Sequence[int] | None = None, end: Sequence[int] | None = None):
-        self.text = text
-        self.start = range(len(text)) if start is None else start
-        self.end = range(1, len(text) + 1) if end is None else end
-
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> Tape:
-        """The tape after ``edits`` (from, to, replacement), in order and apart; a replacement stands for the whole span."""
-        if not edits:
-            return self
-        text, start, end, at = [], [], [], 0
-        for a, b, new in edits:
-            text.append(self.text[at:a])
-            start += self.start[at:a]
-            end += self.end[at:a]
-            text.append(new)
-            if new:
-                start += [self.start[a]] * len(new)
-                end += [self.end[b - 1]] * len(new)
-            at = b
-        text.append(self.text[at:])
-        return Tape("".join(text), [*start, *self.start[at:]], [*end, *self.end[at:]])
+    """Tokens of a stretch in parallel lists: class, text, and the span of the folded text that a token stands for."""
 
+    kind: list[str]
+    text: list[str]
+    start: list[int]
+    end: list[int]
 
-def fold_characters(tape: Tape) -> Tape:
-    """Look-alikes to ASCII, invisible characters away."""
-    if tape.text.isascii():
-        return tape
-    table = look_alikes()
-    found = {c: "" if c in INVISIBLE else table[ord(c)] for c in set(tape.text) if c in INVISIBLE or ord(c) in table}
-    if not found:
-        return tape
-    return tape.rewrite([(i, i + 1, found[c]) for i, c in enumerate(tape.text) if c in found])
-
-
-def join_signs(tape: Tape) -> Tape:
-    """Bracketed and spelled signs to the signs themselves."""
-    low = tape.text.lower()
-    if any(c in low for c in "[({<"):
-        edits, free = [], 0
-        for m in _SIGN.finditer(tape.text):
-            a, b = m.span()
-            while a > free and tape.text[a - 1] == " ":  # the gaps around a bracketed sign go with it
-                a -= 1
-            while b < len(tape.text) and tape.text[b] == " ":
-                b += 1
-            if a >= free:
-                edits.append((a, b, {"at": "@", "dot": "."}[m.lastgroup]))
-                free = b
-        tape = tape.rewrite(edits)
-    if "plus" in low:
-        tape = tape.rewrite([(*m.span(), "+") for m in _PLUS.finditer(tape.text)])
-    # a spelled word has a blank on each side, and only bracketed signs take blanks away
-    if " at " not in low and " dot " not in low:
-        return tape
-    wordy = []
-    for m in _WORDY.finditer(tape.text):
-        dots = [(d.start(), d.end(), ".") for part in ("local", "dots") for d in _DOT_WORD.finditer(tape.text, *m.span(part))]
-        if m["at"] != "@":
-            if m["dots"][_last_sign(m["dots"]) :].lower() not in ENDINGS:
+
+@dataclass
+class Transducer:
+    """A deterministic transducer over token classes, compiled to one table of arcs per state.
+
+    It starts in state 0 at every token that follows none of ``not_after``, and takes the longest accepted path. What the
+    arcs of the path emit is written if ``holds(tape, first, end, path)`` is true, with the states of the path; reading goes on behind it.
+    """
+
+    arcs: Arcs
+    accepting: set[str]
+    needs: str
+    not_after: str = ""
+    holds: Callable[[Tape, int, int, list[int]], bool] | None = None
+    #: What is emitted stands for the whole path, not for the token that it replaces.
+    whole: bool = False
+    table: list[dict[str, tuple[int, str | None]]] = field(init=False)
+    names: list[str] = field(init=False)
+
+    def __post_init__(self):
+        arcs = list(self.arcs)
+        self.names = list(dict.fromkeys(["0", *(a[0] for a in arcs), *(a[2] for a in arcs)]))
+        number = {name: k for k, name in enumerate(self.names)}
+        self.table = [{} for _ in self.names]
+        for state, read, then, emit in arcs:
+            for c in read:
+                if c in self.table[number[state]]:
+                    raise ValueError(f"two arcs on {c} leave state {state}")
+                self.table[number[state]][c] = (number[then], emit)
+        self.final = [name in self.accepting for name in self.names]
+
+    def run(self, tape: Tape) -> bool:
+        """Rewrites ``tape`` in one pass; whether anything changed."""
+        kind = tape.kind
+        if not any(c in kind for c in self.needs):
+            return False
+        table, final, begin, n = self.table, self.final, self.table[0], len(kind)
+        emitted: dict[int, str] = {}
+        i = 0
+        while i < n:
+            if kind[i] not in begin or i and kind[i - 1] in self.not_after:
+                i += 1
                 continue
-            wordy.append((*m.span("at"), "@"))
-        wordy.extend(dots)
-    tape = tape.rewrite(sorted(wordy))
-    return tape.rewrite([(d.start(), d.end(), ".") for m in _WORDY_IP.finditer(tape.text) for d in _DOT_WORD.finditer(tape.text, *m.span())])
-
-
-def _last_sign(host: str) -> int:
-    """Where the last label of a host begins."""
-    return max(host.rfind("."), host.rfind(" ")) + 1
-
-
-def join_digits(tape: Tape) -> Tape:
-    """Runs of spelled digits, at least four of them or after a plus sign, to digits side by side."""
-    if "+" not in tape.text and not _DIGIT_HINT.search(tape.text.lower()):
-        return tape
-    edits = []
-    for m in _DIGIT_RUN.finditer(tape.text):
-        items = list(_DIGIT_ITEM.finditer(tape.text, *m.span()))
-        spelled = sum(not i.group()[0].isdigit() for i in items)
-        if spelled >= 4 or spelled and after_plus(tape.text, m.start()):
-            at = m.start()
-            for i in items:
-                edits.append((at, i.end(), SPELLED_DIGITS.get(i.group().lower(), i.group())))
-                at = i.end()
-    return tape.rewrite(edits)
-
-
-def after_plus(text: str, at: int) -> bool:
-    """Whether a plus sign stands before ``at``, with the first digits of a number, or three blanks or hyphens, between."""
-    while at > 0 and "0" <= text[at - 1] <= "9":
-        at -= 1
-    for gap in range(4):
-        if at > gap and text[at - gap - 1] == "+":
-            return True
-        if at <= gap or text[at - gap - 1] not in " -":
+            state, j, end, path = 0, i, i, []
+            while j < n and (arc := table[state].get(kind[j])) is not None:
+                state = arc[0]
+                path.append(arc)
+                j += 1
+                if final[state]:
+                    end = j
+            if end == i:
+                i += 1
+                continue
+            if self.holds is None or self.holds(tape, i, end, [to for to, _ in path]):
+                for k in range(i, end):
+                    emit = path[k - i][1]
+                    if emit is not COPY:
+                        emitted[k] = SPELLED_DIGITS[tape.text[k].lower()] if emit is DIGIT else emit
+                        if self.whole and emit:
+                            tape.start[k], tape.end[k] = tape.start[i], tape.end[end - 1]
+            i = end
+        if not emitted:
             return False
-    return False
+        for k, new in emitted.items():
+            tape.text[k] = new
+            tape.kind[k] = "n" if "0" <= new <= "9" else new
+        left = [k for k in range(n) if tape.text[k]]
+        for column in (tape.kind, tape.text, tape.start, tape.end):
+            column[:] = [column[k] for k in left]
+        return True
+
+
+def _bracketed() -> Arcs:
+    """An "at" or "dot", word or sign, in brackets; the blanks around go with it."""
+    yield from [("0", _BLANKS, "before", ""), ("0", "o", "open", ""), ("before", "o", "open", ""), ("open", "123", "gap", "")]
+    for state in ("open", "gap"):
+        yield from [(state, "a@", "sign", "@"), (state, "d.", "sign", ".")]
+    yield from [("sign", "123", "behind", ""), ("sign", "c", "closed", ""), ("behind", "c", "closed", ""), ("closed", _BLANKS, "after", "")]
+
+
+def _plus_word() -> Arcs:
+    """The word plus, up to three blanks or hyphens, and a number or a spelled digit."""
+    yield ("0", "p", "gap 3", "+")
+    for left in range(3, -1, -1):
+        for c, size in (("1", 1), ("2", 2), ("3", 3), ("-", 1)):
+            if size <= left:
+                yield (f"gap {left}", c, f"gap {left - size}", COPY)
+        if left < 3:
+            yield (f"gap {left}", _NUMBERS + "z", "number", COPY)
+
+
+def _address() -> Arcs:
+    """An address whose sign, or some of whose dots, are words."""
+    yield ("0", _LOCAL_PART, "local 0", COPY)
+    for k in range(JOINED_WORDS + 1):
+        yield from [(f"local {k}", _LOCAL_PART, f"local {k}", COPY), (f"local {k}", "@", "host", COPY), (f"local {k}", _BLANKS, f"gap {k}", "")]
+        yield (f"gap {k}", "a", "at", "@")
+        if k < JOINED_WORDS:
+            yield from [(f"gap {k}", "d", f"dot {k}", "."), (f"dot {k}", _BLANKS, f"word {k}", "")]
+            yield (f"word {k}", _LOCAL_PART.replace(".", ""), f"local {k + 1}", COPY)
+    yield from [("at", _BLANKS, "spelled host", ""), ("host", _LABEL, "first", COPY), ("spelled host", _LABEL, "first", COPY)]
+    for state in ("first", "label"):
+        yield from [(state, _LABEL, state, COPY), (state, ".", "next", COPY), (state, _BLANKS, "host gap", "")]
+    yield from [("host gap", "d", "host dot", "."), ("host dot", _BLANKS, "next", ""), ("next", _LABEL, "label", COPY)]
+
+
+def _four_numbers() -> Arcs:
+    """Four short numbers with dots between, spelled or not."""
+    short = "nm"
+    yield ("0", short, "number 1", COPY)
+    for k in range(1, 4):
+        yield from [(f"number {k}", ".", f"then {k}", COPY), (f"number {k}", "1238", f"gap {k}", ""), (f"gap {k}", "d", f"dot {k}", ".")]
+        yield from [(f"dot {k}", "1238", f"then {k}", ""), (f"then {k}", short, f"number {k + 1}", COPY)]
+
+
+def _digit_run() -> Arcs:
+    """Spelled digits and numbers with up to two blanks, commas or hyphens between."""
+    for state in ("0", "one", "two"):
+        yield from [(state, "z", "item", DIGIT), (state, "nN", "item", COPY)]
+    yield from [("item", "1,-", "one", ""), ("item", "2", "two", ""), ("one", "1,-", "two", "")]
+
+
+def _plus_gap() -> Arcs:
+    """A plus, blanks and hyphens, and a number."""
+    yield from [("0", "+", "plus", COPY), ("plus", _BLANKS + "-", "gap", ""), ("gap", _BLANKS + "-", "gap", ""), ("gap", _NUMBERS, "number", COPY)]
+
+
+def _known_ending(tape: Tape, first: int, end: int, path: list[int]) -> bool:
+    """Whether the sign is a plain one, or the host's last label is an ending that hosts have."""
+    if SPELLED_HOST not in path[: end - first]:
+        return True
+    k = end
+    while k > first and tape.kind[k - 1] in _LABEL:
+        k -= 1
+    return "".join(tape.text[k:end]).lower() in ENDINGS
+
+
+def _is_number(tape: Tape, first: int, end: int, path: list[int]) -> bool:
+    spelled = tape.kind[first:end].count("z")
+    return spelled >= LEAST_SPELLED or spelled > 0 and after_plus(tape, first)
+
+
+def after_plus(tape: Tape, at: int) -> bool:
+    """Whether a plus sign stands before token ``at``, with up to three blanks or hyphens between."""
+    left = 3
+    while at > 0 and tape.kind[at - 1] in "123-" and len(tape.text[at - 1]) <= left:
+        at -= 1
+        left -= len(tape.text[at])
+    return at > 0 and tape.kind[at - 1] == "+"
+
+
+ADDRESS = Transducer(_address(), {"label"}, needs="ad", not_after=_LOCAL_PART, holds=_known_ending)
+SPELLED_HOST = ADDRESS.names.index("spelled host")
+#: In the order in which they run.
+CASCADE = (
+    Transducer(_bracketed(), {"closed", "after"}, needs="o", whole=True),
+    Transducer(_plus_word(), {"number"}, needs="p", not_after=_NUMBERS + "_"),
+    ADDRESS,
+    Transducer(_four_numbers(), {"number 4"}, needs="d", not_after="."),
+    Transducer(_digit_run(), {"item"}, needs="z", holds=_is_number),
+    Transducer(_plus_gap(), {"number"}, needs="+"),
+)
 
 
-def close_plus(tape: Tape) -> Tape:
-    """No gap between a plus sign and its number."""
-    if "+" not in tape.text:
-        return tape
-    return tape.rewrite([(m.start(1), m.end(1), "") for m in re.finditer(r"\+([\x20-]+)(?=[0-9])", tape.text)])
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(h in low for h in _HINTS) or _DIGITS_HINT.search(low) is not None
+
+
+def normalised(text: str) -> Tape | None:
+    """The pieces of a folded text after the cascade, or None where it changes nothing. What lies between rewritten
+    stretches is one piece."""
+    out = Tape([], [], [], [])
+    if not hinted(text):
+        return None
+    at = 0
+    for m in _STRETCH.finditer(text):
+        a, b = m.span()
+        if not hinted(m.group()):
+            continue
+        tokens = [(t.group(), *t.span()) for t in _TOKEN.finditer(text, a, b)]
+        tape = Tape([], *(list(column) for column in zip(*tokens, strict=True)))
+        tape.kind = classes(tape.text)
+        # no shortcut: each one reads what the one before wrote
+        if any([machine.run(tape) for machine in CASCADE]):
+            if a > at:
+                tape = Tape(["x", *tape.kind], [text[at:a], *tape.text], [at, *tape.start], [a, *tape.end])
+            for column, more in zip((out.kind, out.text, out.start, out.end), (tape.kind, tape.text, tape.start, tape.end), strict=True):
+                column += more
+            at = b
+    if not at:
+        return None
+    if at < len(text):
+        for column, last in zip((out.kind, out.text, out.start, out.end), ("x", text[at:], at, len(text)), strict=True):
+            column.append(last)
+    return out
 
 
 def disguised_spans(text: str) -> dict[str, list[Span]]:
     """Source spans of identifiers that only the rewritten text shows."""
-    tape = close_plus(join_digits(join_signs(fold_characters(Tape(text)))))
-    if tape.text == text:
-        return {}
-    found = plain_spans(tape.text)
-    return {kind: [(tape.start[a], tape.end[b - 1]) for a, b in spans] for kind, spans in found.items()}
+    folded, places = fold_characters(text)
+    tape = normalised(folded)
+    if tape is None:
+        if folded == text:
+            return {}
+        tape = Tape(["x"], [folded], [0], [len(folded)])
+    ends, total = [], 0
+    for t in tape.text:
+        total += len(t)
+        ends.append(total)
+
+    def source(position: int) -> Span:
+        """The span of the source that a character of the rewritten text stands for."""
+        k = bisect_right(ends, position)
+        a, b = tape.start[k], tape.end[k]
+        if b - a == len(tape.text[k]):
+            a += position - (ends[k] - len(tape.text[k]))
+            b = a + 1
+        return (a, b) if places is None else (places[a], places[b - 1] + 1)
+
+    return {kind: [(source(a)[0], source(b - 1)[1]) for a, b in spans] for kind, spans in plain_spans("".join(tape.text)).items()}
 
 
 def find_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:

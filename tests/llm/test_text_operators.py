@@ -231,6 +231,42 @@ def test_spans_merge_in_one_pass():
     assert len(pii.find_spans(text)[1]["email"]) == 100_000 and time.time() - began < 8
 
 
+def test_planted_disguises_keep_their_places():
+    rng = random.Random(11)
+    at = ["@", " at ", " [at] ", "(AT)", " { @ } ", "＠"]
+    dot = [".", " dot ", " (dot) ", "[.]", "．"]
+    digit = {v: [v, *(w for w, d in pii.SPELLED_DIGITS.items() if d == v)] for v in "0123456789"}
+    prose = ["we met.", "it rained: all day!", "the map\nis old", "ünder way", "nothing (else) there", "he said no", "a\u00adb"]
+    makers = {
+        "email": lambda: rng.choice(["jane", "j.doe", "jane dot doe", "jаne"]) + rng.choice(at) + "example" + rng.choice(dot) + "org",
+        "ip": lambda: "10" + "".join(rng.choice(dot) + str(rng.randint(0, 255)) for _ in range(3)),
+        "phone": lambda: rng.choice(["plus ", "+", "+ ", "Plus-"]) + " ".join(rng.choice(digit[rng.choice("123456789")]) for _ in range(10)),
+    }
+    for _ in range(1500):
+        kind = rng.choice(list(makers))
+        made, before, after = makers[kind](), rng.choice(prose) + "; ", "; " + rng.choice(prose)
+        text = before + made + after
+        assert (len(before), len(before) + len(made)) in pii.find_spans(text)[1][kind], text
+
+
+def test_transducers_are_deterministic():
+    with pytest.raises(ValueError):
+        pii.Transducer([("0", "ab", "one", pii.COPY), ("0", "b", "two", "")], {"one"}, needs="a")
+    for machine in pii.CASCADE:
+        assert any(machine.final) and all(to < len(machine.table) for arcs in machine.table for to, _ in arcs.values())
+    tape = pii.Tape(list("b1d1b"), ["a", " ", "dot", " ", "b"], [0, 1, 2, 5, 6], [1, 2, 5, 6, 7])
+    copy = pii.Transducer([("0", "b", "one", pii.COPY), ("one", "1", "gap", ""), ("gap", "d", "dot", "."), ("dot", "1", "end", "")], {"end"}, needs="d")
+    assert copy.run(tape) and tape == pii.Tape(["b", ".", "b"], ["a", ".", "b"], [0, 2, 6], [1, 5, 7])
+    assert not copy.run(tape)
+
+
+@pytest.mark.parametrize("piece", ["a dot ", "a at ", "a at b dot ", "+ ", "( ", "[ at ", "a-", "plus ", "1 dot ", "five "])
+def test_transducers_are_linear(piece):
+    began = time.process_time()
+    pii.find_spans(piece * (600_000 // len(piece)))
+    assert time.process_time() - began < 15
+
+
 def test_pii_over_documents(spark, docs, no_docs):
     extra = spark.createDataFrame([(900, "a@b.co 1.2.3.4 +49 30 1234567", "de", "s", 29, "k", "w")], docs.schema)
     for r in pii.find_personal_data(docs.unionByName(extra)).where("doc_id = 900").collect():
