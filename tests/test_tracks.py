@@ -82,6 +82,14 @@ def test_radius_pairs_match_brute_force(spark):
     assert got == want
 
 
+def test_copies_around_cells_are_not_broadcast(spark, tmp_path):
+    """Neither frame is over the broadcast threshold before its rows are copied to the cells around their own."""
+    path = str(tmp_path / "k")
+    cloud(spark).write.parquet(path)
+    k = spark.read.parquet(path)
+    assert "Broadcast" not in neighbors.radius_pairs(k, k, 25.0)._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("small", [1000, 5])
 def test_nearest_matches_brute_force(spark, monkeypatch, small):
     monkeypatch.setattr(neighbors, "SMALL_FRAME", small)
