@@ -81,3 +81,10 @@ def test_correlation_of_lists_of_different_lengths(spark, crowd):
     rows = blocks.near_correlation(crowd.join(lists, "track_id"), "s", 4, 2, 30.0).where(F.col("correlation").isNotNull()).collect()
     got = {(r.t, r.track_id): r.correlation for r in rows}
     assert got.keys() == total.keys() and all(math.isclose(got[k], total[k], abs_tol=1e-9) for k in got)
+
+
+def test_nearest_with_keys_of_two_columns_and_ties(spark):
+    rows = [(0, (1, t), float(t // 2), 0.0, 0.0) for t in range(6)]
+    df = spark.createDataFrame(rows, "t int, step struct<a: long, b: long>, x double, y double, z double")
+    got = sorted((r.step.b, r["rank"], r.n_step.b) for r in blocks.near_first(df, df, 2, 1.0, key="step", include_self=False).collect())
+    assert got == [(0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 2, 2), (2, 1, 3), (2, 2, 0), (3, 1, 2), (3, 2, 0), (4, 1, 5), (4, 2, 2), (5, 1, 4), (5, 2, 2)]
