@@ -46,12 +46,22 @@ def _windows(rows: DataFrame, width: int, step: int, last_too: bool) -> DataFram
 
 
 def sliding_msd(tracks: DataFrame, width: int = 20, step: int = 5, tau_max: int = 10) -> DataFrame:
-    """``track_id, start_idx, tau, msd, n_obs`` per window of ``width`` rows, lags of 1 to ``tau_max`` rows."""
-    rows = _windows(_indexed(tracks), width, step, True)
-    keys = ["track_id", "start_idx"]
-    early = rows.withColumn("tau", F.explode(F.sequence(F.lit(1), F.lit(tau_max)))).withColumn("j", F.col("i") + F.col("tau"))
-    late = rows.select(*keys, F.col("i").alias("j"), *(F.col(a).alias(f"n_{a}") for a in AXES))
-    return early.join(late, [*keys, "j"]).groupBy(*keys, "tau").agg(F.avg(_squared()).alias("msd"), F.count("*").alias("n_obs"))
+    """``track_id, start_idx, tau, msd, n_obs`` per window of ``width`` rows, lags of 1 to ``tau_max`` rows.
+
+    Steps and means are windows along the track, so a row is sent once and not copied to its windows and lags.
+    """
+    taus = range(1, min(tau_max, width - 1) + 1)
+    if not taus:
+        return tracks.select("track_id", F.lit(0).alias("start_idx"), F.lit(0).alias("tau"), F.lit(0.0).alias("msd"), F.lit(0).cast("long").alias("n_obs")).limit(0)
+    along = in_track()
+    rows = tracks.where("track_id IS NOT NULL").select("track_id", "t", *AXES)
+    rows = rows.withColumns({"i": F.row_number().over(along) - 1, "__n": F.count("*").over(Window.partitionBy("track_id"))})
+    rows = rows.withColumns({f"__d{k}": sum(((F.lead(a, k).over(along) - F.col(a)) ** 2 for a in AXES), F.lit(0.0)) for k in taus})
+    # a window's pairs of one lag begin in its first width - lag rows
+    rows = rows.withColumns({f"__m{k}": F.avg(f"__d{k}").over(along.rowsBetween(0, width - 1 - k)) for k in taus})
+    rows = rows.where((F.col("i") % step == 0) & (F.col("i") + width <= F.col("__n")))
+    each = F.array(*(F.struct(F.lit(k).alias("tau"), F.col(f"__m{k}").alias("msd"), F.lit(width - k).cast("long").alias("n_obs")) for k in taus))
+    return rows.select("track_id", F.col("i").cast("int").alias("start_idx"), F.inline(each))
 
 
 def auto_tau_max(width: int, least: int = 3) -> int:
