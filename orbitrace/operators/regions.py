@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbitrace.operators.neighbors import label_overlap
+from orbitrace.session import materialize
 
 VOXEL = ("t", "z", "y", "x")
+#: Labels of a frame that meet first in the search for shadows, the most cuts of a frame, and voxel pairs held at a time.
+TILE, TILES, PAIRS = 500, 1000, 2_000_000
 
 
 def foreground(voxels: DataFrame) -> DataFrame:
@@ -72,18 +77,85 @@ def shadowed_labels(voxels: DataFrame, overlap: float = 0.5, z_scale: float = 1.
     """``t, label`` of the labels that lie below another one: the shared XY area is at least ``overlap`` of the label's and
     the scaled difference of mean z is from ``z_low`` up to 0.
 
-    A label that is itself shadowed still casts a shadow.
+    A label that is itself shadowed still casts a shadow. One shadow settles a label, so labels meet in tiles of about
+    ``TILE`` labels of near depth first, then with the tile below, and only those without a shadow by then meet all others of
+    their frame, by pixel. Where few labels are shadowed, that last join is of all labels that share a pixel.
     """
-    flat = foreground(voxels).select("t", "label", "y", "x").distinct()
+    flat = materialize(foreground(voxels).select("t", "label", "y", "x").distinct(), "flat")
     area = flat.groupBy("t", "label").agg(F.count("*").alias("area"))
     depth = foreground(voxels).groupBy("t", "label").agg(F.avg("z").alias("cz"))
-    info = area.join(depth, ["t", "label"])
-    both = flat.join(flat.select("t", "y", "x", F.col("label").alias("other")), ["t", "y", "x"]).where("label <> other")
-    shared = both.groupBy("t", "label", "other").agg(F.count("*").alias("n"))
+    info = materialize(area.join(depth, ["t", "label"]), "labels")
+    # cuts of depth by frame; where they lie only decides who meets first
+    tiles = info.groupBy("t").agg(F.count("*").alias("n"), F.percentile_approx("cz", F.array(*(F.lit(i / TILES) for i in range(1, TILES))), F.lit(10_000)).alias("cuts"))
+    every = F.ceil(F.lit(1.0) * TILE * TILES / F.col("n")).cast("int")
+    tiles = tiles.withColumn("every", every).withColumn("cuts", F.filter("cuts", lambda c, i: (i + 1) % F.col("every") == 0))
+    place = info.join(F.broadcast(tiles), "t")  # one row a frame
+    place = place.withColumn("tile", F.size(F.filter("cuts", lambda c: c < F.col("cz")))).select("t", "label", "area", "cz", "tile")
+    place = materialize(place, "tiles")
+    columns = ["t", "tile", "label", "y", "x", "area", "cz"]
+    kinds = dict(place.dtypes)
+    schema = f"t {kinds['t']}, label {kinds['label']}"
+    rows = flat.where("y IS NOT NULL AND x IS NOT NULL").join(place, ["t", "label"]).select(*columns)
+    # a tile is much work for few bytes, so small partitions are not put together
+    parts = int(voxels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = rows.withColumns({"asks": F.lit(True), "casts": F.lit(True)})
+    first = materialize(both.repartition(parts, "t", "tile").groupBy("t", "tile").applyInArrow(_cast_shadows(overlap, z_scale, z_low), schema), "shadowed")
+    rest = materialize(place.join(first, ["t", "label"], "left_anti"), "open")
+    asks = rows.join(rest, ["t", "label"], "left_semi").select(*columns, F.lit(True).alias("asks"), F.lit(False).alias("casts"))
+    below = rows.withColumns({"tile": F.col("tile") + 1, "asks": F.lit(False), "casts": F.lit(True)})
+    below = below.join(rest.select("t", "tile").distinct(), ["t", "tile"], "left_semi")
+    second = asks.unionByName(below).repartition(parts, "t", "tile").groupBy("t", "tile").applyInArrow(_cast_shadows(overlap, z_scale, z_low), schema)
+    second = materialize(second, "shadowed")
+    rest = rest.join(second, ["t", "label"], "left_anti")
+    # the others in full, by pixel
+    mine = flat.join(rest.select("t", "label"), ["t", "label"])
+    meet = mine.join(flat.select("t", "y", "x", F.col("label").alias("other")), ["t", "y", "x"]).where("label <> other")
+    shared = meet.groupBy("t", "label", "other").agg(F.count("*").alias("n"))
     o = info.select("t", F.col("label").alias("other"), F.col("cz").alias("oz"))
     dz = (F.col("oz") - F.col("cz")) * z_scale
-    hit = shared.join(info, ["t", "label"]).join(o, ["t", "other"]).where((F.col("n") / F.col("area") >= overlap) & (dz < 0) & (dz >= z_low))
-    return hit.select("t", "label").distinct()
+    hit = shared.join(rest, ["t", "label"]).join(o, ["t", "other"]).where((F.col("n") / F.col("area") >= overlap) & (dz < 0) & (dz >= z_low))
+    return first.unionByName(second).unionByName(hit.select("t", "label").distinct())
+
+
+def _cast_shadows(overlap: float, z_scale: float, z_low: float):
+    """The labels of a tile that ask and lie below one that casts; voxels are paired by pixel, ``PAIRS`` at a time."""
+
+    def run(table: pa.Table) -> pa.Table:
+        col = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+        labels, first, code = np.unique(col("label"), return_index=True, return_inverse=True)
+        area, cz = col("area")[first], col("cz")[first]
+        _, y = np.unique(col("y"), return_inverse=True)
+        _, x = np.unique(col("x"), return_inverse=True)
+        pixel = y.astype(np.int64) * (int(x.max(initial=0)) + 1) + x
+        asks, casts = col("asks").astype(bool), col("casts").astype(bool)
+        order = np.argsort(pixel[casts], kind="stable")
+        where, who = pixel[casts][order], code[casts][order]
+        mine, at = code[asks], pixel[asks]
+        begin, end = np.searchsorted(where, at, "left"), np.searchsorted(where, at, "right")
+        order = np.argsort(mine, kind="stable")
+        mine, begin, many = mine[order], begin[order], (end - begin)[order]
+        # whole labels at a time
+        edges = np.flatnonzero(np.append(True, np.diff(mine) != 0)) if len(mine) else np.zeros(0, int)
+        edges = np.append(edges, len(mine))
+        total = np.append(0, np.cumsum(many))
+        found, i = [], 0
+        while i < len(edges) - 1:
+            j = i + 1
+            while j < len(edges) - 1 and total[edges[j + 1]] - total[edges[i]] <= PAIRS:
+                j += 1
+            a, b = edges[i], edges[j]
+            n = many[a:b]
+            step = np.arange(total[b] - total[a]) - np.repeat(total[a:b] - total[a], n)
+            left, right = np.repeat(mine[a:b], n), who[np.repeat(begin[a:b], n) + step]
+            pair, count = np.unique(left * len(labels) + right, return_counts=True)
+            left, right = pair // len(labels), pair % len(labels)
+            dz = (cz[right] - cz[left]) * z_scale
+            found.append(np.unique(left[(left != right) & (count / area[left] >= overlap) & (dz < 0) & (dz >= z_low)]))
+            i = j
+        got = first[np.concatenate(found)] if found else np.zeros(0, np.int64)
+        return table.select(["t", "label"]).take(pa.array(got))
+
+    return run
 
 
 def mask_quality(voxels: DataFrame, least_volume: float | None = 5, overlap: float | None = 0.5, eccentricity: float | None = None, surface: float | None = None) -> DataFrame:

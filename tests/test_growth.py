@@ -32,3 +32,22 @@ def test_windows_of_tracks_are_not_copied(spark):
                 want[k, s, tau] = (pytest.approx(sum(d) / len(d)), len(d))
     assert {(r.track_id, r.start_idx, r.tau): (r.msd, r.n_obs) for r in out.collect()} == want
     assert M.sliding_msd(df, 1, 2, 9).count() == 0
+
+
+def test_shadows_of_many_tiles(spark, monkeypatch):
+    from orbitrace.operators import regions as V
+
+    monkeypatch.setattr(V, "TILE", 20)
+    monkeypatch.setattr(V, "PAIRS", 500)
+    rng = np.random.default_rng(4)
+    rows = [(int(t), float(rng.integers(0, 60)), int(y), int(x), int(k)) for t, k, y, x in zip(rng.integers(0, 2, 4000), rng.integers(0, 120, 4000), rng.integers(0, 12, 4000), rng.integers(0, 12, 4000), strict=True)]
+    df = spark.createDataFrame(rows, "t int, z double, y int, x int, label int")
+    flat, depth = defaultdict(set), defaultdict(list)
+    for t, z, y, x, k in rows:
+        if k > 0:
+            flat[t, k].add((y, x))
+            depth[t, k].append(z)
+    mean = {k: sum(v) / len(v) for k, v in depth.items()}
+    want = {a for a in flat for b in flat if a[0] == b[0] and a != b and len(flat[a] & flat[b]) / len(flat[a]) >= 0.3 and -10 <= mean[b] - mean[a] < 0}
+    got = [(r.t, r.label) for r in V.shadowed_labels(df, 0.3, 1.0, -10.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 10 < len(want) < len(flat) - 10
