@@ -51,3 +51,23 @@ def test_shadows_of_many_tiles(spark, monkeypatch):
     want = {a for a in flat for b in flat if a[0] == b[0] and a != b and len(flat[a] & flat[b]) / len(flat[a]) >= 0.3 and -10 <= mean[b] - mean[a] < 0}
     got = [(r.t, r.label) for r in V.shadowed_labels(df, 0.3, 1.0, -10.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want and 10 < len(want) < len(flat) - 10
+
+
+def test_overlap_of_clusters_writes_no_member_pairs(spark, monkeypatch):
+    from orbitrace.operators import clusters as K
+
+    monkeypatch.setattr(K, "radius_pairs", None)  # member pairs as rows
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(300, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    rows = [(i % 3, i % 7, i, *map(float, u)) for i, u in enumerate(p)]
+    members = spark.createDataFrame(rows, "t int, cluster_id int, track_id int, ux double, uy double, uz double")
+    asked = [(s, a, t, b) for s, t in ((0, 1), (0, 2)) for a in range(7) for b in range(0, 7, 2)]
+    got = {(r.ta, r.a, r.tb, r.b): r.sim for r in K.geometric_overlap(spark.createDataFrame(asked, "ta int, a int, tb int, b int"), members, 0.3).collect()}
+    want = {}
+    for s, a, t, b in asked:
+        one, two = (p[[r[2] for r in rows if r[0] == f and r[1] == c]] for f, c in ((s, a), (t, b)))
+        near = np.linalg.norm(one[:, None] - two[None], axis=2) <= 2 * math.sin(0.15)
+        if near.any():
+            want[s, a, t, b] = pytest.approx(min(near.any(1).mean(), near.any(0).mean()))
+    assert got == want and len(want) > 20
