@@ -170,22 +170,23 @@ def _solved(left: str, right: str, names: list[str]):
     return run
 
 
-def optimal_assignment(scores: DataFrame, left: str, right: str, score: str, place: str | None = None, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+def optimal_assignment(scores: DataFrame, left: str, right: str, score: str, place: str | None = None, local_pairs: int = LOCAL_PAIRS, group: str | None = None) -> DataFrame:
     """One-to-one pairs ``left, right, score`` of the highest total score; the scores count as multiples of the largest one over 2^30.
 
     Pairs with a null end or a score that is null, NaN or not positive never help and go; of equal pairs the best one counts.
     Ties between assignments of one total are open. Components of more than ``local_pairs`` pairs go through rounds over a
     table of prices; ``place``, a number in which near left sides are alike, then keeps those that compete in one task.
+    ``group``, a column that all pairs of a side share (a frame), saves the rounds that look for components across the table.
     """
     keep = scores.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(score) > 0) & ~F.isnan(score))
-    keep = keep.groupBy(left, right).agg(F.max(score).alias(score), *([F.first(place).cast("double").alias("__place")] if place else []))
+    keep = keep.groupBy(left, right).agg(F.max(score).alias(score), *([F.first(place).cast("double").alias("__place")] if place else []), *([F.first(group).alias("__group")] if group else []))
     keep = materialize(keep, "pairs")
     top = keep.agg(F.max(score).alias("m")).first().m
     if top is None:
         return keep.select(left, right, score)
     keep = keep.withColumn("__gain", F.greatest(F.lit(1), F.round(F.col(score) * (STEPS / float(top)))).cast("long"))
-    side = lambda c, tag: F.struct(F.lit(tag).alias("side"), F.col(c).cast("string").alias("id"))
-    parts = connected_components(keep.select(side(left, "l").alias("src"), side(right, "r").alias("dst")))
+    side = lambda c, tag: F.struct(*([F.col("__group").alias("group")] if group else []), F.lit(tag).alias("side"), F.col(c).cast("string").alias("id"))
+    parts = connected_components(keep.select(side(left, "l").alias("src"), side(right, "r").alias("dst")), block="u.group" if group else None)
     blocked = keep.withColumn("node", side(left, "l")).join(parts, "node").withColumnRenamed("component", "__block").drop("node")
     blocked = materialize(blocked, "pairs")
     sizes = blocked.groupBy("__block").agg(F.count("*").alias("n")).where(F.col("n") > local_pairs)

@@ -64,3 +64,18 @@ def test_pairs_that_never_help_go(spark):
     got = optimal_assignment(spark.createDataFrame(rows, "a long, b long, s double"), "a", "b", "s").collect()
     assert sorted(map(tuple, got)) == [(1, 2, 2.5), (2, 1, 2.9), (8, 8, 1.0)]
     assert optimal_assignment(spark.createDataFrame([], "a long, b long, s double"), "a", "b", "s").collect() == []
+
+
+def test_groups_need_no_rounds_for_components(spark, monkeypatch):
+    from orbitrace.operators import graph
+
+    steps = []
+    settle = graph._next
+    monkeypatch.setattr(graph, "_next", lambda old, new: steps.append(1) or settle(old, new))
+    # a path in each frame, dealt so that no task sees a whole one
+    rows = [(t, f"{t}:{i}", f"{t}:{j}", 1.0 + (i * 7 + j * 3 + t) % 5) for i in range(60) for t in range(4) for j in (i, i + 1)]
+    df = spark.createDataFrame(rows, "t int, a string, b string, s double").repartition(8)
+    got = optimal_assignment(df, "a", "b", "s", group="t").collect()
+    assert len(steps) == 1
+    total = sum(r.s for r in optimal_assignment(df, "a", "b", "s").collect())
+    assert len({r.a for r in got}) == len(got) == len({r.b for r in got}) and sum(r.s for r in got) == pytest.approx(total)
