@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbitrace.operators.neighbors import label_overlap
-from orbitrace.session import materialize
+from orbitrace.session import materialize, tasks_for
 
 VOXEL = ("t", "z", "y", "x")
 #: Labels of a frame that meet first in the search for shadows, the most cuts of a frame, and voxel pairs held at a time.
@@ -199,16 +198,30 @@ def dominant_label(rows: DataFrame, group, label: str = "label") -> DataFrame:
 
 
 def transfer_fluorescence(target: DataFrame, source: DataFrame, values: DataFrame) -> DataFrame:
-    """``label, fluo``: mean of the source labels' values weighted by the voxels they share with a target label."""
-    shared = label_overlap(target, source)
-    v = values.select(F.col("label").alias("other_label"), F.col("mean_fluo").alias("v"))
-    return shared.join(v, "other_label").groupBy("label").agg((F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("fluo"))
+    """``label, fluo``: mean of the source labels' values weighted by the voxels they share with a target label.
+
+    The source labels of a voxel are summed before they meet the target's, so no pair of labels becomes a row.
+    """
+    keys = ["t", "z", "y", "x"]
+    parts = tasks_for(target.count() + source.count(), target)
+    held = source.select(*keys, "label").repartition(parts, *keys).distinct().join(values.select("label", F.col("mean_fluo").alias("v")), "label")
+    # a null value still counts as a voxel
+    held = held.groupBy(*keys).agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    mine = target.select(*keys, "label").repartition(parts, *keys).distinct().join(held.hint("merge"), keys)
+    return mine.groupBy("label").agg((F.sum("v") / F.sum("n")).alias("fluo"))
 
 
 def brightest_uncovered(bright: DataFrame, masks: DataFrame, values: DataFrame, n: int, most: float) -> DataFrame:
-    """The ``n`` brightest mask labels of which at most a share ``most`` of the voxels lies under bright labels."""
-    size = masks.select("t", "z", "y", "x", "label").distinct().groupBy("label").agg(F.count("*").alias("size"))
-    covered = label_overlap(masks, bright).groupBy("label").agg(F.sum("n").alias("n")).join(size, "label").where(F.col("n") / F.col("size") > most)
+    """The ``n`` brightest mask labels of which at most a share ``most`` of the voxels lies under bright labels.
+
+    The bright labels of a voxel are counted before they meet the masks, so no pair of labels becomes a row.
+    """
+    keys = ["t", "z", "y", "x"]
+    parts = tasks_for(masks.count(), masks)
+    mine = masks.select(*keys, "label").repartition(parts, *keys).distinct()
+    held = bright.select(*keys, "label").repartition(parts, *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+    both = mine.join(held.hint("merge"), keys, "left").groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("size"))
+    covered = both.where(F.col("n") / F.col("size") > most)
     return values.join(covered, "label", "left_anti").orderBy(F.desc("mean_fluo"), "label").limit(n)
 
 

@@ -11,6 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 _written: set[str] = set()
 
 
+#: Rows that a task should hold where the number of tasks follows the number of rows.
+TASK_ROWS = 1_000_000
+
+
+def tasks_for(rows: int, df: DataFrame) -> int:
+    """Number of tasks for so many rows: the session's, or as many as keep a task near ``TASK_ROWS``, so that what one task
+    holds does not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables that the driver and every executor can reach.
 

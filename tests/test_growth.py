@@ -71,3 +71,26 @@ def test_overlap_of_clusters_writes_no_member_pairs(spark, monkeypatch):
         if near.any():
             want[s, a, t, b] = pytest.approx(min(near.any(1).mean(), near.any(0).mean()))
     assert got == want and len(want) > 20
+
+
+def test_labels_of_a_voxel_are_summed_before_they_meet(spark, monkeypatch):
+    from orbitrace.operators import regions as V
+
+    monkeypatch.setattr(V, "label_overlap", None, raising=False)  # a row for each pair of labels
+    rng = np.random.default_rng(6)
+    cells = lambda n, k: [(int(t), int(z), 0, int(x), int(i)) for t, z, x, i in zip(rng.integers(0, 2, n), rng.integers(0, 3, n), rng.integers(0, 4, n), rng.integers(0, k, n), strict=True)]
+    one, two = cells(150, 9), cells(90, 7)
+    value = {k: None if k == 3 else float(k * k) for k in range(6)}  # label 6 has no row, 3 no value
+    schema = "t int, z int, y int, x int, label int"
+    a, b = spark.createDataFrame(one, schema), spark.createDataFrame([*two, (None, 0, 0, 0, 1)], schema)
+    v = spark.createDataFrame(list(value.items()), "label int, mean_fluo double")
+    meet = [(p[4], q[4]) for p in set(one) for q in set(two) if p[:4] == q[:4]]
+    want = {}
+    for k in {p for p, q in meet if q in value}:
+        near = [value[q] for p, q in meet if p == k and q in value]
+        want[k] = pytest.approx(sum(x for x in near if x is not None) / len(near))
+    assert {r.label: r.fluo for r in V.transfer_fluorescence(a, b, v).collect()} == want and len(want) == 9
+    size, shade = ({k: sum(p[4] == k for p in rows) for k in range(9)} for rows in (set(one), [(0, 0, 0, 0, p) for p, _ in meet]))
+    most = sorted(shade[k] / size[k] for k in size)[4]
+    bright = [r.label for r in V.brightest_uncovered(b, a, spark.createDataFrame([(k, float(k)) for k in range(9)], "label int, mean_fluo double"), 4, most).collect()]
+    assert bright == sorted((k for k in size if shade[k] / size[k] <= most), reverse=True)[:4]
