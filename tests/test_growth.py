@@ -94,3 +94,16 @@ def test_labels_of_a_voxel_are_summed_before_they_meet(spark, monkeypatch):
     most = sorted(shade[k] / size[k] for k in size)[4]
     bright = [r.label for r in V.brightest_uncovered(b, a, spark.createDataFrame([(k, float(k)) for k in range(9)], "label int, mean_fluo double"), 4, most).collect()]
     assert bright == sorted((k for k in size if shade[k] / size[k] <= most), reverse=True)[:4]
+
+
+def test_tasks_of_an_overlap_follow_the_pairs(spark, monkeypatch):
+    from orbitrace import session
+    from orbitrace.operators.neighbors import label_overlap
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    rows = [(0, 0, 0, x, k) for x in range(3) for k in range(30)] + [(0, 0, 0, None, 1)]
+    df = spark.createDataFrame(rows, "t int, z int, y int, x int, label int")
+    out = label_overlap(df, df)
+    assert out.rdd.getNumPartitions() == 27  # 3 voxels of 30 by 30 labels
+    assert {(r.label, r.other_label): r.n for r in out.collect()} == {(i, j): 3 for i in range(30) for j in range(30)}
+    assert label_overlap(df.where("label > 99"), df).count() == 0
