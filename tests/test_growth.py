@@ -107,3 +107,26 @@ def test_tasks_of_an_overlap_follow_the_pairs(spark, monkeypatch):
     assert out.rdd.getNumPartitions() == 27  # 3 voxels of 30 by 30 labels
     assert {(r.label, r.other_label): r.n for r in out.collect()} == {(i, j): 3 for i in range(30) for j in range(30)}
     assert label_overlap(df.where("label > 99"), df).count() == 0
+
+
+def test_nearest_pairs_over_gaps_are_taken_without_writing_all(spark, monkeypatch):
+    from orbitrace.operators import clusters as K
+
+    rng = np.random.default_rng(7)
+    segs = [(k, int(s), int(s + n), *map(float, rng.integers(0, 9, 6))) for k, (s, n) in enumerate(zip(rng.integers(0, 12, 120), rng.integers(0, 4, 120), strict=True))]
+    pairs = [(math.dist(a[6:], b[3:6]), a[0], b[0], b[1]) for a in segs for b in segs if a[0] != b[0] and 1 <= b[1] - a[2] <= 3]
+    want, lefts, rights = set(), set(), set()
+    for d, a, b, t in sorted(p for p in pairs if p[0] <= 4):
+        if a not in lefts and b not in rights:
+            want.add((t, a, b, round(d, 9)))
+            lefts.add(a)
+            rights.add(b)
+    df = spark.createDataFrame(segs, "seg long, t_start int, t_end int, sx double, sy double, sz double, ex double, ey double, ez double")
+    given = []
+    greedy = K.greedy_assignment
+    monkeypatch.setattr(K, "greedy_assignment", lambda scores, *a: given.append(scores.count()) or greedy(scores, *a))
+    for bound in (K.LOCAL_PAIRS, 1000):  # rounds down to 10 open rows
+        monkeypatch.setattr(K, "LOCAL_PAIRS", bound)
+        got = {(r.t_start, r.seg, r.n_seg, round(r.distance, 9)) for r in K.gap_links(df, 2, 4.0).collect()}
+        assert got == want and len(want) > 20
+    assert given[0] == sum(p[0] <= 4 for p in pairs) and given[1] < given[0] / 4
