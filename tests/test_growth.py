@@ -130,3 +130,25 @@ def test_nearest_pairs_over_gaps_are_taken_without_writing_all(spark, monkeypatc
         got = {(r.t_start, r.seg, r.n_seg, round(r.distance, 9)) for r in K.gap_links(df, 2, 4.0).collect()}
         assert got == want and len(want) > 20
     assert given[0] == sum(p[0] <= 4 for p in pairs) and given[1] < given[0] / 4
+
+
+def test_steps_are_sent_to_few_blocks(spark, monkeypatch):
+    from orbitrace.operators import fields as D
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 3))
+    u = (math.sin(0.3) * math.cos(0.2), math.sin(0.3) * math.sin(0.2), math.cos(0.3))
+    rows = [(1, k, 0.0, 0.3, 0.2, *u, *map(float, p)) for k, p in enumerate(v)]
+    df = spark.createDataFrame(rows, "track_id long, t int, mid_time double, theta double, phi double, ux double, uy double, uz double, vx double, vy double, vz double")
+    written = {}
+    write = D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    monkeypatch.setattr(D, "PAIR_ROWS", 8)
+    got = D.misalignment_entropy(df, 1, 0.6, 10.0, 10.0)
+    h = v / np.linalg.norm(v, axis=1)[:, None]
+    i, j = np.triu_indices(60, 1)
+    p = np.bincount(np.minimum((np.arccos((h @ h.T)[i, j]) * 36 / math.pi).astype(int), 35)) / len(i)
+    want = -np.sum(p[p > 0] * np.log(p[p > 0])) / math.log(36)
+    out = got.where("t_idx = 0").collect()
+    assert len(out) >= 1 and all(r.entropy == pytest.approx(want) for r in out)
+    assert written["blocks"].count() == len(out)  # one block a pixel, so no step is copied
