@@ -4,59 +4,99 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orbitrace.operators.blocks import points
 from orbitrace.operators.neighbors import nearest
 from orbitrace.operators.tracks import AXES
+from orbitrace.session import materialize
 
 #: Local fits that are made at a time.
 FIT_ROWS = 64
 
 
+def _with_ends(tracks: DataFrame, lags) -> DataFrame:
+    """``track_id, t, x, y, z`` and the places ``e<lag><axis>`` of the track ``lag`` frames later, null where it is not there."""
+    slim = materialize(tracks.select("track_id", "t", *AXES), "tracks")
+    out = slim
+    for lag in lags:
+        end = slim.select("track_id", (F.col("t") - lag).alias("t"), *(F.col(a).alias(f"e{lag}{a}") for a in AXES))
+        out = out.join(end, ["track_id", "t"], "left")
+    return out
+
+
 def cage_relative_msd(tracks: DataFrame, k: int, radius: float, lags=(1, 2, 4), least: int = 3) -> DataFrame:
     """``lag, msd, n``: squared displacement of a cell after the mean displacement of its ``k`` nearest cells is taken off.
 
-    Neighbours are those at the start; cells with fewer than ``least`` neighbours that are still there are left out.
+    Neighbours are those at the start; cells with fewer than ``least`` neighbours that are still there are left out. A cell goes
+    to its neighbours with its later places, and one squared displacement a lag is what leaves a task.
+    """
+    ends = [[f"e{lag}{a}" for a in AXES] for lag in lags]
+
+    def fold(mine, near):
+        own, other = points(mine, AXES), points(near, AXES)
+        moves = [(points(mine, e) - own, points(near, e) - other) for e in ends]
+
+        def squares(rows, picked):
+            for moved, around in moves:
+                there = (picked >= 0) & ~np.isnan(around[picked]).any(axis=2)
+                n = there.sum(axis=1)
+                cage = np.where(there[..., None], around[picked], 0.0).sum(axis=1) / np.maximum(n, 1)[:, None]
+                yield np.where(n >= least, ((moved[rows] - cage) ** 2).sum(axis=1), np.nan)
+
+        return squares
+
+    slim = materialize(_with_ends(tracks, lags), "ends")
+    near = nearest(slim, slim, k, radius, "track_id", include_self=False, carry=[c for e in ends for c in e], fold=([f"d{lag}" for lag in lags], fold))
+    each = near.select(F.explode(F.array(*(F.struct(F.lit(lag).alias("lag"), F.col(f"d{lag}").alias("d2")) for lag in lags))).alias("x")).select("x.*")
+    return each.where("d2 IS NOT NULL").groupBy("lag").agg(F.avg("d2").alias("msd"), F.count("*").alias("n"))
+
+
+#: Sums over a cell's neighbours: their number, sums of b.b, a a^T and a b^T, and the mean displacement.
+CAGE = ["n", "bb", *(f"g{q}{r}" for i, q in enumerate(AXES) for r in AXES[i:]), *(f"m{q}{r}" for q in AXES for r in AXES), *(f"c{a}" for a in AXES)]
+
+
+def _cage_sums(ends: list[str]):
+    """The columns ``CAGE`` as a fold of nearest rows, with offsets ``a`` at the start and ``b`` at the places ``ends``.
+
+    Neighbours without a place there, and all of a cell without one, are left out.
     """
-    slim = tracks.select("track_id", "t", *AXES)
-    near = nearest(slim, slim, k, radius, "track_id", include_self=False).select("t", "track_id", "n_track_id")
-    lagged = slim.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("t1", F.col("t") + F.col("lag"))
-    end = slim.select("track_id", F.col("t").alias("t1"), *(F.col(a).alias(f"e{a}") for a in AXES))
-    moved = lagged.join(end, ["track_id", "t1"]).select("track_id", "t", "lag", *((F.col(f"e{a}") - F.col(a)).alias(f"d{a}") for a in AXES))
-    other = moved.select(F.col("track_id").alias("n_track_id"), "t", "lag", *(F.col(f"d{a}").alias(f"n{a}") for a in AXES))
-    pairs = near.join(other, ["t", "n_track_id"])
-    cage = pairs.groupBy("t", "track_id", "lag").agg(*(F.avg(f"n{a}").alias(f"c{a}") for a in AXES), F.count("*").alias("found")).where(F.col("found") >= least)
-    rel = moved.join(cage, ["t", "track_id", "lag"])
-    d2 = sum(((F.col(f"d{a}") - F.col(f"c{a}")) ** 2 for a in AXES), F.lit(0.0))
-    return rel.groupBy("lag").agg(F.avg(d2).alias("msd"), F.count("*").alias("n"))
+
+    def fold(mine, near):
+        own, other, own_end, other_end = points(mine, AXES), points(near, AXES), points(mine, ends), points(near, ends)
+
+        def sums(rows, picked):
+            there = (picked >= 0) & ~np.isnan(other_end[picked]).any(axis=2) & ~np.isnan(own_end[rows]).any(axis=1)[:, None]
+            n, kept = there.sum(axis=1), there[..., None]
+            a = np.where(kept, other[picked] - own[rows, None], 0.0)
+            b = np.where(kept, other_end[picked] - own_end[rows, None], 0.0)
+            moved = np.where(kept, other_end[picked] - other[picked], 0.0).sum(axis=1) / np.maximum(n, 1)[:, None]
+            g, m = np.einsum("nki,nkj->nij", a, a), np.einsum("nki,nkj->nij", a, b)
+            return [n, (b * b).sum(axis=(1, 2)), *(g[:, i, j] for i in range(3) for j in range(i, 3)), *(m[:, i, j] for i in range(3) for j in range(3)), *moved.T]
+
+        return sums
+
+    return CAGE, fold
 
 
 def d2min(tracks: DataFrame, k: int, radius: float, lag: int = 1, least: int = 4) -> DataFrame:
     """``track_id, t, d2min``: mean squared part of the neighbours' relative motion that no affine map explains.
 
     With neighbour offsets ``a`` and later offsets ``b``, the best map has the residual
-    ``(sum b.b - trace(B^T G^-1 B)) / n`` for ``G = sum a a^T`` and ``B = sum a b^T``: one aggregation per cell and a closed
-    3 by 3 inverse. A flat neighbourhood (singular G) or fewer than ``least`` neighbours gives null.
+    ``(sum b.b - trace(B^T G^-1 B)) / n`` for ``G = sum a a^T`` and ``B = sum a b^T``: these sums leave the task that finds the
+    neighbours, one row a cell, and a closed 3 by 3 inverse follows. A flat neighbourhood (singular G) or fewer than ``least``
+    neighbours gives null.
     """
-    slim = tracks.select("track_id", "t", *AXES)
-    near = nearest(slim, slim, k, radius, "track_id", include_self=False).select("t", "track_id", "n_track_id", *((F.col(f"n_{a}") - F.col(a)).alias(f"a{a}") for a in AXES))
-    end = slim.select("track_id", (F.col("t") - lag).alias("t"), *(F.col(a).alias(f"e{a}") for a in AXES))
-    other = end.select(F.col("track_id").alias("n_track_id"), "t", *(F.col(f"e{a}").alias(f"f{a}") for a in AXES))
-    p = near.join(end, ["t", "track_id"]).join(other, ["t", "n_track_id"]).withColumns({f"b{a}": F.col(f"f{a}") - F.col(f"e{a}") for a in AXES})
-    return _residual(p, ["track_id", "t"], least).select("track_id", "t", "d2min")
-
+    ends = [f"e{lag}{a}" for a in AXES]
+    slim = materialize(_with_ends(tracks, [lag]), "ends")
+    sums = nearest(slim, slim, k, radius, "track_id", include_self=False, carry=ends, fold=_cage_sums(ends))
+    return _residual(sums.where("n > 0"), least).select("track_id", "t", "d2min")
 
-def _residual(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``keys, n, d2min`` from neighbour offsets ``a*`` and later offsets ``b*``; a flat neighbourhood gives null.
 
-    The sums ``g*`` (of a a^T) and ``m*`` (of a b^T) and ``bb`` are kept.
-    """
-    sums = [F.count("*").alias("n"), F.sum(sum((F.col(f"b{a}") ** 2 for a in AXES), F.lit(0.0))).alias("bb")]
-    for i, q in enumerate(AXES):
-        sums += [F.sum(F.col(f"a{q}") * F.col(f"a{r}")).alias(f"g{q}{r}") for r in AXES[i:]]
-        sums += [F.sum(F.col(f"a{q}") * F.col(f"b{r}")).alias(f"m{q}{r}") for r in AXES]
-    s = pairs.groupBy(*keys).agg(*sums)
+def _residual(s: DataFrame, least: int) -> DataFrame:
+    """``s`` with ``d2min`` from its sums ``CAGE``; a flat neighbourhood gives null."""
     kept = s.columns
     g = lambda q, r: F.col("g" + "".join(sorted((q, r))))
     cof = {}
@@ -73,7 +113,6 @@ def _residual(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 def _flat_residual(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, d2min`` of neighbourhoods with a singular sum, by its pseudo-inverse (the map of least norm)."""
-    import numpy as np
     import pandas as pd
 
     def solve(batches):
@@ -102,7 +141,6 @@ def material_fields(
     from orbitrace.functions.healpix import npix
     from orbitrace.operators.fields import spread_to_pixels
     from orbitrace.operators.stats import exact_quantiles
-    from orbitrace.session import materialize
 
     middle = exact_quantiles(steps, "dt", [0.5])
     tau = [short * middle[0], long * middle[0]] if middle else [0.0, 0.0]
@@ -112,16 +150,12 @@ def material_fields(
     rows = spread.select("place", F.struct("track_id", "t").alias("step"), "dt", "w", *(F.col(f"{a}0").alias(a) for a in AXES), *(F.col(a).alias(f"e{a}") for a in AXES))
     rows = materialize(rows, "cages")
     slim = rows.select("place", "step", *AXES, *(f"e{a}" for a in AXES))
-    near = nearest(slim, slim, k, 50.0, "step", frame="place", include_self=False)
-    pairs = near.select(
-        "place", "step", *((F.col(f"n_{a}") - F.col(a)).alias(f"a{a}") for a in AXES), *((F.col(f"n_e{a}") - F.col(f"e{a}")).alias(f"b{a}") for a in AXES),
-        *((F.col(f"n_e{a}") - F.col(f"n_{a}")).alias(f"o{a}") for a in AXES),
-    )
+    ends = [f"e{a}" for a in AXES]
+    sums = nearest(slim, slim, k, 50.0, "step", frame="place", include_self=False, carry=ends, fold=_cage_sums(ends))
     keys = ["place", "step"]
-    fit = materialize(_residual(pairs, keys, least), "fit")
+    fit = materialize(_residual(sums, least), "fit")
     full = fit.where("d2min IS NOT NULL").select(*keys, "d2min").unionByName(_flat_residual(fit.where(f"d2min IS NULL AND n >= {least}").drop("d2min"), keys))
-    cage = pairs.groupBy(*keys).agg(*(F.avg(f"o{a}").alias(f"c{a}") for a in AXES))
-    per = rows.join(full, keys, "left").join(cage, keys, "left")
+    per = rows.join(full, keys, "left").join(fit.select(*keys, *(f"c{a}" for a in AXES)), keys, "left")
     rel = sum(((F.col(f"e{a}") - F.col(a) - F.col(f"c{a}")) ** 2 for a in AXES), F.lit(0.0))
     mean = {}
     for name, mask in (("short", F.col("dt") <= tau[0]), ("long", F.col("dt") >= tau[1])):
@@ -145,7 +179,6 @@ def lowess_threshold(series: DataFrame, group: str, order: str, value: str, shar
     ``FIT_ROWS`` at a time, and memory is that many windows. Null values are dropped places; a group of fewer than two
     values has a null trend; an empty table gives none.
     """
-    import numpy as np
     import pandas as pd
 
     def fits(xs, ys, trust, start, n):

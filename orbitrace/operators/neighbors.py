@@ -56,7 +56,7 @@ def angular_pairs(units: DataFrame, angle, frame: str = "t", axes=("ux", "uy", "
     return radius_pairs(units, units, chord(angle), frame, axes).where(F.col(key) != F.col(f"n_{key}"))
 
 
-def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, frame: str = "t", axes=AXES, include_self: bool = True, rounds: int = 60) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str, frame: str = "t", axes=AXES, include_self: bool = True, rounds: int = 60, carry=(), fold=None) -> DataFrame:
     """The ``k`` nearest rows of a frame for each left row, with ``distance`` and ``rank`` (1 first; ties by ``n_key``).
 
     A search in rings of cells. The first reach follows each frame's density (``radius`` is only the edge of the cells it is
@@ -65,12 +65,13 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
     rows only those in cells around them are sent; a row stops at the first reach that holds its ``k``, so no row meets its
     whole frame unless the reach has to cover it. Rows meet in blocks, and the ``k`` nearest alone leave a task, so no pair is written;
     the other columns are joined at the end. Rows with a null, NaN or infinite coordinate, or without a frame, take no part.
+    With ``carry`` and ``fold`` (see ``near_first``) what leaves a task is one row for a left row, and nothing is joined.
     """
     wanted = k + (0 if include_self else 1)
     told = F.col(frame).isNotNull()
     for a in axes:
         told = told & F.col(a).isNotNull() & (F.abs(a) < float("inf")) & ~F.isnan(a)
-    near = materialize(right.select(frame, key, *axes).where(told), "points")
+    near = materialize(right.select(frame, key, *axes, *carry).where(told), "points")
     have = near.groupBy(frame).agg(F.count("*").alias("__have"), *(F.min(a).alias(f"__min{a}") for a in axes), *(F.max(a).alias(f"__max{a}") for a in axes))
     cells = _cells(near, float(radius), axes).groupBy(frame, *(f"__c{a}" for a in axes)).agg(F.count("*").alias("m"))
     # a row's own cell holds sum m^2 / sum m rows on average; about 2.5 times as many lie within one edge of it on a surface
@@ -80,7 +81,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
     first = F.least(float(radius) * F.sqrt(F.lit(2.0 * wanted) / (2.5 * F.col("__own"))), 2 * extent)
     first = F.when(F.col("__have") <= SMALL_FRAME, 2 * extent).otherwise(first)
     shape = materialize(have.join(crowd, frame).select(frame, "__have", first.alias("__first")), "frames")
-    todo = left.select(frame, key, *axes).where(told).join(shape, frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))).drop("__have")
+    todo = left.select(frame, key, *axes, *carry).where(told).join(shape, frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))).drop("__have")
     todo = materialize(todo, "todo")
 
     done = None
@@ -92,7 +93,7 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
             asked = _cells(todo.withColumn("__reach", reach), F.col("__reach"), axes).select(frame, *cells_).distinct().withColumn("__o", F.explode(_offsets(1, axes)))
             asked = asked.select(frame, *((F.col(f"__c{a}") + F.col(f"__o.{a}")).alias(f"__c{a}") for a in axes)).distinct()
             around = _cells(around, F.col("__reach"), axes).join(asked.hint("merge"), [frame, *cells_], "left_semi").drop(*cells_)
-        found = near_first(todo.withColumn("__reach", reach), around, k, F.col("__reach"), frame, key, axes, include_self, "__want", span=16)
+        found = near_first(todo.withColumn("__reach", reach), around, k, F.col("__reach"), frame, key, axes, include_self, "__want", span=16, carry=carry, fold=fold)
         found = materialize(found, "near")
         done = found if done is None else done.unionByName(found)
         # a row whose only candidate was itself has no rank, and looks again until its frame is covered
@@ -100,6 +101,8 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
         todo = materialize(rest.where((F.col("__want") > 1) | F.lit(include_self)), "todo")
         if not todo.limit(1).count():
             break
+    if fold:
+        return done
     out = done.join(left, [frame, key])
     other = right.select(F.col(frame), *(F.col(c).alias(f"n_{c}") for c in right.columns))
     if set(right.columns) <= {frame, key}:

@@ -73,3 +73,25 @@ def test_sliding_trend_is_that_of_all_distances(spark, monkeypatch):
             x, y = (np.array([r[k] for r in rows if r[0] == g], float) for k in (1, 2))
             got = {r.t: r.trend for r in out if r.g == g}
             assert np.allclose([got[int(t)] for t in x], dense(x, y), atol=1e-6)
+
+
+def test_neighbours_leave_a_task_as_one_row_a_cell(spark, monkeypatch):
+    k = cloud(spark, 3, 15)
+    counts = []
+    nearest = P.nearest
+    monkeypatch.setattr(P, "nearest", lambda *a, **b: counts.append(nearest(*a, **b)) or counts[-1])
+    at = {(r.t, r.track_id): np.array([r.x, r.y, r.z]) for r in k.collect() if (r.t, r.track_id) != (1, 4)}
+    gone = k.where("NOT (t = 1 AND track_id = 4)")
+    want, lags = {}, {}
+    for (t, i), p in at.items():
+        near = [j for _, j in sorted((np.linalg.norm(q - p), j) for (s, j), q in at.items() if s == t and j != i)[:6]]
+        near = [j for j in near if (t + 1, j) in at]
+        if (t + 1, i) in at and near:
+            a, b = (np.array([at[s, j] - at[s, i] for j in near]) for s in (t, t + 1))
+            want[i, t] = pytest.approx(((b - a @ np.linalg.lstsq(a, b, rcond=None)[0]) ** 2).sum() / len(near), rel=1e-6)
+            if len(near) >= 3:
+                lags[i, t] = np.sum((at[t + 1, i] - p - np.mean([at[t + 1, j] - at[t, j] for j in near], axis=0)) ** 2)
+    assert {(r.track_id, r.t): r.d2min for r in P.d2min(gone, 6, 30.0).collect()} == want and len(want) == 28
+    out = {r.lag: (r.msd, r.n) for r in P.cage_relative_msd(gone, 6, 30.0, (1,)).collect()}
+    assert out == {1: (pytest.approx(np.mean(list(lags.values()))), len(lags))}
+    assert [c.count() for c in counts] == [len(at), len(at)]
