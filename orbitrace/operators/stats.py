@@ -233,6 +233,8 @@ def mixture(df: DataFrame, columns, k: int = 2, seed: int = 7) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    # it is read several times
+    df = materialize(df, "mixture")
     scale = df.agg(*(F.avg(c).alias(f"m_{c}") for c in columns)).first()
     centered = df.select("*", *((F.col(c) - scale[f"m_{c}"]).alias(f"__{c}") for c in columns))
     # a scale only: the rank is right to one part in ten thousand, and one pass does for all columns

@@ -152,3 +152,14 @@ def test_steps_are_sent_to_few_blocks(spark, monkeypatch):
     out = got.where("t_idx = 0").collect()
     assert len(out) >= 1 and all(r.entropy == pytest.approx(want) for r in out)
     assert written["blocks"].count() == len(out)  # one block a pixel, so no step is copied
+
+
+def test_mixture_works_its_rows_out_once(spark):
+    from orbitrace.operators import stats as S
+
+    df = spark.createDataFrame([(i % 20, float(i % 7 + 50 * (i % 2)), float(i % 5)) for i in range(400)], "k int, a double, b double")
+    df = df.groupBy("k").agg(F.avg("a").alias("a"), F.avg("b").alias("b"))
+    out = S.mixture(df, ["a", "b"])
+    assert "Aggregate" not in plan(out)
+    rows = out.collect()
+    assert {r.k for r in rows} == set(range(20)) and all(sum(r.probability) == pytest.approx(1) for r in rows)
