@@ -163,3 +163,13 @@ def test_mixture_works_its_rows_out_once(spark):
     assert "Aggregate" not in plan(out)
     rows = out.collect()
     assert {r.k for r in rows} == set(range(20)) and all(sum(r.probability) == pytest.approx(1) for r in rows)
+
+
+def test_duplicates_are_sought_in_blocks(spark, monkeypatch):
+    from orbitrace.operators import lineage as L
+
+    monkeypatch.setattr(L, "radius_pairs", None, raising=False)  # rows copied to the cells around them
+    rows = [(k, t, 10.0 * (k % 4) + 0.1 * t + (1.0 if k > 3 else 0.0), -5.0 * k % 20, 0.0) for k in range(8) for t in range(6)] + [(None, 0, 0.0, 0.0, 0.0), (9, 0, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "track_id long, t int, x double, y double, z double")
+    got = {(r.track_id, r.t): r.n_fused for r in L.fuse_duplicates(df, 2.0).collect()}
+    assert got == {(k, t): 2 for k in range(4) for t in range(6)} | {(None, 0): 1, (9, 0): 1}
