@@ -173,3 +173,20 @@ def test_duplicates_are_sought_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "track_id long, t int, x double, y double, z double")
     got = {(r.track_id, r.t): r.n_fused for r in L.fuse_duplicates(df, 2.0).collect()}
     assert got == {(k, t): 2 for k in range(4) for t in range(6)} | {(None, 0): 1, (9, 0): 1}
+
+
+def test_sequential_pairs_are_counted_before_they_are_made(spark):
+    from collections import Counter
+
+    from orbitrace.operators import stats as S
+
+    rng = np.random.default_rng(9)
+    rows = [(k, None if k % 9 == 0 else k % 4, "ab"[k % 2], int(a)) for k, a in enumerate(rng.integers(0, 15, 60))] + [(None, 1, "a", 3), (70, 1, None, 3), (71, 1, "a", None), (5, 2, "b", 4)]
+    df = spark.createDataFrame(rows, "k long, e int, c string, age int")
+    out = S.sequential_pairs(df, "e", "c", "age", 3.0, "k", 0.25)
+    assert "Window" not in plan(out)  # no pair is shuffled
+    pairs = [(a, b, None if e is None or f is None else e == f, abs(s - t) / 3) for a, e, c, s in rows for b, f, d, t in rows if None not in (a, b, c, d, s, t) and c == d and a != b and abs(s - t) <= 3]
+    n = Counter((a, own) for a, _, own, _ in pairs)
+    want = Counter((a, b, own, round((0.25 if own else 0.75) / n[a, own], 9), round(apart, 9)) for a, b, own, apart in pairs)
+    assert Counter((r.k, r.n_key, r.is_self, round(r.weight, 9), round(r.penalty, 9)) for r in out.collect()) == want
+    assert S.sequential_pairs(df.where("k > 99"), "e", "c", "age", 3.0, "k").count() == 0
