@@ -190,3 +190,19 @@ def test_sequential_pairs_are_counted_before_they_are_made(spark):
     want = Counter((a, b, own, round((0.25 if own else 0.75) / n[a, own], 9), round(apart, 9)) for a, b, own, apart in pairs)
     assert Counter((r.k, r.n_key, r.is_self, round(r.weight, 9), round(r.penalty, 9)) for r in out.collect()) == want
     assert S.sequential_pairs(df.where("k > 99"), "e", "c", "age", 3.0, "k").count() == 0
+
+
+def test_radius_pairs_of_all_cells_meet_in_blocks(spark, monkeypatch):
+    from orbitrace.operators import neighbors as N
+    from orbitrace.plans.all_queries import QUERIES
+    from orbitrace.sources.testviews import tracks
+
+    sf = "/root/testdata/sf0.01"
+    monkeypatch.setattr(N, "radius_pairs", None)  # rows copied to the cells around them
+    frames = defaultdict(list)
+    for r in tracks(spark, sf).collect():
+        frames[r.t].append((r.track_id, (r.x, r.y, r.z)))
+    want = {(a, t, b): pytest.approx(math.dist(p, q), abs=6e-7) for t, rows in frames.items() for a, p in rows for b, q in rows if math.dist(p, q) <= 75}
+    got = QUERIES["c06_radius_pairs"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.track_id, r.t, r.n_track_id): r.distance for r in got} == want
+    assert all(round(r.distance, 6) == r.distance for r in got) and any(r.track_id != r.n_track_id for r in got)
