@@ -81,6 +81,27 @@ def _cage_sums(ends: list[str]):
     return CAGE, fold
 
 
+def _cage_motion(ends: list[str], least: int, keep: list[str]):
+    """The columns ``keep``, the squared displacement about the cage's mean ``rel`` and ``d2min`` as a fold of nearest rows."""
+    names, sums = _cage_sums(ends)
+    upper = {tuple(sorted(c[1:])): i for i, c in enumerate(names) if c[0] == "g"}
+
+    def fold(mine, near):
+        summed, moved, kept = sums(mine, near), points(mine, ends) - points(mine, AXES), points(mine, keep)
+
+        def each(rows, picked):
+            c = summed(rows, picked)
+            n = c[0]
+            g = np.stack([c[upper[tuple(sorted((q, r)))]] for q in AXES for r in AXES], axis=1).reshape(-1, 3, 3)
+            m = np.stack([c[i] for i, name in enumerate(names) if name[0] == "m"], axis=1).reshape(-1, 3, 3)
+            rel = ((moved[rows] - np.stack(c[-3:], axis=1)) ** 2).sum(axis=1)
+            return [*kept[rows].T, np.where(n > 0, rel, np.nan), _best_map(g, m, c[1], n, least)]
+
+        return each
+
+    return [*keep, "rel", "d2min"], fold
+
+
 def d2min(tracks: DataFrame, k: int, radius: float, lag: int = 1, least: int = 4) -> DataFrame:
     """``track_id, t, d2min``: mean squared part of the neighbours' relative motion that no affine map explains.
 
@@ -92,11 +113,16 @@ def d2min(tracks: DataFrame, k: int, radius: float, lag: int = 1, least: int = 4
     ends = [f"e{lag}{a}" for a in AXES]
     slim = materialize(_with_ends(tracks, [lag]), "ends")
     sums = nearest(slim, slim, k, radius, "track_id", include_self=False, carry=ends, fold=_cage_sums(ends))
-    return _residual(sums.where("n > 0"), least).select("track_id", "t", "d2min")
+    return _residual(sums.where("n > 0"), ["track_id", "t"], least).select("track_id", "t", "d2min")
 
 
-def _residual(s: DataFrame, least: int) -> DataFrame:
-    """``s`` with ``d2min`` from its sums ``CAGE``; a flat neighbourhood gives null."""
+def _residual(s: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """``keys``, the sums ``CAGE`` and ``d2min`` from them; a flat neighbourhood gives null. ``s`` has the sums, or a row for each
+    neighbour with its offsets ``a*`` and later offsets ``b*``, which are summed first."""
+    if "n" not in s.columns:
+        products = {f"g{q}{r}": F.col(f"a{q}") * F.col(f"a{r}") for i, q in enumerate(AXES) for r in AXES[i:]} | {f"m{q}{r}": F.col(f"a{q}") * F.col(f"b{r}") for q in AXES for r in AXES}
+        products |= {"bb": sum((F.col(f"b{a}") ** 2 for a in AXES), F.lit(0.0))}
+        s = s.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(c).alias(name) for name, c in products.items()))
     kept = s.columns
     g = lambda q, r: F.col("g" + "".join(sorted((q, r))))
     cof = {}
@@ -111,6 +137,26 @@ def _residual(s: DataFrame, least: int) -> DataFrame:
     return s.select(*kept, F.when(good, F.greatest(F.col("bb") - explained, F.lit(0.0)) / F.col("n")).alias("d2min"))
 
 
+def _least_norm(g: np.ndarray, m: np.ndarray, bb: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mean squared residuals after the maps of least norm, for sums ``g`` of a a^T, ``m`` of a b^T and ``bb`` of b.b over ``n``."""
+    fit = np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ m
+    return np.maximum(bb - np.einsum("nij,nij->n", m, fit), 0) / n
+
+
+def _best_map(g: np.ndarray, m: np.ndarray, bb: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """The same after the best maps, in closed form where ``g`` is regular, and NaN for under ``least`` neighbours."""
+    cof = np.stack([np.cross(g[:, 1], g[:, 2]), np.cross(g[:, 2], g[:, 0]), np.cross(g[:, 0], g[:, 1])], axis=1)
+    det = (g[:, 0] * cof[:, 0]).sum(axis=1)
+    out = np.full(len(n), np.nan)
+    good = (n >= least) & (np.abs(det) > 1e-9 * g[:, 0, 0] * g[:, 1, 1] * g[:, 2, 2])
+    explained = np.einsum("nqc,nqr,nrc->n", m[good], cof[good], m[good]) / det[good]
+    out[good] = np.maximum(bb[good] - explained, 0) / n[good]
+    flat = (n >= least) & ~good
+    if flat.any():
+        out[flat] = _least_norm(g[flat], m[flat], bb[flat], n[flat])
+    return out
+
+
 def _flat_residual(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, d2min`` of neighbourhoods with a singular sum, by its pseudo-inverse (the map of least norm)."""
     import pandas as pd
@@ -119,9 +165,7 @@ def _flat_residual(rows: DataFrame, keys: list[str]) -> DataFrame:
         for pdf in batches:
             g = np.array([[pdf["g" + "".join(sorted((q, r)))] for r in AXES] for q in AXES], dtype=float).transpose(2, 0, 1)
             m = np.array([[pdf[f"m{q}{r}"] for r in AXES] for q in AXES], dtype=float).transpose(2, 0, 1)
-            fit = np.linalg.pinv(g, rcond=1e-12, hermitian=True) @ m
-            left = pdf["bb"].to_numpy() - np.einsum("nij,nij->n", m, fit)
-            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "d2min": np.maximum(left, 0) / pdf["n"].to_numpy()})
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "d2min": _least_norm(g, m, pdf["bb"].to_numpy(), pdf["n"].to_numpy())})
 
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(solve, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "d2min double"]))
@@ -147,17 +191,11 @@ def material_fields(
     # a cage is of the steps of one window, so here the windows are needed
     spread = spread_to_pixels(steps, nside, sigma, window, stride, 1e-2).withColumn("t_idx", F.explode(F.sequence("w_lo", "w_hi"))).withColumn("place", F.col("t_idx").cast("long") * npix(nside) + F.col("pix"))
     # a step is told by its track and frame
-    rows = spread.select("place", F.struct("track_id", "t").alias("step"), "dt", "w", *(F.col(f"{a}0").alias(a) for a in AXES), *(F.col(a).alias(f"e{a}") for a in AXES))
-    rows = materialize(rows, "cages")
-    slim = rows.select("place", "step", *AXES, *(f"e{a}" for a in AXES))
     ends = [f"e{a}" for a in AXES]
-    sums = nearest(slim, slim, k, 50.0, "step", frame="place", include_self=False, carry=ends, fold=_cage_sums(ends))
-    keys = ["place", "step"]
-    fit = materialize(_residual(sums, least), "fit")
-    full = fit.where("d2min IS NOT NULL").select(*keys, "d2min").unionByName(_flat_residual(fit.where(f"d2min IS NULL AND n >= {least}").drop("d2min"), keys))
-    per = rows.join(full, keys, "left").join(fit.select(*keys, *(f"c{a}" for a in AXES)), keys, "left")
-    rel = sum(((F.col(f"e{a}") - F.col(a) - F.col(f"c{a}")) ** 2 for a in AXES), F.lit(0.0))
-    mean = {}
+    rows = spread.select("place", F.struct("track_id", "t").alias("step"), "dt", "w", *(F.col(f"{a}0").alias(a) for a in AXES), *(F.col(a).alias(f"e{a}") for a in AXES))
+    # what a step adds to its place leaves the block that finds its cage, so nothing is joined
+    per = nearest(rows, rows, k, 50.0, "step", frame="place", include_self=False, carry=["dt", "w", *ends], fold=_cage_motion(ends, least, ["dt", "w"]))
+    rel, mean = F.col("rel"), {}
     for name, mask in (("short", F.col("dt") <= tau[0]), ("long", F.col("dt") >= tau[1])):
         d = F.when(mask & F.col("d2min").isNotNull(), F.col("w"))
         mean[f"rel_{name}"], mean[f"d2min_{name}"] = F.avg(F.when(mask, rel)), F.sum(d * F.col("d2min")) / F.sum(d)

@@ -81,8 +81,9 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
     first = F.least(float(radius) * F.sqrt(F.lit(2.0 * wanted) / (2.5 * F.col("__own"))), 2 * extent)
     first = F.when(F.col("__have") <= SMALL_FRAME, 2 * extent).otherwise(first)
     shape = materialize(have.join(crowd, frame).select(frame, "__have", first.alias("__first")), "frames")
-    todo = left.select(frame, key, *axes, *carry).where(told).join(shape, frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))).drop("__have")
-    todo = materialize(todo, "todo")
+    same = left is right
+    asking = lambda df: df.join(shape, frame).withColumn("__want", F.least(F.lit(wanted), F.col("__have"))).drop("__have")
+    todo = asking(near) if same else materialize(asking(left.select(frame, key, *axes, *carry).where(told)), "todo")
 
     done = None
     for step in range(rounds):
@@ -93,11 +94,16 @@ def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, key: str,
             asked = _cells(todo.withColumn("__reach", reach), F.col("__reach"), axes).select(frame, *cells_).distinct().withColumn("__o", F.explode(_offsets(1, axes)))
             asked = asked.select(frame, *((F.col(f"__c{a}") + F.col(f"__o.{a}")).alias(f"__c{a}") for a in axes)).distinct()
             around = _cells(around, F.col("__reach"), axes).join(asked.hint("merge"), [frame, *cells_], "left_semi").drop(*cells_)
-        found = near_first(todo.withColumn("__reach", reach), around, k, F.col("__reach"), frame, key, axes, include_self, "__want", span=16, carry=carry, fold=fold)
+        mine = todo.withColumn("__reach", reach)
+        found = near_first(mine, mine if same and not step else around, k, F.col("__reach"), frame, key, axes, include_self, "__want", span=16, carry=carry, fold=fold)
         found = materialize(found, "near")
-        done = found if done is None else done.unionByName(found)
+        got = found.where("__open IS NULL").drop("__open") if fold else found
+        done = got if done is None else done.unionByName(got)
         # a row whose only candidate was itself has no rank, and looks again until its frame is covered
-        rest = todo.join(found.select(frame, key).distinct(), [frame, key], "left_anti")
+        if fold and same:  # each row is in a block with itself, which tells of those that look again
+            rest = asking(found.where("__open IS NOT NULL").select(frame, key, "__open.*"))
+        else:
+            rest = todo.join(got.select(frame, key).distinct(), [frame, key], "left_anti")
         todo = materialize(rest.where((F.col("__want") > 1) | F.lit(include_self)), "todo")
         if not todo.limit(1).count():
             break

@@ -206,3 +206,34 @@ def test_radius_pairs_of_all_cells_meet_in_blocks(spark, monkeypatch):
     got = QUERIES["c06_radius_pairs"](spark, sf).collect()
     assert len(got) == len(want) and {(r.track_id, r.t, r.n_track_id): r.distance for r in got} == want
     assert all(round(r.distance, 6) == r.distance for r in got) and any(r.track_id != r.n_track_id for r in got)
+
+
+def test_listed_and_set_out_nearest_rows_are_the_same(spark, monkeypatch):
+    from orbitrace.operators import blocks as B
+
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(0, 12, (150, 3)) / 2, rng.integers(0, 12, (200, 3)) / 2  # many ties
+    want = np.linalg.norm(a[:, None] - b[None], axis=2)
+    monkeypatch.setattr(B, "PIECE", 100)
+    pairs = [(rows[p], q, d) for rows, i, j, d in B.listed(a, b, 1.5) for p, q, d in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)]
+    assert len(pairs) == (want <= 1.5).sum() > 500 and all(want[i, j] == pytest.approx(d) for i, j, d in pairs)
+    one, two = (spark.createDataFrame([(k, k % 2, *map(float, p)) for k, p in enumerate(x)], "track_id long, t int, x double, y double, z double") for x in (a, b))
+    got = []
+    for most in (B.LISTED, 0):
+        monkeypatch.setattr(B, "LISTED", most)
+        got += [sorted(map(tuple, B.near_first(left, two, 3, 1.5, include_self=own).collect())) for left, own in ((one, True), (one, False), (two, False))]
+    assert got[:3] == got[3:] and len(got[0]) > 200
+
+
+def test_cages_of_material_fields_are_not_joined(spark):
+    from orbitrace.operators import materials
+
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(30):
+        p, q = rng.normal(size=3), rng.normal(size=3)
+        u = p / np.linalg.norm(p)
+        rows.append((k, k % 5, float(3 if k % 2 else 12), 0.5, *map(float, (math.acos(u[2]), math.atan2(u[1], u[0]), *u, *p, *(p + 0.1 * q)))))
+    df = spark.createDataFrame(rows, "track_id long, t int, dt double, mid_time double, theta double, phi double, ux double, uy double, uz double, x0 double, y0 double, z0 double, x double, y double, z double")
+    out = materials.material_fields(df, 1, 2.0, 5, 10.0, 10.0)
+    assert "Join" not in plan(out) and out.count() == 12 * len({r.t_idx for r in out.collect()}) > 0
