@@ -6,15 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The open frame (names and places of its detections) and the rows of frames that are not complete.
-STATE = (
-    "last_t int, ids array<bigint>, names array<string>, xs array<double>, ys array<double>, zs array<double>, "
-    "w_ts array<bigint>, w_t array<int>, w_id array<bigint>, w_x array<double>, w_y array<double>, w_z array<double>"
-)
+from orbitrace.operators.graph import node_ranks
+
+#: The open frame (names and places of its detections) and the rows of frames that are not complete, as the bytes of arrays: a
+#: list of numbers would be made and read one number at a time in every batch.
+STATE = "last_t int, ids binary, names array<string>, places binary, waiting binary"
+#: Rows that a task packs at a time.
+PACKED = 1_000_000
+#: A row that waits.
+WAITING = np.dtype([("w_ts", "<i8"), ("w_t", "<i4"), ("w_id", "<i8"), ("w_x", "<f8"), ("w_y", "<f8"), ("w_z", "<f8")])
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,8 +53,8 @@ def link_frame(ids: list, names: list, places: np.ndarray, t: int, new_ids: list
     out = [f"{t}:{x}" for x in new_ids]
     i, j, d = near_pairs(places, new_places, radius)
     used, taken = set(), set()
-    for k in np.lexsort((np.array(new_ids, np.int64)[j], np.array(ids, np.int64)[i], d)).tolist():
-        a, b = int(i[k]), int(j[k])
+    order = np.lexsort((np.array(new_ids, np.int64)[j], np.array(ids, np.int64)[i], d))
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
         if a not in used and b not in taken:
             used.add(a)
             taken.add(b)
@@ -57,6 +62,36 @@ def link_frame(ids: list, names: list, places: np.ndarray, t: int, new_ids: list
     return out
 
 
+def _packed(key: str, time: str):
+    """A row ``key, time, rows`` for the rows of a key and time that a task holds, up to ``PACKED`` rows at a time."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        at = whole.column(time).cast(pa.int64()).to_numpy()
+        rows = np.empty(len(at), WAITING)
+        rows["w_ts"] = at // 1000
+        for c in ("t", "id", "x", "y", "z"):
+            rows[f"w_{c}"] = whole.column(c).to_numpy()
+        code = np.column_stack([node_ranks(whole.column(key)), at])
+        _, first, frame, many = np.unique(code, axis=0, return_index=True, return_inverse=True, return_counts=True)
+        parts = np.split(rows[np.argsort(frame.ravel(), kind="stable")], np.cumsum(many)[:-1])
+        take = pa.array(first)
+        return pa.RecordBatch.from_arrays([whole.column(key).take(take), whole.column(time).take(take), pa.array([x.tobytes() for x in parts], pa.binary())], names=[key, time, "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACKED:
+                yield pack(held)
+                held, n = [], 0
+        if n:
+            yield pack(held)
+
+    return run
+
+
 def link_stream(stream: DataFrame, radius: float, key: str, time: str = "ts", late: str = "0 seconds") -> DataFrame:
     """``key, t, id, track_id`` of a stream of detections ``key, t, id, x, y, z`` with the frame's event time: what
     ``link_frames`` gives for all frames of a key, as they become complete.
@@ -66,30 +101,31 @@ def link_stream(stream: DataFrame, radius: float, key: str, time: str = "ts", la
     a key holds is its open frames. All rows of a frame have one time, and times grow with the frames. Rows with a null
     in any column are left out. A frame that does not follow the one before begins all its tracks anew.
     """
-    rows = stream.select(key, time, "t", "id", "x", "y", "z").dropna().withWatermark(time, late)
     kind = dict(stream.dtypes)[key]
-    columns = ["w_ts", "w_t", "w_id", "w_x", "w_y", "w_z"]
+    rows = stream.select(key, time, "t", "id", "x", "y", "z").dropna()
+    # Spark sends a key's state again with every ten thousand of its rows, so the rows of a frame become one
+    rows = rows.mapInArrow(_packed(key, time), f"`{key}` {kind}, `{time}` timestamp, rows binary").withWatermark(time, late)
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else [-1, [], [], [], [], [], *([] for _ in columns)]
-        waiting = pd.DataFrame(dict(zip(columns, map(list, held[6:]), strict=True)))
-        parts = [waiting] if len(waiting) else []
+        last, ids, names, places, held = state.get if state.exists else (-1, b"", [], b"", b"")
+        ids, names, places = np.frombuffer(ids, np.int64).tolist(), list(names), np.frombuffer(places).reshape(-1, 3)
+        parts = [np.frombuffer(held, WAITING)]
         for pdf in frames:
-            at = pdf[time].astype("datetime64[us]").astype("int64") // 1000
-            parts.append(pd.DataFrame({"w_ts": at, "w_t": pdf["t"], "w_id": pdf["id"], "w_x": pdf["x"], "w_y": pdf["y"], "w_z": pdf["z"]}))
-        waiting = pd.concat(parts, ignore_index=True) if parts else waiting
+            parts.extend(np.frombuffer(x, WAITING) for x in pdf["rows"])
+        waiting = np.concatenate(parts)
         reached = state.getCurrentWatermarkMs()
         ready, waiting = waiting[waiting["w_ts"] <= reached], waiting[waiting["w_ts"] > reached]
-        last, ids, names, places = held[0], list(held[1]), list(held[2]), np.array(held[3:6], float).reshape(3, -1).T
+        ready = ready[np.lexsort((ready["w_id"], ready["w_t"]))]
         out = []
-        for t, frame in ready.sort_values(["w_t", "w_id"]).groupby("w_t"):
+        for frame in np.split(ready, np.flatnonzero(np.diff(ready["w_t"])) + 1) if len(ready) else ():
+            t = int(frame["w_t"][0])
             if t != last + 1:
                 ids, names, places = [], [], np.zeros((0, 3))
-            new, at = frame["w_id"].astype("int64").tolist(), frame[["w_x", "w_y", "w_z"]].to_numpy(float)
-            names = link_frame(ids, names, places, int(t), new, at, radius)
-            last, ids, places = int(t), new, at
+            new, at = frame["w_id"].tolist(), np.column_stack([frame[c] for c in ("w_x", "w_y", "w_z")])
+            names = link_frame(ids, names, places, t, new, at, radius)
+            last, ids, places = t, new, at
             out.append(pd.DataFrame({key: [name[0]] * len(new), "t": np.int32(t), "id": new, "track_id": names}))
-        state.update((last, ids, names, *places.T.tolist(), *(waiting[c].tolist() for c in columns)))
+        state.update((last, np.array(ids, np.int64).tobytes(), names, np.ascontiguousarray(places).tobytes(), waiting.tobytes()))
         if len(waiting):
             state.setTimeoutTimestamp(max(int(waiting["w_ts"].min()), reached + 1))
         yield from out

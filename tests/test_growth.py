@@ -237,3 +237,21 @@ def test_cages_of_material_fields_are_not_joined(spark):
     df = spark.createDataFrame(rows, "track_id long, t int, dt double, mid_time double, theta double, phi double, ux double, uy double, uz double, x0 double, y0 double, z0 double, x double, y double, z double")
     out = materials.material_fields(df, 1, 2.0, 5, 10.0, 10.0)
     assert "Join" not in plan(out) and out.count() == 12 * len({r.t_idx for r in out.collect()}) > 0
+
+
+def test_rows_of_a_streamed_frame_are_sent_as_one(monkeypatch):
+    import pyarrow as pa
+
+    from orbitrace.streaming import linking
+
+    assert "array<double>" not in linking.STATE  # numbers one at a time
+    rng = np.random.default_rng(12)
+    k, t = rng.integers(0, 2, 100), rng.integers(0, 3, 100)
+    cols = {"well": pa.array([f"w{i}" for i in k]), "ts": pa.array(t * 90_000_000, pa.timestamp("us", tz="UTC")), "t": pa.array(t, pa.int32()), "id": pa.array(np.arange(100))}
+    batches = pa.table(cols | {a: pa.array(np.arange(100) + 0.5) for a in "xyz"}).to_batches(max_chunksize=7)
+    for most, parts in ((linking.PACKED, 1), (50, 2)):
+        monkeypatch.setattr(linking, "PACKED", most)
+        out = list(linking._packed("well", "ts")(iter(batches)))
+        got = [(r["well"], int(x["w_ts"]), int(x["w_t"]), int(x["w_id"]), float(x["w_z"])) for b in out for r in b.to_pylist() for x in np.frombuffer(r["rows"], linking.WAITING)]
+        assert sorted(got) == sorted((f"w{a}", 90_000 * int(b), int(b), i, i + 0.5) for i, (a, b) in enumerate(zip(k, t, strict=True)))
+        assert len(out) == parts and sum(b.num_rows for b in out) == 6 * parts
