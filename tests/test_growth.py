@@ -255,3 +255,32 @@ def test_rows_of_a_streamed_frame_are_sent_as_one(monkeypatch):
         got = [(r["well"], int(x["w_ts"]), int(x["w_t"]), int(x["w_id"]), float(x["w_z"])) for b in out for r in b.to_pylist() for x in np.frombuffer(r["rows"], linking.WAITING)]
         assert sorted(got) == sorted((f"w{a}", 90_000 * int(b), int(b), i, i + 0.5) for i, (a, b) in enumerate(zip(k, t, strict=True)))
         assert len(out) == parts and sum(b.num_rows for b in out) == 6 * parts
+
+
+def test_links_of_frames_are_taken_without_writing_all_pairs(spark, monkeypatch):
+    from orbitrace.operators import clusters as K
+
+    rng = np.random.default_rng(13)
+    one, two = ([(k, k % 2, *map(float, p)) for k, p in enumerate(rng.integers(0, 60, (n, 3)) / np.array([1, 1, 20]))] for n in (400, 380))
+    schema = "id long, t int, x double, y double, z double"
+    a, b = spark.createDataFrame([*one, (500, 0, None, 0.0, 0.0), (501, None, 1.0, 1.0, 1.0)], schema), spark.createDataFrame(two, schema)
+
+    def greedy_of(left, right, radius):
+        want, lefts, rights = set(), set(), set()
+        for d, p, q, t in sorted((math.dist(p[2:], q[2:]), p[0], q[0], p[1]) for p in left for q in right if p[1] == q[1] and math.dist(p[2:], q[2:]) <= radius):
+            if (t, p) not in lefts and (t, q) not in rights:
+                want.add((t, p, q, round(d, 9)))
+                lefts.add((t, p))
+                rights.add((t, q))
+        return want
+
+    given, greedy = [], K.greedy_assignment
+    monkeypatch.setattr(K, "greedy_assignment", lambda scores, *x: given.append(scores.count()) or greedy(scores, *x))
+    for bound in (K.LOCAL_PAIRS, 3000):  # rounds down to 30 open rows
+        monkeypatch.setattr(K, "LOCAL_PAIRS", bound)
+        got = [(r.t, r.id, r.n_id, round(r.distance, 9)) for r in K.frame_assignment(a, b, 4.0, "t", "id", 2).collect()]
+        assert len(got) == len(set(got)) > 150 and set(got) == greedy_of(one, two, 4.0)
+    assert given[1] < given[0] / 4
+    again = [*one, (3, 1, 30.0, 30.0, 1.0)]  # a key twice in a frame
+    got = {(r.t, r.id, r.n_id, round(r.distance, 9)) for r in K.frame_assignment(spark.createDataFrame(again, schema), b, 4.0, "t", "id").collect()}
+    assert got == greedy_of(again, two, 4.0) and given[2] >= given[0]
