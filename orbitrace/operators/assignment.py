@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from orbitrace.operators.graph import connected_components, node_ranks
 from orbitrace.session import discard, materialize
 
-#: Pairs that a task solves at a time, and that a component may have to be solved in one task.
+#: Pairs that a task solves at a time, if they are of small components, and of a range at first.
 LOCAL_PAIRS = 200_000
+#: Pairs that a component may have to be solved in one task, which holds some 160 bytes for each.
+WHOLE_PAIRS = 3_000_000
 #: Scores are whole multiples of the largest one over this.
 STEPS = 1 << 30
 #: Pairs of a range at most, on average, however many rounds there are.
@@ -170,14 +172,16 @@ def _solved(left: str, right: str, names: list[str]):
     return run
 
 
-def optimal_assignment(scores: DataFrame, left: str, right: str, score: str, place: str | None = None, local_pairs: int = LOCAL_PAIRS, group: str | None = None) -> DataFrame:
+def optimal_assignment(scores: DataFrame, left: str, right: str, score: str, place: str | None = None, local_pairs: int | None = None, group: str | None = None) -> DataFrame:
     """One-to-one pairs ``left, right, score`` of the highest total score; the scores count as multiples of the largest one over 2^30.
 
     Pairs with a null end or a score that is null, NaN or not positive never help and go; of equal pairs the best one counts.
-    Ties between assignments of one total are open. Components of more than ``local_pairs`` pairs go through rounds over a
-    table of prices; ``place``, a number in which near left sides are alike, then keeps those that compete in one task.
-    ``group``, a column that all pairs of a side share (a frame), saves the rounds that look for components across the table.
+    Ties between assignments of one total are open. Components of more than ``local_pairs`` pairs (``WHOLE_PAIRS``) go through
+    rounds over a table of prices, which take many times as long as paths in one task; ``place``, a number in which near left sides are alike, then keeps those that compete in one task.
+    ``group``, a column that all pairs of a side share (a frame), saves the rounds that look for components across the table; a
+    group of over ``LOCAL_PAIRS`` and up to ``WHOLE_PAIRS`` pairs, which is mostly one component, is solved as it is.
     """
+    whole, local_pairs = (WHOLE_PAIRS, LOCAL_PAIRS) if local_pairs is None else (local_pairs, local_pairs)
     keep = scores.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(score) > 0) & ~F.isnan(score))
     keep = keep.groupBy(left, right).agg(F.max(score).alias(score), *([F.first(place).cast("double").alias("__place")] if place else []), *([F.first(group).alias("__group")] if group else []))
     keep = materialize(keep, "pairs")
@@ -185,18 +189,33 @@ def optimal_assignment(scores: DataFrame, left: str, right: str, score: str, pla
     if top is None:
         return keep.select(left, right, score)
     keep = keep.withColumn("__gain", F.greatest(F.lit(1), F.round(F.col(score) * (STEPS / float(top)))).cast("long"))
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [left, right, score]
+    schema = keep.select(*names).schema
+
+    def solved(blocked: DataFrame) -> DataFrame:
+        return blocked.repartition(tasks, "__block").sortWithinPartitions("__block").mapInArrow(_solved(left, right, names), schema)
+
+    done = None
+    if group:
+        # a large group that one task can solve needs no components; there is at most one for every `local_pairs` pairs
+        sizes = keep.groupBy(F.col("__group").alias("__g")).agg(F.count("*").alias("n"))
+        at_once = materialize(sizes.where((F.col("n") > local_pairs) & (F.col("n") <= whole)).select("__g"), "groups")
+        if at_once.limit(1).count():
+            same = F.col("__group").eqNullSafe(F.col("__g"))
+            done = solved(keep.join(F.broadcast(at_once), same, "left_semi").withColumn("__block", F.col("__group")))
+            keep = keep.join(F.broadcast(at_once), same, "left_anti")
+            if not keep.limit(1).count():
+                return done
     side = lambda c, tag: F.struct(*([F.col("__group").alias("group")] if group else []), F.lit(tag).alias("side"), F.col(c).cast("string").alias("id"))
     parts = connected_components(keep.select(side(left, "l").alias("src"), side(right, "r").alias("dst")), block="u.group" if group else None)
     blocked = keep.withColumn("node", side(left, "l")).join(parts, "node").withColumnRenamed("component", "__block").drop("node")
     blocked = materialize(blocked, "pairs")
-    sizes = blocked.groupBy("__block").agg(F.count("*").alias("n")).where(F.col("n") > local_pairs)
+    sizes = blocked.groupBy("__block").agg(F.count("*").alias("n")).where(F.col("n") > whole)
     crowded = materialize(sizes.select("__block"), "crowded")
-    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [left, right, score]
-    schema = blocked.select(*names).schema
     large = crowded.limit(1).count() > 0
     small = blocked.join(crowded, "__block", "left_anti") if large else blocked
-    out = small.repartition(tasks, "__block").sortWithinPartitions("__block").mapInArrow(_solved(left, right, names), schema)
+    out = solved(small) if done is None else done.unionByName(solved(small))
     return out.unionByName(_by_rounds(blocked.join(crowded, "__block", "left_semi"), left, right, score, place is not None, local_pairs)) if large else out
 
 

@@ -284,3 +284,21 @@ def test_links_of_frames_are_taken_without_writing_all_pairs(spark, monkeypatch)
     again = [*one, (3, 1, 30.0, 30.0, 1.0)]  # a key twice in a frame
     got = {(r.t, r.id, r.n_id, round(r.distance, 9)) for r in K.frame_assignment(spark.createDataFrame(again, schema), b, 4.0, "t", "id").collect()}
     assert got == greedy_of(again, two, 4.0) and given[2] >= given[0]
+
+
+def test_large_frames_are_assigned_without_rounds(spark, monkeypatch):
+    from orbitrace.operators import assignment as A
+
+    monkeypatch.setattr(A, "LOCAL_PAIRS", 100)
+    rng = np.random.default_rng(14)
+    pairs = {(t, int(i), int(j)): float(s) for t, n in ((0, 300), (1, 60), (2, 200)) for i, j, s in zip(rng.integers(0, 30, n), rng.integers(0, 30, n), rng.random(n), strict=True)}
+    df = spark.createDataFrame([(t, f"{t}:{i}", f"{t}:{j}", s) for (t, i, j), s in pairs.items()], "t int, a string, b string, s double")
+    monkeypatch.setattr(A, "_by_rounds", None)  # an auction
+    seen, find = [], A.connected_components
+    monkeypatch.setattr(A, "connected_components", lambda edges, **k: seen.append(edges.count()) or find(edges, **k))
+    for rows, parts in ((df, sum(t == 1 for t, _, _ in pairs)), (df.where("t <> 1"), 0)):
+        seen.clear()
+        got = A.optimal_assignment(rows, "a", "b", "s", group="t").collect()
+        assert sum(seen) == parts and len({r.a for r in got}) == len(got) == len({r.b for r in got})
+        want = sum(r.s for r in A.optimal_assignment(rows, "a", "b", "s").collect())
+        assert sum(r.s for r in got) == pytest.approx(want)
